@@ -27,7 +27,8 @@ def tokenize_cjk(text: Column) -> Column:
     characters outside the basic plane.
     """
     before_han = F.regexp_replace(text, f"([^ ])(?=[{HAN}])", "$1 ")
-    return F.regexp_replace(before_han, f"([{HAN}])(?=[^ {HAN}])", "$1 ")
+    spaced = F.regexp_replace(before_han, f"([{HAN}])(?=[^ {HAN}])", "$1 ")
+    return F.when(text.rlike(f"[{HAN}]"), spaced).otherwise(text)
 
 
 @functools.cache

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import fold, search_terms, tokenize_cjk
 from memlake.operators.ranking import SALTS, salted_join, top_k
+from memlake.session import settled
 
 # BM25 parameters and the least weight of a term.
 K1 = 1.2
@@ -24,30 +25,42 @@ LEAST_IDF = 1e-6
 SCORE_DIGITS = 6
 TERM_BUCKETS = 16
 
+# Query terms up to this number are put into the plan as literal rows.
+LITERAL_TERMS = 5_000
+# Up to this number of distinct terms the scan itself is told which ones are wanted.
+FILTER_TERMS = 200
+
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(bucket, term, turn_id, tf, dl, positions, ...), term_stats(term, df), corpus(n, avgdl)."""
+    """postings(bucket, term, turn_id, tf, dl, positions, ...), term_stats(bucket, term, df), corpus(n, avgdl)."""
 
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
 
     def write(self, path: str) -> None:
-        """Store the index. Postings are in folders by term bucket; a hot term is
-        spread over several files of its bucket."""
-        spread = F.pmod(F.xxhash64("turn_id"), F.lit(SALTS))
-        placed = self.postings.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "turn_id")
-        placed.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-        postings = self.postings.sparkSession.read.parquet(f"{path}/postings")
-        term_statistics(postings).write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        """Store the index. Rows are in folders by term bucket, sorted by term; a hot
+        term is spread over several files of its bucket. The statistics are taken
+        from the written postings, so texts are split into terms once."""
+        spark = self.postings.sparkSession
+        n = self.corpus.select("n")
+        _write_bucketed(self.postings, f"{path}/postings", "turn_id")
+        postings = spark.read.parquet(f"{path}/postings")
+        _write_bucketed(term_statistics(postings), f"{path}/term_stats", "term")
+        corpus_statistics(postings, n).write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> KeywordIndex:
         return KeywordIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "corpus")])
 
 
+def _write_bucketed(df: DataFrame, path: str, spread_by: str) -> None:
+    spread = F.pmod(F.xxhash64(spread_by), F.lit(SALTS))
+    placed = df.repartition("bucket", spread).sortWithinPartitions("bucket", "term")
+    placed.write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
 def build_index(turns: DataFrame, text: str = "content", carry: tuple[str, ...] = ()) -> KeywordIndex:
     """Index the whole of ``text``; rows without text are not indexed.
 
@@ -55,7 +68,8 @@ def build_index(turns: DataFrame, text: str = "content", carry: tuple[str, ...]
     that filters on them need no join.
     """
     postings = build_postings(turns, text, carry)
-    return KeywordIndex(postings, term_statistics(postings), corpus_statistics(turns, text))
+    n = turns.where(F.col(text).isNotNull()).agg(F.count("*").alias("n"))
+    return KeywordIndex(postings, term_statistics(postings), corpus_statistics(postings, n))
 
 
 def term_bucket(term: Column) -> Column:
@@ -63,27 +77,30 @@ def term_bucket(term: Column) -> Column:
 
 
 def build_postings(turns: DataFrame, text: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (term, turn). All tokens of a turn are in one task, so the
-    partial aggregate already brings the rows down to their final number."""
-    tokens = turns.where(F.col(text).isNotNull()).select("turn_id", *carry, search_terms(F.col(text)).alias("tokens"))
+    """One row per (term, turn).
+
+    The texts are shuffled by turn_id, which is much less than the postings made
+    from them; the grouping by (turn_id, term) then needs no shuffle of its own.
+    """
+    texts = turns.where(F.col(text).isNotNull()).select("turn_id", *carry, F.col(text).alias("text")).repartition("turn_id")
+    tokens = texts.select("turn_id", *carry, search_terms(F.col("text")).alias("tokens"))
     exploded = tokens.select(
         "turn_id", *carry, F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("position", "term")
     )
-    grouped = exploded.groupBy("term", "turn_id", "dl", *carry).agg(
+    grouped = exploded.groupBy("turn_id", "term", "dl", *carry).agg(
         F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
     )
     return grouped.select(term_bucket(F.col("term")).alias("bucket"), "*")
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+    return postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
 
 
-def corpus_statistics(turns: DataFrame, text: str = "content") -> DataFrame:
-    length = F.size(search_terms(F.col(text)))
-    return turns.where(F.col(text).isNotNull()).agg(
-        F.count("*").alias("n"), (F.sum(length) / F.count("*")).alias("avgdl")
-    )
+def corpus_statistics(postings: DataFrame, n: DataFrame) -> DataFrame:
+    """n and the average length; the term frequencies add up to all lengths."""
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
+    return n.select("n", (total / F.col("n")).alias("avgdl"))
 
 
 def refresh_postings(postings: DataFrame, changed_ids: DataFrame, changed_turns: DataFrame, text: str = "content") -> DataFrame:
@@ -116,16 +133,42 @@ def bm25(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column) -> Column
     return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _with_statistics(terms: DataFrame, index: KeywordIndex, how: str) -> DataFrame:
-    known = terms.join(index.term_stats, "term", how).withColumn("bucket", term_bucket(F.col("term")))
-    return _with_corpus(known, index)
-
-
 def _with_corpus(df: DataFrame, index: KeywordIndex) -> DataFrame:
     """The corpus figures are one row, read once as scalars."""
     return df.select("*", index.corpus.select("n").scalar().alias("n"), index.corpus.select("avgdl").scalar().alias("avgdl"))
 
 
+@dataclass(frozen=True)
+class QueryTerms:
+    """Query terms with their statistics, computed once; and the postings they need."""
+
+    terms: DataFrame
+    postings: DataFrame
+
+
+def _resolve(index: KeywordIndex, terms: DataFrame, postings: DataFrame, require_all: bool) -> QueryTerms:
+    """Add bucket, df, corpus figures and (for ``require_all``) which term is the rarest.
+
+    With ``require_all``, queries with an unknown term cannot match; they leave here,
+    before any posting is read.
+    """
+    bucketed = terms.withColumn("bucket", term_bucket(F.col("term")))
+    known = bucketed.join(index.term_stats, ["bucket", "term"])
+    if require_all:
+        rarest = known.groupBy("query_id").agg(
+            F.min_by("term", F.struct("df", "term")).alias("rarest"), F.count("*").alias("n_known")
+        )
+        known = known.join(rarest, "query_id").where(F.col("n_known") == F.col("n_terms"))
+        known = known.withColumn("rarest", F.col("term") == F.col("rarest")).drop("n_known")
+    terms, rows = settled(_with_corpus(known, index), LITERAL_TERMS, "query-terms")
+    if rows is not None:
+        wanted = sorted({row["term"] for row in rows})
+        postings = postings.where(F.col("bucket").isin(sorted({row["bucket"] for row in rows})))
+        if len(wanted) <= FILTER_TERMS:
+            postings = postings.where(F.col("term").isin(wanted))
+    return QueryTerms(terms, postings)
+
+
 def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings of the (query, turn) pairs that can hold all terms of the query:
     those of one-term queries, and those of longer ones.
@@ -133,27 +176,23 @@ def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame)
     ``terms``: query_id, n_terms, term and any further columns, one row per
     distinct term of a query.
     """
-    known = _with_statistics(terms, index, "left")
-    rarest = known.groupBy("query_id").agg(
-        F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rarest"), F.count("df").alias("n_known")
-    )
-    # Queries with an unknown term cannot match; they leave before any posting is read.
-    complete = known.join(rarest, "query_id").where(F.col("n_known") == F.col("n_terms")).drop("n_known")
+    resolved = _resolve(index, terms, postings, True)
+    terms, postings = resolved.terms, resolved.postings
+    columns = [*postings.columns, *[c for c in terms.columns if c not in ("bucket", "term", "rarest")]]
 
-    drivers = complete.where(F.col("term") == F.col("rarest"))
-    first = salted_join(postings, drivers, ["bucket", "term"], "inner", ["turn_id"])
-    longer = complete.where(F.col("n_terms") > 1)
-    candidates = first.where(F.col("n_terms") > 1).select("query_id", "turn_id")
+    alone, longer = terms.where(F.col("n_terms") == 1), terms.where(F.col("n_terms") > 1)
+    single = salted_join(postings, alone, ["bucket", "term"], "inner", ["turn_id"])
 
+    drivers = longer.where("rarest").select("query_id", "bucket", "term")
+    candidates = salted_join(postings, drivers, ["bucket", "term"], "inner", ["turn_id"]).select("query_id", "turn_id")
     relevant = postings.join(longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
     probed = relevant.join(candidates.join(longer, "query_id"), ["turn_id", "bucket", "term"])
-    columns = [*postings.columns, *[c for c in complete.columns if c not in ("bucket", "term", "rarest")]]
-    return first.where(F.col("n_terms") == 1).select(*columns), probed.select(*columns)
+    return single.select(*columns), probed.select(*columns)
 
 
 def matches_of_any(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    known = _with_statistics(terms, index, "inner")
-    return salted_join(postings, known, ["bucket", "term"], "inner", ["turn_id"])
+    resolved = _resolve(index, terms, postings, False)
+    return salted_join(resolved.postings, resolved.terms, ["bucket", "term"], "inner", ["turn_id"])
 
 
 def _term_score() -> Column:
@@ -284,8 +323,8 @@ def prefix_search(index: KeywordIndex, queries: DataFrame, k: int, condition: Co
     prefixes = queries.select("query_id", F.get(search_terms(F.col("text")), F.lit(0)).alias("prefix"))
     prefixes = prefixes.where(F.col("prefix").isNotNull()).withColumn("size", F.char_length("prefix"))
     sizes = F.explode(F.sequence(F.lit(1), F.char_length("term")))
-    heads = index.term_stats.select("term", sizes.alias("size")).withColumn("prefix", F.expr("substring(term, 1, size)"))
-    terms = heads.join(prefixes, ["size", "prefix"]).select("query_id", "term", term_bucket(F.col("term")).alias("bucket"))
+    heads = index.term_stats.select("bucket", "term", sizes.alias("size")).withColumn("prefix", F.expr("substring(term, 1, size)"))
+    terms = heads.join(prefixes, ["size", "prefix"]).select("query_id", "bucket", "term")
 
     postings = index.postings.withColumn("allowed", F.lit(True) if condition is None else condition)
     found = salted_join(postings, terms, ["bucket", "term"], "inner", ["turn_id"])

@@ -86,6 +86,3 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "row_number") -> Da
     return running_counts(whole, ["_all"], order, {name: F.lit(1)}).drop("_all")
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; reads no more than needed."""
-    return df.limit(rows + 1).count() <= rows

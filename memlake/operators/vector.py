@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import search_terms
 from memlake.functions.vectors import quantize_int8
-from memlake.operators.ranking import at_most, top_k
+from memlake.operators.ranking import top_k
+from memlake.session import settled
 
 DIGITS = 6
 # Most queries sent along with the tasks: about 0.4 MB at 384 dimensions.
@@ -132,15 +133,15 @@ def knn(
         raise ValueError(f"unknown metric: {metric}")
     stored = vectors.select("turn_id", "q8").where(F.col("q8").isNotNull())
     asked = queries.select("query_id", "q8").where(F.col("q8").isNotNull())
-    if at_most(asked, carried_queries):
-        near = _knn_carried(stored, asked, k, metric)
+    asked, rows = settled(asked, carried_queries, "query-vectors")
+    if rows is not None:
+        near = _knn_carried(stored, rows, k, metric)
     else:
         near = _knn_blocks(stored, asked, k, metric, block_vectors, block_queries)
     return top_k(near, ["query_id"], [F.col("distance").asc(), F.col("turn_id").asc()], k)
 
 
-def _knn_carried(stored: DataFrame, asked: DataFrame, k: int, metric: str) -> DataFrame:
-    rows = asked.collect()
+def _knn_carried(stored: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
     query_ids = np.array([r.query_id for r in rows], dtype=np.int64)
     matrix = np.array([list(r.q8) for r in rows], dtype=np.int8)
 

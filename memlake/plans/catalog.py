@@ -350,7 +350,7 @@ def tokenize_cjk(spark, sf):
 
 @query
 def fold_terms(spark, sf):
-    rows = fx.load(spark, sf, "documents")
+    rows = fx.documents(spark, sf)
     return rows.select("doc_id", F.array_join(text_fn.fold_terms(F.col("text")), " ").alias("terms"))
 
 
@@ -368,12 +368,12 @@ def build_postings(spark, sf):
 
 @query
 def term_stats(spark, sf):
-    return fx.stored_index(spark, sf, "documents").term_stats
+    return fx.stored_index(spark, sf, "documents").term_stats.select("term", "df")
 
 
 @query
 def corpus_stats(spark, sf):
-    return keyword.corpus_statistics(fx.document_turns(spark, sf)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return keyword.build_index(fx.document_turns(spark, sf)).corpus.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 # --- keyword search --------------------------------------------------------------------
@@ -644,13 +644,13 @@ def user_profile(spark, sf):
 
 @query
 def apply_memory_events(spark, sf):
-    _, verdicts = memory.apply_memory_events(fx.memory_events(spark, sf), events_per_round=200)
+    _, verdicts = memory.apply_memory_events(fx.memory_events(spark, sf))
     return verdicts.select("profile_id", "target", "event_id", "pos", "op", "verdict")
 
 
 @query
 def memory_snapshot(spark, sf):
-    snapshot, _ = memory.apply_memory_events(fx.memory_events(spark, sf), events_per_round=200)
+    snapshot, _ = memory.apply_memory_events(fx.memory_events(spark, sf))
     return snapshot.select("profile_id", "target", F.col("piece").cast("long").alias("piece"), "content")
 
 

@@ -13,7 +13,7 @@ from memlake.functions.vectors import l2_normalize, quantize_int8
 from memlake.operators.ingest import build_sessions, build_turns
 from memlake.operators.keyword import KeywordIndex, build_index
 from memlake.operators.vector import mean_pool
-from memlake.session import fresh_path
+from memlake.session import fresh_path, spread
 
 BASE_MS = 1_704_067_200_000  # 2024-01-01 UTC
 HOUR_MS = 3_600_000
@@ -34,6 +34,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
 def archive_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as an archive holds them. The time of system turns cannot be read."""
     rows = load(spark, sf_dir, "conversations")
@@ -81,7 +85,7 @@ def sessions(spark: SparkSession, sf_dir: str, token_mode: str = "lenient", end_
 
 def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as turns: one minute apart, the language as role, the source as session."""
-    return load(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("turn_id"),
         F.col("source").alias("session_id"),
         F.concat(F.lit("p"), F.col("doc_id") % 3).alias("profile_id"),
@@ -97,7 +101,7 @@ def stored_index(spark: SparkSession, sf_dir: str, corpus: str) -> KeywordIndex:
     """The index of a corpus, built and written at its first use in this application."""
     key = (spark.sparkContext.applicationId, sf_dir, corpus)
     if key not in _stored:
-        source = {"documents": document_turns, "conversations": turns}[corpus](spark, sf_dir)
+        source = document_turns(spark, sf_dir) if corpus == "documents" else turns(spark, sf_dir)
         path = fresh_path(spark, f"index-{corpus}")
         build_index(source, "content", ("timestamp_ms", "role")).write(path)
         _stored[key] = path
@@ -126,7 +130,7 @@ def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = (
         F.when(slot == 0, INJECTION_TEXT).when(slot == 1, KEY_TEXT).when(slot == 2, HIDDEN_TEXT).when(slot == 3, HAN_INJECTION_TEXT)
     )
-    rows = load(spark, sf_dir, "documents")
+    rows = documents(spark, sf_dir)
     return rows.select("doc_id", "source", F.concat("text", F.coalesce(added, F.lit(""))).alias("content"))
 
 

@@ -13,13 +13,15 @@ from memlake.functions.times import days_before
 from memlake.operators.filters import hit_context, time_condition
 from memlake.operators.hybrid import rrf_fuse
 from memlake.operators.keyword import KeywordIndex, keyword_search
-from memlake.operators.ranking import at_most
 from memlake.operators.vector import embed_texts, knn, quantized, semantic_score
+from memlake.session import settled
 
 # The default number of hits and the default mode.
 TOP_K = 5
 MODE = "hybrid"
 
+# Queries up to this number are put into the plan as literal rows.
+LITERAL_QUERIES = 1_000
 # Hits are sent to all tasks only up to this many rows.
 BROADCAST_HITS = 100_000
 
@@ -74,6 +76,7 @@ def search(
     """
     if filter_order not in ("pre", "post"):
         raise ValueError(f"unknown filter order: {filter_order}")
+    queries, rows = settled(queries, LITERAL_QUERIES, "queries")
     if mode == "keyword":
         ranked = keyword_hits(turns, index, queries, k, filters, filter_order)
     elif mode == "semantic":
@@ -89,15 +92,14 @@ def search(
         ranked = rrf_fuse(lists, k)
     else:
         raise ValueError(f"unknown mode: {mode}")
-    return with_context(ranked, turns, queries, k, text)
+    few = rows is not None and len(rows) * k <= BROADCAST_HITS
+    return with_context(ranked, turns, few, text)
 
 
-def with_context(ranked: DataFrame, turns: DataFrame, queries: DataFrame, k: int, text: str = "preview") -> DataFrame:
-    """Join hits with their turns. Few queries give few hits, which then travel to
-    the turns; otherwise both sides meet by turn_id."""
-    if at_most(queries.select("query_id"), max(1, BROADCAST_HITS // k)):
-        ranked = F.broadcast(ranked)
-    context = hit_context(ranked, turns, text)
+def with_context(ranked: DataFrame, turns: DataFrame, few_hits: bool, text: str = "preview") -> DataFrame:
+    """Join hits with their turns. A number of hits that is known to be small travels
+    to the turns; otherwise both sides meet by turn_id."""
+    context = hit_context(F.broadcast(ranked) if few_hits else ranked, turns, text)
     return context.select("query_id", "rank", "turn_id", "score", "preview", "session_id", "timestamp_ms", "role")
 
 

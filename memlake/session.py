@@ -53,3 +53,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settled(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, list | None]:
+    """``df`` computed once: as literal rows if there are at most ``rows`` (then the
+    rows are returned too), else as a written table."""
+    taken = df.limit(rows + 1).collect()
+    if len(taken) <= rows:
+        return df.sparkSession.createDataFrame(taken, df.schema), taken
+    return durable(df, name), None
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small input that one or a few tasks would read.
+
+    Inputs with at least as many splits as cores are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
