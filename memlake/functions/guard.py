@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +45,7 @@ CREDENTIAL_FINDING = "疑似凭据泄露: 匹配 '{}'"
 INVISIBLE_FINDING = "检测到不可见 Unicode 字符: U+{:04X}"
 
 
-def scan_issues(text: Column) -> Column:
-    """Array of findings, empty where the text is clean."""
+def _checks(text: Column) -> list[tuple[Column, str]]:
     lowered = F.lower(text)
     checks = [(lowered.contains(phrase), INJECTION_FINDING.format(phrase)) for phrase in INJECTION_PHRASES]
     checks += [
@@ -52,8 +53,15 @@ def scan_issues(text: Column) -> Column:
         for start, shape in zip(CREDENTIAL_STARTS, CREDENTIAL_SHAPES)
     ]
     checks += [(text.contains(chr(code)), INVISIBLE_FINDING.format(code)) for code in INVISIBLE_CODE_POINTS]
-    return F.array_compact(F.array(*[F.when(found, F.lit(label)) for found, label in checks]))
+    return checks
+
 
+def is_unsafe(text: Column) -> Column:
+    """Whether anything is found; stops at the first finding."""
+    return functools.reduce(lambda a, b: a | b, [found for found, _ in _checks(text)])
 
-def is_safe(text: Column) -> Column:
-    return F.size(scan_issues(text)) == 0
+
+def scan_issues(text: Column) -> Column:
+    """Array of findings, empty where the text is clean."""
+    findings = F.array_compact(F.array(*[F.when(found, F.lit(label)) for found, label in _checks(text)]))
+    return F.when(is_unsafe(text), findings).otherwise(F.array().cast("array<string>"))

@@ -17,7 +17,11 @@ ENTRY_SEPARATOR = "\n§\n"
 # Fixed value: code points kept in a preview.
 PREVIEW_CHARS = 200
 
-_EDGE_SPACE = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$"
+# The characters Unicode calls white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def tokenize_cjk(text: Column) -> Column:
@@ -53,7 +57,7 @@ def fold(text: Column) -> Column:
 
 def fold_terms(text: Column) -> Column:
     """Folded runs of letters, digits and private-use characters, in order."""
-    return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}\p{Co}]+"), "")
 
 
 def search_terms(text: Column) -> Column:
@@ -63,7 +67,7 @@ def search_terms(text: Column) -> Column:
 
 def trim_text(text: Column) -> Column:
     """Trim every kind of white space, not only the blank."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def preview(text: Column, chars: int = PREVIEW_CHARS) -> Column:

@@ -30,6 +30,7 @@ def quantize_int8(vector: Column) -> Column:
 
     def step(x: Column) -> Column:
         clamped = F.greatest(F.lit(-1.0).cast("float"), F.least(F.lit(1.0).cast("float"), x))
-        return F.round(clamped * F.lit(INT8_MAX).cast("float")).cast("tinyint")
+        scaled = (clamped * F.lit(INT8_MAX).cast("float")).cast("double")
+        return (F.signum(scaled) * F.floor(F.abs(scaled) + 0.5)).cast("tinyint")
 
     return F.transform(vector.cast("array<float>"), step)

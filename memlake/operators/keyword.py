@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import fold, search_terms, tokenize_cjk
@@ -29,6 +29,8 @@ TERM_BUCKETS = 16
 LITERAL_TERMS = 5_000
 # Up to this number of distinct terms the scan itself is told which ones are wanted.
 FILTER_TERMS = 200
+# Candidates are sent to the postings only up to this number of (query, turn, term) rows.
+BROADCAST_CANDIDATES = 500_000
 
 
 @dataclass(frozen=True)
@@ -84,10 +86,11 @@ def build_postings(turns: DataFrame, text: str = "content", carry: tuple[str, ..
     """
     texts = turns.where(F.col(text).isNotNull()).select("turn_id", *carry, F.col(text).alias("text")).repartition("turn_id")
     tokens = texts.select("turn_id", *carry, search_terms(F.col("text")).alias("tokens"))
-    exploded = tokens.select(
-        "turn_id", *carry, F.size("tokens").cast("long").alias("dl"), F.posexplode("tokens").alias("position", "term")
-    )
-    grouped = exploded.groupBy("turn_id", "term", "dl", *carry).agg(
+    # The outer form: the plain one makes the optimizer split the texts a second
+    # time, to drop those without tokens beforehand.
+    words = F.posexplode_outer("tokens").alias("position", "term")
+    exploded = tokens.select("turn_id", *carry, F.size("tokens").cast("long").alias("dl"), words)
+    grouped = exploded.where(F.col("term").isNotNull()).groupBy("turn_id", "term", "dl", *carry).agg(
         F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
     )
     return grouped.select(term_bucket(F.col("term")).alias("bucket"), "*")
@@ -140,10 +143,12 @@ def _with_corpus(df: DataFrame, index: KeywordIndex) -> DataFrame:
 
 @dataclass(frozen=True)
 class QueryTerms:
-    """Query terms with their statistics, computed once; and the postings they need."""
+    """Query terms with their statistics, computed once; the postings they need; and
+    how many candidate rows they give at most (None: not known)."""
 
     terms: DataFrame
     postings: DataFrame
+    candidates: int | None
 
 
 def _resolve(index: KeywordIndex, terms: DataFrame, postings: DataFrame, require_all: bool) -> QueryTerms:
@@ -155,18 +160,23 @@ def _resolve(index: KeywordIndex, terms: DataFrame, postings: DataFrame, require
     bucketed = terms.withColumn("bucket", term_bucket(F.col("term")))
     known = bucketed.join(index.term_stats, ["bucket", "term"])
     if require_all:
-        rarest = known.groupBy("query_id").agg(
-            F.min_by("term", F.struct("df", "term")).alias("rarest"), F.count("*").alias("n_known")
+        of_query = Window.partitionBy("query_id")
+        known = known.select(
+            "*",
+            F.count("*").over(of_query).alias("n_known"),
+            (F.row_number().over(of_query.orderBy("df", "term")) == 1).alias("rarest"),
         )
-        known = known.join(rarest, "query_id").where(F.col("n_known") == F.col("n_terms"))
-        known = known.withColumn("rarest", F.col("term") == F.col("rarest")).drop("n_known")
+        known = known.where(F.col("n_known") == F.col("n_terms")).drop("n_known")
     terms, rows = settled(_with_corpus(known, index), LITERAL_TERMS, "query-terms")
-    if rows is not None:
-        wanted = sorted({row["term"] for row in rows})
-        postings = postings.where(F.col("bucket").isin(sorted({row["bucket"] for row in rows})))
-        if len(wanted) <= FILTER_TERMS:
-            postings = postings.where(F.col("term").isin(wanted))
-    return QueryTerms(terms, postings)
+    if rows is None:
+        return QueryTerms(terms, postings, None)
+    wanted = sorted({row["term"] for row in rows})
+    postings = postings.where(F.col("bucket").isin(sorted({row["bucket"] for row in rows})))
+    if len(wanted) <= FILTER_TERMS:
+        postings = postings.where(F.col("term").isin(wanted))
+    # A turn is a candidate if it holds the rarest term, so df counts the candidates.
+    most = sum(row["df"] * row["n_terms"] for row in rows if row.get("rarest") and row["n_terms"] > 1)
+    return QueryTerms(terms, postings, most)
 
 
 def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,8 +195,12 @@ def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame)
 
     drivers = longer.where("rarest").select("query_id", "bucket", "term")
     candidates = salted_join(postings, drivers, ["bucket", "term"], "inner", ["turn_id"]).select("query_id", "turn_id")
-    relevant = postings.join(longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-    probed = relevant.join(candidates.join(longer, "query_id"), ["turn_id", "bucket", "term"])
+    wanted = candidates.join(longer, "query_id")
+    if resolved.candidates is not None and resolved.candidates <= BROADCAST_CANDIDATES:
+        probed = postings.join(F.broadcast(wanted), ["turn_id", "bucket", "term"])
+    else:
+        relevant = postings.join(longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        probed = relevant.join(wanted, ["turn_id", "bucket", "term"])
     return single.select(*columns), probed.select(*columns)
 
 

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.functions.guard import scan_issues
-from memlake.functions.text import ENTRY_SEPARATOR, join_entries, split_entries, trim_text
+from memlake.functions.guard import is_unsafe, scan_issues
+from memlake.functions.text import ENTRY_SEPARATOR, WHITE_SPACE, join_entries, split_entries, trim_text
 from memlake.functions.times import to_iso
 from memlake.operators.ranking import running_counts, salted_join, top_by_quota
 from memlake.session import durable
@@ -40,30 +40,39 @@ def capacity_of(target: Column, memory_limit: int = MEMORY_LIMIT, user_limit: in
 
 
 def _pieces(candidates: DataFrame, memory_limit: int, user_limit: int) -> DataFrame:
-    """Scan the whole text, then split it on the entry separator and trim."""
-    scanned = candidates.withColumn("issues", scan_issues(F.col("content")))
-    parts = F.posexplode(F.split("content", ENTRY_SEPARATOR)).alias("piece", "part")
-    split = scanned.select(*[c for c in scanned.columns if c != "content"], parts)
-    columns = [c for c in split.columns if c != "part"]
-    sized = split.select(*columns, trim_text(F.col("part")).alias("content"))
-    return sized.select(
+    """Scan the whole text, then split it on the entry separator and trim.
+
+    ``fault`` is the verdict that needs no other entry; NULL where the history decides.
+    """
+    scanned = candidates.withColumn("unsafe", is_unsafe(F.col("content")))
+    parts = F.posexplode_outer(F.split("content", ENTRY_SEPARATOR)).alias("piece", "part")
+    split = scanned.select(*[c for c in scanned.columns if c != "content"], F.col("content").alias("whole"), parts)
+    trimmed = split.where(F.col("part").isNotNull()).withColumn("content", trim_text(F.col("part"))).drop("part")
+    sized = trimmed.select(
         "*",
         F.char_length("content").cast("long").alias("n_chars"),
         capacity_of(F.col("target"), memory_limit, user_limit).cast("long").alias("capacity"),
     )
-
-
-def _own_fault() -> Column:
-    """Verdicts that need no other entry; NULL where the history decides."""
-    return F.when(F.size("issues") > 0, "unsafe").when(F.col("content") == "", "empty")
+    fault = (
+        F.when(F.col("unsafe"), "unsafe")
+        .when(F.col("content") == "", "empty")
+        .when(F.col("n_chars") > F.col("capacity"), "capacity")
+    )
+    return sized.withColumn("fault", fault).drop("unsafe")
 
 
 def _quota() -> Column:
     return F.floor((F.col("capacity") + SEPARATOR_CHARS) / (F.col("n_chars") + SEPARATOR_CHARS))
 
 
-def _admitted(viable: DataFrame, kept: DataFrame | None) -> DataFrame:
-    """The entries that get in: GROUP, content, first (the order of its first copy)."""
+def _largest_quota(*limits: int) -> int:
+    """The quota of texts of one character."""
+    return (max(limits) + SEPARATOR_CHARS) // (1 + SEPARATOR_CHARS)
+
+
+def _admitted(viable: DataFrame, kept: DataFrame | None, most: int) -> DataFrame:
+    """The entries that get in: GROUP, content, first (the order of its first copy).
+    ``most`` is the largest quota of any length."""
     firsts = viable.groupBy(*GROUP, "content").agg(
         F.min(F.struct(*ORDER)).alias("first"), F.first("n_chars").alias("n_chars"), F.first("capacity").alias("capacity")
     )
@@ -73,7 +82,7 @@ def _admitted(viable: DataFrame, kept: DataFrame | None) -> DataFrame:
         firsts = firsts.join(kept.select(*GROUP, "content"), [*GROUP, "content"], "left_anti")
         used = kept.groupBy(*GROUP).agg(F.sum(F.char_length("content") + SEPARATOR_CHARS).alias("used"))
         firsts = firsts.join(used, GROUP, "left").fillna(0, ["used"])
-    short = top_by_quota(firsts, [*GROUP, "n_chars"], [F.col("first").asc()], _quota())
+    short = top_by_quota(firsts, [*GROUP, "n_chars"], [F.col("first").asc()], _quota(), most)
 
     entry = F.struct("first", "n_chars", "content")
     groups = short.groupBy(*GROUP, "capacity", "used").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
@@ -104,34 +113,33 @@ def admit_entries(
     Verdicts: accepted, duplicate, capacity, unsafe, empty. Content that holds the
     separator counts as several entries, told apart by ``piece``.
     """
-    pieces = _pieces(candidates, memory_limit, user_limit).withColumn("fault", _own_fault())
-    fits_alone = F.col("fault").isNull() & (F.col("n_chars") <= F.col("capacity"))
-    viable = pieces.where(fits_alone)
-    admitted = _admitted(viable, kept)
+    pieces = _pieces(candidates, memory_limit, user_limit)
+    viable = pieces.where(F.col("fault").isNull())
+    admitted = _admitted(viable, kept, _largest_quota(memory_limit, user_limit))
     if kept is not None:
         before = kept.select(*GROUP, "content").withColumn("first", F.lit(None).cast(admitted.schema["first"].dataType))
         admitted = admitted.unionByName(before)
     known = admitted.withColumn("known", F.lit(True))
 
-    judged = salted_join(viable, known, [*GROUP, "content"], "left", ["entry_id", "piece"])
+    columns = [c for c in pieces.columns if c not in ("fault", "whole")]
+    judged = salted_join(viable.select(*columns), known, [*GROUP, "content"], "left", ["entry_id", "piece"])
     verdict = (
         F.when(F.col("known").isNull(), "capacity")
         .when(F.col("first") == F.struct(*ORDER), "accepted")
         .otherwise("duplicate")
     )
-    judged = judged.withColumn("verdict", verdict).select(*pieces.columns, "verdict")
-    others = pieces.where(~fits_alone).withColumn("verdict", F.coalesce("fault", F.lit("capacity")))
-    columns = [c for c in judged.columns if c not in ("fault", "issues")]
-    return judged.unionByName(others).select(*columns, F.array_join("issues", "; ").alias("reason"))
+    judged = judged.select(*columns, verdict.alias("verdict"), F.lit("").alias("reason"))
+    reason = F.array_join(scan_issues(F.col("whole")), "; ")
+    faulty = pieces.where(F.col("fault").isNotNull())
+    return judged.unionByName(faulty.select(*columns, F.col("fault").alias("verdict"), reason.alias("reason")))
 
 
 def accepted_entries(
     candidates: DataFrame, memory_limit: int = MEMORY_LIMIT, user_limit: int = USER_LIMIT, kept: DataFrame | None = None
 ) -> DataFrame:
     """Only the entries that get in; the rejected ones need not be judged one by one."""
-    pieces = _pieces(candidates, memory_limit, user_limit).withColumn("fault", _own_fault())
-    viable = pieces.where(F.col("fault").isNull() & (F.col("n_chars") <= F.col("capacity")))
-    return _admitted(viable, kept).select(*GROUP, "content", "first.*")
+    viable = _pieces(candidates, memory_limit, user_limit).where(F.col("fault").isNull())
+    return _admitted(viable, kept, _largest_quota(memory_limit, user_limit)).select(*GROUP, "content", "first.*")
 
 
 def rejected_entries(verdicts: DataFrame) -> DataFrame:
@@ -189,12 +197,6 @@ def list_entries(entries: DataFrame, target: str | None = None) -> DataFrame:
 
 REPLAY_EVENTS = 20_000
 
-# The characters Unicode calls white space.
-WHITE_SPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
-
 _EVENT = [*GROUP, "event_id", "piece", "pos"]
 _STATE = "profile_id string, target string, entries array<string>, births array<long>"
 _OUTCOME = (
@@ -228,9 +230,10 @@ def apply_memory_events(
     counts = {"pos": F.lit(1), "segment": is_edit}
     placed = durable(running_counts(prepared, GROUP, ["ts", "event_id", "piece"], counts), "replay-events")
 
+    most = _largest_quota(memory_limit, user_limit)
     writes = placed.where(is_write & _event_fault().isNull() & (F.col("n_chars") <= F.col("capacity")))
     firsts = writes.groupBy(*GROUP, "segment", "new_text", "n_chars", "capacity").agg(F.min("pos").alias("pos"))
-    short = top_by_quota(firsts, [*GROUP, "segment", "n_chars"], [F.col("pos").asc()], _quota()).select(*GROUP, "pos")
+    short = top_by_quota(firsts, [*GROUP, "segment", "n_chars"], [F.col("pos").asc()], _quota(), most).select(*GROUP, "pos")
     replayed = placed.where(is_edit).unionByName(placed.where(is_write).join(short, [*GROUP, "pos"], "left_semi"))
     replayed = running_counts(replayed, GROUP, ["pos"], {"place": F.lit(1)})
     number = F.floor((F.col("place") - 1) / events_per_round).cast("long")
@@ -255,8 +258,8 @@ def _prepared_events(events: DataFrame, memory_limit: int, user_limit: int) -> D
         "op",
         "old_text",
         capacity_of(F.col("target"), memory_limit, user_limit).cast("long").alias("capacity"),
-        ((F.size(scan_issues(new_text)) > 0) & (F.col("op") != "remove")).alias("unsafe"),
-        F.posexplode(F.coalesce(parts, F.array(new_text))).alias("piece", "new_text"),
+        (is_unsafe(new_text) & (F.col("op") != "remove")).alias("unsafe"),
+        F.posexplode_outer(F.coalesce(parts, F.array(new_text))).alias("piece", "new_text"),
     )
     return split.withColumn("n_chars", F.char_length("new_text").cast("long"))
 

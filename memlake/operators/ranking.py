@@ -25,11 +25,14 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, place).where(F.col(rank) <= k)
 
 
-def top_by_quota(df: DataFrame, by: list[str], order: list[Column], quota: Column) -> DataFrame:
-    """The first ``quota`` rows of every group, where the quota depends on the group."""
-    df = _salted_round(df, by, order, quota)
+def top_by_quota(df: DataFrame, by: list[str], order: list[Column], quota: Column, most: int) -> DataFrame:
+    """The first ``quota`` rows of every group, where the quota depends on the group
+    and is nowhere above ``most``."""
+    if most > _PRUNED_K:
+        df = _salted_round(df, by, order, quota)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_place", place).where(F.col("_place") <= quota).drop("_place")
+    ranked = df.withColumn("_place", place)
+    return ranked.where((F.col("_place") <= most) & (F.col("_place") <= quota)).drop("_place")
 
 
 def _salted_round(df: DataFrame, by: list[str], order: list[Column], quota: Column) -> DataFrame:

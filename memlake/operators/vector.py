@@ -74,7 +74,8 @@ def embed_texts(
     else:
         source, step = df.withColumn("_in", F.concat(F.lit(prefix), F.col(text))), _encode(load_encoder)
     schema = df.withColumn("embedding", F.array().cast("array<float>")).schema
-    return source.where(F.col("_in").isNotNull()).mapInArrow(step, schema)
+    # Filtered by the text: a filter on the input would compute the terms twice.
+    return source.where(F.col(text).isNotNull()).mapInArrow(step, schema)
 
 
 def _with_unit_vectors(batch: pa.RecordBatch, matrix: np.ndarray) -> pa.RecordBatch:
@@ -142,8 +143,8 @@ def knn(
 
 
 def _knn_carried(stored: DataFrame, rows: list, k: int, metric: str) -> DataFrame:
-    query_ids = np.array([r.query_id for r in rows], dtype=np.int64)
-    matrix = np.array([list(r.q8) for r in rows], dtype=np.int8)
+    query_ids = np.array([row["query_id"] for row in rows], dtype=np.int64)
+    matrix = np.array([row["q8"] for row in rows], dtype=np.int8)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(query_ids, matrix, k, metric)

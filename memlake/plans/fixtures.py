@@ -136,7 +136,7 @@ def scan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document is a fact to remember."""
-    line = F.posexplode(F.split("content", "\n")).alias("i", "line")
+    line = F.posexplode_outer(F.split("content", "\n")).alias("i", "line")
     rows = scan_texts(spark, sf_dir).select("doc_id", "source", line)
     return rows.select(
         F.col("source").alias("profile_id"),

@@ -55,12 +55,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def settled(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, list | None]:
+def settled(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, list[dict] | None]:
     """``df`` computed once: as literal rows if there are at most ``rows`` (then the
-    rows are returned too), else as a written table."""
-    taken = df.limit(rows + 1).collect()
-    if len(taken) <= rows:
-        return df.sparkSession.createDataFrame(taken, df.schema), taken
+    rows are returned too), else as a written table. Either way Spark knows its size."""
+    taken = df.limit(rows + 1).toArrow()
+    if taken.num_rows <= rows:
+        return df.sparkSession.createDataFrame(taken, df.schema), taken.to_pylist()
     return durable(df, name), None
 
 

@@ -97,7 +97,8 @@ def lines_of_whole_files(files: DataFrame) -> DataFrame:
     per_block = (
         files.select(*_file_columns(), numbered.alias("lines"))
         .withColumn("starts", starts)
-        .select(*FILE_COLUMNS, "lines", F.explode(blocks).alias("b"))
+        .select(*FILE_COLUMNS, "lines", F.explode_outer(blocks).alias("b"))
+        .where(F.col("b").isNotNull())
         .select(
             *FILE_COLUMNS,
             "b.block",
@@ -106,7 +107,7 @@ def lines_of_whole_files(files: DataFrame) -> DataFrame:
         )
     )
     bad = F.exists("own", lambda x: _bad_line(x["line"], x["n"] == F.col("block")).isNotNull())
-    exploded = per_block.select(*FILE_COLUMNS, "block", "header_line", (~bad).alias("block_ok"), F.explode("own").alias("x"))
+    exploded = per_block.select(*FILE_COLUMNS, "block", "header_line", (~bad).alias("block_ok"), F.explode_outer("own").alias("x"))
     return exploded.select(
         *FILE_COLUMNS,
         "block",
