@@ -403,6 +403,8 @@ ORACLES: dict[str, str] = {
     "semantic_post_filtered": f"""WITH {VECTORS}, {LABEL_QUERIES}, {DOCUMENT_TURNS}, hits AS ({nearest('centres', K)})
         SELECT query_id, turn_id, round(1 - distance, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
         FROM hits JOIN turns USING (turn_id) WHERE timestamp_ms >= {AFTER_MS - 8 * HOUR} AND role = 'en'""",
+    "embed_texts": f"""SELECT doc_id AS turn_id, 384 AS dimensions, CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END AS norm
+        FROM documents""",
     "rrf_fuse": f"""WITH {DOCUMENT_TURNS}, {INDEX}, {LABEL_WORDS}, {QUERY_TERMS}, {scores()}, {VECTORS}, {LABEL_QUERIES},
         both_lists AS (SELECT query_id, turn_id, rank FROM ({best('scores', K)})
                        UNION ALL SELECT query_id, turn_id, rank FROM ({nearest('centres', K)})),

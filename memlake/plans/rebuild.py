@@ -13,7 +13,8 @@ from memlake.operators.ingest import build_sessions, build_turns, latest_version
 from memlake.operators.keyword import KeywordIndex, build_index
 from memlake.operators.reports import rebuild_stats
 from memlake.operators.vector import embed_texts, quantized
-from memlake.sources.archive import Archive, read_archive
+from memlake.session import durable
+from memlake.sources.archive import Archive, parse_lines, read_lines
 from memlake.sources.tables import write_by_profile
 
 CARRIED = ("profile_id", "timestamp_ms", "role")
@@ -58,13 +59,13 @@ def rebuild_index(
     text: str = "content",
     with_vectors: bool = True,
 ) -> DataFrame:
-    """Read the archive once into turns, then derive everything else from the
-    written turns table; returns one row of counters.
+    """Read the archive once, then derive everything from written tables; returns
+    one row of counters.
 
     ``store_path`` must be a new folder: a table is never overwritten by a plan
     that reads it.
     """
-    archive = newest(read_archive(spark, archive_path))
+    archive = newest(parse_lines(durable(read_lines(spark, archive_path), "archive-lines")))
     store = Store(store_path)
     write_by_profile(build_turns(archive.turns), f"{store_path}/turns", ["timestamp_ms"])
     write_by_profile(build_sessions(archive.headers, archive.turns, now_ms), f"{store_path}/sessions", ["start_ts"])
