@@ -45,8 +45,11 @@ def mean_pool(tokens: DataFrame, by: list[str], vector: str = "vector", mask: st
     Sums are combined before the shuffle, so a group of any size sends one vector per task.
     """
     weight = F.lit(1.0) if mask is None else F.col(mask).cast("double")
-    rows = tokens.select(*by, array_to_vector(F.col(vector).cast("array<double>")).alias("v"), weight.alias("w"))
-    sums = rows.groupBy(*by).agg(Summarizer.sum(F.col("v"), F.col("w")).alias("s"), F.sum("w").alias("n"))
+    values = F.col(vector).cast("array<double>")
+    if mask is not None:
+        values = F.transform(values, lambda x: x * weight)
+    rows = tokens.select(*by, array_to_vector(values).alias("v"), weight.alias("w"))
+    sums = rows.groupBy(*by).agg(Summarizer.sum(F.col("v")).alias("s"), F.sum("w").alias("n"))
     n = F.greatest(F.col("n"), F.lit(1.0))
     return sums.select(*by, F.transform(vector_to_array("s"), lambda x: x / n).alias(vector))
 
