@@ -64,8 +64,10 @@ def embed_texts(
     text: str = "content",
     dimensions: int = DIMENSIONS,
     prefix: str = "query: ",
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Add ``embedding``, a unit vector of the whole ``text``.
+    """Replace ``text`` by ``embedding``, a unit vector of the whole text (with
+    ``keep_text`` the text stays, and travels through the Python workers).
 
     ``load_encoder`` is called once per task and returns a function from a list of
     texts to a matrix; each text gets ``prefix`` first. Without an encoder, a text
@@ -76,9 +78,10 @@ def embed_texts(
         source, step = df.withColumn("_in", slots), _count_slots(dimensions)
     else:
         source, step = df.withColumn("_in", F.concat(F.lit(prefix), F.col(text))), _encode(load_encoder)
-    schema = df.withColumn("embedding", F.array().cast("array<float>")).schema
+    kept = [c for c in df.columns if keep_text or c != text]
+    schema = df.select(*kept, F.array().cast("array<float>").alias("embedding")).schema
     # Filtered by the text: a filter on the input would compute the terms twice.
-    return source.where(F.col(text).isNotNull()).mapInArrow(step, schema)
+    return source.where(F.col(text).isNotNull()).select(*kept, "_in").mapInArrow(step, schema)
 
 
 def _with_unit_vectors(batch: pa.RecordBatch, matrix: np.ndarray) -> pa.RecordBatch:

@@ -260,20 +260,23 @@ STREAM_ORACLES = {
 AUDIT_ROWS = f"""WITH RECURSIVE {ADMITTED} SELECT ts AS timestamp_ms, 'write' AS action, target,
   substring(content, 1, 100) AS detail, source_session AS session_id FROM accepted"""
 
+PAYLOADS = f"""payloads AS (
+  SELECT 'conv-' || conv_id || '-' || turn AS session_id, CASE WHEN conv_id % 2 = 0 THEN 'p' || (conv_id % 3) ELSE 'default' END AS profile_id,
+         {BASE} + conv_id * {HOUR} + turn * {MINUTE} AS start, role, turn,
+         unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
+  FROM conversations)"""
+
 ORACLES: dict[str, str] = {
     "build_turns": f"""WITH {TURNS} SELECT turn_id, content, session_id, profile_id, seq, timestamp_ms, role, preview,
         char_count, n_chars FROM turns""",
     "build_sessions_lenient": f"WITH {TURNS}, {sessions()} SELECT {SESSION_COLUMNS} FROM sessions",
     "build_sessions_strict": f"WITH {TURNS}, {sessions(True)} SELECT {SESSION_COLUMNS} FROM sessions",
     "assign_turn_ids": f"""WITH {TURNS} SELECT row_number() OVER (ORDER BY session_id, seq) AS turn_id, session_id, seq FROM turns""",
-    "sessions_from_payload_turns": f"""WITH {TURNS} SELECT session_id, profile_id,
-        CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'system' THEN 'n/a'
-             ELSE {iso(f'{BASE} + conv_id * {HOUR}')} END AS start_time, seq AS pos,
-        CASE WHEN seq = 2 THEN '' WHEN role = 'system' THEN 'n/a' ELSE {iso('timestamp_ms')} END AS ts, seq,
-        role, CASE WHEN role = 'system' THEN '' ELSE content END AS content FROM turns""",
-    "sessions_from_payload_headers": f"""WITH {TURNS} SELECT session_id,
-        CASE WHEN role = 'system' THEN 'n/a' ELSE {iso('timestamp_ms')} END AS start_time, profile_id, 0::BIGINT AS n_tags
-        FROM turns WHERE seq = 1""",
+    "sessions_from_payload_turns": f"""WITH {PAYLOADS} SELECT session_id, profile_id, {iso('start')} AS start_time, i + 1 AS pos,
+        CASE WHEN i % 4 = 3 THEN '' ELSE {iso('start + i * 1000')} END AS ts, i + 1 AS seq,
+        CASE WHEN i % 3 = 1 THEN 'user' ELSE role END AS role, CASE WHEN i % 5 = 4 THEN '' ELSE line END AS content FROM payloads""",
+    "sessions_from_payload_headers": f"""WITH {PAYLOADS} SELECT session_id, {iso('start')} AS start_time, profile_id,
+        role || CASE WHEN turn > 1 THEN ',late' ELSE '' END AS tags FROM payloads WHERE i = 0""",
     "malformed_records": """WITH lines AS (
           SELECT event_type || '-' || user_id AS file_path, user_id, event_id AS place, CAST(json_extract(props, '$.k') AS BIGINT) > 90 AS broken
           FROM events),

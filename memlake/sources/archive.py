@@ -45,32 +45,32 @@ class Archive:
     errors: DataFrame
 
 
-def list_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The archive files below ``path``, without reading their content."""
+def list_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The archive files below ``paths``, without reading their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ARCHIVE_FILES)
-    return files.load(path).select(
+    return files.load(paths).select(
         F.col("path").alias("file_path"),
         F.col("length").alias("file_size"),
         F.unix_millis("modificationTime").alias("modified_at"),
     )
 
 
-def read_archive(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> Archive:
-    return parse_lines(read_lines(spark, path, whole_file_bytes))
+def read_archive(spark: SparkSession, paths: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> Archive:
+    return parse_lines(read_lines(spark, paths, whole_file_bytes))
 
 
-def read_lines(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Every non-blank line with its file, block and position in the block.
 
     Columns: file_path, modified_at, block (position of the header line in the
     file), pos (0 for the header), line, header_line, block_ok (NULL: not known).
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", ARCHIVE_FILES)
-    small = reader.text(path, wholetext=True).where(F.col("_metadata.file_size") <= whole_file_bytes)
-    lines = lines_of_whole_files(small)
-    if list_archive(spark, path).where(F.col("file_size") > whole_file_bytes).isEmpty():
+    small = reader.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= whole_file_bytes)
+    lines = _lines_of_whole_files(small)
+    if list_archive(spark, paths).where(F.col("file_size") > whole_file_bytes).isEmpty():
         return lines
-    large = reader.text(path).where(F.col("_metadata.file_size") > whole_file_bytes)
+    large = reader.text(paths).where(F.col("_metadata.file_size") > whole_file_bytes)
     return lines.unionByName(_lines_of_large_files(large))
 
 
@@ -81,7 +81,7 @@ def _file_columns() -> list[Column]:
     ]
 
 
-def lines_of_whole_files(files: DataFrame) -> DataFrame:
+def _lines_of_whole_files(files: DataFrame) -> DataFrame:
     """``files`` holds one whole file per row in ``value``; nothing is shuffled."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     numbered = F.transform(lines, lambda line, i: F.struct(i.cast("long").alias("n"), line.alias("line")))

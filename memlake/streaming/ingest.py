@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from memlake.operators.ingest import build_sessions, build_turns, latest_version
-from memlake.sources.archive import ARCHIVE_FILES, lines_of_whole_files, parse_lines
+from memlake.session import durable
+from memlake.sources.archive import ARCHIVE_FILES, parse_lines, read_lines
 from memlake.sources.tables import append_batch, read_log
 
 VERSION = ["version", "version_file"]
@@ -21,19 +21,29 @@ def stream_ingest(
     Nothing stored is rewritten: a batch has its own folder, so a batch that runs
     twice writes the same folder again, and the work grows with the new files only.
     """
-    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", ARCHIVE_FILES)
-    files = reader.option("maxFilesPerTrigger", files_per_batch).text(archive_path, wholetext=True)
-
-    def save(lines: DataFrame, batch_id: int) -> None:
-        archive = parse_lines(lines)
-        turns = build_turns(archive.turns.withColumn("turn_id", F.xxhash64("session_id", "seq")))
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", ARCHIVE_FILES)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(archive_path)
+        .select("path")
+    )
+
+    def save(names: DataFrame, batch_id: int) -> None:
+        # Names only, at most files_per_batch; the content is read by the tasks.
+        paths = [row.path for row in names.collect()]
+        if not paths:
+            return
+        archive = parse_lines(durable(read_lines(spark, paths), "stream-lines"))
         versions = archive.headers.select("session_id", *VERSION).distinct()
-        append_batch(turns.join(versions, "session_id"), f"{store_path}/turns", batch_id)
+        append_batch(build_turns(archive.turns).join(versions, "session_id"), f"{store_path}/turns", batch_id)
         sessions = build_sessions(archive.headers, archive.turns, now_ms)
         append_batch(sessions.join(versions, "session_id"), f"{store_path}/sessions", batch_id)
         append_batch(archive.errors, f"{store_path}/errors", batch_id)
 
-    writer = lines_of_whole_files(files).writeStream.foreachBatch(save)
+    writer = files.writeStream.foreachBatch(save)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from memlake.functions import guard, text, times
+from memlake.functions.sql import register
 from memlake.functions.vectors import l2_normalize, quantize_int8
 
 
@@ -105,3 +106,9 @@ def test_scan(spark):
     assert counts == [0, 1, 1, 1, 1, 2, 0]
     assert values(spark, texts, "string", guard.is_unsafe) == [n > 0 for n in counts]
     assert values(spark, ["a​b"], "string", guard.scan_issues) == [["检测到不可见 Unicode 字符: U+200B"]]
+
+
+def test_sql_function(spark):
+    register(spark)
+    got = spark.sql("SELECT tokenize_cjk(t) FROM VALUES ('Hello数据湖'), ('\U00020000a 据') AS v(t)").collect()
+    assert [r[0] for r in got] == ["Hello 数 据 湖", "\U00020000 a 据"]
