@@ -349,7 +349,8 @@ def prefix_search(index: KeywordIndex, queries: DataFrame, k: int, condition: Co
 def _score_units(units: DataFrame) -> DataFrame:
     """Score units (query_id, turn_id, dl, tf, n, avgdl, allowed); df counts all
     matching turns of a query, allowed or not."""
-    units = units.where(F.col("tf") > 0)
+    units = units.where(F.col("tf") > 0).select("query_id", "turn_id", "dl", "tf", "n", "avgdl", "allowed")
+    units, _ = settled(units, LITERAL_TERMS, "units")
     df = units.groupBy("query_id").agg(F.count("*").alias("df"))
     score = bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     scored = units.where("allowed").join(df, "query_id")
