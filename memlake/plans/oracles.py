@@ -190,9 +190,10 @@ BODIES = f"""bodies AS (
 
 EVENTS = f"""{CANDIDATES},
 events AS (
-  SELECT profile_id, target, ts, entry_id AS event_id, reason <> '' AS has_issue, capacity,
+  SELECT profile_id, target, ts, entry_id AS event_id, capacity,
          CASE i % 7 WHEN 5 THEN 'update' WHEN 6 THEN 'remove' ELSE 'write' END AS op,
-         regexp_extract(line, '^([^ ]*)', 1) AS word, content
+         regexp_extract(line, '^([^ ]*)', 1) AS word, content,
+         CASE i % 7 WHEN 5 THEN len({issues("word || '+'")}) > 0 WHEN 6 THEN FALSE ELSE reason <> '' END AS has_issue
   FROM candidates),
 placed AS (SELECT *, row_number() OVER (PARTITION BY profile_id, target ORDER BY ts, event_id) AS pos FROM events),
 walk AS (
@@ -201,7 +202,7 @@ walk AS (
   SELECT profile_id, target, pos, CASE WHEN verdict = 'accepted' THEN after ELSE kept END, verdict
   FROM (
     SELECT *, CASE
-      WHEN op = 'write' AND has_issue THEN 'unsafe'
+      WHEN has_issue THEN 'unsafe'
       WHEN op = 'write' AND content = '' THEN 'empty'
       WHEN op = 'write' AND list_contains(kept, content) THEN 'duplicate'
       WHEN op <> 'write' AND (word = '' OR len(list_filter(kept, lambda e: contains(e, word))) = 0) THEN 'not_found'
