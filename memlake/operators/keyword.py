@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import fold, search_terms, tokenize_cjk
-from memlake.operators.ranking import SALTS, salted_join, top_k
+from memlake.operators.ranking import salted_join, top_k
 from memlake.session import settled
 
 # BM25 parameters and the least weight of a term.
@@ -40,45 +40,55 @@ class KeywordIndex:
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
+    buckets: int
 
     def write(self, path: str) -> None:
-        """Store the index. Rows are in folders by term bucket, sorted by term; a hot
-        term is spread over several files of its bucket. The statistics are taken
-        from the written postings, so texts are split into terms once."""
+        """Store the index. Rows are in folders by term bucket, sorted by term. The
+        statistics are taken from the written postings, so texts are split into
+        terms once."""
         spark = self.postings.sparkSession
         n = self.corpus.select("n")
-        _write_bucketed(self.postings, f"{path}/postings", "turn_id")
+        _write_bucketed(self.postings, f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
-        _write_bucketed(term_statistics(postings), f"{path}/term_stats", "term")
-        corpus_statistics(postings, n).write.mode("overwrite").parquet(f"{path}/corpus")
+        _write_bucketed(term_statistics(postings), f"{path}/term_stats")
+        corpus = corpus_statistics(postings, n).withColumn("buckets", F.lit(self.buckets))
+        corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> KeywordIndex:
-        return KeywordIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "corpus")])
+        corpus = spark.read.parquet(f"{path}/corpus")
+        postings, term_stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats"))
+        return KeywordIndex(postings, term_stats, corpus.select("n", "avgdl"), corpus.first()["buckets"])
 
 
-def _write_bucketed(df: DataFrame, path: str, spread_by: str) -> None:
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(SALTS))
-    placed = df.repartition("bucket", spread).sortWithinPartitions("bucket", "term")
+def _write_bucketed(df: DataFrame, path: str) -> None:
+    """One folder per bucket. Rebalancing splits a bucket, whatever its size, into
+    tasks of even size, and joins small ones."""
+    placed = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
     placed.write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
-def build_index(turns: DataFrame, text: str = "content", carry: tuple[str, ...] = ()) -> KeywordIndex:
+def build_index(
+    turns: DataFrame, text: str = "content", carry: tuple[str, ...] = (), buckets: int = TERM_BUCKETS
+) -> KeywordIndex:
     """Index the whole of ``text``; rows without text are not indexed.
 
     ``carry`` names turn columns kept in the postings (time, role, profile), so
-    that filters on them need no join.
+    that filters on them need no join. ``buckets`` should grow with the corpus: a
+    query reads the buckets of its terms only.
     """
-    postings = build_postings(turns, text, carry)
+    postings = build_postings(turns, text, carry, buckets)
     n = turns.where(F.col(text).isNotNull()).agg(F.count("*").alias("n"))
-    return KeywordIndex(postings, term_statistics(postings), corpus_statistics(postings, n))
+    return KeywordIndex(postings, term_statistics(postings), corpus_statistics(postings, n), buckets)
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_postings(turns: DataFrame, text: str = "content", carry: tuple[str, ...] = ()) -> DataFrame:
+def build_postings(
+    turns: DataFrame, text: str = "content", carry: tuple[str, ...] = (), buckets: int = TERM_BUCKETS
+) -> DataFrame:
     """One row per (term, turn).
 
     The texts are shuffled by turn_id, which is much less than the postings made
@@ -93,7 +103,7 @@ def build_postings(turns: DataFrame, text: str = "content", carry: tuple[str, ..
     grouped = exploded.where(F.col("term").isNotNull()).groupBy("turn_id", "term", "dl", *carry).agg(
         F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
     )
-    return grouped.select(term_bucket(F.col("term")).alias("bucket"), "*")
+    return grouped.select(term_bucket(F.col("term"), buckets).alias("bucket"), "*")
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -106,12 +116,18 @@ def corpus_statistics(postings: DataFrame, n: DataFrame) -> DataFrame:
     return n.select("n", (total / F.col("n")).alias("avgdl"))
 
 
-def refresh_postings(postings: DataFrame, changed_ids: DataFrame, changed_turns: DataFrame, text: str = "content") -> DataFrame:
+def refresh_postings(
+    postings: DataFrame,
+    changed_ids: DataFrame,
+    changed_turns: DataFrame,
+    text: str = "content",
+    buckets: int = TERM_BUCKETS,
+) -> DataFrame:
     """Postings after inserts, deletes and updates: the changed turns' rows are
     dropped and built anew from what is left of them in ``changed_turns``."""
     kept = postings.join(changed_ids.select("turn_id"), "turn_id", "left_anti")
     carry = tuple(c for c in postings.columns if c not in ("bucket", "term", "turn_id", "tf", "dl", "positions"))
-    return kept.unionByName(build_postings(changed_turns, text, carry))
+    return kept.unionByName(build_postings(changed_turns, text, carry, buckets))
 
 
 def explain_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -157,7 +173,7 @@ def _resolve(index: KeywordIndex, terms: DataFrame, postings: DataFrame, require
     With ``require_all``, queries with an unknown term cannot match; they leave here,
     before any posting is read.
     """
-    bucketed = terms.withColumn("bucket", term_bucket(F.col("term")))
+    bucketed = terms.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
     known = bucketed.join(index.term_stats, ["bucket", "term"])
     if require_all:
         of_query = Window.partitionBy("query_id")
@@ -252,7 +268,7 @@ def keyword_scores(
     scores = score(index, query_terms(queries), postings)
     scores = scores.withColumn("score", F.round("score", SCORE_DIGITS))
     if exclude is not None:
-        banned = query_terms(exclude).select("query_id", "term", term_bucket(F.col("term")).alias("bucket"))
+        banned = query_terms(exclude).select("query_id", "term", term_bucket(F.col("term"), index.buckets).alias("bucket"))
         hit = salted_join(postings, banned, ["bucket", "term"], "inner", ["turn_id"]).select("query_id", "turn_id")
         scores = scores.join(hit, ["query_id", "turn_id"], "left_anti")
     return scores
@@ -320,11 +336,11 @@ def near_search(index: KeywordIndex, queries: DataFrame, distance: int, k: int,
     """Turns in which all words stand with at most ``distance`` words between the
     first and the last. tf is the number of places where such a window starts."""
     found = _positions_by_turn(index, phrase_terms(queries), condition)
-    reach = F.lit(distance + 1)
-    starts = F.filter(
-        F.array_distinct(F.flatten("places")),
-        lambda p: F.forall("places", lambda own: F.exists(own, lambda x: (x >= p) & (x <= p + reach))),
-    )
+    # From place p a word is in reach if it stands at p, p + 1, ... p + distance + 1:
+    # the places from which every word is in reach are an intersection of lists.
+    steps = F.sequence(F.lit(0), F.lit(distance + 1))
+    reached = F.transform("places", lambda own: F.flatten(F.transform(steps, lambda d: F.transform(own, lambda p: p - d))))
+    starts = F.reduce(reached, F.array_distinct(F.flatten("places")), lambda kept, more: F.array_intersect(kept, more))
     return best_hits(_score_units(found.withColumn("tf", F.size(starts).cast("long"))), k)
 
 

@@ -762,10 +762,11 @@ def stream_scan(spark, sf):
 
 
 def _streamed_admission(spark, sf):
-    """Candidates arrive in order, in several files, one micro-batch each."""
+    """Candidates arrive in order, in three parts, one micro-batch each."""
     out, source = fresh_path(spark, "stream-admit"), fresh_path(spark, "candidates")
     candidates = durable(fx.memory_candidates(spark, sf), "candidates")
-    candidates.repartitionByRange(3, "ts").withColumn("arrival", F.spark_partition_id()).write.partitionBy("arrival").parquet(source)
+    last = candidates.agg(F.max("ts")).scalar()
+    candidates.withColumn("arrival", F.floor(F.col("ts") * 3 / (last + 1))).write.partitionBy("arrival").parquet(source)
     schema = spark.read.parquet(source).schema
     for arrival in range(3):
         # Every run of the same query continues from its checkpoint with the new files.

@@ -154,4 +154,4 @@ def _carrying(index: KeywordIndex, turns: DataFrame, condition: Column | None) -
     if condition is None or {"timestamp_ms", "role"} <= set(index.postings.columns):
         return index
     postings = index.postings.join(turns.select("turn_id", "timestamp_ms", "role"), "turn_id")
-    return KeywordIndex(postings, index.term_stats, index.corpus)
+    return KeywordIndex(postings, index.term_stats, index.corpus, index.buckets)

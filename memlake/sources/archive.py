@@ -254,10 +254,9 @@ def write_archive(
         F.substring(day, 6, 2).alias("month"),
         F.substring(day, 9, 2).alias("day"),
         F.col("block_text").alias("value"),
-        F.pmod(F.xxhash64("session_id", "part"), F.lit(16)).alias("spread"),
     )
-    out = out.repartition("year", "month", "day", "spread").drop("spread")
-    writer = out.write.partitionBy("year", "month", "day").mode(mode)
+    # Rebalancing splits a busy day into tasks of even size.
+    writer = out.hint("rebalance", "year", "month", "day").write.partitionBy("year", "month", "day").mode(mode)
     writer.option("maxRecordsPerFile", blocks_per_file).text(path)
 
 

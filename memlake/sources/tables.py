@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.operators.ranking import SALTS
-
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     table = spark.read.parquet(path)
@@ -14,12 +12,11 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def write_by_profile(df: DataFrame, path: str, cluster_by: list[str], mode: str = "overwrite") -> None:
-    """One folder per profile; a large profile is spread over several files.
-
-    Within a file rows are sorted, so that filters on ``cluster_by`` skip row groups.
+    """One folder per profile. Rebalancing splits a large profile into tasks and
+    files of even size. Within a file rows are sorted, so that filters on
+    ``cluster_by`` skip row groups.
     """
-    spread = F.pmod(F.xxhash64(*cluster_by), F.lit(SALTS))
-    placed = df.repartition("profile_id", spread).sortWithinPartitions("profile_id", *cluster_by)
+    placed = df.hint("rebalance", "profile_id").sortWithinPartitions("profile_id", *cluster_by)
     placed.write.partitionBy("profile_id").mode(mode).parquet(path)
 
 
