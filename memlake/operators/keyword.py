@@ -153,8 +153,9 @@ def bm25(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column) -> Column
 
 
 def _with_corpus(df: DataFrame, index: KeywordIndex) -> DataFrame:
-    """The corpus figures are one row, read once as scalars."""
-    return df.select("*", index.corpus.select("n").scalar().alias("n"), index.corpus.select("avgdl").scalar().alias("avgdl"))
+    """The corpus figures are one row, read once as a scalar."""
+    figures = index.corpus.select(F.struct("n", "avgdl")).scalar()
+    return df.withColumn("_corpus", figures).select(*df.columns, "_corpus.n", "_corpus.avgdl")
 
 
 @dataclass(frozen=True)
