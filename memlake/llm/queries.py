@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm.common import table
+from memlake.llm.common import remainder, table
+from memlake.llm.ctw import score_texts
 from memlake.llm.minmax import near_duplicates
 
 
+def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs.withColumn("held_out", remainder("doc_id", 10) == 0))
+
+
 def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_tree_scores": op1_context_tree_scores,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
 }
