@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from memlake.llm.common import remainder, table
 from memlake.llm.ctw import score_texts
 from memlake.llm.minmax import near_duplicates
+from memlake.llm.piece_fst import encode_texts
 
 
 def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,12 @@ def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
+    "op8_sentence_pieces": op8_sentence_pieces,
 }
