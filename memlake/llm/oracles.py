@@ -30,6 +30,50 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+# Kind, expression and least length, as in the contract and the rules added to it.
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [
+    ("assign", _ASSIGN, 1),
+    ("access", "AKIA[A-Z0-9]+", 16),
+    ("hex", "[0-9a-f]+", 32),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    ("google", "AIza[A-Za-z0-9_-]+", 39),
+    ("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 40),
+    ("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 1),
+]
+
+
+def _hits(number: int, kind: str, expression: str, least: int) -> str:
+    quoted = expression.replace("'", "''")
+    return f"""
+  SELECT rid, {number} AS k, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{quoted}') AS between,
+    regexp_extract_all(t, '{quoted}') AS hits FROM texts WHERE regexp_matches(t, '{quoted}')"""
+
+
+OP6 = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), found AS ({" UNION ALL ".join(_hits(i, *kind) for i, kind in enumerate(_KINDS))}
+), placed AS (
+  SELECT rid, k, kind, least, unnest(range(1, len(hits) + 1)) AS i, between, hits FROM found
+), spans AS (
+  SELECT rid, k, kind, hits[i] AS hit, least,
+    list_sum(list_transform(between[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM placed
+), kept AS (
+  SELECT rid, k, start, kind || ':' || start || ':' || (start + length(hit)) AS span FROM spans
+  WHERE length(hit) >= least
+    AND (k > 0 OR length(regexp_extract(hit, '{_ASSIGN.replace("'", "''")}', 2)) >= 8)
+)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (k <= 2), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, k), '') AS spans, count(span) AS n_spans
+FROM texts LEFT JOIN kept USING (rid) GROUP BY rid, doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_secret_scan": OP6,
     "op7_minmax_near_dedup": OP7,
 }

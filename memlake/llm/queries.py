@@ -10,6 +10,7 @@ from memlake.llm.common import remainder, table
 from memlake.llm.ctw import score_texts
 from memlake.llm.minmax import near_duplicates
 from memlake.llm.piece_fst import encode_texts
+from memlake.llm.secrets import scan_secrets
 
 
 def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs.withColumn("held_out", remainder("doc_id", 10) == 0))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
+    "op6_secret_scan": op6_secret_scan,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
 }
