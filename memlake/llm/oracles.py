@@ -73,7 +73,66 @@ SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n
 FROM texts LEFT JOIN kept USING (rid) GROUP BY rid, doc_id
 """
 
+
+
+def _nibble_table() -> list[int]:
+    """Remainders of the four-bit numbers by the CRC-32 polynomial, lowest bit first."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def _crc_step(crc: str, value: str) -> str:
+    return f"xor(({crc}) >> 4, list_extract(CAST({_nibble_table()} AS BIGINT[]), (xor({crc}, {value}) & 15) + 1))"
+
+
+# crc32 of the id as text.
+CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), "
+    "lambda x: ascii(x)::BIGINT)), lambda c, b: " + _crc_step(_crc_step("c", "b"), "(b >> 4)") + "), 4294967295)"
+)
+
+# N-grams as (a << 42) + (b << 21) + c; 2097151 stands after the end of shorter ones.
+OP10 = """
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, {crc32} % 4 = 2 AS held, lower(coalesce(text, '')) AS t FROM documents
+), codes AS (
+  SELECT rid, doc_id, lang, held, list_concat([0::BIGINT], list_transform(string_split(t, ''),
+    lambda x: CASE WHEN regexp_matches(x, '^\\p{L}$') THEN unicode(x)::BIGINT ELSE 0 END), [0::BIGINT]) AS c FROM texts
+), spots AS (
+  SELECT rid, unnest(range(1, len(c) + 1)) AS i, c FROM codes
+), grams AS (
+  SELECT rid, (c[i] << 42) + (2097151::BIGINT << 21) + 2097151 AS g FROM spots WHERE c[i] > 0
+  UNION ALL
+  SELECT rid, (c[i] << 42) + (c[i + 1] << 21) + 2097151 FROM spots WHERE i < len(c) AND (c[i] > 0 OR c[i + 1] > 0)
+  UNION ALL
+  SELECT rid, (c[i] << 42) + (c[i + 1] << 21) + c[i + 2] FROM spots WHERE i + 1 < len(c) AND c[i + 1] > 0
+), counted AS (
+  SELECT rid, g, count(*) AS n FROM grams GROUP BY rid, g
+), own AS (
+  SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY n DESC, g) - 1 AS place FROM counted
+  QUALIFY place < 300
+), learned AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS place
+  FROM counted JOIN codes USING (rid) WHERE NOT held AND lang IS NOT NULL GROUP BY lang, g QUALIFY place < 300
+), languages AS (
+  SELECT DISTINCT lang FROM learned
+), distances AS (
+  SELECT rid, l.lang, sum(CASE WHEN k.place IS NULL THEN 300 ELSE abs(k.place - own.place) END)::BIGINT AS d, count(*) * 300 AS most
+  FROM own CROSS JOIN languages l LEFT JOIN learned k ON k.lang = l.lang AND k.g = own.g GROUP BY rid, l.lang
+), best AS (
+  SELECT rid, lang, (most - d) / most AS score FROM distances
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, lang) = 1
+)
+SELECT doc_id, held AS held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0) AS score
+FROM codes LEFT JOIN best USING (rid)
+""".replace("{crc32}", CRC32)
+
 ORACLES: dict[str, str] = {
     "op6_secret_scan": OP6,
     "op7_minmax_near_dedup": OP7,
+    "op10_rank_order_language": OP10,
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from memlake.llm.common import remainder, table
 from memlake.llm.ctw import score_texts
 from memlake.llm.minmax import near_duplicates
 from memlake.llm.piece_fst import encode_texts
+from memlake.llm.rank_profiles import identify, language_profiles
 from memlake.llm.secrets import scan_secrets
 
 
@@ -30,9 +32,16 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    profiles = language_profiles(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), profiles)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
     "op6_secret_scan": op6_secret_scan,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
+    "op10_rank_order_language": op10_rank_order_language,
 }
