@@ -17,15 +17,16 @@ Both are joins and aggregates over tables of contexts. A context seen in no trai
 counts 0, for which the same formulas give 1/2.
 
 A first scan counts byte runs (context and next byte; combined inside each task before they
-are shuffled) and cuts the words into blocks: one row for each distinct word of a block with
-the places (segment, count) that hold it, so that a frequent word costs one row per block. The
-table of run scores is broadcast to a second scan, in parts of a checked size: a larger
+are shuffled) and cuts the words into blocks: one row for each distinct word of a block, so that
+a frequent word costs one row per block, and one packed row with the places (segment, count)
+of all its words, which is shuffled once. The table of run scores is broadcast to a second scan, in parts of a checked size: a larger
 table takes more scans, never a larger broadcast. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from memlake.session import durable, fresh_path
 
 # Words of this many bytes of text make a block.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 32_000_000
 PIECE_BYTES = 48_000
 # Runs counted or looked up at a time in a task, and distinct runs a task holds before it gives them out.
 RUNS_AT_ONCE, RUNS_HELD = 1_000_000, 2_000_000
@@ -46,7 +47,8 @@ RUNS_AT_ONCE, RUNS_HELD = 1_000_000, 2_000_000
 BROADCAST_RUNS = 4_000_000
 END, SPACE = b"\xff", re.compile(rb"[\x20\x09-\x0D]")
 
-GRAM, WORD, SEGMENT = 0, 1, 2
+# Kinds of rows. A word's row has its number in the block in ``segment``.
+GRAM, WORD, SEGMENT, PLACES = 0, 1, 2, 3
 SCHEMA = (
     "kind int, block long, gram long, word binary, n long, places binary, "
     "segment int, row_key long, doc_id long, held_out boolean, n_bytes long, digest binary"
@@ -118,6 +120,26 @@ class RunCounts:
         return made
 
 
+def pack_places(lengths: np.ndarray, segments: np.ndarray, times: np.ndarray) -> bytes:
+    """Places of a block's words, word by word: ``lengths`` of them each, segments ascending within a word."""
+    steps = np.diff(segments, prepend=0)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    steps[starts] = segments[starts]
+    planes = lengths.astype("<u4").tobytes() + steps.astype("<u2").tobytes() + times.astype("<u2").tobytes()
+    return zlib.compress(planes, 1)
+
+
+def unpack_places(packed: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = zlib.decompress(packed)
+    lengths = np.frombuffer(planes, "<u4", words).astype(np.int64)
+    count = int(lengths.sum())
+    steps = np.frombuffer(planes, "<u2", count, 4 * words).astype(np.int64)
+    times = np.frombuffer(planes, "<u2", count, 4 * words + 2 * count)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    run = np.cumsum(steps)
+    return lengths, run - np.repeat(run[starts] - steps[starts], lengths[lengths > 0]), times
+
+
 @dataclass
 class Block:
     """Words of the texts read so far, with the segment (piece of a text) they are in."""
@@ -145,16 +167,15 @@ class Block:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         trained = times * ~np.array(held)[segments]
         counts = np.add.reduceat(trained, starts) if len(keys) else trained
-        packed = ((segments.astype(np.uint32) << np.uint32(16)) | times.astype(np.uint32)).tobytes()
-        ends = (np.concatenate([starts, [len(keys)]]) * 4).astype(np.int32)
-        buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed)]
         yield _batch(
             WORD,
             block,
             counts.astype(np.int64),
             word=pa.array(list(self.words), pa.binary()),
-            places=pa.Array.from_buffers(pa.binary(), len(starts), buffers),
+            segment=pa.array(range(len(starts)), pa.int32()),
         )
+        packed = pack_places(np.diff(np.append(starts, len(keys))), segments, times)
+        yield _batch(PLACES, block, np.array([len(keys)]), places=pa.array([packed], pa.binary()))
         yield _batch(
             SEGMENT,
             block,
@@ -332,11 +353,9 @@ def _sum_block(part: pa.Table) -> pa.Table:
     """Sums of one block's words by segment."""
     kind = part.column("kind").to_numpy()
     segments = part.filter(pa.array(kind == SEGMENT)).sort_by("segment")
-    words = part.filter(pa.array(kind == WORD))
-    places = words.column("places").to_pylist()
-    lengths = np.array([len(x) // 4 for x in places], np.int64)
-    packed = np.frombuffer(b"".join(places), np.uint32)
-    where, times = (packed >> np.uint32(16)).astype(np.int64), packed & np.uint32(0xFFFF)
+    words = part.filter(pa.array(kind == WORD)).sort_by("segment")
+    packed = part.filter(pa.array(kind == PLACES)).column("places")[0].as_py()
+    lengths, where, times = unpack_places(packed, words.num_rows)
     value = np.repeat(words.column("value").to_numpy(), lengths)
     known = np.repeat(words.column("known").to_numpy().astype(np.int64), lengths)
     return pa.table(
@@ -382,8 +401,9 @@ def score_texts(docs: DataFrame, depth: int = 4) -> DataFrame:
     end = float(np.log10(ends + 0.1))
 
     log_words = words.select("word", F.log10(F.col("n") + 0.1).alias("value"), (F.col("n") > 0).alias("known"))
-    in_blocks = of(WORD).select("kind", "block", "word", "places").join(log_words, "word").drop("word")
-    by_block = in_blocks.unionByName(of(SEGMENT).drop("gram", "word", "places"), allowMissingColumns=True)
+    in_blocks = of(WORD).select("kind", "block", "word", "segment").join(log_words, "word").drop("word")
+    others = stored.where(F.col("kind").isin(SEGMENT, PLACES)).drop("gram", "word")
+    by_block = in_blocks.unionByName(others, allowMissingColumns=True)
     base = by_block.groupBy("block").applyInArrow(
         _sum_block,
         "row_key long, doc_id long, held_out boolean, digest binary, n_bytes long, n_tokens long, n_known long, base double",
