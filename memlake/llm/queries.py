@@ -13,6 +13,7 @@ from memlake.llm.minmax import near_duplicates
 from memlake.llm.piece_fst import encode_texts
 from memlake.llm.rank_profiles import identify, language_profiles
 from memlake.llm.secrets import scan_secrets
+from memlake.llm.tiling import contaminated_documents
 
 
 def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs.withColumn("held_out", remainder("doc_id", 10) == 0))
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
+    "op2_string_tiling": op2_string_tiling,
     "op6_secret_scan": op6_secret_scan,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
