@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
 Three transducers are compiled from a model file: the normaliser (white space escape and dummy
-prefix), the lexicon (a trie of the pieces over characters, with the bytes of a character as its
-fallback) and an acceptor of piece sequences. A text is composed with them piece of the lexicon
-by piece, and the shortest path in the tropical semiring (least sum of weights) is the encoding.
+prefix), the lexicon (characters to the pieces that end there, with the bytes of a character as its
+fallback) and an acceptor of piece sequences. A text is composed with them character by
+character, and the shortest path in the tropical semiring (least sum of weights) is the encoding.
 
 Unigram models: a piece weighs minus its score and the acceptor takes every sequence.
 
 BPE models: the result of greedy merging is the one sequence in which every two neighbours are
 left alone when merged by themselves (merging inside a piece never looks past a boundary that
 no merge crosses). So the acceptor's state is the last piece, and an arc has weight 1 where the
-two pieces, merged alone, stay as they are, else infinity. Its arcs are computed when first met.
+two pieces, merged alone, stay as they are, else infinity: one path is left. Arcs are computed
+when first met.
 
 No piece holds the escaped blank after another character, so a text falls apart before
 each run of blanks and the paths of frequent words are kept in a dictionary of bounded size.
@@ -38,7 +39,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNKNOWN_PENALTY = 10.0
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 150_000, 500_000, 48
+PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 250_000, 500_000, 48
 PIECE_ROWS = 64
 
 
@@ -68,12 +69,7 @@ class PieceModel:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.lowest = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.cut = not any(BLANK in piece.lstrip(BLANK) for piece in self.ids)
-        self.root: dict = {}
-        for piece, number in self.ids.items():
-            state = self.root
-            for char in piece:
-                state = state.setdefault(char, {})
-            state[None] = number, -self.scores[piece] if self.kind == UNIGRAM else 1.0
+        self._compile_lexicon()
         self.spelled = [b"" if p.type == CONTROL else p.piece.encode() for p in proto.pieces]
         self.spelled[self.unknown] = " ⁇ ".encode()
         for value, number in self.bytes.items():
@@ -83,6 +79,55 @@ class PieceModel:
         self.paths: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.arcs: dict[int, bool] = {}
+        self.histories: dict[int, tuple | None] = {}
+
+    # Lexicon.
+
+    def _compile_lexicon(self) -> None:
+        """A state is the longest end of the text that begins a piece; it emits the pieces that end there.
+
+        ``step[state]`` maps a character to the next state, ``short[state]`` is the state of the next
+        shorter end, ``emits[state]`` are (length, number, weight) of pieces, longest first.
+        """
+        self.step: list[dict[str, int]] = [{}]
+        own: list[tuple | None] = [None]
+        for piece, number in self.ids.items():
+            state = 0
+            for char in piece:
+                after = self.step[state].get(char)
+                if after is None:
+                    after = self.step[state][char] = len(self.step)
+                    self.step.append({})
+                    own.append(None)
+                state = after
+            own[state] = len(piece), number, -self.scores[piece] if self.kind == UNIGRAM else 1.0
+        self.short = [0] * len(self.step)
+        self.emits: list[tuple] = [()] * len(self.step)
+        children = [list(x.items()) for x in self.step]
+        level = [0]
+        while level:
+            below = []
+            for state in level:
+                for char, after in children[state]:
+                    if state:
+                        back = self.short[state]
+                        while back and char not in self.step[back]:
+                            back = self.short[back]
+                        self.short[after] = self.step[back].get(char, 0)
+                    longer = (own[after],) if own[after] else ()
+                    self.emits[after] = longer + self.emits[self.short[after]]
+                    below.append(after)
+            level = below
+
+    def advance(self, state: int, char: str) -> int:
+        """The next state where ``step`` has none yet; it is kept for the next time."""
+        back = state
+        while back and char not in self.step[back]:
+            back = self.short[back]
+        after = self.step[back].get(char, 0)
+        if after:
+            self.step[state][char] = after
+        return after
 
     # Normaliser.
 
@@ -94,60 +139,93 @@ class PieceModel:
 
     # Acceptor of piece sequences (BPE).
 
-    def merged(self, text: str) -> list[str]:
-        """Greedy merging of a short string: best score first, then leftmost."""
-        parts, scores = list(text), self.scores
+    def history(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """Scores of the merges that make a piece of its characters, and its first and last part before each
+        and after all of them; None if merging ends in something else."""
+        parts, scores = list(self.pieces[piece]), self.scores
+        made, firsts, lasts = [], [parts[0]], [parts[-1]]
         while len(parts) > 1:
-            best, place = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, place = score, i
-            if place < 0:
-                break
-            parts[place : place + 2] = [parts[place] + parts[place + 1]]
-        return parts
+            found = [(scores[x + y], -i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in scores]
+            if not found:
+                return None
+            score, place = max(found)
+            parts[-place : 2 - place] = [parts[-place] + parts[1 - place]]
+            made.append(score)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        made.append(float("-inf"))
+        return made, firsts, lasts
 
     def accepts(self, last: int, piece: int) -> bool:
-        """Whether ``piece`` may follow ``last`` (-1: the start, -2: an unknown character)."""
+        """Whether ``piece`` may follow ``last`` (-1: the start, -2: an unknown character).
+
+        Both merge by themselves, best score first, until a merge across the boundary is the best one
+        left (of equal scores the leftmost comes first).
+        """
         arc = (last << 24) + piece
         known = self.arcs.get(arc)
-        if known is None:
-            if len(self.arcs) > ARCS_KEPT:
-                self.arcs.clear()
-            own = self.pieces[piece]
-            before = [self.pieces[last]] if last >= 0 else []
-            known = self.arcs[arc] = self.merged("".join(before) + own) == [*before, own]
+        if known is not None:
+            return known
+        if len(self.arcs) > ARCS_KEPT:
+            self.arcs.clear()
+        histories = self.histories
+        for number in (last, piece):
+            if number >= 0 and number not in histories:
+                histories[number] = self.history(number)
+        right = histories[piece]
+        known = right is not None
+        if known and last >= 0:
+            left, scores = histories[last], self.scores
+            ours, _, lasts = left
+            theirs, firsts, _ = right
+            i = j = 0
+            while True:
+                across = scores.get(lasts[i] + firsts[j])
+                if across is not None and across > ours[i] and across >= theirs[j]:
+                    known = False
+                    break
+                if ours[i] >= theirs[j]:
+                    if i + 1 == len(ours):
+                        break
+                    i += 1
+                else:
+                    j += 1
+        self.arcs[arc] = known
         return known
 
     # Composition and shortest path.
 
     def shortest_path(self, text: str) -> tuple[int, ...]:
         """Piece numbers of a normalised text, characters without a piece as their bytes."""
-        size, root, track = len(text), self.root, self.kind == BPE
+        size, track, endless = len(text), self.kind == BPE, float("inf")
+        step, emits, arcs = self.step, self.emits, self.arcs
         # Of every place: weight of the lightest path, start of its last piece, that piece's number. The
         # acceptor of a BPE model lets one last piece through at a place, so its state needs no room.
-        weights, starts, numbers = [float("inf")] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
-        weights[0] = 0.0
-        for start in range(size):
-            total = weights[start]
-            if total == float("inf"):
-                continue
-            last, state, end, single = numbers[start], root, start, False
-            while end < size:
-                state = state.get(text[end])
-                if state is None:
-                    break
-                end += 1
-                if None in state:
-                    number, weight = state[None]
-                    single = single or end == start + 1
-                    if total + weight < weights[end] and (not track or self.accepts(last, number)):
-                        weights[end], starts[end], numbers[end] = total + weight, start, number
-            if not single:
-                weight = 1.0 if track else -self.lowest
-                if total + weight < weights[start + 1]:
-                    weights[start + 1], starts[start + 1], numbers[start + 1] = total + weight, start, -2
+        weights, starts, numbers = [0.0], [0], [-1]
+        state = 0
+        for place, char in enumerate(text, 1):
+            after = step[state].get(char)
+            state = self.advance(state, char) if after is None else after
+            found = emits[state]
+            best, start, piece = endless, 0, -2
+            for length, number, weight in found:
+                total = weights[place - length] + weight
+                if total < best:
+                    if track:
+                        last = numbers[place - length]
+                        known = arcs.get((last << 24) + number)
+                        if not (known or known is None and self.accepts(last, number)):
+                            continue
+                    best, start, piece = total, place - length, number
+                    if track:
+                        break
+            if not found or found[-1][0] > 1:
+                total = weights[-1] + (1.0 if track else -self.lowest)
+                if total < best:
+                    best, start, piece = total, place - 1, -2
+            weights.append(best)
+            starts.append(start)
+            numbers.append(piece)
         end, back = size, []
         while end > 0:
             back.append((starts[end], end, numbers[end]))
@@ -176,7 +254,13 @@ class PieceModel:
         text = self.normalise(text)
         if not self.cut:
             return array("i", self.shortest_path(text)) if text else array("i")
-        return array("i", chain.from_iterable(map(self.path, WORD.findall(text))))
+        words = WORD.findall(text) if BLANK + BLANK in text else text.split(BLANK)
+        if words and not words[0]:
+            # Split at single blanks: every word but the first takes its blank back.
+            words = [BLANK + word for word in words[1:]]
+        elif words and BLANK + BLANK not in text:
+            words[1:] = [BLANK + word for word in words[1:]]
+        return array("i", chain.from_iterable(map(self.path, words)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece numbers; bytes that are no UTF-8 become the replacement character."""
