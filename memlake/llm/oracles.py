@@ -30,6 +30,54 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+def _plain(html: str) -> str:
+    """The visible text of a page, step by step."""
+    unseen = "(?s)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<noscript\\b.*?</noscript\\s*>"
+    block = (
+        "</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|blockquote|pre)\\b[^>]*>"
+    )
+    steps = [(unseen, "' '"), ("[\\x00-\\x20]+", "' '"), (block, "chr(10)"), ("<[a-zA-Z/!?][^>]*>", "''")]
+    for pattern, by in steps:
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    entities = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "apos": "''", "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
+    for name, char in entities.items():
+        html = f"replace({html}, '&{name};', '{char}')"
+    for pattern, by in ((" *\\n[ \\n]*", "chr(10)"), (" +", "' '"), ("^[ \\n]+|[ \\n]+$", "''")):
+        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
+    return html
+
+
+def _uuid(kind: str) -> str:
+    key = f"md5('{kind}' || chr(0) || coalesce(page_id::VARCHAR, '') || chr(0) || coalesce(url, '') || chr(0) || warc_date || chr(0) || block_digest)"
+    cut = " || '-' || ".join(f"substr({key}, {start}, {size})" for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {cut} || '>'"
+
+
+OP3 = f"""
+WITH pages2 AS (
+  SELECT page_id, url, coalesce(html, '') AS html, '2024-01-01T00:00:00Z' AS warc_date FROM pages
+), heads AS (
+  SELECT *, ['HTTP/1.1 200 OK', 'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(html)] AS lines FROM pages2
+), digests AS (
+  SELECT *, array_to_string(lines, E'\\r\\n') AS source_headers, 'sha256:' || sha256(html) AS source_digest,
+    'sha256:' || sha256(array_to_string(lines, E'\\r\\n') || E'\\r\\n' || E'\\r\\n' || html) AS block_digest FROM heads
+), named AS (
+  SELECT *, {_uuid("response")} AS refers_to, {_uuid("metadata")} AS metadata_id, {_uuid("conversion")} AS conversion_id,
+    {_plain("html")} AS plain FROM digests
+), records AS (
+  SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,
+    'source-record: ' || refers_to || E'\\r\\n' || 'source-block-digest: ' || block_digest || E'\\r\\n' || 'source-payload-digest: ' || source_digest
+      || E'\\r\\n' || 'conversion-record: ' || conversion_id || E'\\r\\n'
+      || array_to_string(list_transform(lines, lambda x: 'source-header: ' || x || E'\\r\\n'), '') AS block FROM named
+  UNION ALL
+  SELECT *, 'conversion', conversion_id, 'text/plain; charset=utf-8', plain FROM named
+)
+SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, warc_date, content_type, strlen(block) AS content_length,
+  'sha256:' || sha256(block) AS block_digest, CASE WHEN warc_type = 'conversion' THEN 'sha256:' || sha256(block) END AS payload_digest,
+  source_digest, source_headers, block
+FROM records
+"""
+
 # Kind, expression and least length, as in the contract and the rules added to it.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = [
@@ -132,6 +180,7 @@ FROM codes LEFT JOIN best USING (rid)
 """.replace("{crc32}", CRC32)
 
 ORACLES: dict[str, str] = {
+    "op3_warc_derivatives": OP3,
     "op6_secret_scan": OP6,
     "op7_minmax_near_dedup": OP7,
     "op10_rank_order_language": OP10,

@@ -14,6 +14,10 @@ from memlake.llm.piece_fst import encode_texts
 from memlake.llm.rank_profiles import identify, language_profiles
 from memlake.llm.secrets import scan_secrets
 from memlake.llm.tiling import contaminated_documents
+from memlake.llm.warc import derivatives, responses
+
+# The pages carry no date of their own.
+CAPTURED = "2024-01-01T00:00:00Z"
 
 
 def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +29,10 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages"), CAPTURED))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -46,6 +54,7 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
     "op2_string_tiling": op2_string_tiling,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op6_secret_scan": op6_secret_scan,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
