@@ -179,9 +179,23 @@ SELECT doc_id, held AS held_out, coalesce(best.lang, 'und') AS lang_pred, coales
 FROM codes LEFT JOIN best USING (rid)
 """.replace("{crc32}", CRC32)
 
+OP9 = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i]))::BIGINT AS score
+  FROM usable q JOIN usable r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op3_warc_derivatives": OP3,
     "op6_secret_scan": OP6,
     "op7_minmax_near_dedup": OP7,
+    "op9_mtree_top_products": OP9,
     "op10_rank_order_language": OP10,
 }

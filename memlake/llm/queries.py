@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memlake.llm.common import remainder, table
 from memlake.llm.ctw import score_texts
 from memlake.llm.minmax import near_duplicates
+from memlake.llm.mtree import top_products, whole_vectors
 from memlake.llm.piece_fst import encode_texts
 from memlake.llm.rank_profiles import identify, language_profiles
 from memlake.llm.secrets import scan_secrets
@@ -45,6 +46,12 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_mtree_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    queries = rows.where(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
+    return top_products(rows, queries)
+
+
 def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
     profiles = language_profiles(docs.where(~F.col("held_out")))
@@ -58,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
+    "op9_mtree_top_products": op9_mtree_top_products,
     "op10_rank_order_language": op10_rank_order_language,
 }
