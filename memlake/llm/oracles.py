@@ -78,6 +78,51 @@ SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, warc_date, c
 FROM records
 """
 
+# Base phrases, then the notices added to them.
+_PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+_NOTICES = [
+    *_PHRASES.items(),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("apache-2", "licensed under the apache license version 2 0"),
+    ("cc-by-nc", "licensed under the creative commons attribution noncommercial license"),
+    ("gpl", "licensed under the gnu general public license version"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("mpl", "subject to the terms of the mozilla public license"),
+]
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in _NOTICES)
+_PHRASE_PLACES = " UNION ALL ".join(
+    f"SELECT rid, '{label}' AS label, i - 1 AS place FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM words) "
+    f"WHERE w[i:i + {len(text.split()) - 1}] = {text.split()}"
+    for label, text in _PHRASES.items()
+)
+
+OP4 = rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), templates(label, words) AS (VALUES {_TEMPLATE_ROWS}
+), phrases AS ({_PHRASE_PLACES}
+), base AS (
+  SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM phrases GROUP BY rid
+), placed AS (
+  SELECT rid, unnest(range(len(w))) AS i, unnest(w) AS word FROM words
+), blocks AS (
+  SELECT rid, unnest([i // 16, greatest(i // 16 - 1, 0)]) AS block, word FROM placed
+), sets AS (
+  SELECT DISTINCT rid, block, word FROM blocks WHERE word IN (SELECT unnest(words) FROM templates)
+), shared AS (
+  SELECT rid, block, label, words, count(*) AS c FROM sets JOIN templates ON list_contains(words, word) GROUP BY rid, block, label, words
+), held AS (
+  SELECT rid, label, c / len(words) AS share FROM shared WHERE 100 * c >= 80 * len(words)
+), method AS (
+  SELECT rid, max(share) AS score, list(DISTINCT label) AS labels FROM held GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(string_split(base_labels, ','), labels))), ',') AS labels, coalesce(score, 0) AS score
+FROM words LEFT JOIN base USING (rid) LEFT JOIN method USING (rid)
+"""
+
 # Kind, expression and least length, as in the contract and the rules added to it.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = [
@@ -194,6 +239,7 @@ FROM scored QUALIFY rank <= 5
 
 ORACLES: dict[str, str] = {
     "op3_warc_derivatives": OP3,
+    "op4_license_join": OP4,
     "op6_secret_scan": OP6,
     "op7_minmax_near_dedup": OP7,
     "op9_mtree_top_products": OP9,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import remainder, table
 from memlake.llm.ctw import score_texts
+from memlake.llm.licenses import scan_licenses
 from memlake.llm.minmax import near_duplicates
 from memlake.llm.mtree import top_products, whole_vectors
 from memlake.llm.piece_fst import encode_texts
@@ -34,6 +35,10 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages"), CAPTURED))
 
 
+def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
     "op2_string_tiling": op2_string_tiling,
     "op3_warc_derivatives": op3_warc_derivatives,
+    "op4_license_join": op4_license_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
