@@ -123,6 +123,69 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, las
 FROM words LEFT JOIN base USING (rid) LEFT JOIN method USING (rid)
 """
 
+def _host(url: str) -> str:
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{upper}', '{lower}')"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+
+
+def _normal(url: str) -> str:
+    host = f"regexp_replace({_host(url)}, '^(www|m)\\.', '')"
+    path = f"regexp_replace({_path(url)}, '(/index)?(\\.html?)?/*$', '')"
+    query = f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^?#]*\\?([^#]*)', 1)"
+    query = f"regexp_replace(regexp_replace({query}, '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '')"
+    return f"CASE WHEN {host} <> '' THEN 'https://' || {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
+
+
+def _link(tag: str, value: str) -> str:
+    """A whole address of what a tag names."""
+    link = f"regexp_extract(regexp_extract(coalesce(html, ''), '{tag}'), '{value}', 1)"
+    scheme = "regexp_extract(url, '(?s)^(.*?)://', 1)"
+    return (
+        f"CASE WHEN contains({link}, '://') THEN {link} WHEN starts_with({link}, '//') THEN {scheme} || ':' || {link} "
+        f"WHEN starts_with({link}, '/') THEN {scheme} || '://' || {_host('url')} || {link} END"
+    )
+
+
+_CANONICAL = _link("(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"'']?canonical\\b[^>]*>", "(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)")
+_REFRESH = _link("(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b[^>]*>", "(?is)\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)")
+
+
+def _rule(host: str, path: str, what: int) -> str:
+    """Rule text (0) or verdict (1) of the longest rule that fits."""
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    cases = "".join(
+        f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[what]}' "
+        for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    )
+    return f"CASE {cases}END"
+
+
+OP5 = f"""
+WITH RECURSIVE found AS (
+  SELECT url AS a, unnest([{_normal("url")}, {_CANONICAL}, {_REFRESH}]) AS b FROM pages WHERE contains(url, '://')
+), linked AS (
+  SELECT a, b FROM found WHERE b IS NOT NULL UNION SELECT b, {_normal("b")} FROM found WHERE b IS NOT NULL
+), edges AS (
+  SELECT a, b FROM linked WHERE a <> b AND b IS NOT NULL UNION SELECT b, a FROM linked WHERE a <> b AND b IS NOT NULL
+), reached AS (
+  SELECT DISTINCT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b
+), judged AS (
+  SELECT a, {_rule(_host("b"), _path("b"), 1)} AS verdict FROM reached
+), blocked AS (
+  SELECT a AS url FROM judged GROUP BY a HAVING bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false)
+), parts AS (
+  SELECT page_id, url, {_host("url")} AS host, {_path("url")} AS path FROM pages
+)
+SELECT page_id, host, path, {_rule("host", "path", 0)} AS rule,
+  coalesce({_rule("host", "path", 1)}, CASE WHEN blocked.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+  CASE WHEN {_rule("host", "path", 1)} IS NOT NULL THEN 'rule' WHEN blocked.url IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+FROM parts LEFT JOIN blocked USING (url)
+"""
+
 # Kind, expression and least length, as in the contract and the rules added to it.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = [
@@ -240,6 +303,7 @@ FROM scored QUALIFY rank <= 5
 ORACLES: dict[str, str] = {
     "op3_warc_derivatives": OP3,
     "op4_license_join": OP4,
+    "op5_redirect_verdicts": OP5,
     "op6_secret_scan": OP6,
     "op7_minmax_near_dedup": OP7,
     "op9_mtree_top_products": OP9,

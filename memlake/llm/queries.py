@@ -16,6 +16,7 @@ from memlake.llm.piece_fst import encode_texts
 from memlake.llm.rank_profiles import identify, language_profiles
 from memlake.llm.secrets import scan_secrets
 from memlake.llm.tiling import contaminated_documents
+from memlake.llm.url_filter import judge_urls
 from memlake.llm.warc import derivatives, responses
 
 # The pages carry no date of their own.
@@ -39,6 +40,10 @@ def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_string_tiling": op2_string_tiling,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_license_join": op4_license_join,
+    "op5_redirect_verdicts": op5_redirect_verdicts,
     "op6_secret_scan": op6_secret_scan,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_sentence_pieces": op8_sentence_pieces,
