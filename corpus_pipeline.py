@@ -1,27 +1,73 @@
-"""The corpus pipeline: documents in, encoded training texts out."""
+"""The corpus pipeline: documents in, encoded training texts out.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
+columns of documents, the last one the encoded texts. Each stage keeps every document
+that its operator finds nothing against.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import table
+from memlake.llm.common import remainder, table
 from memlake.llm.minmax import MinMaxParams, near_duplicates
+from memlake.llm.piece_fst import encode_texts
+from memlake.llm.rank_profiles import UNDECIDED, identify, language_profiles
+from memlake.llm.secrets import redact_secrets
+from memlake.llm.tiling import clean_documents, text_key
 from memlake.session import durable
 
+# A text nearer to no language than this is none: its n-grams are out of place almost everywhere.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a learned language stay; null texts, those without letters and those far from all languages go."""
+    profiles = language_profiles(docs.where(remainder("doc_id", 4) != 2))
+    judged = identify(docs, profiles, keep=docs.columns)
+    decided = (F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return judged.where(decided).select(*docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8)."""
-    kept = near_duplicates(docs, MinMaxParams(width=5)).where("kept").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The document with the smallest id of each group of near copies stays (five-word shingles, similarity 0.8).
+
+    Repeated rows of an id are one document. Rows without id stay unless they equal a document.
+    """
+    judged = near_duplicates(docs, MinMaxParams(width=5)).where("kept")
+    named = judged.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_key", text_key()).dropDuplicates(["_key"])
+    others = docs.where(F.col("doc_id").isNotNull()).select(text_key().alias("_key"))
+    return kept.unionByName(nameless.join(others, "_key", "left_anti").select(*docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, with secrets replaced and n_chars counted anew."""
+    clean = redact_secrets(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, ids, n_ids, round_trip."""
+    return encode_texts(docs)
 
 
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("remove_secrets", remove_secrets),
+    ("encode", encode),
 ]
 
-# The stages are iterative or compiled automata; see tests/llm for the brute-force versions.
+# Tiling and piece paths can't be written in SQL; tests/llm has the brute-force versions.
 ORACLE_SQL = None
 
 
