@@ -13,8 +13,9 @@ no merge crosses). So the acceptor's state is the last piece, and an arc has wei
 two pieces, merged alone, stay as they are, else infinity: one path is left. Arcs are computed
 when first met.
 
-No piece holds the escaped blank after another character, so a text falls apart before
-each run of blanks and the paths of frequent words are kept in a dictionary of bounded size.
+Where no piece holds the escaped blank after another character, a text falls apart before each
+run of blanks; where none holds both letters and other characters, between these as well (both
+are read off the pieces). The paths of words met lately are kept, in bounded number.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +39,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNKNOWN_PENALTY = 10.0
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 250_000, 500_000, 48
+PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 350_000, 500_000, 48
 PIECE_ROWS = 64
 
 
@@ -68,66 +68,39 @@ class PieceModel:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.lowest = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.cut = not any(BLANK in piece.lstrip(BLANK) for piece in self.ids)
+        self.pieces = [p.piece for p in proto.pieces]
+        letters = "".join(sorted({c for piece in self.ids for c in piece if c.isalpha()}))
+        by_letters = re.compile(f"{BLANK}*[{letters}]+|{BLANK}*[^{letters}{BLANK}]+|{BLANK}+") if letters else WORD
+        # The finest way to cut a text that cuts no piece.
+        self.parts = next((p for p in (by_letters, WORD) if all(len(p.findall(x)) == 1 for x in self.ids)), None)
         self._compile_lexicon()
         self.spelled = [b"" if p.type == CONTROL else p.piece.encode() for p in proto.pieces]
         self.spelled[self.unknown] = " ⁇ ".encode()
         for value, number in self.bytes.items():
             self.spelled[number] = bytes([value])
-        self.pieces = [p.piece for p in proto.pieces]
         # Paths of words met lately, in two generations.
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.arcs: dict[int, bool] = {}
         self.histories: dict[int, tuple | None] = {}
 
     # Lexicon.
 
     def _compile_lexicon(self) -> None:
-        """A state is the longest end of the text that begins a piece; it emits the pieces that end there.
+        """A trie over characters; ``None`` leads from a state to the number of the piece that ends there.
 
-        ``step[state]`` maps a character to the next state, ``short[state]`` is the state of the next
-        shorter end, ``emits[state]`` are (length, number, weight) of pieces, longest first.
+        ``prefixes`` has the next shorter piece that a piece begins with, -2 if there is none.
         """
-        self.step: list[dict[str, int]] = [{}]
-        own: list[tuple | None] = [None]
+        self.root: dict = {}
         for piece, number in self.ids.items():
-            state = 0
+            state = self.root
             for char in piece:
-                after = self.step[state].get(char)
-                if after is None:
-                    after = self.step[state][char] = len(self.step)
-                    self.step.append({})
-                    own.append(None)
-                state = after
-            own[state] = len(piece), number, -self.scores[piece] if self.kind == UNIGRAM else 1.0
-        self.short = [0] * len(self.step)
-        self.emits: list[tuple] = [()] * len(self.step)
-        children = [list(x.items()) for x in self.step]
-        level = [0]
-        while level:
-            below = []
-            for state in level:
-                for char, after in children[state]:
-                    if state:
-                        back = self.short[state]
-                        while back and char not in self.step[back]:
-                            back = self.short[back]
-                        self.short[after] = self.step[back].get(char, 0)
-                    longer = (own[after],) if own[after] else ()
-                    self.emits[after] = longer + self.emits[self.short[after]]
-                    below.append(after)
-            level = below
-
-    def advance(self, state: int, char: str) -> int:
-        """The next state where ``step`` has none yet; it is kept for the next time."""
-        back = state
-        while back and char not in self.step[back]:
-            back = self.short[back]
-        after = self.step[back].get(char, 0)
-        if after:
-            self.step[state][char] = after
-        return after
+                state = state.setdefault(char, {})
+            state[None] = number
+        self.sizes = [len(piece) for piece in self.pieces]
+        self.prefixes = [-2] * len(self.pieces)
+        for piece, number in self.ids.items():
+            self.prefixes[number] = self.longest_piece(piece[:-1], 0)
 
     # Normaliser.
 
@@ -195,55 +168,91 @@ class PieceModel:
 
     # Composition and shortest path.
 
-    def shortest_path(self, text: str) -> tuple[int, ...]:
+    def shortest_path(self, text: str) -> list[int]:
         """Piece numbers of a normalised text, characters without a piece as their bytes."""
-        size, track, endless = len(text), self.kind == BPE, float("inf")
-        step, emits, arcs = self.step, self.emits, self.arcs
-        # Of every place: weight of the lightest path, start of its last piece, that piece's number. The
-        # acceptor of a BPE model lets one last piece through at a place, so its state needs no room.
-        weights, starts, numbers = [0.0], [0], [-1]
-        state = 0
-        for place, char in enumerate(text, 1):
-            after = step[state].get(char)
-            state = self.advance(state, char) if after is None else after
-            found = emits[state]
-            best, start, piece = endless, 0, -2
-            for length, number, weight in found:
-                total = weights[place - length] + weight
-                if total < best:
-                    if track:
-                        last = numbers[place - length]
-                        known = arcs.get((last << 24) + number)
-                        if not (known or known is None and self.accepts(last, number)):
-                            continue
-                    best, start, piece = total, place - length, number
-                    if track:
-                        break
-            if not found or found[-1][0] > 1:
-                total = weights[-1] + (1.0 if track else -self.lowest)
-                if total < best:
-                    best, start, piece = total, place - 1, -2
-            weights.append(best)
-            starts.append(start)
-            numbers.append(piece)
-        end, back = size, []
-        while end > 0:
-            back.append((starts[end], end, numbers[end]))
-            end = starts[end]
         out: list[int] = []
-        for start, end, number in reversed(back):
+        for start, end, number in self._accepted_path(text) if self.kind == BPE else self._lightest_path(text):
             if number >= 0:
                 out.append(number)
             elif self.bytes:
                 out.extend(self.bytes[b] for b in text[start:end].encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return tuple(out)
+        return out
+
+    def _accepted_path(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, number) along the path that the acceptor of a BPE model leaves.
+
+        All arcs weigh 1 or infinity and one path is left, so it is enough to follow it: the longest
+        piece first, shorter ones where the acceptor or the rest of the text refuses. A place
+        that led nowhere is not entered again: what follows it depends on one last piece only.
+        """
+        arcs, longest = self.arcs, self.longest_piece
+        path: list[tuple[int, int, int]] = []
+        refused: set[int] = set()
+        place, last, size = 0, -1, len(text)
+        number = longest(text, 0)
+        while place < size:
+            end = place + 1 if number < 0 else place + self.sizes[number]
+            known = end not in refused
+            if known and number >= 0:
+                known = arcs.get((last << 24) + number)
+                if known is None:
+                    known = self.accepts(last, number)
+            if known:
+                path.append((place, end, number))
+                place, last = end, number
+                number = longest(text, place) if place < size else -2
+                continue
+            while number < 0 or self.prefixes[number] < 0:
+                refused.add(place)
+                place, _, number = path.pop()
+                last = path[-1][2] if path else -1
+            number = self.prefixes[number]
+        return path
+
+    def longest_piece(self, text: str, start: int) -> int:
+        """The longest piece at ``start``, or -2."""
+        state, found = self.root, -2
+        for place in range(start, len(text)):
+            state = state.get(text[place])
+            if state is None:
+                break
+            if None in state:
+                found = state[None]
+        return found
+
+    def _lightest_path(self, text: str) -> list[tuple[int, int, int]]:
+        """The same by least sums of weights."""
+        endless = float("inf")
+        best = [(0.0, 0, -2)] + [(endless, 0, -2)] * len(text)
+        for start in range(len(text)):
+            total = best[start][0]
+            state, single = self.root, False
+            for end in range(start + 1, len(text) + 1):
+                state = state.get(text[end - 1])
+                if state is None:
+                    break
+                if None in state:
+                    single = single or end == start + 1
+                    number = state[None]
+                    best[end] = min(best[end], (total - self.scores[self.pieces[number]], start, number))
+            if not single:
+                best[start + 1] = min(best[start + 1], (total - self.lowest, start, -2))
+        path, end = [], len(text)
+        while end > 0:
+            _, start, number = best[end]
+            path.append((start, end, number))
+            end = start
+        return path[::-1]
 
-    def path(self, word: str) -> tuple[int, ...]:
+    def path(self, word: str) -> bytes:
+        """The shortest path as 32-bit numbers."""
         found = self.paths.get(word)
         if found is None:
-            found = self.older.get(word) or self.shortest_path(word)
+            found = self.older.get(word)
+            if found is None:
+                found = array("i", self.shortest_path(word)).tobytes()
             if len(word) <= LONGEST_KEPT:
                 if len(self.paths) >= PATHS_KEPT:
                     self.older, self.paths = self.paths, {}
@@ -252,15 +261,10 @@ class PieceModel:
 
     def encode(self, text: str) -> array:
         text = self.normalise(text)
-        if not self.cut:
-            return array("i", self.shortest_path(text)) if text else array("i")
-        words = WORD.findall(text) if BLANK + BLANK in text else text.split(BLANK)
-        if words and not words[0]:
-            # Split at single blanks: every word but the first takes its blank back.
-            words = [BLANK + word for word in words[1:]]
-        elif words and BLANK + BLANK not in text:
-            words[1:] = [BLANK + word for word in words[1:]]
-        return array("i", chain.from_iterable(map(self.path, words)))
+        words = self.parts.findall(text) if self.parts else [text][: len(text)]
+        out = array("i")
+        out.frombytes(b"".join(map(self.path, words)))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece numbers; bytes that are no UTF-8 become the replacement character."""
