@@ -255,7 +255,7 @@ def _summer(model, depth: int):
             runs, texts = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
             place = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
             value = np.where(keys[place] == runs, values[place], 0.0)
-            score = np.bincount(texts, value, len(digests))
+            score = np.bincount(texts, value, len(digests)).astype(np.float64)
             return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(score)], names=["digest", "score"])
 
         for batch in batches:
@@ -363,7 +363,7 @@ def _sum_block(part: pa.Table) -> pa.Table:
             **{c: segments.column(c) for c in ("row_key", "doc_id", "held_out", "digest", "n_bytes")},
             "n_tokens": segments.column("n"),
             "n_known": pa.array(np.bincount(where, known * times, segments.num_rows).astype(np.int64)),
-            "base": pa.array(np.bincount(where, value * times, segments.num_rows)),
+            "base": pa.array(np.bincount(where, value * times, segments.num_rows).astype(np.float64)),
         }
     )
 
