@@ -59,7 +59,7 @@ def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased. The general function does that too, except where a sign becomes a letter of ASCII."""
     exact = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.when(text.rlike("[İK]"), exact).otherwise(F.lower(text))
+    return F.when(text.rlike(r"[\u0130\u212A]"), exact).otherwise(F.lower(text))
 
 
 def template_hits(docs: DataFrame, words: list[str]) -> DataFrame:
