@@ -26,7 +26,7 @@ WITH RECURSIVE words AS (
 ), named AS (
   SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
 )
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, named.component_id, d.doc_id = named.component_id AS kept
 FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
