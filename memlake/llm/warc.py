@@ -27,8 +27,10 @@ ENTITIES = [
     ("&amp;", "&"),
 ]
 
-# Elements that are never shown, comments, then any other tag.
-UNSEEN = r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>"
+# Elements that are never shown, comments and control characters, then any other tag.
+UNSEEN = (
+    r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>|[\x00-\x1F]+"
+)
 BLOCK_TAG = r"</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|blockquote|pre)\b[^>]*>"
 ANY_TAG = r"<[a-zA-Z/!?][^>]*>"
 
@@ -36,13 +38,12 @@ ANY_TAG = r"<[a-zA-Z/!?][^>]*>"
 def plain_text(html: Column) -> Column:
     """The visible text: one line per block, runs of blanks as one, no empty lines; null for null."""
     text = F.regexp_replace(html, UNSEEN, " ")
-    text = F.regexp_replace(text, r"[\x00-\x20]+", " ")
     text = F.regexp_replace(text, BLOCK_TAG, "\n")
     text = F.regexp_replace(text, ANY_TAG, "")
     for written, char in ENTITIES:
         text = F.replace(text, F.lit(written), F.lit(char))
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return F.regexp_replace(F.regexp_replace(text, " +", " "), r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(text, "  +", " "), F.lit(" \n"))
 
 
 def digest(content: Column) -> Column:
@@ -113,7 +114,8 @@ def derivatives(found: DataFrame, key: str = "page_id") -> DataFrame:
         record("conversion", F.col("conversion_id"), "text/plain; charset=utf-8", F.col("text")),
     )
     rows = named.select(key, "target_uri", "warc_date", "refers_to", "source_digest", "source_headers", F.explode(both).alias("r"))
-    return rows.select(
+    digested = rows.select("*", digest(F.col("r.block")).alias("block_digest"))
+    return digested.select(
         key,
         "r.warc_type",
         "r.record_id",
@@ -122,8 +124,8 @@ def derivatives(found: DataFrame, key: str = "page_id") -> DataFrame:
         "warc_date",
         "r.content_type",
         F.octet_length("r.block").cast("long").alias("content_length"),
-        digest(F.col("r.block")).alias("block_digest"),
-        F.when(F.col("r.warc_type") == "conversion", digest(F.col("r.block"))).alias("payload_digest"),
+        "block_digest",
+        F.when(F.col("r.warc_type") == "conversion", F.col("block_digest")).alias("payload_digest"),
         "source_digest",
         "source_headers",
         F.col("r.block").alias("block"),
