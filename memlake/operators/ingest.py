@@ -12,19 +12,35 @@ from memlake.operators.ranking import row_numbers
 USAGE_SCHEMA = "usage struct<input_tokens: bigint, output_tokens: bigint>"
 
 
-def turn_id(session_id: str = "session_id", seq: str = "seq") -> Column:
-    """A key that depends on the row alone, so that a recomputed task agrees."""
-    return F.xxhash64(F.col(session_id), F.col(seq).cast("long"))
+# A session belongs to a profile; two profiles may use the same session id.
+SESSION_KEY = ["profile_id", "session_id"]
 
 
-def build_turns(turns: DataFrame, preview_chars: int = PREVIEW_CHARS) -> DataFrame:
-    """Archive turns to the ``turns`` table.
+def turn_id() -> Column:
+    """A key that depends on the row alone, so that a recomputed task agrees.
+
+    A turn is known by its profile, session and place: ``seq`` is what the archive says, and
+    may repeat. ``check_turn_ids`` finds the rare pair of turns with the same hash.
+    """
+    return F.xxhash64(F.col("profile_id"), F.col("session_id"), F.col("pos").cast("long"))
+
+
+def check_turn_ids(turns: DataFrame) -> None:
+    """Raise if two turns share an id."""
+    twice = turns.groupBy("turn_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two turns have the id {twice[0]['turn_id']}; number them with assign_turn_ids")
+
+
+def build_turns(turns: DataFrame, preview_chars: int = PREVIEW_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Archive turns to the ``turns`` table; ``carry`` names further columns to keep.
 
     A time that cannot be read becomes the session start; sessions without a
     readable start are left out. ``char_count`` counts bytes, ``n_chars`` code points.
     """
     key = F.col("turn_id") if "turn_id" in turns.columns else turn_id()
     start = to_millis(F.col("start_time"))
+    kept = [c for c in carry if c in turns.columns]
     return turns.where(start.isNotNull()).select(
         key.alias("turn_id"),
         "session_id",
@@ -36,6 +52,7 @@ def build_turns(turns: DataFrame, preview_chars: int = PREVIEW_CHARS) -> DataFra
         preview(F.col("content"), preview_chars).alias("preview"),
         F.octet_length("content").cast("long").alias("char_count"),
         F.char_length("content").cast("long").alias("n_chars"),
+        *kept,
     )
 
 
@@ -59,7 +76,7 @@ def build_sessions(
     The end is the time of the last turn in order, not the latest time. Where that
     time cannot be read the end is NULL, or the start with ``end_fallback``.
     """
-    rollup = turns.groupBy("session_id").agg(
+    rollup = turns.groupBy(*SESSION_KEY).agg(
         F.count("*").alias("turn_count"),
         F.sum(turn_tokens(F.col("metadata"), token_mode)).alias("total_tokens"),
         F.max_by(F.coalesce(to_millis(F.col("ts")), F.lit(-1)), "pos").alias("last_ts"),
@@ -70,7 +87,7 @@ def build_sessions(
         end = F.when(F.col("turn_count").isNotNull(), F.coalesce(end, start))
     file_path = F.col("file_path") if "file_path" in headers.columns else F.lit(None).cast("string")
     first_parts = headers.where(F.col("part") == 0) if "part" in headers.columns else headers
-    joined = first_parts.join(rollup, "session_id", "left")
+    joined = first_parts.join(rollup, SESSION_KEY, "left")
     return joined.where(start.isNotNull()).select(
         "session_id",
         start.alias("start_ts"),
@@ -103,17 +120,17 @@ def latest_version(df: DataFrame, key: list[str], version: list[str]) -> DataFra
 def upsert_sessions(stored: DataFrame, incoming: DataFrame, session_ids: DataFrame | None = None) -> DataFrame:
     """Incoming sessions replace the stored ones together with all their rows.
 
-    Works on any table that carries ``session_id``. ``session_ids`` names the
-    replaced sessions where some of them bring no rows (a session without turns).
+    Works on any table that carries ``profile_id`` and ``session_id``. ``session_ids`` names
+    the replaced sessions where some of them bring no rows (a session without turns).
     """
-    replaced = (session_ids if session_ids is not None else incoming).select("session_id").distinct()
-    return stored.join(replaced, "session_id", "left_anti").unionByName(incoming)
+    replaced = (session_ids if session_ids is not None else incoming).select(*SESSION_KEY).distinct()
+    return stored.join(replaced, SESSION_KEY, "left_anti").unionByName(incoming)
 
 
 def keep_created_at(upserted: DataFrame, stored: DataFrame) -> DataFrame:
     """Give replaced sessions the time they were first seen."""
-    first = stored.groupBy("session_id").agg(F.min("created_at").alias("first_created"))
-    joined = upserted.join(first, "session_id", "left")
+    first = stored.groupBy(*SESSION_KEY).agg(F.min("created_at").alias("first_created"))
+    joined = upserted.join(first, SESSION_KEY, "left")
     return joined.withColumn("created_at", F.coalesce("first_created", "created_at")).select(*upserted.columns)
 
 
@@ -123,8 +140,12 @@ def purge_orphans(rows: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def assign_turn_ids(turns: DataFrame) -> DataFrame:
-    """Dense ids in (session_id, seq) order, numbered without a one-task sort."""
-    return row_numbers(turns.drop("turn_id"), ["session_id", "seq"], "turn_id")
+    """Dense ids in order of session, profile and place, numbered without a one-task sort.
+
+    Tables without the place (``pos``) are numbered by ``seq`` instead.
+    """
+    place = "pos" if "pos" in turns.columns else "seq"
+    return row_numbers(turns.drop("turn_id"), ["session_id", "profile_id", place], "turn_id")
 
 
 def append_vectors(stored: DataFrame, added: DataFrame) -> DataFrame:

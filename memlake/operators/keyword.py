@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import fold, search_terms, tokenize_cjk
 from memlake.operators.ranking import salted_join, top_k
-from memlake.session import settled
+from memlake.session import durable, settled
 
 # BM25 parameters and the least weight of a term.
 K1 = 1.2
@@ -35,30 +35,68 @@ BROADCAST_CANDIDATES = 500_000
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(bucket, term, turn_id, tf, dl, positions, ...), term_stats(bucket, term, df), corpus(n, avgdl)."""
+    """postings(bucket, term, turn_id, tf, dl, positions, ...), term_stats(bucket, term, df), corpus(n, avgdl).
+
+    The statistics are those of one ``profile``, or of all (None). ``sizes`` has the number
+    of indexed turns of every profile, and of all under a null ``profile_id``.
+    """
 
     postings: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
     buckets: int
+    sizes: DataFrame | None = None
+    profile: str | None = None
 
     def write(self, path: str) -> None:
         """Store the index. Rows are in folders by term bucket, sorted by term. The
         statistics are taken from the written postings, so texts are split into
-        terms once."""
+        terms once. Where postings carry the profile, every profile has its own."""
         spark = self.postings.sparkSession
-        n = self.corpus.select("n")
+        if self.sizes is None or self.profile is not None:
+            raise ValueError("only an index of all profiles can be stored")
         _write_bucketed(self.postings, f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
-        _write_bucketed(term_statistics(postings), f"{path}/term_stats")
-        corpus = corpus_statistics(postings, n).withColumn("buckets", F.lit(self.buckets))
+        _write_bucketed(term_statistics_by_profile(postings), f"{path}/term_stats")
+        totals = _by_profile(postings, F.coalesce(F.sum("tf"), F.lit(0)).alias("total"), F.sum("total").alias("total"))
+        own = self.sizes.join(totals, F.col("size_profile").eqNullSafe(F.col("profile_id")), "left")
+        corpus = own.select(
+            F.col("size_profile").alias("profile_id"),
+            "n",
+            (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"),
+            F.lit(self.buckets).alias("buckets"),
+        )
         corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> KeywordIndex:
+    def read(spark: SparkSession, path: str, profile: str | None = None) -> KeywordIndex:
+        """The index as one profile sees it: its own postings, N, df and average length."""
         corpus = spark.read.parquet(f"{path}/corpus")
         postings, term_stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats"))
-        return KeywordIndex(postings, term_stats, corpus.select("n", "avgdl"), corpus.first()["buckets"])
+        own = F.col("profile_id").eqNullSafe(F.lit(profile).cast("string"))
+        buckets = corpus.where(F.col("profile_id").isNull()).first()["buckets"]
+        if profile is not None:
+            if "profile_id" not in postings.columns:
+                raise ValueError("the postings don't carry the profile")
+            postings = postings.where(own)
+        sizes = corpus.select(F.col("profile_id").alias("size_profile"), "n")
+        return KeywordIndex(
+            postings,
+            term_stats.where(own).drop("profile_id"),
+            corpus.where(own).select("n", "avgdl"),
+            buckets,
+            sizes if profile is None else None,
+            profile,
+        )
+
+
+def _by_profile(rows: DataFrame, measure: Column, total: Column, *keys: str) -> DataFrame:
+    """A measure per profile (if the rows have one) and, with a null profile, of all."""
+    if "profile_id" not in rows.columns:
+        return rows.groupBy(*keys).agg(measure).withColumn("profile_id", F.lit(None).cast("string"))
+    own = rows.groupBy(*keys, "profile_id").agg(measure)
+    whole = own.groupBy(*keys).agg(total).withColumn("profile_id", F.lit(None).cast("string"))
+    return own.where(F.col("profile_id").isNotNull()).unionByName(whole)
 
 
 def _write_bucketed(df: DataFrame, path: str) -> None:
@@ -78,8 +116,19 @@ def build_index(
     query reads the buckets of its terms only.
     """
     postings = build_postings(turns, text, carry, buckets)
-    n = turns.where(F.col(text).isNotNull()).agg(F.count("*").alias("n"))
-    return KeywordIndex(postings, term_statistics(postings), corpus_statistics(postings, n), buckets)
+    return _index_of(postings, index_sizes(turns, text, carry), buckets)
+
+
+def _index_of(postings: DataFrame, sizes: DataFrame, buckets: int) -> KeywordIndex:
+    n = sizes.where(F.col("size_profile").isNull()).select("n")
+    return KeywordIndex(postings, term_statistics(postings), corpus_statistics(postings, n), buckets, sizes)
+
+
+def index_sizes(turns: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
+    """(size_profile, n): turns with text of every profile, and of all."""
+    worded = turns.where(F.col(text).isNotNull()).select(*[c for c in ("profile_id",) if c in carry], F.lit(1).alias("one"))
+    counted = _by_profile(worded, F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return counted.select(F.col("profile_id").alias("size_profile"), "n")
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -110,24 +159,33 @@ def term_statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
 
 
+def term_statistics_by_profile(postings: DataFrame) -> DataFrame:
+    return _by_profile(postings, F.count("*").alias("df"), F.sum("df").alias("df"), "bucket", "term")
+
+
 def corpus_statistics(postings: DataFrame, n: DataFrame) -> DataFrame:
     """n and the average length; the term frequencies add up to all lengths."""
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
     return n.select("n", (total / F.col("n")).alias("avgdl"))
 
 
-def refresh_postings(
-    postings: DataFrame,
-    changed_ids: DataFrame,
-    changed_turns: DataFrame,
-    text: str = "content",
-    buckets: int = TERM_BUCKETS,
-) -> DataFrame:
-    """Postings after inserts, deletes and updates: the changed turns' rows are
-    dropped and built anew from what is left of them in ``changed_turns``."""
-    kept = postings.join(changed_ids.select("turn_id"), "turn_id", "left_anti")
-    carry = tuple(c for c in postings.columns if c not in ("bucket", "term", "turn_id", "tf", "dl", "positions"))
-    return kept.unionByName(build_postings(changed_turns, text, carry, buckets))
+def refresh_index(index: KeywordIndex, old_turns: DataFrame, new_turns: DataFrame, text: str = "content") -> KeywordIndex:
+    """The index after inserts, deletes and updates: ``old_turns`` leave it, ``new_turns`` enter it.
+
+    An update is both: the turn as it was and as it is. Statistics and sizes follow.
+    """
+    if index.sizes is None:
+        raise ValueError("only an index of all profiles can be refreshed")
+    kept = index.postings.join(old_turns.select("turn_id").distinct(), "turn_id", "left_anti")
+    carry = tuple(c for c in index.postings.columns if c not in ("bucket", "term", "turn_id", "tf", "dl", "positions"))
+    postings = kept.unionByName(build_postings(new_turns, text, carry, index.buckets))
+    changes = [
+        index.sizes,
+        index_sizes(old_turns, text, carry).withColumn("n", -F.col("n")),
+        index_sizes(new_turns, text, carry),
+    ]
+    sizes = changes[0].unionByName(changes[1]).unionByName(changes[2]).groupBy("size_profile").agg(F.sum("n").alias("n"))
+    return _index_of(postings, sizes.where((F.col("n") > 0) | F.col("size_profile").isNull()), index.buckets)
 
 
 def explain_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -216,7 +274,7 @@ def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame)
     if resolved.candidates is not None and resolved.candidates <= BROADCAST_CANDIDATES:
         probed = postings.join(F.broadcast(wanted), ["turn_id", "bucket", "term"])
     else:
-        relevant = postings.join(longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        relevant = salted_join(postings, longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi", ["turn_id"])
         probed = relevant.join(wanted, ["turn_id", "bucket", "term"])
     return single.select(*columns), probed.select(*columns)
 
@@ -269,9 +327,10 @@ def keyword_scores(
     scores = score(index, query_terms(queries), postings)
     scores = scores.withColumn("score", F.round("score", SCORE_DIGITS))
     if exclude is not None:
-        banned = query_terms(exclude).select("query_id", "term", term_bucket(F.col("term"), index.buckets).alias("bucket"))
-        hit = salted_join(postings, banned, ["bucket", "term"], "inner", ["turn_id"]).select("query_id", "turn_id")
-        scores = scores.join(hit, ["query_id", "turn_id"], "left_anti")
+        # Resolved like the query's own terms, so that only their buckets and rows are read.
+        banned = _resolve(index, query_terms(exclude), postings, False)
+        hit = salted_join(banned.postings, banned.terms.select("query_id", "bucket", "term"), ["bucket", "term"], "inner", ["turn_id"])
+        scores = scores.join(hit.select("query_id", "turn_id"), ["query_id", "turn_id"], "left_anti")
     return scores
 
 
@@ -327,10 +386,7 @@ def phrase_search(index: KeywordIndex, phrases: DataFrame, k: int, condition: Co
     A phrase counts as one unit: tf is the number of places, df the number of turns.
     """
     found = _positions_by_turn(index, phrase_terms(phrases), condition)
-    starts = F.reduce(
-        F.slice("starts", 2, F.size("starts")), F.element_at("starts", 1), lambda kept, more: F.array_intersect(kept, more)
-    )
-    return best_hits(_score_units(found.withColumn("tf", F.size(starts).cast("long"))), k)
+    return best_hits(_score_units(found.withColumn("tf", F.size(_common(F.col("starts"))).cast("long"))), k)
 
 
 def near_search(index: KeywordIndex, queries: DataFrame, distance: int, k: int, condition: Column | None = None) -> DataFrame:
@@ -345,30 +401,104 @@ def near_search(index: KeywordIndex, queries: DataFrame, distance: int, k: int,
     return best_hits(_score_units(found.withColumn("tf", F.size(starts).cast("long"))), k)
 
 
-def prefix_search(index: KeywordIndex, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
-    """Turns with a word that starts with the query's (folded) text.
+def _prefix_queries(queries: DataFrame) -> DataFrame:
+    """query_id, rest (the text before its last word), lead (terms of the last word but the last), prefix."""
+    text = F.col("text")
+    cut = F.regexp_extract(text, r"(?s)^(.*?)(\S*)\s*$", 1)
+    word = search_terms(F.regexp_extract(text, r"(?s)^(.*?)(\S*)\s*$", 2))
+    split = queries.select("query_id", cut.alias("rest"), word.alias("word"))
+    return split.where(F.size("word") > 0).select(
+        "query_id",
+        "rest",
+        F.slice("word", F.lit(1), F.size("word") - 1).alias("lead"),
+        F.element_at("word", -1).alias("prefix"),
+    )
+
 
-    The prefix is one unit: tf sums over all words it stands for. The words are
-    found in the term table, by equality of their leading letters.
+def _terms_with_prefix(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """query_id, bucket, term: all words that begin with the query's prefix.
+
+    Words are compared at the lengths that occur among the prefixes only; few prefixes are also
+    told to the scan of the (sorted) term table.
     """
-    prefixes = queries.select("query_id", F.get(search_terms(F.col("text")), F.lit(0)).alias("prefix"))
-    prefixes = prefixes.where(F.col("prefix").isNotNull()).withColumn("size", F.char_length("prefix"))
-    sizes = F.explode(F.sequence(F.lit(1), F.char_length("term")))
-    heads = index.term_stats.select("bucket", "term", sizes.alias("size")).withColumn("prefix", F.expr("substring(term, 1, size)"))
-    terms = heads.join(prefixes, ["size", "prefix"]).select("query_id", "bucket", "term")
+    asked = asked.select("query_id", "prefix", F.char_length("prefix").alias("size"))
+    asked, rows = settled(asked, LITERAL_TERMS, "prefixes")
+    sizes = asked.select("size").distinct().collect() if rows is None else rows
+    sizes = sorted({row["size"] for row in sizes})
+    table = index.term_stats
+    if not sizes:
+        return asked.join(table, F.lit(False)).select("query_id", "bucket", "term")
+    if rows is not None and len(prefixes := sorted({row["prefix"] for row in rows})) <= FILTER_TERMS:
+        wanted = F.lit(False)
+        for prefix in prefixes:
+            wanted = wanted | F.col("term").startswith(prefix)
+        table = table.where(wanted)
+    heads = table.select("bucket", "term", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size"))
+    heads = heads.where(F.char_length("term") >= F.col("size")).withColumn("prefix", F.expr("substring(term, 1, size)"))
+    return heads.join(asked, ["size", "prefix"]).select("query_id", "bucket", "term")
+
+
+def _posted(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of (query_id, bucket, term), few terms being told to the scan."""
+    terms, rows = settled(terms, LITERAL_TERMS, "terms")
+    if rows is not None:
+        postings = postings.where(F.col("bucket").isin(sorted({row["bucket"] for row in rows})))
+        wanted = sorted({row["term"] for row in rows})
+        if len(wanted) <= FILTER_TERMS:
+            postings = postings.where(F.col("term").isin(wanted))
+    return salted_join(postings, terms, ["bucket", "term"], "inner", ["turn_id"])
 
-    postings = index.postings.withColumn("allowed", F.lit(True) if condition is None else condition)
-    found = salted_join(postings, terms, ["bucket", "term"], "inner", ["turn_id"])
-    units = found.groupBy("query_id", "turn_id", "dl", "allowed").agg(F.sum("tf").alias("tf"))
-    return best_hits(_score_units(_with_corpus(units, index)), k)
 
+def prefix_search(index: KeywordIndex, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
+    """Turns with all words of the query, of which the last may be the beginning of a longer one.
 
-def _score_units(units: DataFrame) -> DataFrame:
+    The last word is one unit: tf counts the places of all words it stands for, df their turns.
+    If it is several terms (Han characters, say), these stand next to each other, and the
+    last of them may be longer. The words before it count as in ``keyword_search``.
+    """
+    asked, _ = settled(_prefix_queries(queries), LITERAL_TERMS, "prefix-queries")
+    postings = index.postings.withColumn("allowed", F.lit(True) if condition is None else condition)
+    found = _posted(index, _terms_with_prefix(index, asked), postings)
+    ends = found.groupBy("query_id", "turn_id", "dl", "allowed").agg(F.flatten(F.collect_list("positions")).alias("ends"))
+    leads = asked.where(F.size("lead") > 0).select("query_id", F.size("lead").alias("n_lead"), "lead")
+    alone = ends.join(leads.select("query_id"), "query_id", "left_anti")
+    units = _with_corpus(alone.select("query_id", "turn_id", "dl", F.size("ends").cast("long").alias("tf"), "allowed"), index)
+    if not leads.isEmpty():
+        words = leads.select("query_id", F.posexplode("lead").alias("offset", "term"))
+        sizes = leads.select("query_id", F.size(F.array_distinct("lead")).alias("n_terms"), F.col("n_lead").alias("n_offsets"))
+        terms = words.groupBy("query_id", "term").agg(F.sort_array(F.collect_list("offset")).alias("offsets")).join(sizes, "query_id")
+        led = _positions_by_turn(index, terms, condition).join(ends.drop("dl", "allowed"), ["query_id", "turn_id"])
+        led = led.join(leads.select("query_id", "n_lead"), "query_id")
+        shifted = F.array(F.transform("ends", lambda p: p - F.col("n_lead")))
+        starts = _common(F.concat("starts", shifted))
+        units = units.unionByName(led.select("query_id", "turn_id", "dl", F.size(starts).cast("long").alias("tf"), "allowed", "n", "avgdl"))
+    scores = _unit_scores(units)
+
+    before = asked.select("query_id", F.col("rest").alias("text"))
+    rest = query_terms(before)
+    if not rest.isEmpty():
+        own = index.postings if condition is None else index.postings.where(condition)
+        matched = scores_of_all(index, rest, own).withColumnRenamed("score", "rest_score")
+        with_rest = scores.join(rest.select("query_id").distinct(), "query_id", "left_semi").join(matched, ["query_id", "turn_id"])
+        plain = scores.join(rest.select("query_id").distinct(), "query_id", "left_anti")
+        scores = plain.unionByName(with_rest.select("query_id", "turn_id", (F.col("score") + F.col("rest_score")).alias("score")))
+    return best_hits(scores.withColumn("score", F.round("score", SCORE_DIGITS)), k)
+
+
+def _common(lists: Column) -> Column:
+    """The values that all lists share."""
+    return F.reduce(F.slice(lists, F.lit(2), F.size(lists)), F.element_at(lists, 1), lambda kept, more: F.array_intersect(kept, more))
+
+
+def _unit_scores(units: DataFrame) -> DataFrame:
     """Score units (query_id, turn_id, dl, tf, n, avgdl, allowed); df counts all
-    matching turns of a query, allowed or not."""
+    matching turns of a query, allowed or not. The units are computed once."""
     units = units.where(F.col("tf") > 0).select("query_id", "turn_id", "dl", "tf", "n", "avgdl", "allowed")
-    units, _ = settled(units, LITERAL_TERMS, "units")
+    units = durable(units, "units")
     df = units.groupBy("query_id").agg(F.count("*").alias("df"))
     score = bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scored = units.where("allowed").join(df, "query_id")
-    return scored.select("query_id", "turn_id", F.round(score, SCORE_DIGITS).alias("score"))
+    return units.where("allowed").join(df, "query_id").select("query_id", "turn_id", score.alias("score"))
+
+
+def _score_units(units: DataFrame) -> DataFrame:
+    return _unit_scores(units).withColumn("score", F.round("score", SCORE_DIGITS))

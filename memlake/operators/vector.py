@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.text import search_terms
@@ -74,7 +74,7 @@ def embed_texts(
     becomes the hashed counts of its search terms.
     """
     if load_encoder is None:
-        slots = F.transform(search_terms(F.col(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
+        slots = F.transform(search_terms(F.col(text)), lambda t: term_slot(t, dimensions))
         source, step = df.withColumn("_in", slots), _count_slots(dimensions)
     else:
         source, step = df.withColumn("_in", F.concat(F.lit(prefix), F.col(text))), _encode(load_encoder)
@@ -84,6 +84,11 @@ def embed_texts(
     return source.where(F.col(text).isNotNull()).select(*kept, "_in").mapInArrow(step, schema)
 
 
+def term_slot(term: Column, dimensions: int) -> Column:
+    """The slot of a term: the first 32 bits of its MD5, which every engine has, modulo the width."""
+    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+
+
 def _with_unit_vectors(batch: pa.RecordBatch, matrix: np.ndarray) -> pa.RecordBatch:
     """The batch with ``embedding`` in place of the input; zero vectors stay zero."""
     rows, width = matrix.shape

@@ -13,7 +13,7 @@ from memlake.functions.guard import scan_issues
 from memlake.functions.vectors import l2_normalize, quantize_int8
 from memlake.operators import filters, hybrid, ingest, keyword, memory, provenance, reports, vector
 from memlake.plans import fixtures as fx
-from memlake.plans.rebuild import Store, newest, rebuild_index
+from memlake.plans.rebuild import Store, newest, rebuild_index, save_sessions
 from memlake.plans.search import SearchFilter, search, semantic_hits
 from memlake.session import durable, fresh_path
 from memlake.sources.archive import list_archive, parse_lines, read_archive, write_archive
@@ -155,6 +155,17 @@ def archive_round_trip(spark, sf):
     return archive.turns.select("session_id", "profile_id", "start_time", "pos", "ts", "seq", "role", "content", "metadata")
 
 
+@query
+def archive_rewrite(spark, sf):
+    """Read, write in small blocks, read, write again, read: the same turns."""
+    archive = read_archive(spark, _written_archive(spark, sf))
+    for version in (2, 3):
+        path = fresh_path(spark, "rewritten")
+        write_archive(archive.headers, archive.turns, path, version, block_turns=version)
+        archive = read_archive(spark, path)
+    return archive.turns.select("session_id", "profile_id", "start_time", "pos", "ts", "seq", "role", "content", "metadata")
+
+
 @query
 def list_archive_days(spark, sf):
     files = list_archive(spark, _written_archive(spark, sf))
@@ -179,7 +190,7 @@ def import_archive(spark, sf):
 def upsert_sessions(spark, sf):
     """Conversations with a system turn are saved again without it."""
     stored = fx.turns(spark, sf)
-    resaved = stored.where(F.col("role") == "system").select("session_id").distinct()
+    resaved = stored.where(F.col("role") == "system").select("profile_id", "session_id").distinct()
     incoming = stored.where(F.col("role") != "system").join(resaved, "session_id", "left_semi")
     replaced = ingest.upsert_sessions(stored, incoming, resaved)
     return replaced.select("turn_id", "session_id", "seq", "role", "char_count")
@@ -209,7 +220,7 @@ def refresh_postings(spark, sf):
     index = fx.stored_index(spark, sf, "conversations")
     changed = turns.where(F.col("role") != "user")
     edited = turns.where(F.col("role") == "assistant").withColumn("content", F.concat(F.lit("edited "), "content"))
-    postings = keyword.refresh_postings(index.postings, changed, edited)
+    postings = keyword.refresh_index(index, changed, edited).postings
     return postings.select("term", "turn_id", "tf", "dl")
 
 
@@ -245,6 +256,52 @@ def rebuilt_sessions(spark, sf):
     return Store(path).sessions(spark).select(*SESSION_COLUMNS)
 
 
+@query
+def rebuild_two_profiles(spark, sf):
+    """Two profiles with the same session ids, one without system turns; both survive."""
+    archive, path = _written_archive(spark, sf), fresh_path(spark, "store")
+    other = F.lit("other").alias("profile_id")
+    headers, turns = (t(spark, sf).withColumn("profile_id", other) for t in (fx.headers, fx.archive_turns))
+    write_archive(headers, turns.where(F.col("role") != "system"), archive, version=1)
+    rebuild_index(spark, archive, path, fx.NOW_MS, with_vectors=False)
+    store = Store(path)
+    counts = store.sessions(spark).select("profile_id", "session_id", "turn_count")
+    return store.turns(spark).select("profile_id", "session_id", "seq", "role").join(counts, ["profile_id", "session_id"])
+
+
+def _saved_store(spark, sf):
+    """A rebuilt store into which sessions with system turns are saved again without them."""
+    old, new = Store(fresh_path(spark, "store")), fresh_path(spark, "store")
+    rebuild_index(spark, _written_archive(spark, sf), old.path, fx.NOW_MS, buckets=4)
+    turns = fx.archive_turns(spark, sf)
+    system = turns.where(F.col("role") == "system").select("session_id").distinct()
+    spoken = turns.where(F.col("role") != "system").join(system, "session_id", "left_semi")
+    again = fresh_path(spark, "archive")
+    write_archive(fx.headers(spark, sf).join(system, "session_id", "left_semi"), spoken, again, version=2)
+    return save_sessions(spark, old, read_archive(spark, again), new, fx.NOW_MS + 1)
+
+
+@query
+def save_then_search(spark, sf):
+    store = _saved_store(spark, sf)
+    hits = keyword.keyword_search(store.index(spark), _queries(spark, "the of", "and"), K)
+    one = keyword.keyword_search(store.index(spark, "p1"), _queries(spark, "the of", "and"), K)
+    found = [h.select(F.lit(p).alias("profile"), "query_id", "score", F.col("rank").cast("long").alias("rank")) for p, h in (("all", hits), ("p1", one))]
+    return found[0].unionByName(found[1])
+
+
+@query
+def save_then_stats(spark, sf):
+    """Document frequencies, and the counters of all tables, after a save."""
+    store = _saved_store(spark, sf)
+    counted = reports.index_stats(store.sessions(spark), store.turns(spark), store.vectors(spark))
+    kinds = [F.struct(F.lit(f"({c})").alias("term"), F.col(c).alias("df")) for c in counted.columns]
+    counters = counted.select(F.explode(F.array(*kinds)).alias("x")).select("x.term", "x.df")
+    first_seen = store.sessions(spark).agg(F.min("created_at").alias("a"), F.max("created_at").alias("df"))
+    first_seen = first_seen.where("a = df").select(F.lit("(created_at)").alias("term"), "df")
+    return store.index(spark).term_stats.select("term", "df").unionByName(counters).unionByName(first_seen)
+
+
 @query
 def index_stats(spark, sf):
     return reports.index_stats(fx.sessions(spark, sf), fx.turns(spark, sf), fx.vectors(spark, sf))
@@ -406,6 +463,13 @@ def keyword_batch(spark, sf):
     return _ranked(keyword.keyword_search(index, fx.benchmark_queries(spark, sf), K))
 
 
+@query
+def keyword_by_profile(spark, sf):
+    """One profile's search sees and counts its own documents only."""
+    index = fx.stored_index(spark, sf, "documents", "p1")
+    return _ranked(keyword.keyword_search(index, _queries(spark, "the of", "que la", "der"), K))
+
+
 @query
 def keyword_time(spark, sf):
     index = fx.stored_index(spark, sf, "conversations")
@@ -469,7 +533,15 @@ def keyword_near(spark, sf):
 @query
 def keyword_prefix(spark, sf):
     index = fx.stored_index(spark, sf, "documents")
-    return _ranked(keyword.prefix_search(index, _queries(spark, "wit", "th", "quee"), K))
+    return _ranked(keyword.prefix_search(index, _queries(spark, "wit", "th", "quee", "the of wit", "que la mi"), K))
+
+
+@query
+def keyword_prefix_han(spark, sf):
+    """A prefix of several Han characters is a phrase whose last part may be longer."""
+    texts = _han_texts(spark, sf).withColumnRenamed("text", "content")
+    index = keyword.build_index(durable(texts, "han-texts"))
+    return _ranked(keyword.prefix_search(index, _queries(spark, "数据", "the 数据湖", "b据", "据"), K))
 
 
 # --- vectors -------------------------------------------------------------------------------
@@ -547,8 +619,7 @@ def semantic_post_filtered(spark, sf):
 @query
 def embed_texts(spark, sf):
     rows = fx.document_turns(spark, sf).select("turn_id", "content")
-    embedded = vector.quantized(vector.embed_texts(rows))
-    return embedded.select("turn_id", F.size("q8").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    return vector.quantized(vector.embed_texts(rows)).select("turn_id", _joined("q8").alias("q8"))
 
 
 @query
@@ -588,6 +659,15 @@ def search_hybrid(spark, sf):
     return _search_rows(search(turns, queries, index, stored, mode="hybrid", k=K, filters=SearchFilter(role="en")))
 
 
+@query
+def search_by_profile(spark, sf):
+    """A hybrid search in one profile: its documents, vectors and statistics only."""
+    index = fx.stored_index(spark, sf, "documents", "p1")
+    turns, stored = _embedded_documents(spark, sf)
+    queries = fx.label_queries(spark, sf).join(_label_words(spark), "query_id")
+    return _search_rows(search(turns, queries, index, stored, mode="hybrid", k=K, filters=SearchFilter(profile="p1")))
+
+
 # --- memory --------------------------------------------------------------------------------
 
 
@@ -753,6 +833,22 @@ def stream_ingest_sessions(spark, sf):
     return stream_ingest.current(spark, store, "sessions").select(*SESSION_COLUMNS)
 
 
+@query
+def stream_ingest_versions(spark, sf):
+    """Two versions in the first batch, a third for even conversations in a later one; then the log is compacted."""
+    path, turns, headers = _written_archive(spark, sf), fx.archive_turns(spark, sf), fx.headers(spark, sf)
+    write_archive(headers, turns.where(F.col("role") != "system"), path, version=2)
+    store, checkpoint = fresh_path(spark, "stream-store"), fresh_path(spark, "checkpoint")
+    stream_ingest.stream_ingest(spark, path, store, checkpoint, fx.NOW_MS).awaitTermination()
+    even = F.substring("session_id", 6, 20).cast("long") % 2 == 0
+    write_archive(headers.where(even), turns.where(even & (F.col("role") == "user")), path, version=3)
+    stream_ingest.stream_ingest(spark, path, store, checkpoint, fx.NOW_MS).awaitTermination()
+    compacted = fresh_path(spark, "stream-store")
+    stream_ingest.compact(spark, store, compacted)
+    counted = stream_ingest.current(spark, compacted, "turns").groupBy("session_id").agg(F.count("*").alias("n_turns"), F.sum("seq").alias("seqs"))
+    return stream_ingest.current(spark, store, "sessions").select("session_id", "turn_count").join(counted, "session_id", "left")
+
+
 @query
 def stream_scan(spark, sf):
     out = fresh_path(spark, "stream-scan")

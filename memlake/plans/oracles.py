@@ -38,6 +38,14 @@ TURNS = f"""turns AS (
          CASE WHEN role = 'assistant' AND turn % 4 <> 3 THEN turn + 1 END AS output_tokens
   FROM conversations)"""
 
+# One profile's documents alone.
+PROFILE_TURNS = f"""turns AS (
+  SELECT doc_id AS turn_id, source AS session_id, {BASE} + doc_id * {MINUTE} AS timestamp_ms, lang AS role,
+         text AS content, substring(text, 1, 200) AS preview
+  FROM documents WHERE doc_id % 3 = 1)"""
+
+SPOKEN_TURNS = TURNS.replace("FROM conversations)", "FROM conversations WHERE role <> 'system')")
+
 DOCUMENT_TURNS = f"""turns AS (
   SELECT doc_id AS turn_id, source AS session_id, {BASE} + doc_id * {MINUTE} AS timestamp_ms, lang AS role,
          text AS content, substring(text, 1, 200) AS preview
@@ -68,6 +76,9 @@ corpus AS (SELECT count(*) AS n, sum(len(tokens)) / count(*) AS avgdl FROM toks)
 stats AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 
 
+INDEX_OF_TOKENS = INDEX[INDEX.index("words AS") :]
+
+
 def bm25(df: str = "df", tf: str = "tf", dl: str = "dl") -> str:
     ratio = f"ln((n - {df} + 0.5) / ({df} + 0.5))"
     idf = f"CASE WHEN {ratio} > 0 THEN {ratio} ELSE 1e-6 END"
@@ -129,6 +140,20 @@ def nearest(queries: str, k: int, distance: str = L2, source: str = "vectors") -
   FROM {queries} a, {source} b QUALIFY rank <= {k}"""
 
 
+def text_vectors(source: str = "SELECT turn_id, content FROM turns", name: str = "") -> str:
+    """Hashed term counts of texts, scaled to length 1, as whole numbers."""
+    slot = "CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 384"
+    whole = "CAST(round(greatest(-1, least(1, (coalesce(c, 0) / length)::FLOAT)) * 127::FLOAT) AS INTEGER)"
+    return f"""{name}slots AS (
+  SELECT turn_id, {slot} AS slot, count(*) AS c
+  FROM (SELECT turn_id, unnest({tokens('content')}) AS term FROM ({source})) GROUP BY ALL),
+{name}grid AS (SELECT turn_id, unnest(range(384)) AS slot FROM ({source})),
+{name}lengths AS (SELECT turn_id, coalesce(nullif(sqrt(sum(c * c)), 0), 1) AS length FROM {name}grid LEFT JOIN {name}slots USING (turn_id, slot) GROUP BY turn_id),
+{name}text_vectors AS (
+  SELECT turn_id, list({whole} ORDER BY slot) AS q8
+  FROM {name}grid LEFT JOIN {name}slots USING (turn_id, slot) JOIN {name}lengths USING (turn_id) GROUP BY turn_id)"""
+
+
 SCAN_TEXTS = f"""texts AS (
   SELECT doc_id, source, text || CASE doc_id % 40 WHEN 0 THEN '{fx.INJECTION_TEXT}' WHEN 1 THEN '{fx.KEY_TEXT}'
          WHEN 2 THEN chr(8203) WHEN 3 THEN '{fx.HAN_INJECTION_TEXT}' ELSE '' END AS content
@@ -250,6 +275,31 @@ found AS (
 UNITS = f"""units AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS df FROM found WHERE tf > 0),
 scored AS (SELECT query_id, turn_id, round({bm25()}, 6) AS score FROM units, corpus)"""
 
+
+
+def prefix(index: str, *texts: str) -> str:
+    """All words but the last must occur; the last is a phrase whose end may go on."""
+    asked = values(*texts)
+    return f"""WITH {index}, {asked},
+        split AS (SELECT query_id, {tokens("regexp_extract(text, '^(.*?)([^ ]*)$', 1)")} AS rest,
+                         {tokens("regexp_extract(text, '^(.*?)([^ ]*)$', 2)")} AS w FROM queries),
+        found AS (SELECT query_id, turn_id, words.dl, count(*) AS tf
+                  FROM split JOIN words ON starts_with(term, w[-1]) JOIN toks USING (turn_id)
+                  WHERE tokens[position + 2 - len(w):position] = w[:len(w) - 1] AND position + 1 >= len(w) GROUP BY query_id, turn_id, words.dl),
+        units AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS df FROM found),
+        unit_scores AS (SELECT query_id, turn_id, {bm25()} AS score FROM units, corpus),
+        wanted AS (SELECT query_id, unnest(rest) AS term, len(list_distinct(rest)) AS n_terms FROM split),
+        weights AS (SELECT query_id, term, any_value(n_terms) AS n_terms, count(*) AS weight FROM wanted GROUP BY query_id, term),
+        rest_scores AS (
+          SELECT query_id, turn_id, sum(weight * {bm25()}) AS score FROM weights JOIN postings USING (term) JOIN stats USING (term), corpus
+          GROUP BY query_id, turn_id HAVING count(*) = any_value(n_terms)),
+        scored AS (
+          SELECT u.query_id, u.turn_id, round(u.score + coalesce(r.score, 0), 6) AS score
+          FROM unit_scores u LEFT JOIN rest_scores r USING (query_id, turn_id) JOIN split USING (query_id)
+          WHERE r.score IS NOT NULL OR len(rest) = 0)
+        {best('scored', K)}"""
+
+
 LABEL_WORDS = values("the of", "and with", "que", "in this", "der")
 STREAM_ORACLES = {
     "stream_ingest_sessions": "rebuilt_sessions",
@@ -290,6 +340,15 @@ ORACLES: dict[str, str] = {
         CASE WHEN role = 'assistant' AND output_tokens IS NULL THEN '{{"usage":{{"input_tokens":' || input_tokens || '}}}}'
              WHEN role = 'assistant' THEN '{{"usage":{{"input_tokens":' || input_tokens || ',"output_tokens":' || output_tokens || '}}}}'
         END AS metadata FROM turns""",
+    "rebuild_two_profiles": f"""WITH {TURNS}, both_profiles AS (
+          SELECT profile_id, session_id, seq, role FROM turns
+          UNION ALL SELECT 'other', session_id, seq, role FROM turns WHERE role <> 'system')
+        SELECT *, count(*) OVER (PARTITION BY profile_id, session_id) AS turn_count FROM both_profiles""",
+    "save_then_search": f"""SELECT 'all' AS profile, query_id, score, rank FROM ({keyword(SPOKEN_TURNS, values("the of", "and"))})
+        UNION ALL SELECT 'p1', query_id, score, rank FROM ({keyword(SPOKEN_TURNS.replace("<> 'system'", "<> 'system' AND conv_id % 3 = 1"), values("the of", "and"))})""",
+    "save_then_stats": f"""WITH {SPOKEN_TURNS}, {INDEX} SELECT term, df FROM stats
+        UNION ALL SELECT '(n_sessions)', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT '(n_turns)', count(*) FROM turns
+        UNION ALL SELECT '(n_vectors)', count(*) FROM turns UNION ALL SELECT '(created_at)', {NOW}""",
     "list_archive_days": f"""WITH {TURNS} SELECT DISTINCT strftime(make_timestamp(({BASE} + conv_id * {HOUR}) * 1000), '%Y-%m-%d') AS day
         FROM turns""",
     "import_archive": f"""WITH {TURNS},
@@ -349,6 +408,7 @@ ORACLES: dict[str, str] = {
     "keyword_topk": keyword(TURNS, values("the of")),
     "keyword_topk_documents": keyword(DOCUMENT_TURNS, values("the of", "que la", "with from this", "der", "the zzzz")),
     "keyword_batch": keyword(DOCUMENT_TURNS, BENCHMARK),
+    "keyword_by_profile": keyword(PROFILE_TURNS, values("the of", "que la", "der")),
     "keyword_time": keyword(TURNS, values("the of", "and"), where=f"WHERE timestamp_ms BETWEEN {AFTER_MS} AND {BEFORE_MS}"),
     "keyword_role_pre": f"""SELECT {CONTEXT} FROM (
         {keyword(TURNS, values("the of", "and"), where=f"WHERE timestamp_ms >= {AFTER_MS} AND role = 'assistant'")})
@@ -380,10 +440,10 @@ ORACLES: dict[str, str] = {
           SELECT query_id, turn_id, any_value(dl) AS dl, count(*) AS tf
           FROM windows JOIN sizes USING (query_id) WHERE n_found = n_terms GROUP BY query_id, turn_id), {UNITS}
         {best('scored', K)}""",
-    "keyword_prefix": f"""WITH {DOCUMENT_TURNS}, {INDEX}, {values("wit", "th", "quee")},
-        found AS (SELECT query_id, turn_id, any_value(dl) AS dl, sum(tf) AS tf
-                  FROM queries JOIN postings ON starts_with(term, text) GROUP BY query_id, turn_id), {UNITS}
-        {best('scored', K)}""",
+    "keyword_prefix": prefix(f"{DOCUMENT_TURNS}, {INDEX}", "wit", "th", "quee", "the of wit", "que la mi"),
+    "keyword_prefix_han": prefix(
+        f"{HAN_TEXTS}, toks AS (SELECT turn_id, {tokens('text')} AS tokens FROM mixed), {INDEX_OF_TOKENS}", "数据", "the 数据湖", "b据", "据"
+    ),
     "mean_pool": """WITH parts AS (
           SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i,
                  CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS mask FROM embeddings)
@@ -407,8 +467,12 @@ ORACLES: dict[str, str] = {
     "semantic_post_filtered": f"""WITH {VECTORS}, {LABEL_QUERIES}, {DOCUMENT_TURNS}, hits AS ({nearest('centres', K)})
         SELECT query_id, turn_id, round(1 - distance, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
         FROM hits JOIN turns USING (turn_id) WHERE timestamp_ms >= {AFTER_MS - 8 * HOUR} AND role = 'en'""",
-    "embed_texts": f"""SELECT doc_id AS turn_id, 384 AS dimensions, CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END AS norm
-        FROM documents""",
+    "embed_texts": f"WITH {DOCUMENT_TURNS}, {text_vectors()} SELECT turn_id, array_to_string(q8, ',') AS q8 FROM text_vectors",
+    "semantic_text_search": f"""WITH {DOCUMENT_TURNS}, {text_vectors()},
+        {text_vectors("SELECT item_id AS turn_id, text AS content FROM benchmark", "asked_")},
+        asked AS (SELECT turn_id AS query_id, q8 FROM asked_text_vectors), hits AS ({nearest('asked', 5, source='text_vectors')})
+        SELECT query_id, turn_id, round(1 - distance, 6) AS score, rank, preview, session_id, timestamp_ms, role
+        FROM hits JOIN turns USING (turn_id)""",
     "rrf_fuse": f"""WITH {DOCUMENT_TURNS}, {INDEX}, {LABEL_WORDS}, {QUERY_TERMS}, {scores()}, {VECTORS}, {LABEL_QUERIES},
         both_lists AS (SELECT query_id, turn_id, rank FROM ({best('scores', K)})
                        UNION ALL SELECT query_id, turn_id, rank FROM ({nearest('centres', K)})),
@@ -470,4 +534,11 @@ ORACLES: dict[str, str] = {
     "json_path": f"""WITH {TURNS} SELECT turn_id, coalesce(input_tokens + output_tokens, 0) AS strict,
         coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS lenient, output_tokens FROM turns""",
 }
+ORACLES["archive_rewrite"] = ORACLES["archive_round_trip"]
+ORACLES["stream_ingest_versions"] = f"""WITH {SPOKEN_TURNS},
+    kept AS (SELECT * FROM turns WHERE conv_id % 2 = 1 OR role = 'user')
+    SELECT 'conv-' || conv_id AS session_id, count(kept.turn_id) AS turn_count,
+           CASE WHEN count(kept.turn_id) > 0 THEN count(kept.turn_id) END AS n_turns, CAST(sum(seq) AS BIGINT) AS seqs
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN kept USING (conv_id) GROUP BY conv_id"""
+ORACLES["search_by_profile"] = ORACLES["search_hybrid"].replace("FROM documents)", "FROM documents WHERE doc_id % 3 = 1)").replace("role = 'en'", "true")
 ORACLES.update({stream: ORACLES[batch] for stream, batch in STREAM_ORACLES.items()})

@@ -9,15 +9,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.operators.ingest import build_sessions, build_turns, latest_version
-from memlake.operators.keyword import KeywordIndex, build_index
+from memlake.operators.ingest import (
+    SESSION_KEY,
+    append_vectors,
+    build_sessions,
+    build_turns,
+    check_turn_ids,
+    delete_vectors,
+    keep_created_at,
+    latest_version,
+    upsert_sessions,
+)
+from memlake.operators.keyword import TERM_BUCKETS, KeywordIndex, build_index, refresh_index
 from memlake.operators.reports import rebuild_stats
 from memlake.operators.vector import embed_texts, quantized
 from memlake.session import durable
-from memlake.sources.archive import Archive, parse_lines, read_lines
-from memlake.sources.tables import write_by_profile
+from memlake.sources.archive import Archive, archive_of, parsed_lines, read_lines
+from memlake.sources.tables import read_by_profile, write_by_profile
 
 CARRIED = ("profile_id", "timestamp_ms", "role")
+VERSION = ["version", "version_file"]
 
 
 @dataclass(frozen=True)
@@ -27,10 +38,10 @@ class Store:
     path: str
 
     def sessions(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/sessions")
+        return read_by_profile(spark, f"{self.path}/sessions")
 
     def turns(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/turns")
+        return read_by_profile(spark, f"{self.path}/turns")
 
     def vectors(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/vectors")
@@ -38,15 +49,15 @@ class Store:
     def errors(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/errors")
 
-    def index(self, spark: SparkSession) -> KeywordIndex:
-        return KeywordIndex.read(spark, self.path)
+    def index(self, spark: SparkSession, profile: str | None = None) -> KeywordIndex:
+        return KeywordIndex.read(spark, self.path, profile)
 
 
 def newest(archive: Archive) -> Archive:
     """Of two archived versions of a session only the later one."""
-    version = ["version", "version_file"]
-    headers = latest_version(archive.headers, ["session_id"], version)
-    turns = archive.turns.join(headers.select("session_id", *version).distinct(), ["session_id", *version], "left_semi")
+    headers = latest_version(archive.headers, SESSION_KEY, VERSION)
+    kept = headers.select(*SESSION_KEY, *VERSION).distinct()
+    turns = archive.turns.join(kept, [*SESSION_KEY, *VERSION], "left_semi")
     return Archive(headers, turns, archive.errors)
 
 
@@ -58,24 +69,62 @@ def rebuild_index(
     load_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
     text: str = "content",
     with_vectors: bool = True,
+    buckets: int = TERM_BUCKETS,
 ) -> DataFrame:
     """Read the archive once, then derive everything from written tables; returns
     one row of counters.
 
     ``store_path`` must be a new folder: a table is never overwritten by a plan
-    that reads it.
+    that reads it. ``buckets`` should grow with the corpus.
     """
-    archive = newest(parse_lines(durable(read_lines(spark, archive_path), "archive-lines")))
+    archive = newest(archive_of(durable(parsed_lines(read_lines(spark, archive_path)), "archive-lines")))
     store = Store(store_path)
     write_by_profile(build_turns(archive.turns), f"{store_path}/turns", ["timestamp_ms"])
     write_by_profile(build_sessions(archive.headers, archive.turns, now_ms), f"{store_path}/sessions", ["start_ts"])
     archive.errors.write.parquet(f"{store_path}/errors")
     turns = store.turns(spark)
-    build_index(turns, text, CARRIED).write(store_path)
+    check_turn_ids(turns)
+    build_index(turns, text, CARRIED, buckets).write(store_path)
     build_vectors(turns if with_vectors else turns.limit(0), load_encoder, text).write.parquet(f"{store_path}/vectors")
     return rebuild_stats(store.sessions(spark), turns, store.vectors(spark), store.errors(spark))
 
 
+def save_sessions(
+    spark: SparkSession,
+    store: Store,
+    archive: Archive,
+    new_path: str,
+    now_ms: int,
+    load_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
+    text: str = "content",
+    with_vectors: bool = True,
+) -> Store:
+    """Save the sessions of ``archive`` into a store: a new version of it below ``new_path``.
+
+    A saved session replaces the stored one of its profile and id with all its turns, postings
+    and vectors, and keeps the time it was first seen. Of several versions in ``archive`` the newest
+    counts. The old store stays as it is for those who read it.
+    """
+    archive = newest(archive)
+    headers, incoming = durable(archive.headers, "saved-headers"), durable(archive.turns, "saved-turns")
+    replaced = headers.select(*SESSION_KEY).distinct()
+    old_turns, old_sessions = store.turns(spark), store.sessions(spark)
+    gone = durable(old_turns.join(replaced, SESSION_KEY, "left_semi"), "replaced-turns")
+    added = durable(build_turns(incoming), "added-turns")
+
+    write_by_profile(upsert_sessions(old_turns, added, replaced), f"{new_path}/turns", ["timestamp_ms"])
+    sessions = upsert_sessions(old_sessions, build_sessions(headers, incoming, now_ms), replaced)
+    write_by_profile(keep_created_at(sessions, old_sessions), f"{new_path}/sessions", ["start_ts"])
+    store.errors(spark).unionByName(archive.errors).write.parquet(f"{new_path}/errors")
+    saved = Store(new_path)
+    check_turn_ids(saved.turns(spark))
+    refresh_index(store.index(spark), gone, added, text).write(new_path)
+    vectors = delete_vectors(store.vectors(spark), gone)
+    vectors = append_vectors(vectors, build_vectors(added if with_vectors else added.limit(0), load_encoder, text))
+    vectors.write.parquet(f"{new_path}/vectors")
+    return saved
+
+
 def build_vectors(
     turns: DataFrame,
     load_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,

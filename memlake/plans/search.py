@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +28,18 @@ BROADCAST_HITS = 100_000
 
 @dataclass(frozen=True)
 class SearchFilter:
-    """Both time bounds are inclusive; ``last_days`` (with ``now_ms``) overrides ``after_ms``."""
+    """Both time bounds are inclusive; ``last_days`` (with ``now_ms``) overrides ``after_ms``.
+
+    ``profile`` keeps a search to one profile. Keyword statistics are then that profile's: the
+    index must have been read for it.
+    """
 
     after_ms: int | None = None
     before_ms: int | None = None
     last_days: int | None = None
     now_ms: int | None = None
     role: str | None = None
+    profile: str | None = None
 
     def after(self) -> int | None:
         if self.last_days is None:
@@ -44,11 +49,17 @@ class SearchFilter:
         return days_before(self.now_ms, self.last_days)
 
     def time(self) -> Column | None:
-        return time_condition(self.after(), self.before_ms)
+        """Time and profile: what is filtered before the cut in either order."""
+        own = None if self.profile is None else F.col("profile_id") == self.profile
+        return _both(time_condition(self.after(), self.before_ms), own)
 
     def condition(self) -> Column | None:
         return _both(self.time(), None if self.role is None else F.col("role") == self.role)
 
+    def columns(self) -> list[str]:
+        """Columns of a turn that the filters read."""
+        return ["timestamp_ms", "role", *(["profile_id"] if self.profile is not None else [])]
+
 
 def _both(a: Column | None, b: Column | None) -> Column | None:
     return b if a is None else a if b is None else a & b
@@ -76,6 +87,8 @@ def search(
     """
     if filter_order not in ("pre", "post"):
         raise ValueError(f"unknown filter order: {filter_order}")
+    if index is not None and index.profile != filters.profile:
+        raise ValueError("read the index for the profile that is searched")
     queries, rows = settled(queries, LITERAL_QUERIES, "queries")
     if mode == "keyword":
         ranked = keyword_hits(turns, index, queries, k, filters, filter_order)
@@ -109,9 +122,9 @@ def keyword_hits(
     if index is None:
         raise ValueError("keyword search needs an index")
     if filter_order == "pre":
-        return keyword_search(_carrying(index, turns, filters.condition()), queries, k, condition=filters.condition())
-    hits = keyword_search(_carrying(index, turns, filters.time()), queries, k, condition=filters.time())
-    return hits if filters.role is None else _ranked_again(_matching(hits, turns, F.col("role") == filters.role))
+        return keyword_search(_carrying(index, turns, filters, filters.condition()), queries, k, condition=filters.condition())
+    hits = keyword_search(_carrying(index, turns, filters, filters.time()), queries, k, condition=filters.time())
+    return hits if filters.role is None else _ranked_again(_matching(hits, turns, filters, F.col("role") == filters.role))
 
 
 def semantic_hits(
@@ -130,16 +143,19 @@ def semantic_hits(
         queries = quantized(embed_texts(queries.select("query_id", "text"), load_encoder, "text"))
     condition = filters.condition()
     if condition is not None and filter_order == "pre":
-        vectors = _matching(vectors, turns, condition)
+        vectors = _matching(vectors, turns, filters, condition)
+    elif filters.profile is not None:
+        # Another profile's turns never take a place.
+        vectors = _matching(vectors, turns, filters, F.col("profile_id") == filters.profile)
     near = knn(vectors, queries, k, metric)
     if condition is not None and filter_order == "post":
-        near = _ranked_again(_matching(near, turns, condition))
+        near = _ranked_again(_matching(near, turns, filters, condition))
     return near.select("query_id", "turn_id", semantic_score().alias("score"), "rank")
 
 
-def _matching(rows: DataFrame, turns: DataFrame, condition: Column) -> DataFrame:
+def _matching(rows: DataFrame, turns: DataFrame, filters: SearchFilter, condition: Column) -> DataFrame:
     """Rows whose turn meets the condition; no join where the rows carry the columns."""
-    if {"timestamp_ms", "role"} <= set(rows.columns):
+    if set(filters.columns()) <= set(rows.columns):
         return rows.where(condition)
     return rows.join(turns.where(condition).select("turn_id"), "turn_id", "left_semi")
 
@@ -149,9 +165,9 @@ def _ranked_again(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order))
 
 
-def _carrying(index: KeywordIndex, turns: DataFrame, condition: Column | None) -> KeywordIndex:
-    """Postings with time and role, joined in where the index does not carry them."""
-    if condition is None or {"timestamp_ms", "role"} <= set(index.postings.columns):
+def _carrying(index: KeywordIndex, turns: DataFrame, filters: SearchFilter, condition: Column | None) -> KeywordIndex:
+    """Postings with the filters' columns, joined in where the index does not carry them."""
+    missing = [c for c in filters.columns() if c not in index.postings.columns]
+    if condition is None or not missing:
         return index
-    postings = index.postings.join(turns.select("turn_id", "timestamp_ms", "role"), "turn_id")
-    return KeywordIndex(postings, index.term_stats, index.corpus, index.buckets)
+    return replace(index, postings=index.postings.join(turns.select("turn_id", *missing), "turn_id"))

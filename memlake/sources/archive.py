@@ -7,15 +7,19 @@ are read line by line and split over tasks, so no file has to fit in memory.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.text import trim_text
 from memlake.functions.times import day_of, to_millis
 
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
+# A block ends at this many turns or, before, at this many bytes of turn lines.
 BLOCK_TURNS = 10_000
+BLOCK_BYTES = 64 * 1024 * 1024
 
 # Foreign archives end in .jsonl; Spark's text writer gives .txt.
 ARCHIVE_FILES = "*.{jsonl,txt}"
@@ -23,7 +27,7 @@ ARCHIVE_FILES = "*.{jsonl,txt}"
 # The header and turn fields of the archive format.
 HEADER_SCHEMA = (
     "v int, type string, session_id string, start_time string, profile_id string, "
-    "source string, agent_model string, title string, tags array<string>, part long, version long"
+    "source string, agent_model string, title string, tags array<string>, part long, first long, version long, write_id string"
 )
 HEADER_TYPE = "session_header"
 TURN_SCHEMA = "ts string, seq long, role string, content string"
@@ -37,7 +41,7 @@ class Archive:
     """``headers`` one row per block, ``turns`` one row per turn, ``errors`` one row per bad line.
 
     A turn carries its header's profile and start, so that building the tables
-    needs no join.
+    needs no join. ``part`` is the number of turns before the block.
     """
 
     headers: DataFrame
@@ -70,7 +74,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], whole_file_bytes: in
     lines = _lines_of_whole_files(small)
     if list_archive(spark, paths).where(F.col("file_size") > whole_file_bytes).isEmpty():
         return lines
-    large = reader.text(paths).where(F.col("_metadata.file_size") > whole_file_bytes)
+    large = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", ARCHIVE_FILES).option("lineSep", "\n")
+    large = large.text(paths).where(F.col("_metadata.file_size") > whole_file_bytes)
     return lines.unionByName(_lines_of_large_files(large))
 
 
@@ -83,7 +88,7 @@ def _file_columns() -> list[Column]:
 
 def _lines_of_whole_files(files: DataFrame) -> DataFrame:
     """``files`` holds one whole file per row in ``value``; nothing is shuffled."""
-    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.transform(F.split("value", r"\n"), _line), lambda line: trim_text(line) != "")
     numbered = F.transform(lines, lambda line, i: F.struct(i.cast("long").alias("n"), line.alias("line")))
     starts = F.filter("lines", lambda x: _starts_block(x["line"], x["n"] == 0))
     blocks = F.transform(
@@ -118,6 +123,11 @@ def _lines_of_whole_files(files: DataFrame) -> DataFrame:
     )
 
 
+def _line(value: Column) -> Column:
+    """Lines end with a line feed; one carriage return before it belongs to the end."""
+    return F.regexp_replace(value, r"\r\z", "")
+
+
 def _starts_block(line: Column, first_in_file: Column) -> Column:
     """The header is the first line; later blocks announce themselves by their type."""
     looks_like_header = line.contains(f'"{HEADER_TYPE}"') & (F.get_json_object(line, "$.type") == HEADER_TYPE)
@@ -134,11 +144,14 @@ def _lines_of_large_files(files: DataFrame) -> DataFrame:
         *_file_columns(),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line_id"),
-        F.regexp_replace("value", r"\r$", "").alias("line"),
-    ).where(F.trim("line") != "")
+        _line(F.col("value")).alias("line"),
+    ).where(trim_text(F.col("line")) != "")
     split = Window.partitionBy("file_path", "split").orderBy("line_id")
     lines = lines.withColumn("n", F.row_number().over(split).cast("long"))
-    lines = lines.withColumn("head", _starts_block(F.col("line"), (F.col("split") == 0) & (F.col("n") == 1)))
+    # The first line of a file may lie behind splits of blank lines only.
+    first = lines.groupBy("file_path").agg(F.min("split").alias("first_split"))
+    lines = lines.join(first, "file_path")
+    lines = lines.withColumn("head", _starts_block(F.col("line"), (F.col("split") == F.col("first_split")) & (F.col("n") == 1)))
 
     here = F.when(F.col("head"), F.struct(F.col("n"), F.col("line")))
     within = split.rowsBetween(Window.unboundedPreceding, 0)
@@ -169,18 +182,42 @@ def _lines_of_large_files(files: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame) -> Archive:
     """Parse headers and turns; a bad line is reported and its block is left out."""
-    reason = _bad_line(F.col("line"), F.col("pos") == 0)
-    suspects = lines.where(~F.coalesce("block_ok", F.lit(False))).withColumn("reason", reason)
-    errors = suspects.where(F.col("reason").isNotNull()).select("file_path", "block", "pos", "reason", "line")
+    return archive_of(parsed_lines(lines))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Every line with its header ``h`` and turn ``t``, the keys besides, and why it is bad.
+
+    This is the form to store: the text of a line is kept only where it is bad, and of its
+    header only the fields.
+    """
+    reason = F.when(~F.coalesce("block_ok", F.lit(False)), _bad_line(F.col("line"), F.col("pos") == 0))
+    is_turn = F.col("pos") > 0
+    return lines.select(
+        *FILE_COLUMNS,
+        "block",
+        "pos",
+        "block_ok",
+        F.from_json("header_line", HEADER_SCHEMA).alias("h"),
+        F.when(is_turn, F.from_json("line", TURN_SCHEMA)).alias("t"),
+        F.when(is_turn, extra_fields(F.col("line"))).alias("metadata"),
+        reason.alias("reason"),
+        F.when(reason.isNotNull(), F.col("line")).alias("line"),
+    )
 
+
+def archive_of(parsed: DataFrame) -> Archive:
+    errors = parsed.where(F.col("reason").isNotNull()).select("file_path", "block", "pos", "reason", "line")
     bad_blocks = errors.select("file_path", "block").distinct()
-    unknown = lines.where(F.col("block_ok").isNull()).join(bad_blocks, ["file_path", "block"], "left_anti")
-    good = lines.where(F.col("block_ok")).unionByName(unknown)
-    good = good.withColumn("h", F.from_json("header_line", HEADER_SCHEMA)).select(
+    unknown = parsed.where(F.col("block_ok").isNull()).join(bad_blocks, ["file_path", "block"], "left_anti")
+    good = parsed.where(F.col("block_ok")).unionByName(unknown)
+    good = good.select(
         "*",
-        F.coalesce("h.part", F.lit(0)).alias("part"),
+        # Archives written before ``first`` was kept have the number of the block.
+        F.coalesce("h.first", F.col("h.part") * BLOCK_TURNS, F.lit(0)).alias("part"),
         F.coalesce("h.version", "modified_at").alias("version"),
-        F.when(F.col("h.version").isNull(), F.col("file_path")).otherwise("").alias("version_file"),
+        # Two writes of one version number are told apart by their own mark.
+        F.when(F.col("h.version").isNull(), F.col("file_path")).otherwise(F.coalesce("h.write_id", F.lit(""))).alias("version_file"),
     )
 
     headers = good.where(F.col("pos") == 0).select(
@@ -196,17 +233,16 @@ def parse_lines(lines: DataFrame) -> Archive:
         "version_file",
         "file_path",
     )
-    turn = F.from_json("line", TURN_SCHEMA)
-    turns = good.where(F.col("pos") > 0).withColumn("t", turn).select(
+    turns = good.where(F.col("pos") > 0).select(
         "h.session_id",
         "h.profile_id",
         "h.start_time",
-        (F.col("part") * BLOCK_TURNS + F.col("pos")).alias("pos"),
+        (F.col("part") + F.col("pos")).alias("pos"),
         "t.ts",
         "t.seq",
         "t.role",
         "t.content",
-        extra_fields(F.col("line")).alias("metadata"),
+        "metadata",
         "version",
         "version_file",
     )
@@ -239,15 +275,22 @@ def _any_null(record: Column, fields: list[str]) -> Column:
 
 
 def write_archive(
-    headers: DataFrame, turns: DataFrame, path: str, version: int, mode: str = "append", blocks_per_file: int = 10_000
+    headers: DataFrame,
+    turns: DataFrame,
+    path: str,
+    version: int,
+    mode: str = "append",
+    blocks_per_file: int = 10_000,
+    block_turns: int | None = None,
 ) -> None:
     """Write sessions as blocks of one header line and up to ``BLOCK_TURNS`` turn lines.
 
     A session of any length becomes a row of bounded blocks, so that no task
     gathers a whole session. Folders are year / month / day of the start (UTC).
-    ``version`` marks this write: of two versions of a session the later one wins.
+    ``version`` marks this write: of two versions of a session the later one wins, of two
+    writes with the same version the one with the larger mark, as a whole.
     """
-    blocks = archive_blocks(headers, turns, version)
+    blocks = archive_blocks(headers, turns, version, block_turns or BLOCK_TURNS)
     day = day_of(to_millis(F.col("start_time")))
     out = blocks.select(
         F.substring(day, 1, 4).alias("year"),
@@ -260,12 +303,24 @@ def write_archive(
     writer.option("maxRecordsPerFile", blocks_per_file).text(path)
 
 
-def archive_blocks(headers: DataFrame, turns: DataFrame, version: int) -> DataFrame:
-    """One row per block: session_id, part, start_time, block_text."""
-    numbered = turns.withColumn("part", F.floor((F.col("pos") - 1) / BLOCK_TURNS).cast("long"))
-    line = F.struct("pos", turn_line().alias("line"))
-    bodies = numbered.groupBy("session_id", "part").agg(F.array_sort(F.collect_list(line))["line"].alias("lines"))
-    parts = headers.drop("part").join(bodies, "session_id", "left")
+def archive_blocks(headers: DataFrame, turns: DataFrame, version: int, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """One row per block: profile_id, session_id, part (turns before it), start_time, block_text.
+
+    ``headers`` may have one row per block, as ``read_archive`` gives them: a session is
+    written once, with its newest first header.
+    """
+    key = ["profile_id", "session_id"]
+    numbered = turns.withColumn("slot", F.floor((F.col("pos") - 1) / block_turns)).withColumn("line", turn_line())
+    # The window sums at most block_turns rows.
+    before = Window.partitionBy(*key, "slot").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.sum(F.octet_length("line")).over(before), F.lit(0))
+    cut = numbered.select(*key, "slot", F.floor(size / BLOCK_BYTES).alias("cut"), F.struct("pos", "line").alias("x"))
+    bodies = cut.groupBy(*key, "slot", "cut").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    bodies = bodies.select(*key, (F.get("x", F.lit(0))["pos"] - 1).alias("first"), F.col("x.line").alias("lines"))
+    starts = turns.groupBy(*key).agg((F.min("pos") - 1).alias("start"))
+    parts = _one_header(headers).join(starts, key, "left").join(bodies, key, "left")
+    # The first block of a session counts from 0, whatever place its first turn had.
+    parts = parts.withColumn("first", F.when(F.col("first") != F.col("start"), F.col("first")))
     header_line = F.to_json(
         F.struct(
             F.lit(1).alias("v"),
@@ -277,12 +332,25 @@ def archive_blocks(headers: DataFrame, turns: DataFrame, version: int) -> DataFr
             "agent_model",
             "title",
             F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-            F.when(F.col("part") > 0, F.col("part")).alias("part"),
+            F.when(F.col("first") > 0, F.col("first")).alias("first"),
             F.lit(version).cast("long").alias("version"),
+            F.lit(uuid.uuid4().hex).alias("write_id"),
         )
     )
     text = F.concat_ws("\n", header_line, F.col("lines"))
-    return parts.select("session_id", F.coalesce("part", F.lit(0)).alias("part"), "start_time", text.alias("block_text"))
+    return parts.select(*key, F.coalesce("first", F.lit(0)).alias("part"), "start_time", text.alias("block_text"))
+
+
+def _one_header(headers: DataFrame) -> DataFrame:
+    """The newest header of every session, of its first block."""
+    fields = ["start_time", "source", "agent_model", "title", "tags"]
+    order = [
+        F.col("version") if "version" in headers.columns else F.lit(0),
+        F.col("version_file") if "version_file" in headers.columns else F.lit(""),
+        -F.col("part") if "part" in headers.columns else F.lit(0),
+    ]
+    newest = headers.groupBy("profile_id", "session_id").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("h"))
+    return newest.select("profile_id", "session_id", "h.*")
 
 
 def turn_line() -> Column:

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    table = spark.read.parquet(path)
-    return table.select(*columns) if columns else table
+from pyspark.sql import types as T
 
 
 def write_by_profile(df: DataFrame, path: str, cluster_by: list[str], mode: str = "overwrite") -> None:
@@ -20,9 +16,16 @@ def write_by_profile(df: DataFrame, path: str, cluster_by: list[str], mode: str
     placed.write.partitionBy("profile_id").mode(mode).parquet(path)
 
 
+def read_by_profile(spark: SparkSession, path: str) -> DataFrame:
+    """All profiles. Their names are texts, also those that look like numbers or dates."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "profile_id" else f for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def read_profile(spark: SparkSession, path: str, profile_id: str) -> DataFrame:
     """One profile's rows; the folder of every other profile is pruned."""
-    return spark.read.parquet(path).where(F.col("profile_id") == profile_id)
+    return read_by_profile(spark, path).where(F.col("profile_id") == profile_id)
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from memlake.operators.ingest import build_sessions, build_turns, latest_version
+from memlake.operators.ingest import SESSION_KEY, build_sessions, build_turns, latest_version
+from memlake.plans.rebuild import VERSION, newest
 from memlake.session import durable
-from memlake.sources.archive import ARCHIVE_FILES, parse_lines, read_lines
+from memlake.sources.archive import ARCHIVE_FILES, archive_of, parsed_lines, read_lines
 from memlake.sources.tables import append_batch, read_log
 
-VERSION = ["version", "version_file"]
-
 
 def stream_ingest(
     spark: SparkSession, archive_path: str, store_path: str, checkpoint: str, now_ms: int, files_per_batch: int = 1000
@@ -36,11 +35,12 @@ def stream_ingest(
         paths = [row.path for row in names.collect()]
         if not paths:
             return
-        archive = parse_lines(durable(read_lines(spark, paths), "stream-lines"))
-        versions = archive.headers.select("session_id", *VERSION).distinct()
-        append_batch(build_turns(archive.turns).join(versions, "session_id"), f"{store_path}/turns", batch_id)
+        # Of several versions in one batch the newest alone is stored.
+        archive = newest(archive_of(durable(parsed_lines(read_lines(spark, paths)), "stream-lines")))
+        append_batch(build_turns(archive.turns, carry=tuple(VERSION)), f"{store_path}/turns", batch_id)
         sessions = build_sessions(archive.headers, archive.turns, now_ms)
-        append_batch(sessions.join(versions, "session_id"), f"{store_path}/sessions", batch_id)
+        versions = archive.headers.select(*SESSION_KEY, *VERSION).distinct()
+        append_batch(sessions.join(versions, SESSION_KEY), f"{store_path}/sessions", batch_id)
         append_batch(archive.errors, f"{store_path}/errors", batch_id)
 
     writer = files.writeStream.foreachBatch(save)
@@ -48,6 +48,29 @@ def stream_ingest(
 
 
 def current(spark: SparkSession, store_path: str, table: str) -> DataFrame:
-    """The newest version of every session in a log."""
+    """The newest version of every session in a log.
+
+    What is newest is read off the sessions: a version without turns replaces one with turns.
+    """
+    sessions = latest_version(read_log(spark, f"{store_path}/sessions"), SESSION_KEY, VERSION)
+    if table == "sessions":
+        return sessions.drop(*VERSION, "batch_id")
     log = read_log(spark, f"{store_path}/{table}")
-    return latest_version(log, ["session_id"], VERSION).drop(*VERSION, "batch_id")
+    if not set(VERSION) <= set(log.columns):
+        return log.drop("batch_id")
+    kept = sessions.select(*SESSION_KEY, *VERSION).distinct()
+    return log.join(kept, [*SESSION_KEY, *VERSION], "left_semi").drop(*VERSION, "batch_id")
+
+
+def compact(spark: SparkSession, store_path: str, new_path: str) -> None:
+    """Write what is current to a new log of one batch, so that reads stop growing with history.
+
+    Stop the stream, compact into a new folder, and go on there with the same checkpoint: its
+    next batch number is larger than that of the compacted batch.
+    """
+    sessions = latest_version(read_log(spark, f"{store_path}/sessions"), SESSION_KEY, VERSION)
+    kept = durable(sessions.select(*SESSION_KEY, *VERSION).distinct(), "kept-versions")
+    turns = read_log(spark, f"{store_path}/turns").join(kept, [*SESSION_KEY, *VERSION], "left_semi")
+    append_batch(turns.drop("batch_id"), f"{new_path}/turns", -1)
+    append_batch(sessions.drop("batch_id"), f"{new_path}/sessions", -1)
+    append_batch(read_log(spark, f"{store_path}/errors").drop("batch_id"), f"{new_path}/errors", -1)

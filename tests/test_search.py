@@ -111,9 +111,12 @@ def test_refresh_equals_rebuild(spark):
     before = turns_of(spark, "a b", "b c", "c d")
     after = turns_of(spark, "a b", "b changed").unionByName(turns_of(spark, "x").withColumn("turn_id", F.lit(9).cast("long")))
     changed = spark.createDataFrame([(2,), (3,), (9,)], "turn_id long")
-    refreshed = kw.refresh_postings(kw.build_postings(before), changed, after.join(changed, "turn_id", "left_semi"))
-    columns = ["term", "turn_id", "tf", "dl", "positions"]
-    assert rows(refreshed, *columns) == rows(kw.build_postings(after), *columns)
+    old, new = (t.join(changed, "turn_id", "left_semi") for t in (before, after))
+    refreshed, built = kw.refresh_index(kw.build_index(before, buckets=32), old, new), kw.build_index(after, buckets=32)
+    columns = ["bucket", "term", "turn_id", "tf", "dl", "positions"]
+    assert rows(refreshed.postings, *columns) == rows(built.postings, *columns)
+    assert rows(refreshed.term_stats, "bucket", "term", "df") == rows(built.term_stats, "bucket", "term", "df")
+    assert rows(refreshed.corpus) == rows(built.corpus) and rows(refreshed.sizes) == rows(built.sizes)
 
 
 def test_top_k_ways_agree(spark):
