@@ -13,7 +13,9 @@ only this short list (whose size depends on C alone) is folded in order.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,14 +197,18 @@ def list_entries(entries: DataFrame, target: str | None = None) -> DataFrame:
 
 # --- replay of write, update and remove events --------------------------------
 
-REPLAY_EVENTS = 20_000
-
+ATTRIBUTES = ["created_at", "source_session", "confidence"]
+# What a replayed event is known by, and what is kept of it for logs.
 _EVENT = [*GROUP, "event_id", "piece", "pos"]
-_STATE = "profile_id string, target string, entries array<string>, births array<long>"
+_LOGGED = ["op", "ts", "old_text", "new_text", "source_session"]
+# Entries of a state, put before all events.
+KEEP = "keep"
+
 _OUTCOME = (
     "kind string, profile_id string, target string, event_id long, piece int, pos long, verdict string, "
-    "content string, born long, died long, entries array<string>, births array<long>"
+    "content string, born long, died long, origin long"
 )
+_REPLAYED = [*_EVENT, "op", "old_text", "new_text", "unsafe", "capacity"]
 
 
 def apply_memory_events(
@@ -210,126 +216,153 @@ def apply_memory_events(
     memory_limit: int = MEMORY_LIMIT,
     user_limit: int = USER_LIMIT,
     granularity: str = "substring",
-    events_per_round: int = REPLAY_EVENTS,
+    state: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Replay events in order of (ts, event_id); returns (snapshot, verdicts).
 
     events: profile_id, target, ts, event_id, op (write, update, remove),
-    old_text, new_text. A write takes ``new_text``. ``granularity`` tells whether
-    update and remove change the matching substring or the whole matching entry.
+    old_text, new_text, and optionally source_session and confidence. A write takes
+    ``new_text``. ``granularity`` tells whether update and remove change the matching
+    substring or the whole matching entry. ``state`` is an earlier snapshot to go on from.
+
+    The snapshot has the entries with ``ts`` and ``event_id`` of their last change, and ``created_at``,
+    ``source_session`` and ``confidence`` of the write they came from. Verdicts carry the event.
 
     Between two edits only writes happen, so the short-list argument above holds
-    for them and the other writes skip the replay. What is left is replayed in
-    rounds of ``events_per_round`` events per memory, each round from the state
-    the last one wrote; a task holds one round of one memory at most.
+    for them and the other writes skip the replay; so do edits that can match nothing. The
+    edits of one memory depend on each other: what is left of a memory is replayed in order by one
+    task, which holds no more than the memory itself (bounded by its capacity) and one batch of events.
     """
     if granularity not in ("substring", "entry"):
         raise ValueError(f"unknown granularity: {granularity}")
-    prepared = _prepared_events(events, memory_limit, user_limit)
+    prepared = _prepared_events(events, memory_limit, user_limit, state)
     is_edit, is_write = F.col("op") != "write", F.col("op") == "write"
     counts = {"pos": F.lit(1), "segment": is_edit}
-    placed = durable(running_counts(prepared, GROUP, ["ts", "event_id", "piece"], counts), "replay-events")
+    placed = durable(running_counts(prepared, GROUP, ["phase", "ts", "event_id", "piece"], counts), "replay-events")
 
     most = _largest_quota(memory_limit, user_limit)
     writes = placed.where(is_write & _event_fault().isNull() & (F.col("n_chars") <= F.col("capacity")))
     firsts = writes.groupBy(*GROUP, "segment", "new_text", "n_chars", "capacity").agg(F.min("pos").alias("pos"))
     short = top_by_quota(firsts, [*GROUP, "segment", "n_chars"], [F.col("pos").asc()], _quota(), most).select(*GROUP, "pos")
-    replayed = placed.where(is_edit).unionByName(placed.where(is_write).join(short, [*GROUP, "pos"], "left_semi"))
-    replayed = running_counts(replayed, GROUP, ["pos"], {"place": F.lit(1)})
-    number = F.floor((F.col("place") - 1) / events_per_round).cast("long")
-    replayed = durable(replayed.withColumn("round", number), "replay-rounds")
-
-    outcomes, final = _replay_rounds(replayed, granularity)
-    entry = F.posexplode(F.arrays_zip("entries", "births")).alias("piece", "e")
-    snapshot = final.select(*GROUP, entry).select(
-        *GROUP, "piece", F.col("e.entries").alias("content"), F.col("e.births").alias("born")
-    )
-    return snapshot, _event_verdicts(placed, outcomes, snapshot)
+    edits = placed.where(is_edit & _event_fault().isNull())
+    replayed = edits.unionByName(placed.where(is_write).join(short, [*GROUP, "pos"], "left_semi")).select(*_REPLAYED)
+    ordered = replayed.repartition(*GROUP).sortWithinPartitions(*GROUP, "pos")
+    outcomes = durable(ordered.mapInArrow(_replay(granularity), _OUTCOME), "replay-outcome")
+
+    alive = outcomes.where(F.col("kind") == "alive").select(*GROUP, "piece", "content", "born", "origin")
+    changed = placed.select(*GROUP, F.col("pos").alias("born"), "event_id", "ts")
+    written = placed.select(*GROUP, F.col("pos").alias("origin"), *ATTRIBUTES)
+    snapshot = alive.join(changed, [*GROUP, "born"]).join(written, [*GROUP, "origin"])
+    snapshot = snapshot.select(*GROUP, "piece", "content", "event_id", "ts", *ATTRIBUTES)
+    return snapshot, _event_verdicts(placed.where(F.col("op") != KEEP), outcomes)
 
 
-def _prepared_events(events: DataFrame, memory_limit: int, user_limit: int) -> DataFrame:
-    """Scanned events; a write that holds the separator becomes several."""
+def _prepared_events(events: DataFrame, memory_limit: int, user_limit: int, state: DataFrame | None) -> DataFrame:
+    """Scanned events; a write that holds the separator becomes several. Entries of a state come first."""
     new_text = F.coalesce("new_text", F.lit(""))
     parts = F.when(F.col("op") == "write", F.transform(F.split(new_text, ENTRY_SEPARATOR), trim_text))
+    optional = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in ("source_session", "confidence")]
     split = events.select(
         *GROUP,
+        F.lit(1).alias("phase"),
         "ts",
         "event_id",
         "op",
         "old_text",
-        capacity_of(F.col("target"), memory_limit, user_limit).cast("long").alias("capacity"),
         (is_unsafe(new_text) & (F.col("op") != "remove")).alias("unsafe"),
+        F.col("ts").alias("created_at"),
+        *optional,
         F.posexplode_outer(F.coalesce(parts, F.array(new_text))).alias("piece", "new_text"),
     )
-    return split.withColumn("n_chars", F.char_length("new_text").cast("long"))
+    if state is not None:
+        split = split.unionByName(
+            state.select(
+                *GROUP,
+                F.lit(0).alias("phase"),
+                # The order within a memory is that of the pieces.
+                F.col("ts"),
+                "event_id",
+                F.lit(KEEP).alias("op"),
+                F.lit(None).cast("string").alias("old_text"),
+                F.lit(False).alias("unsafe"),
+                *ATTRIBUTES,
+                "piece",
+                F.col("content").alias("new_text"),
+            )
+        )
+        # Kept entries are ordered by their place, events by time.
+        split = split.withColumn("phase", F.when(F.col("phase") == 0, F.col("piece") - 2_000_000_000).otherwise(F.lit(1)))
+    capacity = capacity_of(F.col("target"), memory_limit, user_limit).cast("long")
+    return split.select("*", capacity.alias("capacity"), F.char_length("new_text").cast("long").alias("n_chars"))
 
 
 def _event_fault() -> Column:
-    return F.when(F.col("unsafe"), "unsafe").when((F.col("op") == "write") & (F.col("new_text") == ""), "empty")
-
-
-def _replay_rounds(replayed: DataFrame, granularity: str) -> tuple[DataFrame, DataFrame]:
-    """Outcomes of all rounds, and the last state of every memory."""
-    spark = replayed.sparkSession
-    last = replayed.agg(F.max("round")).first()[0]
-    outcomes = spark.createDataFrame([], _OUTCOME)
-    state = final = spark.createDataFrame([], _STATE)
-
-    def play(state_rows: pd.DataFrame, event_rows: pd.DataFrame) -> pd.DataFrame:
-        return _replay_one(state_rows, event_rows, granularity)
-
-    for number in range(0 if last is None else last + 1):
-        rows = replayed.where(F.col("round") == number)
-        played = state.groupBy(*GROUP).cogroup(rows.groupBy(*GROUP)).applyInPandas(play, _OUTCOME)
-        played = durable(played, "replay-outcome")
-        outcomes = outcomes.unionByName(played.where(F.col("kind") != "state"))
-        # Only memories with more events go on to the next round.
-        reached = played.where(F.col("kind") == "state").select(*GROUP, "entries", "births")
-        unfinished = replayed.where(F.col("round") == number + 1).select(*GROUP).distinct()
-        final = final.unionByName(reached.join(unfinished, GROUP, "left_anti"))
-        state = reached.join(unfinished, GROUP, "left_semi")
-    return outcomes, final
-
-
-def _replay_one(state_rows: pd.DataFrame, event_rows: pd.DataFrame, granularity: str) -> pd.DataFrame:
-    """One round of one memory. Entries carry the position of the event they came from."""
-    entries, key = [], event_rows[GROUP].iloc[0].tolist()
-    if len(state_rows):
-        entries = list(zip(state_rows["entries"].iloc[0], map(int, state_rows["births"].iloc[0])))
-    out = []
-    for event in event_rows.sort_values("place").itertuples():
-        verdict, after = _replay_event(entries, event, granularity)
-        out.append(("event", *key, event.event_id, event.piece, event.pos, verdict, None, None, None, None, None))
-        if event.op != "write":
-            left = set(after)
-            gone = [entry for entry in entries if entry not in left]
-            out += [("life", *key, None, None, None, None, text, born, event.pos, None, None) for text, born in gone]
-        entries = after
-    texts, births = [text for text, _ in entries], [born for _, born in entries]
-    out.append(("state", *key, None, None, None, None, None, None, None, texts, births))
-    frame = pd.DataFrame(out, columns=[field.split()[0] for field in _OUTCOME.split(", ")])
-    return frame.astype({"event_id": "Int64", "piece": "Int32", "pos": "Int64", "born": "Int64", "died": "Int64"})
-
-
-def _replay_event(entries: list, event, granularity: str) -> tuple[str, list]:
-    if event.unsafe:
-        return "unsafe", entries
-    if event.op == "write":
-        if any(text == event.new_text for text, _ in entries):
+    """Verdicts that need no other event. A text longer than the memory is in none of its entries."""
+    old = F.coalesce("old_text", F.lit(""))
+    nowhere = F.col("op").isin("update", "remove") & ((old == "") | (F.char_length(old) > F.col("capacity")))
+    return (
+        F.when(F.col("unsafe"), "unsafe")
+        .when((F.col("op") == "write") & (F.col("new_text") == ""), "empty")
+        .when(nowhere, "not_found")
+    )
+
+
+def _replay(granularity: str):
+    """Events sorted by memory and place to their outcomes, one memory after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [field.split()[0] for field in _OUTCOME.split(", ")]
+        types = [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        key, entries = None, []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        def alive() -> list[tuple]:
+            return [("alive", *key, None, i, None, None, text, born, None, origin) for i, (text, born, origin) in enumerate(entries)]
+
+        for batch in batches:
+            out = []
+            for event in zip(*(batch.column(c).to_pylist() for c in _REPLAYED)):
+                profile, target, event_id, piece, pos, op, old, new, _, capacity = event
+                if key != (profile, target):
+                    out += alive() if key else []
+                    key, entries = (profile, target), []
+                verdict, after = _replay_event(entries, op, old, new, pos, capacity, granularity)
+                out.append(("event", *key, event_id, piece, pos, verdict, None, None, None, None))
+                if op in ("update", "remove") and verdict == "accepted":
+                    left = {(text, born) for text, born, _ in after}
+                    gone = [e for e in entries if e[:2] not in left]
+                    out += [("life", *key, None, None, None, None, text, born, pos, origin) for text, born, origin in gone]
+                entries = after
+            yield batch_of(out)
+        if key:
+            yield batch_of(alive())
+
+    return run
+
+
+def _replay_event(entries: list, op: str, old: str, new: str, pos: int, capacity: int, granularity: str) -> tuple[str, list]:
+    """Entries are (text, place of the last change, place of the first write)."""
+    if op == KEEP:
+        return "accepted", [*entries, (new, pos, pos)]
+    if op == "write":
+        if any(text == new for text, *_ in entries):
             return "duplicate", entries
-        after = [*entries, (event.new_text, event.pos)]
+        after = [*entries, (new, pos, pos)]
     else:
-        old, new = event.old_text, event.new_text if event.op == "update" else ""
-        if not old or not any(old in text for text, _ in entries):
+        new = new if op == "update" else ""
+        if not any(old in text for text, *_ in entries):
             return "not_found", entries
         after = []
-        for text, born in entries:
+        for text, born, origin in entries:
             if old not in text:
-                after.append((text, born))
+                after.append((text, born, origin))
             else:
                 changed = new if granularity == "entry" else text.replace(old, new)
-                after += [(part, event.pos) for part in _entry_texts(changed)]
-    if event.op != "remove" and len(ENTRY_SEPARATOR.join(text for text, _ in after)) > event.capacity:
+                after += [(part, pos, origin) for part in _entry_texts(changed)]
+    if op != "remove" and len(ENTRY_SEPARATOR.join(text for text, *_ in after)) > capacity:
         return "capacity", entries
     return "accepted", after
 
@@ -339,23 +372,32 @@ def _entry_texts(body: str) -> list[str]:
     return [part for part in parts if part]
 
 
-def _event_verdicts(placed: DataFrame, outcomes: DataFrame, snapshot: DataFrame) -> DataFrame:
+def _event_verdicts(placed: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Verdicts of all events. A write that skipped the replay is a duplicate if an
-    entry with its text was alive at its place, else there was no room for it."""
-    columns = [*_EVENT, "op", "verdict"]
+    entry with its text was alive at its place, else there was no room for it.
+
+    Whether one was alive is counted: births less ends of that text in the memory before the
+    write, over slices of the sorted rows, so that no text's history meets in one task.
+    """
+    columns = [*_EVENT, *_LOGGED, "verdict"]
     played = outcomes.where(F.col("kind") == "event").select(*_EVENT, "verdict")
-    judged = placed.select(*_EVENT, "op").join(played, _EVENT).select(*columns)
+    judged = placed.select(*_EVENT, *_LOGGED).join(played, _EVENT).select(*columns)
 
     skipped = placed.join(played, _EVENT, "left_anti")
     own_fault = skipped.where(_event_fault().isNotNull()).withColumn("verdict", _event_fault()).select(*columns)
     undecided = skipped.where(_event_fault().isNull())
 
-    ended = outcomes.where(F.col("kind") == "life").select(*GROUP, F.col("content").alias("new_text"), "born", "died")
-    living = snapshot.select(*GROUP, F.col("content").alias("new_text"), "born", F.lit(None).cast("long").alias("died"))
-    could_match = undecided.where(F.col("n_chars") <= F.col("capacity"))
-    spans = salted_join(could_match, ended.unionByName(living), [*GROUP, "new_text"], "inner", ["event_id", "piece"])
-    alive = (F.col("born") < F.col("pos")) & (F.col("died").isNull() | (F.col("pos") <= F.col("died")))
-    copies = spans.where(alive).select(*_EVENT).distinct().withColumn("copy", F.lit(True))
-    rest = undecided.join(copies, _EVENT, "left")
-    rest = rest.withColumn("verdict", F.when(F.col("copy"), "duplicate").otherwise("capacity")).select(*columns)
-    return judged.unionByName(own_fault).unionByName(rest)
+    fits = undecided.where(F.col("n_chars") <= F.col("capacity"))
+    too_long = undecided.where(F.col("n_chars") > F.col("capacity")).withColumn("verdict", F.lit("capacity")).select(*columns)
+    lives = outcomes.where(F.col("kind").isin("life", "alive")).withColumnRenamed("content", "new_text")
+    # At one place a write is before what its event ends, and that before what it makes.
+    rows = (
+        fits.select(*GROUP, "new_text", "pos", F.lit(0).alias("step"), "event_id", "piece", *[c for c in _LOGGED if c != "new_text"])
+        .unionByName(lives.where("died IS NOT NULL").select(*GROUP, "new_text", F.col("died").alias("pos"), F.lit(1).alias("step")), True)
+        .unionByName(lives.select(*GROUP, "new_text", F.col("born").alias("pos"), F.lit(2).alias("step")), True)
+    )
+    flags = {"births": F.col("step") == 2, "ends": F.col("step") == 1}
+    counted = running_counts(rows, [*GROUP, "new_text"], ["pos", "step"], flags).where("step = 0")
+    copy = F.when(F.col("births") > F.col("ends"), "duplicate").otherwise("capacity")
+    rest = counted.withColumn("verdict", copy).select(*columns)
+    return judged.unionByName(own_fault).unionByName(too_long).unionByName(rest)

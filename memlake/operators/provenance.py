@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.functions.times import day_of
 from memlake.operators.filters import time_range
 from memlake.operators.ranking import salted_join
 
@@ -68,5 +69,28 @@ def audit_events(actions: DataFrame) -> DataFrame:
     )
 
 
+def write_audit(log: DataFrame, path: str, mode: str = "append") -> None:
+    """Store log rows by day, sorted by time: a range reads its days' folders and row groups only."""
+    dated = log.withColumn("day", day_of(F.col("timestamp_ms")))
+    placed = dated.hint("rebalance", "day").sortWithinPartitions("day", "timestamp_ms")
+    placed.write.partitionBy("day").mode(mode).parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str, after_ms: int | None = None, before_ms: int | None = None) -> DataFrame:
+    """Rows of a stored log in a range of time."""
+    log = spark.read.parquet(path)
+    day = F.col("day").cast("string")
+    if after_ms is not None:
+        log = log.where(day >= day_of(F.lit(after_ms)))
+    if before_ms is not None:
+        log = log.where(day <= day_of(F.lit(before_ms)))
+    return audit_range(log.drop("day"), after_ms, before_ms)
+
+
+def event_actions(verdicts: DataFrame) -> DataFrame:
+    """Verdicts of replayed events as input of ``audit_events``."""
+    return verdicts.withColumnsRenamed({"ts": "timestamp_ms", "source_session": "session_id"})
+
+
 def audit_range(audit: DataFrame, after_ms: int | None = None, before_ms: int | None = None) -> DataFrame:
     return time_range(audit, after_ms, before_ms)

@@ -758,6 +758,23 @@ def provenance_report(spark, sf):
     return provenance.provenance_report(traced, ["profile_id", "target"])
 
 
+@query
+def memory_provenance(spark, sf):
+    """Sources of what the memories hold after all edits."""
+    snapshot, _ = memory.apply_memory_events(fx.memory_events(spark, sf))
+    traced = provenance.trace_sources(snapshot.withColumnRenamed("event_id", "entry_id"), fx.sessions(spark, sf))
+    return traced.select("profile_id", "target", "piece", "content", "ts", "created_at", "confidence", "source_session", "session_exists", "session_file_path")
+
+
+@query
+def audit_edits(spark, sf):
+    """The whole detail of every accepted write, update and removal, read from a stored log."""
+    _, verdicts = memory.apply_memory_events(fx.memory_events(spark, sf))
+    path = fresh_path(spark, "audit-log")
+    provenance.write_audit(provenance.audit_events(provenance.event_actions(verdicts)), path)
+    return provenance.read_audit(spark, path, after_ms=0)
+
+
 @query
 def audit_events(spark, sf):
     verdicts = memory.admit_entries(fx.memory_candidates(spark, sf))
@@ -877,6 +894,21 @@ def stream_admit(spark, sf):
     return spark.read.parquet(f"{out}/verdicts").select(*VERDICT_COLUMNS)
 
 
+@query
+def stream_replay(spark, sf):
+    """Events arrive in three parts; the memories are those of one replay of all."""
+    out, source = fresh_path(spark, "stream-replay"), fresh_path(spark, "events")
+    events = durable(fx.memory_events(spark, sf), "events")
+    last = events.agg(F.max("ts")).scalar()
+    events.withColumn("arrival", F.floor(F.col("ts") * 3 / (last + 1))).write.partitionBy("arrival").parquet(source)
+    schema = spark.read.parquet(source).schema
+    for arrival in range(3):
+        files = spark.readStream.schema(schema).option("basePath", source).parquet(f"{source}/arrival=[0-{arrival}]")
+        stream_memory.stream_replay(files.drop("arrival"), out, f"{out}/checkpoint").awaitTermination()
+    kept = stream_memory.current_memories(spark, out)
+    return kept.select("profile_id", "target", F.col("piece").cast("long").alias("piece"), "content")
+
+
 @query
 def stream_audit(spark, sf):
     out = _streamed_admission(spark, sf)

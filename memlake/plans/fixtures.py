@@ -165,6 +165,8 @@ def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(slot == 5, "update").when(slot == 6, "remove").otherwise("write").alias("op"),
         F.when(slot >= 5, word).alias("old_text"),
         F.when(slot == 5, F.concat(word, F.lit("+"))).when(slot < 5, F.col("content")).alias("new_text"),
+        "source_session",
+        "confidence",
     )
 
 

@@ -215,33 +215,38 @@ BODIES = f"""bodies AS (
 
 EVENTS = f"""{CANDIDATES},
 events AS (
-  SELECT profile_id, target, ts, entry_id AS event_id, capacity,
+  SELECT profile_id, target, ts, entry_id AS event_id, capacity, source_session, confidence,
          CASE i % 7 WHEN 5 THEN 'update' WHEN 6 THEN 'remove' ELSE 'write' END AS op,
          regexp_extract(line, '^([^ ]*)', 1) AS word, content,
          CASE i % 7 WHEN 5 THEN len({issues("word || '+'")}) > 0 WHEN 6 THEN FALSE ELSE reason <> '' END AS has_issue
   FROM candidates),
 placed AS (SELECT *, row_number() OVER (PARTITION BY profile_id, target ORDER BY ts, event_id) AS pos FROM events),
 walk AS (
-  SELECT profile_id, target, 0::BIGINT AS pos, []::VARCHAR[] AS kept, '' AS verdict FROM placed GROUP BY ALL
+  SELECT profile_id, target, 0::BIGINT AS pos, []::STRUCT(t VARCHAR, born BIGINT, origin BIGINT)[] AS kept, '' AS verdict FROM placed GROUP BY ALL
   UNION ALL
   SELECT profile_id, target, pos, CASE WHEN verdict = 'accepted' THEN after ELSE kept END, verdict
   FROM (
     SELECT *, CASE
       WHEN has_issue THEN 'unsafe'
       WHEN op = 'write' AND content = '' THEN 'empty'
-      WHEN op = 'write' AND list_contains(kept, content) THEN 'duplicate'
-      WHEN op <> 'write' AND (word = '' OR len(list_filter(kept, lambda e: contains(e, word))) = 0) THEN 'not_found'
-      WHEN op <> 'remove' AND length(array_to_string(after, {SEP})) > capacity THEN 'capacity'
+      WHEN op = 'write' AND list_contains(list_transform(kept, lambda e: e.t), content) THEN 'duplicate'
+      WHEN op <> 'write' AND (word = '' OR len(list_filter(kept, lambda e: contains(e.t, word))) = 0) THEN 'not_found'
+      WHEN op <> 'remove' AND length(array_to_string(list_transform(after, lambda e: e.t), {SEP})) > capacity THEN 'capacity'
       ELSE 'accepted' END AS verdict
     FROM (
       SELECT p.*, w.kept,
-             CASE WHEN p.op = 'write' THEN list_append(w.kept, p.content)
+             CASE WHEN p.op = 'write' THEN list_append(w.kept, {{'t': p.content, 'born': p.pos, 'origin': p.pos}})
                   WHEN p.word = '' THEN w.kept
-                  ELSE list_filter(list_transform(w.kept, lambda e: {trimmed("replace(e, p.word, CASE WHEN p.op = 'update' THEN p.word || '+' ELSE '' END)")}), lambda e: e <> '')
+                  ELSE list_filter(list_transform(w.kept, lambda e: CASE WHEN contains(e.t, p.word) THEN
+                         {{'t': {trimmed("replace(e.t, p.word, CASE WHEN p.op = 'update' THEN p.word || '+' ELSE '' END)")}, 'born': p.pos, 'origin': e.origin}}
+                         ELSE e END), lambda e: e.t <> '')
              END AS after
       FROM walk w JOIN placed p ON p.profile_id = w.profile_id AND p.target = w.target AND p.pos = w.pos + 1))),
 last_states AS (
-  SELECT profile_id, target, arg_max(kept, pos) AS kept FROM walk GROUP BY ALL)"""
+  SELECT profile_id, target, arg_max(kept, pos) AS kept FROM walk GROUP BY ALL),
+snapshot AS (
+  SELECT profile_id, target, piece, e.t AS content, e.born AS born, e.origin AS origin
+  FROM (SELECT profile_id, target, generate_subscripts(kept, 1) - 1 AS piece, unnest(kept) AS e FROM last_states))"""
 
 TRACED = f"""{TURNS}, {sessions()}, {CANDIDATES},
 traced AS (SELECT c.*, s.file_path IS NOT NULL AS session_exists, s.file_path AS session_file_path
@@ -306,6 +311,7 @@ STREAM_ORACLES = {
     "stream_scan": "scan_content",
     "stream_admit": "admit_entries",
     "stream_audit": "audit_events",
+    "stream_replay": "memory_snapshot",
 }
 
 AUDIT_ROWS = f"""WITH RECURSIVE {ADMITTED} SELECT ts AS timestamp_ms, 'write' AS action, target,
@@ -512,8 +518,19 @@ ORACLES: dict[str, str] = {
     "user_profile": f"WITH RECURSIVE {ADMITTED}, {BODIES} SELECT profile_id, body FROM bodies WHERE target = 'user'",
     "apply_memory_events": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, event_id, pos, op, verdict
         FROM placed JOIN (SELECT profile_id, target, pos, verdict FROM walk) USING (profile_id, target, pos)""",
-    "memory_snapshot": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, generate_subscripts(kept, 1) - 1 AS piece, unnest(kept) AS content
-        FROM last_states""",
+    "memory_snapshot": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, piece, content FROM snapshot""",
+    "memory_provenance": f"""WITH RECURSIVE {TURNS}, {sessions()}, {EVENTS}
+        SELECT s.profile_id, s.target, s.piece, s.content, b.ts, o.ts AS created_at, o.confidence, o.source_session,
+               f.session_id IS NOT NULL AS session_exists, f.file_path AS session_file_path
+        FROM snapshot s JOIN placed b ON b.profile_id = s.profile_id AND b.target = s.target AND b.pos = s.born
+        JOIN placed o ON o.profile_id = s.profile_id AND o.target = s.target AND o.pos = s.origin
+        LEFT JOIN sessions f ON f.session_id = o.source_session""",
+    "audit_edits": f"""WITH RECURSIVE {EVENTS}
+        SELECT ts AS timestamp_ms, op AS action, target, source_session AS session_id,
+               CASE op WHEN 'write' THEN to_json({{'content_preview': substring(content, 1, 100)}})
+                 WHEN 'update' THEN to_json({{'old': substring(word, 1, 50), 'new': substring(word || '+', 1, 50)}})
+                 ELSE to_json({{'removed': substring(word, 1, 50)}}) END::VARCHAR AS detail
+        FROM placed JOIN (SELECT profile_id, target, pos, verdict FROM walk) USING (profile_id, target, pos) WHERE verdict = 'accepted'""",
     "trace_sources": f"""WITH {TRACED} SELECT entry_id, target, confidence, source_session, session_exists, session_file_path FROM traced""",
     "provenance_report": f"""WITH {TRACED} SELECT profile_id, target, count(*) AS total,
         count(*) FILTER (source_session IS NOT NULL AND session_exists) AS verified,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from memlake.functions.guard import scan_issues
-from memlake.operators.memory import GROUP, MEMORY_LIMIT, USER_LIMIT, admit_entries
+from memlake.operators.ingest import latest_version
+from memlake.operators.memory import GROUP, MEMORY_LIMIT, USER_LIMIT, admit_entries, apply_memory_events
 from memlake.operators.provenance import audit_events
 from memlake.session import durable
 from memlake.sources.tables import append_batch, read_log
@@ -50,6 +51,45 @@ def stream_admit(
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_replay(
+    events: DataFrame,
+    out_path: str,
+    checkpoint: str,
+    memory_limit: int = MEMORY_LIMIT,
+    user_limit: int = USER_LIMIT,
+    granularity: str = "substring",
+) -> StreamingQuery:
+    """Writes, updates and removals as they arrive; removals free room for later batches.
+
+    A batch goes on from the memories that it touches, as the batches before left them, and
+    stores these memories anew (``state``) and the verdicts of its events.
+    """
+
+    def play(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = durable(batch, "replay-batch")
+        touched = batch.select(*GROUP).distinct()
+        state = None
+        if batch_id > 0:
+            state = current_memories(spark, out_path, batch_id).join(touched, GROUP, "left_semi")
+        snapshot, verdicts = apply_memory_events(batch, memory_limit, user_limit, granularity, state)
+        # A memory that was emptied is stored as such.
+        marks = touched.withColumn("piece", F.lit(-1))
+        append_batch(snapshot.unionByName(marks, True), f"{out_path}/state", batch_id)
+        append_batch(verdicts, f"{out_path}/verdicts", batch_id)
+
+    writer = events.writeStream.foreachBatch(play)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_memories(spark: SparkSession, out_path: str, before_batch: int | None = None) -> DataFrame:
+    """The entries of all memories, each as the last batch that touched it left it."""
+    log = read_log(spark, f"{out_path}/state")
+    if before_batch is not None:
+        log = log.where(F.col("batch_id") < before_batch)
+    return latest_version(log, GROUP, ["batch_id"]).where(F.col("piece") >= 0).drop("batch_id")
+
+
 def stream_audit(spark: SparkSession, accepted_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
     """One log row per accepted entry, from the log that ``stream_admit`` writes."""
     schema = spark.read.parquet(accepted_path).schema

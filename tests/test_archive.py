@@ -108,11 +108,90 @@ def test_round_trip_with_long_sessions(spark, monkeypatch):
     again = read_archive(spark, out)
     columns = ["session_id", "pos", "ts", "seq", "role", "content", "metadata"]
     assert rows(again.turns, *columns) == rows(first.turns, *columns)
-    assert rows(again.headers, "session_id", "part") == [("empty", 0), ("long", 0), ("long", 1), ("long", 2)]
+    assert rows(again.headers, "session_id", "part") == [("empty", 0), ("long", 0), ("long", 4), ("long", 8)]
     assert rows(build_sessions(again.headers, again.turns, NOW), "session_id", "turn_count") == [("empty", 0), ("long", 11)]
     assert "year=2026/month=04/day=10" in list_archive(spark, out).where("file_size > 0").first().file_path
 
 
+def test_rewriting_what_was_read(spark):
+    """Headers of many blocks are written once; blocks end at their bytes, too."""
+    folder = tempfile.mkdtemp(prefix="memlake-archive-")
+    put(folder, "a.jsonl", header("s", title="T"), *[turn(i, "x" * 50) for i in range(1, 8)])
+    put(folder, "b.jsonl", header("s", profile_id="other"), turn(1, "only"))
+    archive = read_archive(spark, folder)
+    columns = ["profile_id", "session_id", "pos", "content"]
+    want = rows(archive.turns, *columns)
+    for block_bytes in (300, 10**9, 1):
+        out = tempfile.mkdtemp(prefix="memlake-archive-") + "/out"
+        ar.BLOCK_BYTES, kept = block_bytes, ar.BLOCK_BYTES
+        try:
+            write_archive(archive.headers, archive.turns, out, version=1)
+        finally:
+            ar.BLOCK_BYTES = kept
+        archive = read_archive(spark, out)
+        assert rows(archive.turns, *columns) == want
+    assert archive.headers.count() == 8
+
+
+EDGES = [
+    "\r\n \t\r\n{head}\r\n\t\r\n{one}\r\n{two}",
+    "{head}\n{one}\r\n\x0b\n\u3000\n{two}\r",
+    "{head}\n{cr}\n{two}\n",
+    "\n\n{head}",
+    "{head}\n{one}\n{broken}\n",
+    " \n",
+    "",
+]
+
+
+def test_edge_files_read_alike(spark):
+    """Whatever its size, a file gives the same rows."""
+    folder = tempfile.mkdtemp(prefix="memlake-archive-")
+    for i, edge in enumerate(EDGES):
+        one, two = (json.dumps(turn(n, f"text {n}")) for n in (1, 2))
+        # A lone carriage return between two parts of a line is white space of JSON.
+        line = edge.format(head=json.dumps(header(f"s{i}")), one=one, two=two, cr=one.replace(", ", ",\r"), broken="{")
+        with open(f"{folder}/{i}.jsonl", "w", encoding="utf-8", newline="") as out:
+            out.write(line)
+    whole = read_archive(spark, folder)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        split = read_archive(spark, folder, whole_file_bytes=0)
+        for table in ("headers", "turns", "errors"):
+            assert rows(getattr(split, table)) == rows(getattr(whole, table))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    counts = {r["session_id"]: r["count"] for r in whole.turns.groupBy("session_id").count().collect()}
+    assert counts == {"s0": 2, "s1": 2, "s2": 2} and whole.headers.count() == 4 and whole.errors.count() == 1
+
+
+def test_two_writes_of_one_version(spark):
+    """One of them wins as a whole."""
+    folder, out = tempfile.mkdtemp(prefix="memlake-archive-"), tempfile.mkdtemp(prefix="memlake-archive-") + "/out"
+    for name in ("a", "b"):
+        put(f"{folder}/{name}", "x.jsonl", header("s"), turn(1, f"{name} 1"), turn(2, f"{name} 2"))
+        archive = read_archive(spark, f"{folder}/{name}")
+        write_archive(archive.headers, archive.turns, out, version=1)
+    kept = [t for (t,) in rows(newest(read_archive(spark, out)).turns, "content")]
+    assert kept in (["a 1", "a 2"], ["b 1", "b 2"])
+
+
+def test_profiles_and_repeated_numbers(spark):
+    """Two profiles share a session id and a number repeats: every turn has its own id."""
+    folder, store = tempfile.mkdtemp(prefix="memlake-archive-"), tempfile.mkdtemp(prefix="memlake-store-") + "/s"
+    put(folder, "a.jsonl", header("s", profile_id="1"), turn(1, "red"), turn(1, "green"))
+    put(folder, "b.jsonl", header("s", profile_id="01"), turn(1, "blue"), turn(1, "blue"))
+    rebuild_index(spark, folder, store, NOW, buckets=3)
+    found = Store(store)
+    assert rows(found.turns(spark), "profile_id", "content") == [("01", "blue"), ("01", "blue"), ("1", "green"), ("1", "red")]
+    assert found.turns(spark).select("turn_id").distinct().count() == 4
+    assert rows(found.sessions(spark), "profile_id", "turn_count") == [("01", 2), ("1", 2)]
+    queries = spark.createDataFrame([(1, "blue")], "query_id long, text string")
+    assert keyword_search(found.index(spark), queries, 9).count() == 2
+    assert keyword_search(found.index(spark, "1"), queries, 9).count() == 0
+    assert found.index(spark).buckets == 3 and rows(found.index(spark, "01").corpus) == [(2, 1.0)]
+
+
 def test_overwritten_session(spark):
     """The later version has fewer turns; old words are found no more."""
     folder = tempfile.mkdtemp(prefix="memlake-archive-") + "/a"
@@ -139,11 +218,12 @@ def test_rebuild_counts_and_sync(spark):
 
 
 def test_upsert_and_latest(spark):
-    stored = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "session_id string, seq int")
-    incoming = spark.createDataFrame([("a", 9), ("c", 1)], "session_id string, seq int")
-    assert rows(upsert_sessions(stored, incoming)) == [("a", 9), ("b", 1), ("c", 1)]
-    emptied = spark.createDataFrame([("b",)], "session_id string")
-    assert rows(upsert_sessions(stored, incoming.limit(0), emptied)) == [("a", 1), ("a", 2)]
+    schema = "profile_id string, session_id string, seq int"
+    stored = spark.createDataFrame([("p", "a", 1), ("p", "a", 2), ("p", "b", 1), ("q", "a", 5)], schema)
+    incoming = spark.createDataFrame([("p", "a", 9), ("p", "c", 1)], schema)
+    assert rows(upsert_sessions(stored, incoming)) == [("p", "a", 9), ("p", "b", 1), ("p", "c", 1), ("q", "a", 5)]
+    emptied = spark.createDataFrame([("p", "b")], "profile_id string, session_id string")
+    assert rows(upsert_sessions(stored, incoming.limit(0), emptied)) == [("p", "a", 1), ("p", "a", 2), ("q", "a", 5)]
     versions = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, "w")], "k string, version int, v string")
     assert rows(latest_version(versions, ["k"], ["version"]), "v") == [("w",), ("y",), ("z",)]
 

@@ -155,7 +155,7 @@ def test_replay_equals_one_by_one(spark, granularity):
         old = rng.choice(["a", "b", "w1", "w", "zz", ""]) if op != "write" else None
         events.append((*group, rng.randint(0, 300), i, op, old, None if op == "remove" else text))
     limits = {"memory": 60, "user": 40}
-    snapshot, judged = mem.apply_memory_events(spark.createDataFrame(events, EVENTS), 60, 40, granularity, events_per_round=25)
+    snapshot, judged = mem.apply_memory_events(spark.createDataFrame(events, EVENTS), 60, 40, granularity)
     state, expected = replay(events, limits, granularity)
     assert {r.event_id: r.verdict for r in judged.collect()} == expected
     got = {}
@@ -164,6 +164,45 @@ def test_replay_equals_one_by_one(spark, granularity):
     assert got == state
 
 
+@pytest.mark.parametrize("granularity", ["substring", "entry"])
+def test_replay_goes_on_from_a_state(spark, granularity):
+    """Three parts, each from the snapshot of the one before, end like one replay of all."""
+    rng = random.Random(11)
+    events = []
+    for i in range(240):
+        op = rng.choice(["write"] * 4 + ["update", "remove"])
+        text = rng.choice([rng.choice("abc") * rng.randint(1, 9), f"w{rng.randint(0, 30)}"])
+        old = rng.choice(["a", "b", "w1", "w"]) if op != "write" else None
+        events.append((rng.choice("pq"), "memory", i, i, op, old, None if op == "remove" else text))
+    state, expected = replay(events, {"memory": 60}, granularity)
+    snapshot, verdicts = None, {}
+    for start in range(0, 240, 80):
+        part = spark.createDataFrame(events[start : start + 80], EVENTS)
+        snapshot, judged = mem.apply_memory_events(part, 60, 40, granularity, snapshot)
+        verdicts |= {r.event_id: r.verdict for r in judged.collect()}
+    got = {}
+    for r in snapshot.orderBy("piece").collect():
+        got.setdefault((r.profile_id, r.target), []).append(r.content)
+    assert got == state and verdicts == expected
+
+
+def test_toggled_text(spark):
+    """One text written twice and removed, again and again: as many rows as events."""
+    events = []
+    for i in range(0, 900, 3):
+        for j, (op, old, new) in enumerate((("write", None, "on"), ("write", None, "on"), ("remove", "on", None))):
+            events.append(("p", "memory", i + j, i + j, op, old, new))
+    snapshot, judged = mem.apply_memory_events(spark.createDataFrame(events, EVENTS))
+    verdicts = [r.verdict for r in judged.orderBy("pos").collect()]
+    assert verdicts == ["accepted", "duplicate", "accepted"] * 300 and snapshot.count() == 0
+
+
+def test_snapshot_keeps_where_it_came_from(spark):
+    events = [("p", "memory", 1, 1, "write", None, "likes tea", "s1", "high"), ("p", "memory", 2, 2, "update", "tea", "coffee", "s2", "low")]
+    snapshot, _ = mem.apply_memory_events(spark.createDataFrame(events, EVENTS + ", source_session string, confidence string"))
+    assert rows(snapshot, "content", "created_at", "ts", "source_session", "confidence") == [("likes coffee", 1, 2, "s1", "high")]
+
+
 def test_replay_cases(spark):
     def event(ts, op, old=None, new=None):
         return ("p", "memory", ts, ts, op, old, new)
