@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import fold, search_terms, tokenize_cjk
-from memlake.operators.ranking import salted_join, top_k
+from memlake.operators.ranking import skewed_join, top_k
 from memlake.session import durable, settled
 
 # BM25 parameters and the least weight of a term.
@@ -266,22 +266,22 @@ def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame)
     columns = [*postings.columns, *[c for c in terms.columns if c not in ("bucket", "term", "rarest")]]
 
     alone, longer = terms.where(F.col("n_terms") == 1), terms.where(F.col("n_terms") > 1)
-    single = salted_join(postings, alone, ["bucket", "term"], "inner", ["turn_id"])
+    single = skewed_join(postings, alone, ["bucket", "term"], "inner")
 
     drivers = longer.where("rarest").select("query_id", "bucket", "term")
-    candidates = salted_join(postings, drivers, ["bucket", "term"], "inner", ["turn_id"]).select("query_id", "turn_id")
+    candidates = skewed_join(postings, drivers, ["bucket", "term"], "inner").select("query_id", "turn_id")
     wanted = candidates.join(longer, "query_id")
     if resolved.candidates is not None and resolved.candidates <= BROADCAST_CANDIDATES:
         probed = postings.join(F.broadcast(wanted), ["turn_id", "bucket", "term"])
     else:
-        relevant = salted_join(postings, longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi", ["turn_id"])
+        relevant = skewed_join(postings, longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
         probed = relevant.join(wanted, ["turn_id", "bucket", "term"])
     return single.select(*columns), probed.select(*columns)
 
 
 def matches_of_any(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> DataFrame:
     resolved = _resolve(index, terms, postings, False)
-    return salted_join(resolved.postings, resolved.terms, ["bucket", "term"], "inner", ["turn_id"])
+    return skewed_join(resolved.postings, resolved.terms, ["bucket", "term"], "inner")
 
 
 def _term_score() -> Column:
@@ -329,7 +329,7 @@ def keyword_scores(
     if exclude is not None:
         # Resolved like the query's own terms, so that only their buckets and rows are read.
         banned = _resolve(index, query_terms(exclude), postings, False)
-        hit = salted_join(banned.postings, banned.terms.select("query_id", "bucket", "term"), ["bucket", "term"], "inner", ["turn_id"])
+        hit = skewed_join(banned.postings, banned.terms.select("query_id", "bucket", "term"), ["bucket", "term"], "inner")
         scores = scores.join(hit.select("query_id", "turn_id"), ["query_id", "turn_id"], "left_anti")
     return scores
 
@@ -446,7 +446,7 @@ def _posted(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> DataF
         wanted = sorted({row["term"] for row in rows})
         if len(wanted) <= FILTER_TERMS:
             postings = postings.where(F.col("term").isin(wanted))
-    return salted_join(postings, terms, ["bucket", "term"], "inner", ["turn_id"])
+    return skewed_join(postings, terms, ["bucket", "term"], "inner")
 
 
 def prefix_search(index: KeywordIndex, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:

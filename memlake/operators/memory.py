@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from memlake.functions.guard import is_unsafe, scan_issues
 from memlake.functions.text import ENTRY_SEPARATOR, WHITE_SPACE, join_entries, split_entries, trim_text
 from memlake.functions.times import to_iso
-from memlake.operators.ranking import running_counts, salted_join, top_by_quota
+from memlake.operators.ranking import running_counts, skewed_join, top_by_quota
 from memlake.session import durable
 
 # The targets, their capacities in code points and header labels.
@@ -124,7 +124,7 @@ def admit_entries(
     known = admitted.withColumn("known", F.lit(True))
 
     columns = [c for c in pieces.columns if c not in ("fault", "whole")]
-    judged = salted_join(viable.select(*columns), known, [*GROUP, "content"], "left", ["entry_id", "piece"])
+    judged = skewed_join(viable.select(*columns), known, [*GROUP, "content"], "left")
     verdict = (
         F.when(F.col("known").isNull(), "capacity")
         .when(F.col("first") == F.struct(*ORDER), "accepted")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.times import day_of
 from memlake.operators.filters import time_range
-from memlake.operators.ranking import salted_join
+from memlake.operators.ranking import skewed_join
 
 # Code points kept of a written and of an edited text in the log.
 WRITE_DETAIL_CHARS = 100
@@ -17,16 +17,16 @@ EDIT_DETAIL_CHARS = 50
 def trace_sources(entries: DataFrame, sessions: DataFrame) -> DataFrame:
     """Every entry with whether its source session exists, and where it is.
 
-    Many entries may name one session, so its key is salted; entries without a
+    Many entries may name one session, whose rows Spark then splits; entries without a
     source do not take part in the join.
     """
     sourced = entries.where(F.col("source_session").isNotNull())
     known = sessions.select(
         F.col("session_id").alias("source_session"), F.col("file_path").alias("session_file_path"), F.lit(True).alias("found")
     )
-    # Sessions that no entry names need not be repeated for the salts.
+    # Only sessions that an entry names take part.
     named = known.join(sourced.select("source_session").distinct(), "source_session", "left_semi")
-    joined = salted_join(sourced, named, ["source_session"], "left", ["entry_id"])
+    joined = skewed_join(sourced, named, ["source_session"], "left")
     columns = [*entries.columns]
     traced = joined.select(*columns, F.coalesce("found", F.lit(False)).alias("session_exists"), "session_file_path")
     unsourced = entries.where(F.col("source_session").isNull()).select(

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from memlake.session import durable, shuffle_width
 
 SALTS = 16
+# Rows sorted by one task.
+SLICE_ROWS = 5_000_000
+# Rows of one group that may meet in one task before a salted round comes first.
+GROUP_ROWS = 1_000_000
 
 # Up to this k Spark itself cuts each partition to k rows per group before the shuffle.
 _PRUNED_K = 1000
@@ -17,9 +21,10 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     """The first ``k`` rows of every group, with their 1-based rank.
 
     Small ``k``: the rank filter is applied on the map side too, so a hot group
-    sends at most ``k`` rows per task. Larger ``k``: a salted round comes first.
+    sends at most ``k`` rows per task. Larger ``k``, or so many cores that these rows
+    are too many for one task: a salted round comes first.
     """
-    if k > _PRUNED_K:
+    if k > _PRUNED_K or k * df.sparkSession.sparkContext.defaultParallelism > GROUP_ROWS:
         df = _salted_round(df, by, order, F.lit(k))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn(rank, place).where(F.col(rank) <= k)
@@ -46,16 +51,18 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
 
 
-def salted_join(
-    large: DataFrame, small: DataFrame, on: list[str], how: str, salt_by: list[str], salts: int = SALTS
-) -> DataFrame:
-    """Equi-join that spreads each key of ``large`` over ``salts`` tasks.
+def skewed_join(large: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Equi-join in which a key may own much of ``large``; ``small`` holds few rows per key.
 
-    ``small`` is repeated ``salts`` times; it should hold few rows per key. Whether
-    it is broadcast is left to Spark, which knows or measures its size.
+    Spark measures the shuffled sides and cuts a large partition over as many tasks as its size
+    asks for (inner, left and left-semi joins; the sizes are session settings). Where that is switched off,
+    every key is spread over ``SALTS`` tasks and ``small`` repeated as often.
     """
-    left = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    conf = large.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{name}") == "true" for name in ("enabled", "skewJoin.enabled")):
+        return large.join(small, on, how)
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(large)), F.lit(SALTS)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -66,8 +73,9 @@ def running_counts(df: DataFrame, keys: list[str], order: list[str], flags: dict
     per slice, and each slice starts from the sum of the slices before it.
     """
     names = list(flags)
-    slices = shuffle_width(df.sparkSession)
-    placed = df.select("*", *[flag.cast("long").alias(f"_flag_{name}") for name, flag in flags.items()])
+    placed = durable(df.select("*", *[flag.cast("long").alias(f"_flag_{name}") for name, flag in flags.items()]), "flagged")
+    # The number of written rows is read from file footers.
+    slices = max(shuffle_width(df.sparkSession), -(-placed.count() // SLICE_ROWS))
     placed = placed.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
     placed = durable(placed, "slices")
 

@@ -2,7 +2,8 @@
 
 Nearest neighbours are found block against block: a task holds a block of stored
 vectors and a block of queries, multiplies them as matrices and gives out only the
-k best per query. No pair of rows is ever written or shuffled.
+k best per query. No pair of rows is ever written or shuffled. Many queries meet only
+the blocks that can hold a near vector.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from memlake.functions.text import search_terms
 from memlake.functions.vectors import quantize_int8
 from memlake.operators.ranking import top_k
-from memlake.session import settled
+from memlake.session import durable, settled
 
 DIGITS = 6
-# Most queries sent along with the tasks: about 0.4 MB at 384 dimensions.
-CARRIED_QUERIES = 1024
+# Most queries sent along with the tasks: about 1.6 MB at 384 dimensions.
+CARRIED_QUERIES = 4096
+# Rows drawn for first bounds, and centres of groups among them.
+SAMPLE_VECTORS, CENTRES = 2048, 128
 BLOCK_VECTORS = 20_000
 BLOCK_QUERIES = 20_000
 # Rows of a block that are multiplied at a time, to bound the matrix of distances.
@@ -169,16 +172,53 @@ def _knn_carried(stored: DataFrame, rows: list, k: int, metric: str) -> DataFram
 
 
 def _knn_blocks(stored: DataFrame, asked: DataFrame, k: int, metric: str, block_vectors: int, block_queries: int) -> DataFrame:
-    """Blocks are drawn by a hash of the id, so their size does not depend on the data."""
-    v_blocks = max(1, math.ceil(stored.count() / block_vectors))
-    q_blocks = max(1, math.ceil(asked.count() / block_queries))
+    """Blocks meet only where they can hold a near vector.
+
+    Stored vectors are grouped around centres from a bounded sample. The k-th distance of a query to
+    the sample bounds its k-th distance from above; a group is visited if the query's distance to its
+    centre, less the group's radius, is not beyond that (triangle inequality; cosine distances are those of
+    unit vectors). Large groups and many queries are cut into blocks by a hash of the id.
+    """
+    drawn = stored.orderBy(F.xxhash64("turn_id", "q8"), "turn_id").limit(SAMPLE_VECTORS).toArrow()
+    if not drawn.num_rows:
+        return stored.sparkSession.createDataFrame([], HIT_SCHEMA)
+    sample = _points(_matrix(drawn.column("q8").combine_chunks()), metric)
+    centres = sample[:CENTRES]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                away = _euclidean(_points(_matrix(batch.column("q8")), metric), centres)
+                columns = [batch.column("turn_id"), batch.column("q8"), pa.array(away.argmin(axis=1)), pa.array(away.min(axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["turn_id", "q8", "centre", "away"])
+
+    kind = asked.schema["q8"].dataType.simpleString()
+    stored_kind = stored.schema["q8"].dataType.simpleString()
+    placed = durable(stored.select("turn_id", "q8").mapInArrow(place, f"turn_id long, q8 {stored_kind}, centre long, away double"), "placed-vectors")
+    groups = placed.groupBy("centre").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
+    names, radii = np.array([g["centre"] for g in groups]), np.array([g["radius"] for g in groups])
 
-    def blocked(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TILE):
+                piece = batch.slice(start, TILE)
+                points = _points(_matrix(piece.column("q8")), metric)
+                limit = np.full(piece.num_rows, np.inf)
+                if len(sample) >= k:
+                    limit = np.partition(_euclidean(points, sample), k - 1, axis=1)[:, k - 1]
+                # Distances are compared after rounding, so a little more than the limit may still tie.
+                reach = _euclidean(points, centres)[:, names] - radii[None, :] <= _widened(limit, metric)[:, None]
+                row, group = np.nonzero(reach)
+                taken = piece.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([taken.column("query_id"), taken.column("q8"), pa.array(names[group])], names=["query_id", "q8", "centre"])
 
-    left = blocked(stored, "turn_id", "v_block", v_blocks, "q_block", q_blocks)
-    right = blocked(asked, "query_id", "q_block", q_blocks, "v_block", v_blocks)
+    q_blocks = max(1, math.ceil(asked.count() / block_queries))
+    cuts = F.create_map(*[F.lit(x) for g in groups for x in (g["centre"], math.ceil(g["n"] / block_vectors))])
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    drawn_from = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    left = placed.select("turn_id", "q8", "centre", drawn_from("turn_id", cuts[F.col("centre")]).alias("v_block"), every(F.lit(q_blocks)).alias("q_block"))
+    right = asked.select("query_id", "q8").mapInArrow(route, f"query_id long, q8 {kind}, centre long")
+    right = right.select("query_id", "q8", "centre", drawn_from("query_id", F.lit(q_blocks)).alias("q_block"), every(cuts[F.col("centre")]).alias("v_block"))
 
     def step(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not vectors.num_rows or not queries.num_rows:
@@ -187,10 +227,31 @@ def _knn_blocks(stored: DataFrame, asked: DataFrame, k: int, metric: str, block_
         best.add(vectors.column("turn_id").combine_chunks(), vectors.column("q8").combine_chunks())
         return pa.Table.from_batches([best.result()])
 
-    blocks = ["v_block", "q_block"]
+    blocks = ["centre", "v_block", "q_block"]
     return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(step, HIT_SCHEMA)
 
 
+def _points(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Points whose Euclidean distance orders like the metric."""
+    points = vectors.astype(np.float64)
+    if metric == "l2":
+        return points
+    norms = np.linalg.norm(points, axis=1, keepdims=True)
+    return points / np.where(norms > 0, norms, 1)
+
+
+def _widened(limit: np.ndarray, metric: str) -> np.ndarray:
+    """The limit with room for rounding; a zero vector, at cosine distance 1 from all, is within it."""
+    if metric == "l2":
+        return limit + 1e-5
+    return np.maximum(np.sqrt(limit**2 + 4e-6), 1.0001) + 1e-5
+
+
+def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
 def _hit_fields() -> pa.Schema:
     return pa.schema([("query_id", pa.int64()), ("turn_id", pa.int64()), ("distance", pa.float64())])
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Used only where no spark.checkpoint.dir is set and the master is local (tests).
 _local_folders: dict[str, str] = {}
+# Folders given out, by application.
+_made: dict[str, list[str]] = {}
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,7 +41,19 @@ def workspace(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/memlake/{name}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/memlake/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables made by this application; results not yet stored are lost with them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -7,12 +8,14 @@ import pytest
 from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
+from memlake import session
 from memlake.operators import keyword as kw
 from memlake.operators import vector as vec
 from memlake.operators.hybrid import rrf_fuse
-from memlake.operators.ranking import row_numbers, running_counts, top_by_quota, top_k
+from memlake.operators.ranking import row_numbers, running_counts, skewed_join, top_by_quota, top_k
 from memlake.plans import fixtures as fx
 from memlake.plans.search import SearchFilter, search
+from memlake.session import fresh_path
 
 TURNS = "turn_id long, session_id string, seq int, timestamp_ms long, role string, content string, preview string"
 
@@ -131,6 +134,58 @@ def test_top_k_ways_agree(spark):
     assert rows(a) == rows(b) and a.count() == 2 + 3 + 4
 
 
+def test_a_hot_key_is_split(spark):
+    """One key owns a third of the rows: no task of the join gets more than a few hundredths."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        large = spark.range(0, 90_000, 1, 24).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        small = spark.range(90_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("x"))
+        joined = skewed_join(large, small, ["key"], "inner").withColumn("task", F.spark_partition_id())
+        shares = [r["count"] / 90_000 for r in joined.groupBy("task").agg(F.count("*").alias("count"), F.max("text")).collect()]
+        assert abs(sum(shares) - 1) < 1e-9 and max(shares) < 0.1
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+        joined = skewed_join(large, small, ["key"], "inner").withColumn("task", F.spark_partition_id())
+        shares = [r["count"] / 90_000 for r in joined.groupBy("task").agg(F.count("*").alias("count"), F.max("text")).collect()]
+        assert abs(sum(shares) - 1) < 1e-9 and max(shares) < 0.15
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_excluded_and_prefix_terms_reach_the_scan(spark):
+    """Every scan of the stored postings names its buckets and terms."""
+    path = fresh_path(spark, "index")
+    kw.build_index(turns_of(spark, "one two", "two three", "three four five"), buckets=8).write(path)
+    index = kw.KeywordIndex.read(spark, path)
+    for found in (
+        kw.keyword_scores(index, queries_of(spark, "two"), exclude=queries_of(spark, "three")),
+        kw._posted(index, kw._terms_with_prefix(index, kw._prefix_queries(queries_of(spark, "tw"))), index.postings),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.split("\n") if "FileScan" in line and "positions" in line or "FileScan" in line and "tf#" in line]
+        assert scans and all("bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+
+
+def test_scratch_is_dropped(spark):
+    path = fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    kept = dict(session._made)
+    session._made[spark.sparkContext.applicationId] = [path]
+    assert session.drop_scratch(spark) == 1 and not os.path.exists(path)
+    session._made.update(kept)
+
+
 def test_running_counts_of_a_hot_group(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"), (1000 - F.col("id")).alias("t"))
     got = running_counts(df, ["k"], ["t"], {"pos": F.lit(1), "even": F.col("t") % 2 == 0})
