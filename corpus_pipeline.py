@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import remainder, table
+from memlake.llm.common import free_name, remainder, table
 from memlake.llm.minmax import MinMaxParams, near_duplicates
 from memlake.llm.piece_fst import encode_texts
 from memlake.llm.rank_profiles import UNDECIDED, identify, language_profiles
@@ -25,9 +25,12 @@ LEAST_LANGUAGE_SCORE = 0.2
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learned language stay; null texts, those without letters and those far from all languages go."""
     profiles = language_profiles(docs.where(remainder("doc_id", 4) != 2))
-    judged = identify(docs, profiles, keep=docs.columns)
+    # Columns of documents named like the operator's results step aside.
+    aside = {c: free_name(docs, f"_own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
+    moved = docs.withColumnsRenamed(aside)
+    judged = identify(moved, profiles, keep=moved.columns)
     decided = (F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(decided).select(*docs.columns)
+    return judged.where(decided).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +41,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = near_duplicates(docs, MinMaxParams(width=5)).where("kept")
     named = judged.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    nameless = docs.where(F.col("doc_id").isNull()).withColumn("_key", text_key()).dropDuplicates(["_key"])
-    others = docs.where(F.col("doc_id").isNotNull()).select(text_key().alias("_key"))
-    return kept.unionByName(nameless.join(others, "_key", "left_anti").select(*docs.columns))
+    key = free_name(docs, "_key")
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn(key, text_key()).dropDuplicates([key])
+    others = docs.where(F.col("doc_id").isNotNull()).select(text_key().alias(key))
+    return kept.unionByName(nameless.join(others, key, "left_anti").select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm.common import free_name
+
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -294,7 +296,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "tex
     all other columns are kept, but a column named like one of the new ones is replaced.
     """
     kept = [c for c in docs.columns if c not in (text, "ids", "n_ids", "round_trip")]
-    compiled = shipped(docs.sparkSession, model_path)
+    compiled, source_name = shipped(docs.sparkSession, model_path), free_name(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = compiled()
@@ -302,7 +304,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "tex
             for start in range(0, batch.num_rows, PIECE_ROWS):
                 piece = batch.slice(start, PIECE_ROWS)
                 flat, ends, exact = array("i"), [0], []
-                for value in piece.column("_text"):
+                for value in piece.column(source_name):
                     own = value.as_py() or ""
                     ids = model.encode(own)
                     exact.append(model.decode(ids) == own)
@@ -313,7 +315,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "tex
                 columns = [piece.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, lists, counts, pa.array(exact, pa.bool_())], names=[*kept, "ids", "n_ids", "round_trip"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(source_name))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema.fields)
     return source.mapInArrow(run, f"{types}, ids array<int>, n_ids long, round_trip boolean" if kept else "ids array<int>, n_ids long, round_trip boolean")
 
@@ -321,16 +323,16 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "tex
 def decode_ids(encoded: DataFrame, model_path: str = MODEL_PATH, ids: str = "ids", into: str = "text") -> DataFrame:
     """``encoded`` with the text of its piece numbers; null ids give a null text."""
     kept = [c for c in encoded.columns if c not in (ids, into)]
-    compiled = shipped(encoded.sparkSession, model_path)
+    compiled, source_name = shipped(encoded.sparkSession, model_path), free_name(encoded, "_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = compiled()
         for batch in batches:
             for start in range(0, batch.num_rows, PIECE_ROWS):
                 piece = batch.slice(start, PIECE_ROWS)
-                texts = [None if x is None else model.decode(x) for x in piece.column("_ids").to_pylist()]
+                texts = [None if x is None else model.decode(x) for x in piece.column(source_name).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, into])
 
-    source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids).alias("_ids"))
+    source = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids).alias(source_name))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name in kept]
     return source.mapInArrow(run, ", ".join([*fields, f"`{into}` string"]))

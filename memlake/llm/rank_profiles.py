@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import map_pieces
+from memlake.llm.common import free_name, map_pieces
 from memlake.operators.ranking import top_k
 from memlake.session import durable
 
@@ -161,15 +161,15 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
     if no language was learned. Rows stand for themselves.
     """
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score") and (keep or c != text)]
-    model = docs.sparkSession.sparkContext.broadcast(profiles)
+    model, own = docs.sparkSession.sparkContext.broadcast(profiles), free_name(docs, "_text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        best = [model.value.best(x.as_py()) for x in batch.column("_text")]
+        best = [model.value.best(x.as_py()) for x in batch.column(own)]
         columns = [batch.column(c) for c in kept]
         languages, scores = pa.array([x for x, _ in best], pa.string()), pa.array([x for _, x in best], pa.float64())
         return pa.RecordBatch.from_arrays([*columns, languages, scores], names=[*kept, "lang_pred", "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept]
     kept = [f.name for f in docs.schema.fields if f.name in kept]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(own))
     return map_pieces(source, work, ", ".join([*fields, "lang_pred string", "score double"]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WordHashes, mix64, shingle_hashes
+from memlake.llm.common import WordHashes, free_name, mix64, shingle_hashes
 from memlake.session import durable
 
 
@@ -275,5 +275,6 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, params: TilingPara
 def clean_documents(docs: DataFrame, items: DataFrame, params: TilingParams = TilingParams()) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with all their columns."""
     found = durable(contaminated_texts(docs, items, params).select("text_key").distinct(), "contaminated")
-    keyed = docs.withColumn("_text_key", text_key())
-    return keyed.join(found.select(F.col("text_key").alias("_text_key")), "_text_key", "left_anti").select(*docs.columns)
+    key = free_name(docs, "_text_key")
+    keyed = docs.withColumn(key, text_key())
+    return keyed.join(found.select(F.col("text_key").alias(key)), key, "left_anti").select(*docs.columns)

@@ -44,6 +44,18 @@ def test_stages_on_documents(spark):
         rows = found
 
 
+def test_other_columns_stay(spark, tmp_path):
+    """Extra columns go through all stages but the last, whatever their names."""
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, f"plain words number {i} and {i * i}", "en", "s", 1, 0.5, "mine", [i], "k") for i in range(6)]
+    names = ", score double, lang_pred string, ids array<int>, _text string"
+    docs = spark.createDataFrame(rows, SCHEMA + names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[5:] == ["score", "lang_pred", "ids", "_text"], name
+    assert {(r["score"], r["lang_pred"], r["ids"][0] == r["doc_id"]) for r in docs.collect()} == {(0.5, "mine", True)}
+
+
 def test_planted_cases(spark, tmp_path):
     draw = random.Random(6)
     plain = lambda: " ".join("".join(draw.choice("aeioulnrst") for _ in range(6)) for _ in range(60))
