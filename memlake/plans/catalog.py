@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from memlake.functions import text as text_fn
 from memlake.functions import times
 from memlake.functions.guard import scan_issues
+from memlake.functions.ids import random_id
+from memlake.functions.sql import register
 from memlake.functions.vectors import l2_normalize, quantize_int8
 from memlake.operators import filters, hybrid, ingest, keyword, memory, provenance, reports, vector
 from memlake.plans import fixtures as fx
@@ -19,6 +21,7 @@ from memlake.session import durable, fresh_path
 from memlake.sources.archive import list_archive, parse_lines, read_archive, write_archive
 from memlake.sources.payload import sessions_from_payload
 from memlake.sources.tables import read_profile, write_by_profile
+from memlake.sources.tables import read_table as stored_table
 from memlake.streaming import ingest as stream_ingest
 from memlake.streaming import memory as stream_memory
 
@@ -351,6 +354,15 @@ def by_profile(spark, sf):
     return read_profile(spark, path, "p1").select("turn_id", "profile_id", "timestamp_ms")
 
 
+@query
+def read_table(spark, sf):
+    """Two columns of a stored table; profiles that look like numbers stay texts."""
+    path = fresh_path(spark, "table")
+    numbered = fx.turns(spark, sf).withColumn("profile_id", F.concat(F.lit("0"), F.substring("profile_id", 2, 9)))
+    write_by_profile(numbered, path, ["timestamp_ms"])
+    return stored_table(spark, path, ["turn_id", "profile_id"])
+
+
 # --- filters -----------------------------------------------------------------------
 
 
@@ -413,6 +425,14 @@ def tokenize_cjk(spark, sf):
     return _han_texts(spark, sf).select("turn_id", text_fn.tokenize_cjk(F.col("text")).alias("spaced"))
 
 
+@query
+def sql_tokenize(spark, sf):
+    """The same in a SQL statement."""
+    register(spark)
+    _han_texts(spark, sf).createOrReplaceTempView("han_texts")
+    return spark.sql("SELECT turn_id, tokenize_cjk(text) AS spaced FROM han_texts")
+
+
 @query
 def fold_terms(spark, sf):
     rows = fx.documents(spark, sf)
@@ -730,6 +750,15 @@ def user_profile(spark, sf):
     return memory.render_memory(memory.accepted_entries(candidates), fx.NOW_MS).select("profile_id", "body")
 
 
+@query
+def user_profile_edits(spark, sf):
+    """User profiles after writes, updates and removals."""
+    snapshot, _ = memory.apply_memory_events(fx.memory_events(spark, sf))
+    # The place of an entry is its order.
+    placed = snapshot.where(F.col("target") == memory.USER_TARGET).withColumns({"ts": F.lit(0), "entry_id": F.lit(0)})
+    return memory.render_memory(placed, fx.NOW_MS).select("profile_id", "body")
+
+
 @query
 def apply_memory_events(spark, sf):
     _, verdicts = memory.apply_memory_events(fx.memory_events(spark, sf))
@@ -832,6 +861,14 @@ def json_path(spark, sf):
     )
 
 
+@query
+def random_ids(spark, sf):
+    """Ids of documents: as many as rows, all of one form."""
+    ids = durable(fx.documents(spark, sf).select(random_id().alias("id")), "random-ids")
+    form = F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return ids.agg(F.countDistinct("id").alias("n_ids"), F.count_if(form).alias("n_well_formed"))
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 

@@ -558,4 +558,9 @@ ORACLES["stream_ingest_versions"] = f"""WITH {SPOKEN_TURNS},
            CASE WHEN count(kept.turn_id) > 0 THEN count(kept.turn_id) END AS n_turns, CAST(sum(seq) AS BIGINT) AS seqs
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN kept USING (conv_id) GROUP BY conv_id"""
 ORACLES["search_by_profile"] = ORACLES["search_hybrid"].replace("FROM documents)", "FROM documents WHERE doc_id % 3 = 1)").replace("role = 'en'", "true")
+ORACLES["sql_tokenize"] = ORACLES["tokenize_cjk"]
+ORACLES["read_table"] = f"WITH {TURNS} SELECT turn_id, '0' || (conv_id % 3) AS profile_id FROM turns"
+ORACLES["random_ids"] = "SELECT count(*) AS n_ids, count(*) AS n_well_formed FROM documents"
+ORACLES["user_profile_edits"] = f"""WITH RECURSIVE {EVENTS}
+    SELECT profile_id, string_agg(content, {SEP} ORDER BY piece) AS body FROM snapshot WHERE target = 'user' GROUP BY profile_id"""
 ORACLES.update({stream: ORACLES[batch] for stream, batch in STREAM_ORACLES.items()})

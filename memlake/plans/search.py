@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -14,7 +15,7 @@ from memlake.operators.filters import hit_context, time_condition
 from memlake.operators.hybrid import rrf_fuse
 from memlake.operators.keyword import KeywordIndex, keyword_search
 from memlake.operators.vector import embed_texts, knn, quantized, semantic_score
-from memlake.session import settled
+from memlake.session import durable, settled
 
 # The default number of hits and the default mode.
 TOP_K = 5
@@ -77,6 +78,7 @@ def search(
     metric: str = "l2",
     load_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
     text: str = "preview",
+    degrade: bool = False,
 ) -> DataFrame:
     """Search hits with their context: query_id, rank, turn_id, score, preview,
     session_id, timestamp_ms, role.
@@ -84,6 +86,8 @@ def search(
     queries: query_id, text, and optionally q8 where the queries are vectors already.
     ``filter_order="pre"`` filters before the cut to k. ``"post"`` filters after it
     (keyword search: time before, role after), and may return fewer hits.
+    ``degrade`` computes the two sides of a hybrid search at once and goes on with one if the
+    other fails (an encoder that can't be loaded, say); the failure is logged.
     """
     if filter_order not in ("pre", "post"):
         raise ValueError(f"unknown filter order: {filter_order}")
@@ -95,20 +99,34 @@ def search(
     elif mode == "semantic":
         ranked = semantic_hits(turns, vectors, queries, k, filters, filter_order, metric, load_encoder)
     elif mode == "hybrid":
-        lists = []
+        sides = []
         if vectors is not None:
-            lists.append(semantic_hits(turns, vectors, queries, k, filters, filter_order, metric, load_encoder))
+            sides.append(lambda: semantic_hits(turns, vectors, queries, k, filters, filter_order, metric, load_encoder))
         if index is not None:
-            lists.append(keyword_hits(turns, index, queries, k, filters, filter_order))
-        if not lists:
+            sides.append(lambda: keyword_hits(turns, index, queries, k, filters, filter_order))
+        if not sides:
             raise ValueError("hybrid search needs an index or vectors")
-        ranked = rrf_fuse(lists, k)
+        ranked = rrf_fuse(_working(sides) if degrade else [side() for side in sides], k)
     else:
         raise ValueError(f"unknown mode: {mode}")
     few = rows is not None and len(rows) * k <= BROADCAST_HITS
     return with_context(ranked, turns, few, text)
 
 
+def _working(sides: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """The hits of the sides that can be computed; the last failure is raised if none can."""
+    lists, failure = [], None
+    for side in sides:
+        try:
+            lists.append(durable(side(), "hits"))
+        except Exception as error:  # whatever an encoder or an index raises
+            logging.getLogger(__name__).warning("one side of a hybrid search failed: %s", error)
+            failure = error
+    if not lists:
+        raise failure
+    return lists
+
+
 def with_context(ranked: DataFrame, turns: DataFrame, few_hits: bool, text: str = "preview") -> DataFrame:
     """Join hits with their turns. A number of hits that is known to be small travels
     to the turns; otherwise both sides meet by turn_id."""

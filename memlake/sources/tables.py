@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A stored table, or some of its columns; a profile column is text."""
+    table = read_by_profile(spark, path)
+    return table.select(*columns) if columns else table
+
+
 def write_by_profile(df: DataFrame, path: str, cluster_by: list[str], mode: str = "overwrite") -> None:
     """One folder per profile. Rebalancing splits a large profile into tasks and
     files of even size. Within a file rows are sorted, so that filters on

@@ -177,6 +177,21 @@ def test_excluded_and_prefix_terms_reach_the_scan(spark):
         assert scans and all("bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
 
 
+def test_a_failing_side_is_left_out(spark):
+    def load():
+        raise OSError("no model here")
+
+    turns = fx.turns(spark, SF_DIR)
+    index = kw.build_index(turns, "content", ("timestamp_ms", "role"))
+    stored = vec.quantized(vec.embed_texts(turns.limit(20).select("turn_id", "content"))).select("turn_id", "q8")
+    queries = queries_of(spark, "the")
+    found = search(turns, queries, index, stored, "hybrid", load_encoder=load, degrade=True)
+    alone = search(turns, queries, index, None, "hybrid")
+    assert rows(found) == rows(alone) and found.count() == 5
+    with pytest.raises(Exception, match="no model here"):
+        search(turns, queries, None, stored, "hybrid", load_encoder=load, degrade=True)
+
+
 def test_scratch_is_dropped(spark):
     path = fresh_path(spark, "gone")
     spark.range(3).write.parquet(path)
