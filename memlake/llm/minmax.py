@@ -181,27 +181,39 @@ def _alike_sizes(params: MinMaxParams) -> Column:
     return small * 100 >= large * params.percent
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, params: MinMaxParams) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: _Sets, params: MinMaxParams) -> DataFrame:
     """The pairs (a, b) of classes that reach the similarity on their full sets."""
     sized = _with_class(_with_class(pairs, classes, "a", "n", "sketch"), classes, "b", "n", "sketch")
     sized = sized.where(_alike_sizes(params))
     pairs = durable(likely(sized, params), "likely-pairs")
 
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-    sets = _sets(asked, classes, docs, params)
+    known = sets.of(asked)
 
     # b is the centre of a star and may be in very many pairs: it comes last and is sent once per task.
-    joined = _with_class(_with_class(pairs, sets, "a", "shingles"), sets, "b", "shingles")
+    joined = _with_class(_with_class(pairs, known, "a", "shingles"), known, "b", "shingles")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - common
     return joined.where(common * 100 >= union * params.percent).select("a", "b")
 
 
-def _sets(asked: DataFrame, classes: DataFrame, docs: DataFrame, params: MinMaxParams) -> DataFrame:
-    """(digest, shingles) of the classes asked for, from the text of their first document."""
-    wanted = classes.join(asked, "digest", "left_semi").select("digest", F.col("rep").alias("doc_id"))
-    texts = docs.join(wanted, "doc_id").select("digest", "text")
-    return durable(shingle_sets(texts, params.width).dropDuplicates(["digest"]), "shingle-sets")
+class _Sets:
+    """(digest, shingles) of the classes asked for so far, each made once from the text of its first document."""
+
+    def __init__(self, classes: DataFrame, docs: DataFrame, params: MinMaxParams) -> None:
+        self.classes, self.docs, self.params = classes, docs, params
+        self.made: DataFrame | None = None
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """Sets of at least the classes ``asked`` (digest, distinct)."""
+        new = asked if self.made is None else asked.join(self.made.select("digest"), "digest", "left_anti")
+        wanted = self.classes.join(new, "digest", "left_semi").select("digest", F.col("rep").alias("doc_id"))
+        wanted = durable(wanted, "wanted-sets")
+        if self.made is None or not wanted.isEmpty():
+            texts = self.docs.join(wanted, "doc_id").select("digest", "text")
+            found = durable(shingle_sets(texts, self.params.width).dropDuplicates(["digest"]), "shingle-sets")
+            self.made = found if self.made is None else self.made.unionByName(found)
+        return self.made
 
 
 def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
@@ -239,6 +251,7 @@ def _component_labels(docs: DataFrame, classes: DataFrame, params: MinMaxParams)
     banded = durable(banded.join(durable(shared, "shared-bands"), "band"), "banded")
 
     links = tested = labels = None
+    sets = _Sets(classes, docs, params)
     for turn in range(params.star_rounds + 1):
         members = banded if labels is None else durable(_open_members(banded, labels), "open-members")
         if labels is not None and members.isEmpty():
@@ -249,9 +262,9 @@ def _component_labels(docs: DataFrame, classes: DataFrame, params: MinMaxParams)
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = durable(pairs, "pairs")
             tested = pairs if tested is None else tested.unionByName(pairs)
-            found = durable(confirmed(pairs, classes, docs, params), "links")
+            found = durable(confirmed(pairs, classes, sets, params), "links")
         else:
-            found = durable(_cross_links(members, classes, docs, params), "links")
+            found = durable(_cross_links(members, classes, sets, params), "links")
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links).select(F.col("node").alias("digest"), F.col("component").alias("label"))
         labels = durable(labels, "labels")
@@ -278,7 +291,7 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     return met.where(apart).select(F.col("digest").alias("a"), F.col("centre").alias("b"))
 
 
-def _cross_links(members: DataFrame, classes: DataFrame, docs: DataFrame, params: MinMaxParams) -> DataFrame:
+def _cross_links(members: DataFrame, classes: DataFrame, sets: _Sets, params: MinMaxParams) -> DataFrame:
     """Links between members of a bucket in different components, each proved on full sets.
 
     The members outside a bucket's largest component meet all members. Where they are at most
@@ -300,9 +313,9 @@ def _cross_links(members: DataFrame, classes: DataFrame, docs: DataFrame, params
         blocks(F.col("all")).alias("many"),
     )
     placed = durable(sized.join(durable(shape, "bucket-shapes"), "band"), "placed-members")
-    listed = confirmed(durable(_listed_pairs(placed.where("listed")), "pairs"), classes, docs, params)
+    listed = confirmed(durable(_listed_pairs(placed.where("listed")), "pairs"), classes, sets, params)
     large = placed.where(~F.col("listed"))
-    return listed if large.isEmpty() else listed.unionByName(_block_links(large, classes, docs, params))
+    return listed if large.isEmpty() else listed.unionByName(_block_links(large, sets, params))
 
 
 def _listed_pairs(placed: DataFrame) -> DataFrame:
@@ -312,8 +325,8 @@ def _listed_pairs(placed: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _block_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, params: MinMaxParams) -> DataFrame:
-    sets = _sets(placed.select("digest").distinct(), classes, docs, params)
+def _block_links(placed: DataFrame, sets: _Sets, params: MinMaxParams) -> DataFrame:
+    known = sets.of(placed.select("digest").distinct())
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     drawn = lambda n, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.col(n)).cast("int")
     parts = []
@@ -322,7 +335,7 @@ def _block_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, params:
         (placed, every("few"), drawn("many", 2)),
     ):
         part = rows.select("band", "digest", "label", i.alias("i"), j.alias("j"))
-        part = part.join(sets, "digest").select("band", "i", "j", "digest", "label", "shingles")
+        part = part.join(known, "digest").select("band", "i", "j", "digest", "label", "shingles")
         parts.append(part.toDF(*[f"{c}_{len(parts)}" for c in part.columns]))
     outer, inner = parts
     percent = params.percent
