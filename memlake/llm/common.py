@@ -83,3 +83,34 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for i in range(1, width):
         mixed = mix64(mixed * _GOLDEN + words[i : i + count])
     return mixed
+
+
+def filter_places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each value (unsigned 64-bit) in a bit filter of ``bits`` (a power of two)."""
+    mask = np.uint64(bits - 1)
+    return mix64(values ^ _GOLDEN) & mask, mix64(values) & mask
+
+
+def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The bits of all values of a long column; at most ``bits`` / 64 numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("value").to_numpy().view(np.uint64)
+            places = np.unique(np.concatenate(filter_places(own, bits)))
+            set_bits = (np.uint64(1) << (places & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array(set_bits)], names=["word", "bits"])
+
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("value"))
+    made = values.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def passes_filter(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Whether each value may be among those of the filter; no value of them is refused."""
+    ok = np.ones(len(values), bool)
+    for places in filter_places(values, len(filled) * 64):
+        ok &= (filled[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1) == 1
+    return ok

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WordHashes, map_pieces, mix64, shingle_hashes
+from memlake.llm.common import WordHashes, bit_filter, map_pieces, mix64, passes_filter, shingle_hashes
 from memlake.llm.components import connected_components
 from memlake.session import durable
 
@@ -31,6 +31,8 @@ from memlake.session import durable
 BLOCK_SHINGLES = 1_000_000
 # Members outside a bucket's largest component up to which its pairs are listed.
 FEW_OUTSIDE = 8
+# Size of the filter that names documents to a scan, for up to an eighth as many (a power of two).
+FILTER_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -132,22 +134,26 @@ def signatures(docs: DataFrame, params: MinMaxParams, text: str = "text", doc_id
     )
 
 
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(digest, text) to (digest, shingles); texts that don't belong to the digest are left out."""
+def shingle_sets(texts: DataFrame, width: int, filled: np.ndarray | None = None) -> DataFrame:
+    """(digest, shingles) of all texts, or of those whose doc_id may be in the filter."""
+    sent = texts.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), sent.value
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 piece = batch.slice(start, 64)
+                if bits is not None:
+                    ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    piece = piece.filter(pa.array(passes_filter(ids, bits)))
                 found = [shingle_set(t.as_py(), width, hashes) for t in piece.column("text")]
-                kept = [(d.as_py(), s.view(np.int64)) for d, s in zip(piece.column("digest"), found) if digest(s) == d.as_py()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for d, _ in kept], pa.binary()), pa.array([s for _, s in kept], pa.list_(pa.int64()))],
+                    [pa.array([digest(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
                     names=["digest", "shingles"],
                 )
 
-    return texts.mapInArrow(run, "digest binary, shingles array<long>")
+    known = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return known.mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def likely(pairs: DataFrame, params: MinMaxParams) -> DataFrame:
@@ -209,9 +215,16 @@ class _Sets:
         new = asked if self.made is None else asked.join(self.made.select("digest"), "digest", "left_anti")
         wanted = self.classes.join(new, "digest", "left_semi").select("digest", F.col("rep").alias("doc_id"))
         wanted = durable(wanted, "wanted-sets")
-        if self.made is None or not wanted.isEmpty():
-            texts = self.docs.join(wanted, "doc_id").select("digest", "text")
-            found = durable(shingle_sets(texts, self.params.width).dropDuplicates(["digest"]), "shingle-sets")
+        count = wanted.count()
+        if self.made is None or count:
+            if count <= FILTER_BITS // 8:
+                # The texts are told apart where they are read; none is shuffled.
+                found = shingle_sets(self.docs, self.params.width, bit_filter(wanted, "doc_id", FILTER_BITS))
+            else:
+                found = shingle_sets(self.docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), self.params.width)
+            # Rows of the same id with another text fall away here.
+            found = found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+            found = durable(found, "shingle-sets")
             self.made = found if self.made is None else self.made.unionByName(found)
         return self.made
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WordHashes, free_name, mix64, shingle_hashes
+from memlake.llm.common import WordHashes, bit_filter, free_name, passes_filter, shingle_hashes
 from memlake.session import durable
 
 
@@ -139,41 +139,13 @@ def _seed_rows(items: DataFrame, width: int) -> DataFrame:
     return items.select("entry", "words").mapInArrow(run, "entry string, seed long, times long")
 
 
-def _bits_of(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the filter."""
-    mask = np.uint64(bits - 1)
-    return seeds & mask, mix64(seeds) & mask
-
-
-def _filter(seeds: DataFrame, params: TilingParams) -> np.ndarray:
-    """The bits of all seeds; ``filter_bits`` / 64 numbers at most reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("seed").to_numpy().view(np.uint64)
-            places = np.unique(np.concatenate(_bits_of(own, params.filter_bits)))
-            bits = (np.uint64(1) << (places & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array(bits)], names=["word", "bits"])
-
-    made = seeds.select("seed").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(params.filter_bits // 64, np.uint64)
-    out[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _kept_words(docs: DataFrame, filled: np.ndarray, widths: list[int], params: TilingParams) -> DataFrame:
+def _kept_words(docs: DataFrame, filled: np.ndarray, widths: list[int]) -> DataFrame:
     """text_key, seeds, places, words of the texts with words inside runs that pass the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = WordHashes(), sent.value
 
-        def passes(seeds: np.ndarray) -> np.ndarray:
-            ok = np.ones(len(seeds), bool)
-            for places in _bits_of(seeds, params.filter_bits):
-                ok &= (bits[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1) == 1
-            return ok
-
         for batch in batches:
             rows = []
             for key, text in zip(batch.column("text_key"), batch.column("text")):
@@ -183,7 +155,7 @@ def _kept_words(docs: DataFrame, filled: np.ndarray, widths: list[int], params:
                     if len(words) < width:
                         continue
                     runs = shingle_hashes(words, width)
-                    hits = np.flatnonzero(passes(runs))
+                    hits = np.flatnonzero(passes_filter(runs, bits))
                     seeds.append(runs[hits])
                     np.add.at(inside, hits, 1)
                     np.add.at(inside, hits + width, -1)
@@ -242,8 +214,8 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, params: TilingParams =
     widths = sorted({r["w"] for r in known.select(F.least(F.size("words"), F.lit(params.width)).alias("w")).distinct().collect()})
 
     keyed = docs.select(text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    filled = _filter(seeds, params)
-    kept = _kept_words(keyed, filled, widths, params)
+    filled = bit_filter(seeds, "seed", params.filter_bits)
+    kept = _kept_words(keyed, filled, widths)
     kept = durable(kept.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("seeds", "places", "words")]), "kept-words")
 
     sized = known.select("entry", "item_id", F.col("words").alias("item"), F.size("words").alias("n_item_words"))

@@ -74,6 +74,13 @@ def test_against_brute_force(spark, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_texts_by_join_give_the_same_links(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "FILTER_BITS", 64)
+    rows = corpus(4)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 2)
+
+
 def test_blocks_give_the_same_links(spark, monkeypatch):
     """Without star rounds and with tiny blocks every link comes from the block comparison."""
     monkeypatch.setattr(minmax, "FEW_OUTSIDE", 0)
