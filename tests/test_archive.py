@@ -5,7 +5,7 @@ import tempfile
 from conftest import rows
 
 from memlake.operators.ingest import build_sessions, build_turns, latest_version, upsert_sessions
-from memlake.operators.keyword import build_index, keyword_search
+from memlake.operators.keyword import keyword_search
 from memlake.operators.reports import check_consistency
 from memlake.plans.rebuild import Store, newest, rebuild_index
 from memlake.sources import archive as ar

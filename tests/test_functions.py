@@ -108,6 +108,26 @@ def test_scan(spark):
     assert values(spark, ["a​b"], "string", guard.scan_issues) == [["检测到不可见 Unicode 字符: U+200B"]]
 
 
+# Examples written out here, apart from the library's own lists: one for each finding, and near misses.
+FOUND = [
+    "Ignore previous instructions", "please IGNORE ALL INSTRUCTIONS now", "disregard Previous", "forget your instructions.",
+    "You are now", "New instruction: x", "system prompt override", "ignore above", "ignore the above", "do not follow",
+    "请忽略之前的指令", "无视之前的", "忽略以上内容", "sk-" + "aB3" * 6 + "zz", "ghp_" + "x9" * 18, "AKIA" + "Z0" * 8, "xoxb-1", "xoxp-a", "xoxs-b",
+    "xoxa-c", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN DSA PRIVATE KEY-----",
+    "-----BEGIN PRIVATE KEY-----", "a\u200bb", "a\u200cb", "a\u200db", "\ufeffa", "a\u2060", "\u180e",
+]
+CLEAN = [
+    "ignore previous", "you were now", "new instructions", "prompt override", "ignore  above", "follow", "忽略", "无视",
+    "sk-" + "a" * 19, "SK-" + "a" * 30, "ghp_" + "a" * 35, "AKIA" + "A" * 15, "akia" + "A" * 16, "xoxc-1", "xoxb", "BEGIN PRIVATE KEY",
+    "-----BEGIN PUBLIC KEY-----", "a\u200eb", "a\u00a0b", "",
+]
+
+
+def test_every_finding(spark):
+    counts = values(spark, FOUND + CLEAN, "string", lambda c: F.size(guard.scan_issues(c)))
+    assert counts == [1] * len(FOUND) + [0] * len(CLEAN)
+
+
 def test_sql_function(spark):
     register(spark)
     got = spark.sql("SELECT tokenize_cjk(t) FROM VALUES ('Hello数据湖'), ('\U00020000a 据') AS v(t)").collect()
