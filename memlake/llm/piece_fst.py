@@ -41,7 +41,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNKNOWN_PENALTY = 10.0
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 350_000, 500_000, 48
+PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 250_000, 300_000, 48
 PIECE_ROWS = 64
 
 
@@ -261,6 +261,10 @@ class PieceModel:
                 self.paths[word] = found
         return found
 
+    def forget(self) -> None:
+        """Give up the kept paths; arcs and lexicon stay for the worker's next task."""
+        self.paths, self.older = {}, {}
+
     def encode(self, text: str) -> array:
         text = self.normalise(text)
         words = self.parts.findall(text) if self.parts else [text][: len(text)]
@@ -314,6 +318,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "tex
                 counts = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())
                 columns = [piece.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, lists, counts, pa.array(exact, pa.bool_())], names=[*kept, "ids", "n_ids", "round_trip"])
+        model.forget()
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(source_name))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema.fields)
