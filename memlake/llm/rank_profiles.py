@@ -26,7 +26,7 @@ LENGTH = 300
 UNDECIDED = "und"
 NONE = np.int64((1 << 21) - 1)
 # n-grams a task counts at a time, and distinct ones it holds before it gives them out.
-GRAMS_AT_ONCE, GRAMS_HELD = 2_000_000, 1_000_000
+GRAMS_AT_ONCE, GRAMS_HELD = 500_000, 1_000_000
 
 _letters: list[np.ndarray] = []
 
