@@ -45,10 +45,6 @@ PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 250_000, 300_000, 48
 PIECE_ROWS = 64
 
 
-# The model a Python worker used last; workers serve many tasks.
-_compiled: dict = {}
-
-
 class PieceModel:
     """Encoder and decoder compiled from the bytes of a model file."""
 
@@ -261,10 +257,6 @@ class PieceModel:
                 self.paths[word] = found
         return found
 
-    def forget(self) -> None:
-        """Give up the kept paths; arcs and lexicon stay for the worker's next task."""
-        self.paths, self.older = {}, {}
-
     def encode(self, text: str) -> array:
         text = self.normalise(text)
         words = self.parts.findall(text) if self.parts else [text][: len(text)]
@@ -279,16 +271,12 @@ class PieceModel:
 
 
 def shipped(spark: SparkSession, model_path: str) -> Callable[[], PieceModel]:
-    """The model file, read once by the driver and sent to the tasks; compiled once per worker."""
+    """The model file, read once by the driver and sent to the tasks; compiled, and given up, by each task."""
     with open(model_path, "rb") as file:
         content = spark.sparkContext.broadcast(file.read())
 
     def compiled() -> PieceModel:
-        key = hash(content.value)
-        if key not in _compiled:
-            _compiled.clear()
-            _compiled[key] = PieceModel(content.value)
-        return _compiled[key]
+        return PieceModel(content.value)
 
     return compiled
 
@@ -318,7 +306,6 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL_PATH, text: str = "tex
                 counts = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int64())
                 columns = [piece.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, lists, counts, pa.array(exact, pa.bool_())], names=[*kept, "ids", "n_ids", "round_trip"])
-        model.forget()
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(source_name))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema.fields)
