@@ -54,7 +54,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words (bytes), kept in a dictionary of bounded size."""
 
-    def __init__(self, most: int = 200_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
