@@ -252,12 +252,17 @@ def minimised(dfa: Dfa) -> Dfa:
 
 @dataclass(frozen=True)
 class Rule:
-    """``least`` is the length from which a match counts; a shorter one still takes its place."""
+    """``least`` is the length from which a match counts; a shorter one still takes its place.
+
+    ``opening`` is a leading part of the expression after which the rest may be empty: a match begins
+    where it does, so the backward automaton needs no more of the rule.
+    """
 
     kind: str
     expression: str
     either_case: str = ""
     least: int = 1
+    opening: str = ""
 
     def tree(self):
         """``either_case`` is the leading part of the expression whose letters match in either case."""
@@ -266,6 +271,11 @@ class Rule:
         head = Parser(self.either_case, True).parse()
         return ("cat", [head, Parser(self.expression[len(self.either_case) :]).parse()])
 
+    def opening_tree(self):
+        if not self.expression.startswith(self.opening):
+            raise ValueError("opening must be the beginning of the expression")
+        return Parser(self.opening).parse() if self.opening else self.tree()
+
 
 class Scanner:
     """All rules in one automaton; ``scan`` gives (rule, start, end) in bytes."""
@@ -273,7 +283,7 @@ class Scanner:
     def __init__(self, rules: list[Rule]) -> None:
         trees = [rule.tree() for rule in rules]
         self.least = [rule.least for rule in rules]
-        back = minimised(subset_construction([reverse(t) for t in trees], anywhere=True))
+        back = minimised(subset_construction([reverse(rule.opening_tree()) for rule in rules], anywhere=True))
         # States that begin a match get the highest numbers: the inner loop makes one comparison.
         order = sorted(range(len(back.accepts)), key=lambda s: back.accepts[s] > 0)
         place = {s: i for i, s in enumerate(order)}

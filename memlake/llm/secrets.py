@@ -16,6 +16,15 @@ from memlake.llm.automaton import Rule, Scanner
 _KEY = r"""(password|passwd|secret|token|api_?key)"""
 _VALUE = r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 
+# A private key from its header to its END line: what lies between has no five dashes in a row. Without an
+# END line it goes to the end of the body: fields of the header, then base64, blanks, line breaks and written ones (\n).
+_LABEL = r"([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?-----"
+_UNDASHED = r"(-?-?-?-?[^-])*"
+_FIELD = r"(Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):(-?-?-?-?[^\r\n-])*[\r\n]"
+_FLAT_FIELD = r"(Proc-Type:\x20*[0-9]+,[A-Z]+|DEK-Info:\x20*[A-Z0-9]+(-[A-Z0-9]+)*(,[0-9A-Fa-f]+)?)[\x09-\x0D\x20\\]"
+_BODY = rf"([\x09-\x0D\x20\\nr]*({_FIELD}|{_FLAT_FIELD}))*[A-Za-z0-9+/=\x09-\x0D\x20\\]*"
+_HEADER = f"-----BEGIN {_LABEL}"
+
 # The three base rules, then token shapes that their issuers publish. Lengths are checked
 # after matching: counting them in the automaton would multiply its states.
 BASE_RULES = [
@@ -28,7 +37,7 @@ MORE_RULES = [
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("google", "AIza[A-Za-z0-9_-]+", least=39),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", least=40),
-    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", f"{_HEADER}({_UNDASHED}-----END {_LABEL}|{_BODY})", opening=_HEADER),
 ]
 RULES = BASE_RULES + MORE_RULES
 
@@ -59,12 +68,11 @@ def find_secrets(scanner: Scanner, text: str) -> list[Span]:
     found.sort()
     if len(raw) == len(text):
         return [Span(rule, start, end) for start, rule, end in found]
-    # Matches are ASCII, so only what lies before them counts.
     spans, at, chars = [], 0, 0
     for start, rule, end in found:
         chars += len(raw[at:start].decode())
         at = start
-        spans.append(Span(rule, chars, chars + end - start))
+        spans.append(Span(rule, chars, chars + len(raw[start:end].decode())))
     return spans
 
 
