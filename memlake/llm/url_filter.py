@@ -2,20 +2,20 @@
 
 Aliases are the addresses that redirects and canonical links connect: a page's address and its
 normal form (what servers redirect to: no www or m host, no fragment, tracking parameters,
-index page or closing slash), the target of its canonical link, and of its refresh. A page
+index page or closing slash), the targets of its canonical links, and of its refresh. A page
 without a rule of its own is blocked if an address of its component is blocked by a rule
 and none is explicitly allowed. Built-in expressions, joins and aggregates only.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.components import connected_components
-from memlake.llm.licenses import lower_ascii
 from memlake.session import durable
 
 HOST_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -50,7 +50,9 @@ RULES = [
 
 
 def host_of(url: Column) -> Column:
-    return lower_ascii(F.regexp_extract(F.coalesce(url, F.lit("")), HOST_PATH, 1))
+    """The host with A-Z, and no other letters, lower-cased."""
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), HOST_PATH, 1)
+    return F.translate(host, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def path_of(url: Column) -> Column:
@@ -76,24 +78,51 @@ def normal_form(url: Column) -> Column:
     return F.when(host != "", whole)
 
 
+def _without_dots(path: Column) -> Column:
+    """``path`` (from its first slash on) with the segments ``.`` and ``..`` carried out."""
+
+    def add(done: Column, segment: Column) -> Column:
+        shorter = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment == "..", shorter).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    segments = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), add)
+    # A path that ends in a dot segment names a folder.
+    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(path)
+
+
 def _target(url: Column, link: Column) -> Column:
-    """``link`` as a whole address; null if there is none or it is relative to the page's folder."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    """``link`` on the page ``url`` as a whole address; null if there is none or it is no address (``mailto:``)."""
+    scheme = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit(":"))
+    site = F.concat(scheme, F.lit("//"), host_of(url))
+    own, folder = path_of(url), F.regexp_extract(path_of(url), r"(?s)^(.*/)[^/]*$", 1)
+    path, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)[?#].*$", 0)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
     return (
-        F.when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when((link == "") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(site, _without_dots(path), rest))
+        .when(link.startswith("?"), F.concat(site, own, link))
+        .when(link.startswith("#"), F.concat(site, own, query, link))
+        .otherwise(F.concat(site, _without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), rest))
     )
 
 
+def _decoded(tag: Column) -> Column:
+    """``tag`` with ``&`` for its written forms: an address of several parameters holds them."""
+    return F.regexp_replace(tag, r"&(?:[aA][mM][pP]|#0*38|#[xX]0*26);", "&")
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b) of addresses: page to normal form, and page to normal targets with these to their normal form."""
     url, html = F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1)
-    found = pages.where(url.contains("://")).select(
-        url.alias("a"), F.array(normal_form(url), _target(url, canonical), _target(url, refresh)).alias("targets")
-    )
+    canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda tag: F.regexp_extract(_decoded(tag), HREF, 1))
+    refresh = F.regexp_extract(_decoded(F.regexp_extract(html, REFRESH, 0)), REFRESH_URL, 1)
+    links = F.array_distinct(F.concat(canonical, F.array(refresh)))
+    found = pages.where(url.contains("://")).select(url.alias("a"), F.array(normal_form(url)).alias("own"), links.alias("links"))
+    found = found.select("a", F.concat("own", F.transform("links", lambda link: _target(F.col("a"), link))).alias("targets"))
     edges = found.select("a", F.explode("targets").alias("b")).where(F.col("b").isNotNull())
     targets = edges.select(F.col("b").alias("a"), normal_form(F.col("b")).alias("b")).where(F.col("b").isNotNull())
     return edges.unionByName(targets).where(F.col("a") != F.col("b")).distinct()
