@@ -8,13 +8,15 @@ plain text of the page. Everything is a column expression over one row: nothing
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WARC_VERSION = "WARC/1.1"
 CRLF = "\r\n"
 
-# What HTML writes for characters, most special last.
+# What HTML often writes for characters; ``&amp;`` comes after all others.
 ENTITIES = [
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -24,24 +26,72 @@ ENTITIES = [
     ("&nbsp;", " "),
     ("&copy;", "©"),
     ("&middot;", "·"),
-    ("&amp;", "&"),
 ]
+AMP = "&amp;"
+# All others: a reference is decoded where it ends with a semicolon.
+REFERENCE = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+RARE = r"&(?!amp;)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# Blanks and line breaks of the source are blanks of the text.
+NAMED = {name[:-1]: char for name, char in html5.items() if name.endswith(";")} | {"nbsp": " ", "NonBreakingSpace": " ", "Tab": " ", "NewLine": " "}
+# Numbers from 128 to 159 mean the characters of Windows-1252, where it has one.
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
 
 # Elements that are never shown, comments and control characters, then any other tag.
 UNSEEN = (
-    r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>|[\x00-\x1F]+"
+    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>|[\x00-\x1F]+"
 )
-BLOCK_TAG = r"</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|blockquote|pre)\b[^>]*>"
+BLOCK_TAG = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|blockquote|pre)\b[^>]*>"
 ANY_TAG = r"<[a-zA-Z/!?][^>]*>"
 
 
+def _table(pairs: dict) -> Column:
+    """A constant map, written as one text."""
+    return F.str_to_map(F.lit("\x02".join(f"{name}\x01{char}" for name, char in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def _numbered(name: Column) -> Column:
+    """The character of ``#8217`` or ``#x2019``; numbers that are no character give U+FFFD."""
+    hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+    digits = F.regexp_replace(F.when(hexadecimal, F.substr(name, F.lit(3))).otherwise(F.substr(name, F.lit(2))), "^0+(?=.)", "")
+    number = F.when(F.length(digits) <= 8, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+    refused = number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    # As UTF-8: two, three or four bytes from 128 on.
+    tail = lambda shift: F.shiftright(number, shift).bitwiseAND(0x3F) + 0x80
+    lead = lambda shift, mark: F.shiftright(number, shift) + mark
+    octets = lambda *parts: F.concat(*[F.lpad(F.hex(x), 2, "0") for x in parts])
+    code = (
+        F.when(number < 0x80, octets(number))
+        .when(number < 0x800, octets(lead(6, 0xC0), tail(0)))
+        .when(number < 0x10000, octets(lead(12, 0xE0), tail(6), tail(0)))
+        .otherwise(octets(lead(18, 0xF0), tail(12), tail(6), tail(0)))
+    )
+    windows = F.nullif(F.element_at(_table(WINDOWS), number.cast("string")), F.lit(""))
+    char = F.coalesce(F.when(number.between(128, 159), windows), F.decode(F.unhex(code), "UTF-8"))
+    return F.when(refused, F.lit("\ufffd")).when((number < 0x20) | (number == 0xA0), F.lit(" ")).otherwise(char)
+
+
+def decoded(text: Column) -> Column:
+    """``text`` with every reference to a character decoded once; unknown names stay."""
+    for written, char in ENTITIES:
+        text = F.replace(text, F.lit(written), F.lit(char))
+
+    def part(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        char = F.when(name.startswith("#"), _numbered(name)).when(name != "", F.element_at(_table(NAMED), name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, F.substr(piece, F.length(name) + 2)))
+
+    pieces = F.split(text, "&", -1)
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), part)
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+    return F.when(text.rlike(RARE), whole).otherwise(F.replace(text, F.lit(AMP), F.lit("&")))
+
+
 def plain_text(html: Column) -> Column:
     """The visible text: one line per block, runs of blanks as one, no empty lines; null for null."""
     text = F.regexp_replace(html, UNSEEN, " ")
     text = F.regexp_replace(text, BLOCK_TAG, "\n")
     text = F.regexp_replace(text, ANY_TAG, "")
-    for written, char in ENTITIES:
-        text = F.replace(text, F.lit(written), F.lit(char))
+    text = decoded(text)
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return F.btrim(F.regexp_replace(text, "  +", " "), F.lit(" \n"))
 
