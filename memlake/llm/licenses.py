@@ -1,10 +1,11 @@
 """License notices by an exact set-similarity join of text blocks and templates.
 
-A block is a window of words; a block holds a template if it has at least ``percent`` of the template's
-distinct words. Words are ordered by their frequency in the whole corpus, rarest first. A block
-that holds a template shares one of the template's first (rarest) words, so only those join; the
-numbers of words and the places of the shared word in both ordered lists then bound the overlap,
-and what is left is verified on the full sets.
+A block is a window of words that begins at any word; a block holds a template if it has at least
+``percent`` of the template's distinct words. Words are ordered by their frequency in the whole
+corpus, rarest first. A block that holds a template shares one of the template's first (rarest)
+words, so only the surroundings of those join; the numbers of words and the places of the shared
+word in both ordered lists then bound the overlap, and what is left is verified on every block
+around the shared word.
 
 One scan splits the texts and keeps the places of words that occur in any template; the rest works
 on these places. Built-in expressions only.
@@ -41,12 +42,12 @@ TEMPLATES = [
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A hit is place * CODES + number of the word.
-CODES = 128
+CODES = 1 << 20
 
 
 @dataclass(frozen=True)
 class LicenseParams:
-    """Blocks of ``window`` words begin at every ``window // 2`` words: what spans at most half a window is in one."""
+    """A block spans ``window`` words, or twice a template's distinct words if these are more."""
 
     percent: int = 80
     window: int = 32
@@ -102,15 +103,26 @@ def phrase_places(phrase: list[int]) -> Column:
     return F.transform(F.filter("hits", starts), lambda hit: F.floor(hit / CODES))
 
 
-def _blocks(hits: DataFrame, window: int, order: Column) -> DataFrame:
-    """(text_key, block, words): the distinct template words of every block, rarest first, as places in the order."""
-    half = window // 2
-    place = F.floor(F.col("hit") / CODES)
-    part = F.floor(place / half)
-    rows = hits.select("text_key", F.explode("hits").alias("hit"))
-    rows = rows.select("text_key", order[(F.col("hit") % CODES).cast("int")].alias("word"), part.alias("part"))
-    rows = rows.select("text_key", "word", F.explode(F.array(F.col("part"), F.greatest(F.col("part") - 1, F.lit(0)))).alias("block"))
-    return rows.groupBy("text_key", "block").agg(F.sort_array(F.collect_set("word")).alias("words"))
+def _surroundings(texts: DataFrame, leading: list[int], reach: int, order: Column) -> DataFrame:
+    """(text_key, hit, near): occurrences of ``leading`` words with the hits less than ``reach`` words away, numbered by the order."""
+
+    def around(hit: Column, i: Column) -> Column:
+        near = F.slice("hits", F.greatest(i - (reach - 1), F.lit(0)) + 1, F.lit(2 * reach - 1))
+        return F.when((hit % CODES).isin(leading), F.struct(hit.alias("hit"), near.alias("near")))
+
+    ranked = lambda hit: hit - hit % CODES + F.get(order, (hit % CODES).cast("int"))
+    found = texts.select("text_key", F.explode(F.filter(F.transform("hits", around), lambda x: x.isNotNull())).alias("found"))
+    return found.select("text_key", ranked(F.col("found.hit")).alias("hit"), F.transform("found.near", ranked).alias("near"))
+
+
+def _words(hits: Column) -> Column:
+    return F.array_distinct(F.transform(hits, lambda hit: (hit % CODES).cast("int")))
+
+
+def _largest_overlap(hit: Column, near: Column, span: Column) -> Column:
+    """The most different words of ``near`` in a block of ``span`` words that holds ``hit``."""
+    inside = lambda start: F.filter(near, lambda h: (h >= start) & (F.floor(h / CODES) < F.floor(start / CODES) + span))
+    return F.array_max(F.transform(F.filter(near, lambda h: h <= hit), lambda start: F.size(_words(inside(start)))))
 
 
 def held_templates(hits: DataFrame, templates: list[tuple[str, str]], params: LicenseParams) -> DataFrame:
@@ -126,24 +138,28 @@ def held_templates(hits: DataFrame, templates: list[tuple[str, str]], params: Li
 
     sets = [sorted({rank[words.index(w)] for w in text.split()}) for _, text in templates]
     needs = [-(-len(s) * params.percent // 100) for s in sets]
+    spans = [max(params.window, 2 * len(s)) for s in sets]
     index = [
-        (word, number, templates[number][0], place, len(own), needs[number], own)
+        (word, number, templates[number][0], place, len(own), needs[number], spans[number], own)
         for number, own in enumerate(sets)
         for place, word in enumerate(own[: len(own) - needs[number] + 1])
     ]
-    schema = "word int, template int, label string, place int, size int, need int, whole array<int>"
+    schema = "word int, template int, label string, place int, size int, need int, span int, whole array<int>"
     prefixes = F.broadcast(spark.createDataFrame(index, schema))
 
     leading = [ranked[word] for word in sorted({row[0] for row in index})]
     with_prefix = hits.where(F.exists("hits", lambda hit: (hit % CODES).isin(leading)))
     # Equal texts are compared once.
     texts = with_prefix.groupBy("text_key").agg(F.first("hits").alias("hits"))
-    blocks = _blocks(texts, params.window, order).where(F.size("words") >= min(needs))
-    shared = blocks.select("text_key", "block", "words", F.posexplode("words").alias("own_place", "word")).join(prefixes, "word")
-    before = F.least("place", "own_place")
-    after = F.least(F.col("size") - F.col("place"), F.size("words") - F.col("own_place"))
+    shared = _surroundings(texts, leading, max(spans), order).withColumn("word", (F.col("hit") % CODES).cast("int")).join(prefixes, "word")
+    distance = lambda h: F.abs(F.floor(h / CODES) - F.floor(F.col("hit") / CODES))
+    near = F.filter("near", lambda h: (distance(h) < F.col("span")) & F.array_contains("whole", (h % CODES).cast("int")))
+    shared = shared.withColumn("near", near).withColumn("words", F.sort_array(_words(F.col("near"))))
+    own_place = F.array_position("words", F.col("word")).cast("int") - 1
+    before = F.least(F.col("place"), own_place)
+    after = F.least(F.col("size") - F.col("place"), F.size("words") - own_place)
     shared = shared.where((F.size("words") >= F.col("need")) & (before + after >= F.col("need")))
-    overlap = F.size(F.array_intersect("words", "whole"))
+    overlap = _largest_overlap(F.col("hit"), F.col("near"), F.col("span"))
     found = shared.select("text_key", "label", overlap.alias("overlap"), "size", "need").where("overlap >= need")
     return found.groupBy("text_key").agg(
         F.collect_set("label").alias("labels"), F.max(F.col("overlap") / F.col("size")).alias("score")
