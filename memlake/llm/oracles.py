@@ -300,6 +300,79 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 5
 """
 
+
+def _rounds(count: int) -> str:
+    """Assignment a0, centroids c1, assignment a1, ... as common table expressions."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    steps = []
+    for i in range(count + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, v, cluster, {distance} AS distance FROM vecs CROSS JOIN c{i}
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1
+)"""
+        )
+        if i < count:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+  WITH parts AS (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{i}),
+  sums AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM parts GROUP BY cluster, i),
+  means AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM sums GROUP BY cluster)
+  SELECT cluster, coalesce(means.c, c{i}.c) AS c FROM c{i} LEFT JOIN means USING (cluster)
+)"""
+            )
+    return ", ".join(steps)
+
+
+OP11 = f"""
+WITH vecs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v AS c FROM vecs WHERE vec_id IS NOT NULL
+  QUALIFY cluster < 40
+), {_rounds(5)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)
+"""
+
+OP12 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), failing AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM texts
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), groups AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.b | b.b | c.b | d.b | e.b = 31
+), steps AS (
+  SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM orders, range(1, 6) AS r(step)
+), figures AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0)::BIGINT AS toxic_lost
+  FROM groups, steps GROUP BY part, filter_order, step, own
+)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM figures
+"""
+
 ORACLES: dict[str, str] = {
     "op3_warc_derivatives": OP3,
     "op4_license_join": OP4,
@@ -308,4 +381,6 @@ ORACLES: dict[str, str] = {
     "op7_minmax_near_dedup": OP7,
     "op9_mtree_top_products": OP9,
     "op10_rank_order_language": OP10,
+    "op11_simplex_clusters": OP11,
+    "op12_filter_survival": OP12,
 }

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import remainder, table
 from memlake.llm.ctw import score_texts
+from memlake.llm.huffman import stored_ids
 from memlake.llm.licenses import scan_licenses
 from memlake.llm.minmax import near_duplicates
 from memlake.llm.mtree import top_products, whole_vectors
 from memlake.llm.piece_fst import encode_texts
 from memlake.llm.rank_profiles import identify, language_profiles
 from memlake.llm.secrets import scan_secrets
+from memlake.llm.simplex import cluster_embeddings
+from memlake.llm.survival import audit_filters
 from memlake.llm.tiling import contaminated_documents
 from memlake.llm.url_filter import judge_urls
 from memlake.llm.warc import derivatives, responses
@@ -68,6 +71,20 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), profiles)
 
 
+def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return stored_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
     "op2_string_tiling": op2_string_tiling,
@@ -79,4 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_mtree_top_products": op9_mtree_top_products,
     "op10_rank_order_language": op10_rank_order_language,
+    "op11_simplex_clusters": op11_simplex_clusters,
+    "op12_filter_survival": op12_filter_survival,
+    "op13_huffman_ids": op13_huffman_ids,
 }

@@ -97,6 +97,9 @@ def write(folder, rows, urls, items, count):
     )
     write_one("benchmark", {"item_id": pa.array(range(len(items)), pa.int64()), "text": pa.array(items, pa.string())})
     write_one("embeddings", vectors(count))
+    ids = [None, 3, 3, 5, 9, 10**6] if rows else []
+    marks = {name: pa.array([draw % 2 if draw else None for draw in range(i, i + len(ids))], pa.int32()) for i, name in enumerate(("quality", "toxic"))}
+    write_one("labels", {"doc_id": pa.array(ids, pa.int64()), **marks, "part": pa.array(["x"] * len(ids), pa.string())})
     return str(folder)
 
 
@@ -114,7 +117,7 @@ def empty(tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_edge_cases_against_sql(spark, edges, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "embeddings"):
+    for table in ("documents", "pages", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{edges}/{table}.parquet'")
     ours, theirs = QUERIES[name](spark, edges).toPandas(), con.execute(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
