@@ -23,29 +23,41 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.session import durable, fresh_path, shuffle_width
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 
 @dataclass(frozen=True)
 class HuffmanParams:
     """``max_bits`` (25 at most) must allow for all ids that occur: there are 2^max_bits codes."""
 
     max_bits: int = 18
-    block_ids: int = 65_536
+    block_ids: int = 262_144
     checkpoint_ids: int = 256
     slice_ids: int = 16_000_000
 
 
-# Characters of texts encoded at a time.
-CHARS_AT_ONCE = 1_000_000
+# Characters of texts encoded at a time; words given to the library at a time, kept for later, and too long (in bytes) to keep.
+CHARS_AT_ONCE = 6_000_000
+WORDS_AT_ONCE, WORDS_KEPT, LONG_WORD = 1_000, 300_000, 100
+
+# The tokenizer of a worker.
+_encoders: dict[str, WordIds] = {}
+# Ids below this are looked up directly, larger ones by search.
+DIRECT_IDS = 1 << 22
 # A code and the seven bits before its first byte's end fit four bytes.
 MOST_BITS = 25
 
@@ -94,6 +106,8 @@ class Code:
     ids: np.ndarray
     lengths: np.ndarray
     codes: np.ndarray
+    # Where an id stands among ``ids``, if ids are small numbers.
+    place: np.ndarray | None
 
     @staticmethod
     def of(ids: np.ndarray, lengths: np.ndarray) -> Code:
@@ -105,7 +119,11 @@ class Code:
         shares = np.int64(1) << (longest - lengths[order])
         codes = np.empty(len(ids), np.int64)
         codes[order] = (np.cumsum(shares) - shares) >> (longest - lengths[order])
-        return Code(ids, lengths, codes)
+        place = None
+        if ids.max(initial=0) < DIRECT_IDS:
+            place = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+            place[ids] = np.arange(len(ids))
+        return Code(ids, lengths, codes, place)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, int]:
         """For every value of the next bits the id and the length of its code, and how many bits these are."""
@@ -120,14 +138,19 @@ class Code:
 
 def pack(ids: np.ndarray, code: Code, checkpoint_ids: int) -> tuple[bytes, int, np.ndarray]:
     """Payload, its bits, and the bit where every ``checkpoint_ids``-th id begins."""
-    place = np.searchsorted(code.ids, ids)
-    sizes, codes = code.lengths[place], code.codes[place]
+    place = np.searchsorted(code.ids, ids) if code.place is None else code.place[ids]
+    sizes = code.lengths[place]
     ends = np.cumsum(sizes)
-    begins = ends - sizes
-    bits = int(ends[-1]) if len(ids) else 0
-    # Every bit of the payload: how far it stands from the end of its code.
-    left = np.repeat(ends, sizes) - 1 - np.arange(bits)
-    return np.packbits((np.repeat(codes, sizes) >> left) & 1).tobytes(), bits, begins[::checkpoint_ids].astype(np.int32)
+    begins, bits = ends - sizes, int(ends[-1]) if len(ids) else 0
+    # A code stands in the 32-bit word it begins in and, at most, the next one. Codes share no bit, so adding joins them.
+    word = begins >> 5
+    both = code.codes[place].astype(np.uint64) << (64 - sizes - (begins & 31)).astype(np.uint64)
+    out = np.zeros((bits >> 5) + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(ids):
+        out[word[first]] += np.add.reduceat(both >> np.uint64(32), first)
+        out[word[first] + 1] += np.add.reduceat(both & np.uint64(0xFFFFFFFF), first)
+    return out.astype(">u4").tobytes()[: -(-bits // 8)], bits, begins[::checkpoint_ids].astype(np.int32)
 
 
 def unpack(payload: bytes, n_ids: int, checkpoints: np.ndarray, checkpoint_ids: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -181,35 +204,94 @@ def combined_crc32(first: int, second: int, second_bytes: int) -> int:
 # --- ids of texts -----------------------------------------------------------------------
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """row, doc_id, n, crc, ids: the ids of every text (little-endian unsigned 32 bits), an end id after them.
+def stored(ids: np.ndarray) -> bytes:
+    """Ids as little-endian numbers of 16 bits if these hold them, else of 32."""
+    return (ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids).tobytes()
+
+
+def loaded(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
-    ``row`` tells repeated rows apart. A null text is an empty one.
+
+class WordIds:
+    """Ids of texts, found word by word; those of words met lately are kept, in bounded number.
+
+    The library splits a text into words at white space before all else that looks at neighbours, so the ids of a text
+    are those of its words (between ASCII blanks), one after the other.
     """
 
+    def __init__(self, model: Tokenizer) -> None:
+        self.model, self.known, self.older = model, {}, {}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        out = []
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            encoded = self.model.encode_batch_fast(words[start : start + WORDS_AT_ONCE], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in encoded]
+        return out
+
+    def _of(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            found[i] = self.older.get(words[i])
+        unknown = [i for i in missing if found[i] is None]
+        for i, ids in zip(unknown, self._encoded([words[i] for i in unknown])):
+            found[i] = ids
+        self.known.update((words[i], found[i]) for i in missing if len(words[i]) <= LONG_WORD)
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; every distinct word is looked up once."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        found = self._of(words.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place = words.indices.to_numpy()
+        own = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        starts = (np.cumsum(sizes) - sizes)[place]
+        whole = ids[np.repeat(starts - ends[:-1], own) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        return np.split(whole, ends[offsets - offsets[0]][1:-1]) if len(texts) else []
+
+
+def _encoder(content: str) -> WordIds:
+    """Made once per worker."""
+    if content not in _encoders:
+        # One task, one core: the library's own threads stay off.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _encoders.clear()
+        _encoders[content] = WordIds(Tokenizer.from_str(content))
+    return _encoders[content]
+
+
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """row, doc_id, n, crc, ids: the ids of every text, an end id after them.
+
+    ``ids`` are as of ``stored``; ``crc`` is that of the ids as little-endian unsigned 32-bit numbers. ``row`` tells repeated rows apart. A null
+    text is an empty one. The tokenizer must split at white space.
+    """
     # The file is read on the driver (some MB) and sent to the tasks.
     with open(tokenizer, encoding="utf-8") as file:
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One task, one core: the library's own threads stay off.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_str(content.value)
-        end = np.array([end_id], "<u4")
+        encode, end = _encoder(content.value), np.array([end_id], "<u4")
         for batch in batches:
-            sizes = np.asarray(batch.column("n_chars"))
-            portion = np.cumsum(sizes) // CHARS_AT_ONCE
+            portion = np.cumsum(batch.column("n_chars").to_numpy()) // CHARS_AT_ONCE
             for start, stop in _runs(portion):
                 piece = batch.slice(start, stop - start)
-                encoded = model.encode_batch_fast(piece.column("text").to_pylist(), add_special_tokens=False)
-                ids = [np.append(np.array(e.ids, "<u4"), end) for e in encoded]
+                ids = [np.append(own, end) for own in encode(piece.column("text"))]
                 columns = [
                     piece.column("doc_id"),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array([x.tobytes() for x in ids], pa.binary()),
+                    pa.array([stored(x) for x in ids], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "crc", "ids"])
 
@@ -231,14 +313,14 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")] or [np.zeros(0, "<u4")])
-            found = np.bincount(own, minlength=len(counts))
+            own = [loaded(raw.as_buffer(), n) for n, raw in zip(batch.column("n").to_pylist(), batch.column("ids"))]
+            found = np.bincount(np.concatenate(own) if own else counts[:0], minlength=len(counts))
             found[: len(counts)] += counts
             counts = found
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(counts[ids])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- files --------------------------------------------------------------------------------
@@ -267,7 +349,7 @@ def write_ids(tokens: DataFrame, path: str, params: HuffmanParams = HuffmanParam
     order = ["doc_id", "n", "crc", "row"]
     slices = max(shuffle_width(spark), -(-int(counts.sum()) // params.slice_ids))
     placed = tokens.repartitionByRange(slices, *order).sortWithinPartitions(*order)
-    numbered = placed.select(F.spark_partition_id().alias("slice"), "doc_id", "ids")
+    numbered = placed.select(F.spark_partition_id().alias("slice"), "doc_id", "n", "ids")
     numbered.mapInArrow(_blocks(code, params), _BLOCK).write.parquet(f"{path}/blocks")
 
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("slice").agg(F.sum("n_ids").alias("n"))
@@ -297,8 +379,9 @@ def _blocks(code: Code, params: HuffmanParams):
 
         own_slice = 0
         for batch in batches:
-            for own_slice, doc_id, raw in zip(batch.column("slice").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+            columns = [batch.column(c).to_pylist() for c in ("slice", "doc_id", "n")]
+            for own_slice, doc_id, n, raw in zip(*columns, batch.column("ids")):
+                ids = loaded(raw.as_buffer(), n)
                 at = 0
                 while at < len(ids):
                     taken = ids[at : at + params.block_ids - waiting]

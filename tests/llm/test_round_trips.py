@@ -7,7 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from conftest import SF_DIR
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -207,9 +210,9 @@ def test_lengths_are_the_cheapest(counts, most):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 300), min_size=1, max_size=400), st.integers(1, 70))
-def test_blocks_round_trip(values, distance):
-    ids = np.array(values, "<u4")
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=400), st.integers(1, 70), st.sampled_from([1, 10**7]))
+def test_blocks_round_trip(values, distance, step):
+    ids = np.array(values, "<u4") * np.uint32(step)
     symbols, counts = np.unique(ids, return_counts=True)
     code = Code.of(symbols, code_lengths(counts, 12))
     payload, bits, checkpoints = pack(ids, code, distance)
@@ -253,6 +256,31 @@ def plain_ids(rows):
 TEXTS = [None, "", " \n", "A quick brown fox", "naïve ＡＢＣ 数据 🙂", "<|endoftext|> a", "it's " * 400, "x" * 3000, " ".join(f"word{i}" for i in range(900))]
 
 
+ODD = "ab Zé\u0308 \u0301ΣΑΣ's ’s \u00a0\u2028\u3000\x1c\x85\u180e\u200b\ufeff 12３ 数据🙂\t\n\r\x0b\x0c\x00<|startoftext|>İſ!?--_"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(list(ODD)), st.sampled_from(["<|endoftext|>", "'ll", "ΣΣ", "e\u0301"]), st.characters(codec="utf-8")), max_size=40))
+def test_ids_of_words_are_those_of_the_text(parts):
+    text = "".join(parts)
+    if not hasattr(test_ids_of_words_are_those_of_the_text, "model"):
+        test_ids_of_words_are_those_of_the_text.model = Tokenizer.from_file(TOKENIZER)
+    model = test_ids_of_words_are_those_of_the_text.model
+    assert huffman.WordIds(model)(pa.array([text, text + " " + text]))[1].tolist() == model.encode(text + " " + text, add_special_tokens=False).ids
+
+
+def test_ids_of_given_texts():
+    """Whole texts of the given tables, and a memory that overflows."""
+    model = Tokenizer.from_file(TOKENIZER)
+    words = huffman.WordIds(model)
+    table = pq.read_table(f"{SF_DIR}/documents.parquet", columns=["text"]).column("text").to_pylist()[:200]
+    expected = [e.ids for e in model.encode_batch_fast(table, add_special_tokens=False)]
+    assert [x.tolist() for x in words(pa.array(table))] == expected
+    words.known = {str(i) + " ": b"" for i in range(huffman.WORDS_KEPT + 1)}
+    for _ in range(3):
+        assert [x.tolist() for x in words(pa.array(table))] == expected and len(words.known) < huffman.WORDS_KEPT
+
+
 def test_stored_ids_equal_plain_ones(spark):
     rows = [(i * 7 % 50 - 3, text) for i, text in enumerate(TEXTS * 5)] + [(None, "b"), (None, "a b"), (None, None), (4, "again"), (4, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r")).withColumn("ids", F.lit(1))
