@@ -35,10 +35,22 @@ def role_filter(df: DataFrame, role: str) -> DataFrame:
     return df.where(F.col("role") == role)
 
 
-def by_session(df: DataFrame, session_ids: DataFrame | list[str]) -> DataFrame:
-    if isinstance(session_ids, DataFrame):
-        return df.join(session_ids.select("session_id"), "session_id", "left_semi")
-    return df.where(F.col("session_id").isin(session_ids))
+def by_session(df: DataFrame, session_ids: DataFrame | list[str], profile: str | None = None) -> DataFrame:
+    """Rows of some sessions: a frame of (profile_id, session_id), or ids of one ``profile``.
+
+    Two profiles may use the same session id, so an id alone names no session of a table with profiles.
+    """
+    profiled = "profile_id" in df.columns
+    if profile is not None and profiled:
+        df = df.where(F.col("profile_id") == profile)
+    if not isinstance(session_ids, DataFrame):
+        if profiled and profile is None:
+            raise ValueError("name the profile of the sessions")
+        return df.where(F.col("session_id").isin(session_ids))
+    keys = [c for c in ("profile_id", "session_id") if c in session_ids.columns and c in df.columns]
+    if profiled and profile is None and "profile_id" not in keys:
+        raise ValueError("name the profiles of the sessions")
+    return df.join(session_ids.select(*keys).distinct(), keys, "left_semi")
 
 
 def non_null_preview(turns: DataFrame) -> DataFrame:

@@ -189,10 +189,12 @@ def memory_usage(
     )
 
 
-def list_entries(entries: DataFrame, target: str | None = None) -> DataFrame:
-    """Newest first."""
-    chosen = entries if target is None else entries.where(F.col("target") == target)
-    return chosen.orderBy(F.col("created_at").desc(), F.col("entry_id").asc(), F.col("piece").asc())
+def list_entries(entries: DataFrame, target: str | None = None, profile: str | None = None) -> DataFrame:
+    """Newest first; of one profile or target, or of all."""
+    for column, value in (("target", target), ("profile_id", profile)):
+        if value is not None:
+            entries = entries.where(F.col(column) == value)
+    return entries.orderBy(F.col("created_at").desc(), F.col("entry_id").asc(), F.col("piece").asc())
 
 
 # --- replay of write, update and remove events --------------------------------

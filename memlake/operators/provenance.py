@@ -15,18 +15,19 @@ EDIT_DETAIL_CHARS = 50
 
 
 def trace_sources(entries: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Every entry with whether its source session exists, and where it is.
+    """Every entry, once, with whether its source session exists in its own profile, and where it is.
 
-    Many entries may name one session, whose rows Spark then splits; entries without a
-    source do not take part in the join.
+    Another profile's session of the same id is not the source. Many entries may name one session, whose
+    rows Spark then splits; entries without a source do not take part in the join.
     """
+    key = ["profile_id", "source_session"]
     sourced = entries.where(F.col("source_session").isNotNull())
-    known = sessions.select(
-        F.col("session_id").alias("source_session"), F.col("file_path").alias("session_file_path"), F.lit(True).alias("found")
+    known = sessions.groupBy("profile_id", F.col("session_id").alias("source_session")).agg(
+        F.min("file_path").alias("session_file_path"), F.lit(True).alias("found")
     )
     # Only sessions that an entry names take part.
-    named = known.join(sourced.select("source_session").distinct(), "source_session", "left_semi")
-    joined = skewed_join(sourced, named, ["source_session"], "left")
+    named = known.join(sourced.select(*key).distinct(), key, "left_semi")
+    joined = skewed_join(sourced, named, key, "left")
     columns = [*entries.columns]
     traced = joined.select(*columns, F.coalesce("found", F.lit(False)).alias("session_exists"), "session_file_path")
     unsourced = entries.where(F.col("source_session").isNull()).select(

@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 from memlake.functions.times import to_iso
 from memlake.operators.filters import by_session, last_days
+from memlake.operators.ingest import SESSION_KEY
 
 
-def list_sessions(sessions: DataFrame, limit: int, days: int | None = None, now_ms: int | None = None) -> DataFrame:
-    """The latest sessions. ``days`` keeps those that started in the last days before ``now_ms``."""
+def list_sessions(
+    sessions: DataFrame, limit: int, days: int | None = None, now_ms: int | None = None, profile: str | None = None
+) -> DataFrame:
+    """The latest sessions, of one profile or all. ``days`` keeps those that started in the last days before ``now_ms``."""
+    if profile is not None:
+        sessions = sessions.where(F.col("profile_id") == profile)
     if days is not None:
         if now_ms is None:
             raise ValueError("days needs now_ms")
         sessions = last_days(sessions, days, now_ms, "start_ts")
-    latest = sessions.orderBy(F.col("start_ts").desc(), F.col("session_id").asc()).limit(limit)
+    latest = sessions.orderBy(F.col("start_ts").desc(), F.col("session_id").asc(), F.col("profile_id").asc()).limit(limit)
     return latest.select("session_id", "start_ts", to_iso(F.col("start_ts")).alias("start_time"), "source", "turn_count", "title")
 
 
-def export_sessions(sessions: DataFrame, turns: DataFrame, session_ids: DataFrame | list[str]) -> DataFrame:
-    """Sessions with their turns in order."""
-    chosen = by_session(sessions, session_ids).select(
-        "session_id", "file_path", to_iso(F.col("start_ts")).alias("start_time"), "source", "turn_count"
+def export_sessions(sessions: DataFrame, turns: DataFrame, session_ids: DataFrame | list[str], profile: str | None = None) -> DataFrame:
+    """Sessions with their own turns in order; ``session_ids`` as of ``by_session``."""
+    chosen = by_session(sessions, session_ids, profile).select(
+        *SESSION_KEY, "file_path", to_iso(F.col("start_ts")).alias("start_time"), "source", "turn_count"
     )
-    lines = turns.select("session_id", "seq", "role", to_iso(F.col("timestamp_ms")).alias("time"), "preview")
-    return chosen.join(lines, "session_id").orderBy("session_id", "seq")
+    lines = turns.select(*SESSION_KEY, "seq", "role", to_iso(F.col("timestamp_ms")).alias("time"), "preview")
+    return chosen.join(lines, SESSION_KEY).orderBy(*SESSION_KEY, "seq")
 
 
 def list_profiles(sessions: DataFrame) -> DataFrame:
@@ -61,10 +66,10 @@ def rebuild_stats(sessions: DataFrame, turns: DataFrame, vectors: DataFrame, err
 
 
 def check_consistency(archive_sessions: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Archive against table by session id, not only by count."""
-    archived = archive_sessions.select("session_id").distinct().withColumn("archived", F.lit(1))
-    stored = sessions.select("session_id").distinct().withColumn("stored", F.lit(1))
-    both = archived.join(stored, "session_id", "full_outer")
+    """Archive against table by profile and session id, not only by count."""
+    archived = archive_sessions.select(*SESSION_KEY).distinct().withColumn("archived", F.lit(1))
+    stored = sessions.select(*SESSION_KEY).distinct().withColumn("stored", F.lit(1))
+    both = archived.join(stored, SESSION_KEY, "full_outer")
     counts = both.agg(
         F.count("archived").alias("archive_count"),
         F.count("stored").alias("session_count"),

@@ -320,11 +320,19 @@ def index_parity(spark, sf):
 @query
 def check_consistency(spark, sf):
     """Archive: all conversations. Table: those with a system turn, and the sources of documents."""
-    stored = fx.turns(spark, sf).where(F.col("role") == "system").select("session_id")
-    others = fx.document_turns(spark, sf).select("session_id")
+    stored = fx.turns(spark, sf).where(F.col("role") == "system").select("profile_id", "session_id")
+    others = fx.document_turns(spark, sf).select("profile_id", "session_id")
     return reports.check_consistency(fx.headers(spark, sf), stored.unionByName(others))
 
 
+@query
+def consistency_of_profiles(spark, sf):
+    """The archive has every session in two profiles; the table lacks the odd ones of the second."""
+    odd = F.substring("session_id", 6, 20).cast("long") % 2 == 1
+    archived = fx.shared_ids(fx.headers(spark, sf), F.lit(False))
+    return reports.check_consistency(archived, fx.shared_ids(fx.sessions(spark, sf), odd))
+
+
 @query
 def list_sessions(spark, sf):
     return reports.list_sessions(fx.sessions(spark, sf), 20, 28, fx.NOW_MS)
@@ -333,7 +341,15 @@ def list_sessions(spark, sf):
 @query
 def export_sessions(spark, sf):
     sessions, turns = fx.sessions(spark, sf), fx.turns(spark, sf)
-    return reports.export_sessions(sessions, turns, turns.where(F.col("role") == "system").select("session_id").distinct())
+    return reports.export_sessions(sessions, turns, turns.where(F.col("role") == "system").select("profile_id", "session_id"))
+
+
+@query
+def export_shared_sessions(spark, sf):
+    """Two profiles with the same session ids, one without system turns: its export holds its own turns only."""
+    turns = fx.shared_ids(fx.turns(spark, sf), F.col("role") == "system")
+    chosen = turns.where(F.col("role") == "system").select("session_id").distinct()
+    return reports.export_sessions(fx.shared_ids(fx.sessions(spark, sf), F.lit(False)), turns, chosen, profile="other")
 
 
 @query
@@ -384,10 +400,19 @@ def role_filter(spark, sf):
 @query
 def by_session(spark, sf):
     turns = fx.turns(spark, sf)
-    chosen = turns.where(F.col("role") == "system").select("session_id").distinct()
+    chosen = turns.where(F.col("role") == "system").select("profile_id", "session_id")
     return filters.by_session(turns, chosen).select("turn_id", "session_id")
 
 
+@query
+def by_session_of_profile(spark, sf):
+    """Two profiles with the same session ids; sessions are chosen in both, by what they hold there."""
+    turns = fx.shared_ids(fx.turns(spark, sf), F.col("role") == "system")
+    chosen = turns.where(F.col("role") == "system").select("profile_id", "session_id")
+    late = turns.where((F.col("seq") > 5) & (F.col("profile_id") == "other")).select("profile_id", "session_id")
+    return filters.by_session(turns, chosen.unionByName(late)).select("profile_id", "session_id", "seq")
+
+
 @query
 def non_null_preview(spark, sf):
     blanked = fx.turns(spark, sf).withColumn("preview", F.when(F.col("role") != "system", F.col("preview")))
@@ -777,13 +802,13 @@ def memory_snapshot(spark, sf):
 @query
 def trace_sources(spark, sf):
     entries = fx.memory_candidates(spark, sf)
-    traced = provenance.trace_sources(entries, fx.sessions(spark, sf))
+    traced = provenance.trace_sources(entries, fx.source_sessions(spark, sf))
     return traced.select("entry_id", "target", "confidence", "source_session", "session_exists", "session_file_path")
 
 
 @query
 def provenance_report(spark, sf):
-    traced = provenance.trace_sources(fx.memory_candidates(spark, sf), fx.sessions(spark, sf))
+    traced = provenance.trace_sources(fx.memory_candidates(spark, sf), fx.source_sessions(spark, sf))
     return provenance.provenance_report(traced, ["profile_id", "target"])
 
 
@@ -791,7 +816,7 @@ def provenance_report(spark, sf):
 def memory_provenance(spark, sf):
     """Sources of what the memories hold after all edits."""
     snapshot, _ = memory.apply_memory_events(fx.memory_events(spark, sf))
-    traced = provenance.trace_sources(snapshot.withColumnRenamed("event_id", "entry_id"), fx.sessions(spark, sf))
+    traced = provenance.trace_sources(snapshot.withColumnRenamed("event_id", "entry_id"), fx.source_sessions(spark, sf))
     return traced.select("profile_id", "target", "piece", "content", "ts", "created_at", "confidence", "source_session", "session_exists", "session_file_path")
 
 

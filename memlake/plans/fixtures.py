@@ -5,7 +5,7 @@ Every formula here has its twin in ``oracles.py``. All rows and whole texts are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions.times import to_iso
@@ -84,6 +84,20 @@ def sessions(spark: SparkSession, sf_dir: str, token_mode: str = "lenient", end_
     return build_sessions(headers(spark, sf_dir), archive_turns(spark, sf_dir), NOW_MS, token_mode, end_fallback)
 
 
+def shared_ids(table: DataFrame, missing: Column) -> DataFrame:
+    """The table, and a copy in the profile "other" without the rows that are ``missing`` there: both use the same session ids."""
+    return table.unionByName(table.where(~missing).withColumn("profile_id", F.lit("other")))
+
+
+def source_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the profiles that remember: every id occurs in two of them, in a file of its own."""
+    number = F.substring("session_id", 6, 20).cast("long")
+    profile = F.explode(F.array(number % 20, (number + 1) % 20)).alias("number")
+    rows = sessions(spark, sf_dir).select("session_id", "file_path", profile)
+    named = rows.select("session_id", F.concat(F.lit("src"), "number").alias("profile_id"), "file_path")
+    return named.withColumn("file_path", F.concat_ws("/", "profile_id", "file_path"))
+
+
 def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as turns: one minute apart, the language as role, the source as session."""
     return documents(spark, sf_dir).select(

@@ -248,9 +248,23 @@ snapshot AS (
   SELECT profile_id, target, piece, e.t AS content, e.born AS born, e.origin AS origin
   FROM (SELECT profile_id, target, generate_subscripts(kept, 1) - 1 AS piece, unnest(kept) AS e FROM last_states))"""
 
-TRACED = f"""{TURNS}, {sessions()}, {CANDIDATES},
+SOURCES = """sources AS (
+  SELECT session_id, 'src' || p AS profile_id, 'src' || p || '/' || session_id || '.jsonl' AS file_path
+  FROM (SELECT DISTINCT session_id, unnest([conv_id % 20, (conv_id + 1) % 20]) AS p FROM turns))"""
+
+TRACED = f"""{TURNS}, {SOURCES}, {CANDIDATES},
 traced AS (SELECT c.*, s.file_path IS NOT NULL AS session_exists, s.file_path AS session_file_path
-           FROM candidates c LEFT JOIN sessions s ON s.session_id = c.source_session)"""
+           FROM candidates c LEFT JOIN sources s ON s.session_id = c.source_session AND s.profile_id = c.profile_id)"""
+
+IN_SYNC = """SELECT *, missing_in_index = 0 AND missing_in_archive = 0 AS in_sync FROM (
+          SELECT count(a.session_id) AS archive_count, count(b.session_id) AS session_count,
+                 count(*) FILTER (b.session_id IS NULL) AS missing_in_index, count(*) FILTER (a.session_id IS NULL) AS missing_in_archive
+          FROM a FULL JOIN b USING (profile_id, session_id))"""
+
+# Both profiles use the same session ids; the second one's rows follow.
+def shared(kept: str) -> str:
+    return f"shared AS (SELECT * FROM turns UNION ALL SELECT * REPLACE ('other' AS profile_id) FROM turns WHERE {kept})"
+
 
 AUDIT = """audit AS (
   SELECT epoch_us(ts) // 1000 AS timestamp_ms, event_type AS action, CASE WHEN user_id % 2 = 0 THEN 'memory' ELSE 'user' END AS target,
@@ -380,17 +394,22 @@ ORACLES: dict[str, str] = {
           (SELECT count(*) FROM turns WHERE turn_id NOT IN (SELECT turn_id FROM postings)) AS without_postings,
           (SELECT count(*) FROM turns WHERE turn_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector,
           (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT turn_id FROM turns)) AS without_turn""",
-    "check_consistency": f"""WITH {TURNS}, a AS (SELECT DISTINCT session_id FROM turns),
-        b AS (SELECT DISTINCT session_id FROM turns WHERE role = 'system' UNION SELECT source FROM documents)
-        SELECT *, missing_in_index = 0 AND missing_in_archive = 0 AS in_sync FROM (
-          SELECT count(a.session_id) AS archive_count, count(b.session_id) AS session_count,
-                 count(*) FILTER (b.session_id IS NULL) AS missing_in_index, count(*) FILTER (a.session_id IS NULL) AS missing_in_archive
-          FROM a FULL JOIN b USING (session_id))""",
+    "check_consistency": f"""WITH {TURNS}, a AS (SELECT DISTINCT profile_id, session_id FROM turns),
+        b AS (SELECT DISTINCT profile_id, session_id FROM turns WHERE role = 'system' UNION SELECT 'p' || (doc_id % 3), source FROM documents)
+        {IN_SYNC}""",
+    "consistency_of_profiles": f"""WITH {TURNS}, pairs AS (
+          SELECT DISTINCT conv_id, session_id, unnest([profile_id, 'other']) AS profile_id FROM turns),
+        a AS (SELECT profile_id, session_id FROM pairs), b AS (SELECT profile_id, session_id FROM pairs WHERE profile_id <> 'other' OR conv_id % 2 = 0)
+        {IN_SYNC}""",
     "list_sessions": f"""WITH {TURNS}, {sessions()} SELECT session_id, start_ts, {iso('start_ts')} AS start_time, source, turn_count, title
         FROM sessions WHERE start_ts >= {CUTOFF} ORDER BY start_ts DESC, session_id LIMIT 20""",
-    "export_sessions": f"""WITH {TURNS}, {sessions()} SELECT session_id, file_path, {iso('start_ts')} AS start_time, source, turn_count,
+    "export_sessions": f"""WITH {TURNS}, {sessions()} SELECT profile_id, session_id, file_path, {iso('start_ts')} AS start_time, source, turn_count,
         seq, role, {iso('timestamp_ms')} AS time, preview
         FROM sessions JOIN (SELECT session_id, seq, role, timestamp_ms, preview FROM turns) USING (session_id)
+        WHERE session_id IN {SYSTEM_SESSIONS} ORDER BY profile_id, session_id, seq""",
+    "export_shared_sessions": f"""WITH {TURNS}, {sessions()} SELECT 'other' AS profile_id, session_id, file_path, {iso('start_ts')} AS start_time, source,
+        turn_count, seq, role, {iso('timestamp_ms')} AS time, preview
+        FROM sessions JOIN (SELECT session_id, seq, role, timestamp_ms, preview FROM turns WHERE role <> 'system') USING (session_id)
         WHERE session_id IN {SYSTEM_SESSIONS} ORDER BY session_id, seq""",
     "list_profiles": f"WITH {TURNS} SELECT DISTINCT profile_id FROM turns ORDER BY profile_id",
     "by_profile_counts": f"""WITH {TURNS} SELECT profile_id, count(DISTINCT session_id) AS n_sessions, count(*) AS n_turns
@@ -400,6 +419,9 @@ ORACLES: dict[str, str] = {
     "last_days": f"WITH {TURNS} SELECT turn_id, timestamp_ms FROM turns WHERE timestamp_ms >= {CUTOFF}",
     "role_filter": f"WITH {TURNS} SELECT turn_id, role FROM turns WHERE role = 'assistant'",
     "by_session": f"WITH {TURNS} SELECT turn_id, session_id FROM turns WHERE session_id IN {SYSTEM_SESSIONS}",
+    "by_session_of_profile": f"""WITH {TURNS}, {shared("role <> 'system'")}, chosen AS (
+          SELECT profile_id, session_id FROM shared WHERE role = 'system' UNION SELECT profile_id, session_id FROM shared WHERE seq > 5 AND profile_id = 'other')
+        SELECT profile_id, session_id, seq FROM shared JOIN chosen USING (profile_id, session_id)""",
     "non_null_preview": f"WITH {TURNS} SELECT turn_id, preview FROM turns WHERE role <> 'system'",
     "containing_text": "SELECT doc_id AS turn_id, source AS session_id FROM documents WHERE contains(text, 'the ')",
     "hit_context": f"""WITH {TURNS} SELECT turn_id, label, preview, session_id, timestamp_ms, role
@@ -519,12 +541,12 @@ ORACLES: dict[str, str] = {
     "apply_memory_events": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, event_id, pos, op, verdict
         FROM placed JOIN (SELECT profile_id, target, pos, verdict FROM walk) USING (profile_id, target, pos)""",
     "memory_snapshot": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, piece, content FROM snapshot""",
-    "memory_provenance": f"""WITH RECURSIVE {TURNS}, {sessions()}, {EVENTS}
+    "memory_provenance": f"""WITH RECURSIVE {TURNS}, {SOURCES}, {EVENTS}
         SELECT s.profile_id, s.target, s.piece, s.content, b.ts, o.ts AS created_at, o.confidence, o.source_session,
                f.session_id IS NOT NULL AS session_exists, f.file_path AS session_file_path
         FROM snapshot s JOIN placed b ON b.profile_id = s.profile_id AND b.target = s.target AND b.pos = s.born
         JOIN placed o ON o.profile_id = s.profile_id AND o.target = s.target AND o.pos = s.origin
-        LEFT JOIN sessions f ON f.session_id = o.source_session""",
+        LEFT JOIN sources f ON f.session_id = o.source_session AND f.profile_id = s.profile_id""",
     "audit_edits": f"""WITH RECURSIVE {EVENTS}
         SELECT ts AS timestamp_ms, op AS action, target, source_session AS session_id,
                CASE op WHEN 'write' THEN to_json({{'content_preview': substring(content, 1, 100)}})

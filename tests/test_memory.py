@@ -6,7 +6,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from memlake.operators import memory as mem
+from memlake.operators.filters import by_session
 from memlake.operators.provenance import audit_events, provenance_report, trace_sources
+from memlake.operators.reports import check_consistency, export_sessions, list_sessions
 from memlake.streaming.memory import stream_admit, stream_audit
 
 CANDIDATES = "profile_id string, target string, ts long, entry_id long, content string"
@@ -221,14 +223,30 @@ def test_replay_cases(spark):
 
 
 def test_provenance(spark):
-    data = [(1, "memory", "s1"), (2, "memory", "gone"), (3, "memory", None), (4, "user", "s1")]
-    entries = spark.createDataFrame(data, "entry_id long, target string, source_session string")
-    sessions = spark.createDataFrame([("s1", "a.jsonl"), ("s2", "b.jsonl")], "session_id string, file_path string")
+    data = [(1, "pA", "memory", "s1"), (2, "pA", "memory", "gone"), (3, "pA", "memory", None), (4, "pB", "user", "s1"), (5, "pC", "user", "s1")]
+    entries = spark.createDataFrame(data, "entry_id long, profile_id string, target string, source_session string")
+    known = [("pA", "s1", "a.jsonl"), ("pB", "s1", "b.jsonl"), ("pA", "s2", "c.jsonl"), ("pB", "s1", "b.jsonl")]
+    sessions = spark.createDataFrame(known, "profile_id string, session_id string, file_path string")
     traced = trace_sources(entries, sessions)
     assert rows(traced, "entry_id", "session_exists", "session_file_path") == [
-        (1, True, "a.jsonl"), (2, False, None), (3, False, None), (4, True, "a.jsonl"),
+        (1, True, "a.jsonl"), (2, False, None), (3, False, None), (4, True, "b.jsonl"), (5, False, None),
     ]
-    assert rows(provenance_report(traced)) == [("memory", 3, 1, 1, 1), ("user", 1, 1, 0, 0)]
+    assert rows(provenance_report(traced)) == [("memory", 3, 1, 1, 1), ("user", 2, 1, 1, 0)]
+
+
+def test_sessions_of_profiles_stay_apart(spark):
+    turns = spark.createDataFrame(
+        [("pA", "s1", 1, "user", 0, "a"), ("pB", "s1", 1, "user", 0, "b"), ("pB", "s2", 1, "user", 0, "c")],
+        "profile_id string, session_id string, seq int, role string, timestamp_ms long, preview string",
+    )
+    sessions = turns.selectExpr("profile_id", "session_id", "'f' AS file_path", "0L AS start_ts", "'x' AS source", "1 AS turn_count", "'t' AS title")
+    assert rows(export_sessions(sessions, turns, ["s1"], "pA"), "profile_id", "preview") == [("pA", "a")]
+    assert rows(export_sessions(sessions, turns, sessions.select("profile_id", "session_id")), "preview") == [("a",), ("b",), ("c",)]
+    assert [r.session_id for r in list_sessions(sessions, 9, profile="pB").collect()] == ["s1", "s2"]
+    assert rows(check_consistency(sessions, sessions.where("profile_id = 'pA'"))) == [(3, 1, 2, 0, False)]
+    for unnamed in (["s1"], sessions.select("session_id")):
+        with pytest.raises(ValueError, match="name the profile"):
+            by_session(turns, unnamed)
 
 
 def test_audit_cuts_code_points(spark):
