@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from html.entities import html5
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
@@ -30,23 +31,40 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, named.component_id, d.doc_id = na
 FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+def _references() -> str:
+    """The characters of all names (those of blanks as a blank), as a map."""
+    named = {name[:-1]: char for name, char in html5.items() if name.endswith(";")} | dict.fromkeys(("nbsp", "NonBreakingSpace", "Tab", "NewLine"), " ")
+    quoted = [text.replace("'", "''") for text in named.values()]
+    return f"MAP {{{', '.join(f"'{name}': '{char}'" for name, char in zip(named, quoted))}}}"
+
+
+_WINDOWS = ", ".join(f"{n}: '{bytes([n]).decode('cp1252')}'" for n in range(128, 160) if bytes([n]).decode("cp1252", "ignore"))
+# One piece of a text cut at the ampersands, with the reference it begins with (without one: the ampersand).
+_PIECE = f"""list_transform([regexp_extract(piece, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', 1)], lambda name:
+  list_transform([CASE WHEN name LIKE '#%' THEN regexp_replace(lower(name), '^#x?0*', '') END], lambda digits:
+    list_transform([CASE WHEN length(digits) > 8 OR digits = '' THEN 0 WHEN lower(name) LIKE '#x%' THEN ('0x' || digits)::BIGINT ELSE digits::BIGINT END], lambda n:
+      coalesce(CASE WHEN name LIKE '#%' THEN
+        CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n < 32 OR n = 160 THEN ' '
+          ELSE coalesce(MAP {{{_WINDOWS}}}[n], chr(n::INTEGER)) END
+        WHEN name <> '' THEN m[name] END || substr(piece, length(name) + 2), '&' || piece))[1])[1])[1]"""
+
+
 def _plain(html: str) -> str:
-    """The visible text of a page, step by step."""
-    unseen = "(?s)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<noscript\\b.*?</noscript\\s*>"
-    block = (
-        "</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|blockquote|pre)\\b[^>]*>"
-    )
-    steps = [(unseen, "' '"), ("[\\x00-\\x20]+", "' '"), (block, "chr(10)"), ("<[a-zA-Z/!?][^>]*>", "''")]
-    for pattern, by in steps:
-        html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
-    entities = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "apos": "''", "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
-    for name, char in entities.items():
-        html = f"replace({html}, '&{name};', '{char}')"
-    for pattern, by in ((" *\\n[ \\n]*", "chr(10)"), (" +", "' '"), ("^[ \\n]+|[ \\n]+$", "''")):
+    """The visible text of a page but for its references, step by step."""
+    unseen = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|[\x00-\x1F]+"
+    block = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|blockquote|pre)\b[^>]*>"
+    steps = [(unseen, "' '"), (r"(?is)<head\b.*?</head\s*>", "' '"), (r"(?is)<noscript\b.*?</noscript\s*>", "' '")]
+    for pattern, by in [*steps, (block, "chr(10)"), ("<[a-zA-Z/!?][^>]*>", "''")]:
         html = f"regexp_replace({html}, '{pattern}', {by}, 'g')"
     return html
 
 
+def _trimmed(text: str) -> str:
+    for pattern, by in ((" *\\n[ \\n]*", "chr(10)"), (" +", "' '"), ("^[ \\n]+|[ \\n]+$", "''")):
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
 def _uuid(kind: str) -> str:
     key = f"md5('{kind}' || chr(0) || coalesce(page_id::VARCHAR, '') || chr(0) || coalesce(url, '') || chr(0) || warc_date || chr(0) || block_digest)"
     cut = " || '-' || ".join(f"substr({key}, {start}, {size})" for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -63,14 +81,17 @@ WITH pages2 AS (
     'sha256:' || sha256(array_to_string(lines, E'\\r\\n') || E'\\r\\n' || E'\\r\\n' || html) AS block_digest FROM heads
 ), named AS (
   SELECT *, {_uuid("response")} AS refers_to, {_uuid("metadata")} AS metadata_id, {_uuid("conversion")} AS conversion_id,
-    {_plain("html")} AS plain FROM digests
+    string_split({_plain("html")}, '&') AS pieces FROM digests
+), names AS (SELECT {_references()} AS m
+), decoded AS (
+  SELECT *, {_trimmed("pieces[1] || array_to_string(list_transform(pieces[2:], lambda piece: " + _PIECE + "), '')")} AS plain FROM named CROSS JOIN names
 ), records AS (
   SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, 'application/warc-fields' AS content_type,
     'source-record: ' || refers_to || E'\\r\\n' || 'source-block-digest: ' || block_digest || E'\\r\\n' || 'source-payload-digest: ' || source_digest
       || E'\\r\\n' || 'conversion-record: ' || conversion_id || E'\\r\\n'
-      || array_to_string(list_transform(lines, lambda x: 'source-header: ' || x || E'\\r\\n'), '') AS block FROM named
+      || array_to_string(list_transform(lines, lambda x: 'source-header: ' || x || E'\\r\\n'), '') AS block FROM decoded
   UNION ALL
-  SELECT *, 'conversion', conversion_id, 'text/plain; charset=utf-8', plain FROM named
+  SELECT *, 'conversion', conversion_id, 'text/plain; charset=utf-8', plain FROM decoded
 )
 SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, warc_date, content_type, strlen(block) AS content_length,
   'sha256:' || sha256(block) AS block_digest, CASE WHEN warc_type = 'conversion' THEN 'sha256:' || sha256(block) END AS payload_digest,
@@ -107,12 +128,11 @@ WITH words AS (
     string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM phrases GROUP BY rid
 ), placed AS (
   SELECT rid, unnest(range(len(w))) AS i, unnest(w) AS word FROM words
-), blocks AS (
-  SELECT rid, unnest([i // 16, greatest(i // 16 - 1, 0)]) AS block, word FROM placed
-), sets AS (
-  SELECT DISTINCT rid, block, word FROM blocks WHERE word IN (SELECT unnest(words) FROM templates)
+), hits AS (
+  SELECT rid, i, word, label, words FROM placed JOIN templates ON list_contains(words, word)
 ), shared AS (
-  SELECT rid, block, label, words, count(*) AS c FROM sets JOIN templates ON list_contains(words, word) GROUP BY rid, block, label, words
+  SELECT a.rid, a.i, a.label, a.words, count(DISTINCT b.word) AS c
+  FROM hits a JOIN hits b ON a.rid = b.rid AND a.words = b.words AND b.i BETWEEN a.i AND a.i + 31 GROUP BY a.rid, a.i, a.label, a.words
 ), held AS (
   SELECT rid, label, c / len(words) AS share FROM shared WHERE 100 * c >= 80 * len(words)
 ), method AS (
@@ -188,6 +208,12 @@ FROM parts LEFT JOIN blocked USING (url)
 
 # Kind, expression and least length, as in the contract and the rules added to it.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_LABEL = "([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?-----"
+_FIELDS = (
+    r"(Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset):(-?-?-?-?[^\r\n-])*[\r\n]",
+    r"(Proc-Type:\x20*[0-9]+,[A-Z]+|DEK-Info:\x20*[A-Z0-9]+(-[A-Z0-9]+)*(,[0-9A-Fa-f]+)?)[\x09-\x0D\x20\\]",
+)
+_BODY = rf"([\x09-\x0D\x20\\nr]*({'|'.join(_FIELDS)}))*[A-Za-z0-9+/=\x09-\x0D\x20\\]*"
 _KINDS = [
     ("assign", _ASSIGN, 1),
     ("access", "AKIA[A-Z0-9]+", 16),
@@ -196,7 +222,7 @@ _KINDS = [
     ("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
     ("google", "AIza[A-Za-z0-9_-]+", 39),
     ("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 40),
-    ("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 1),
+    ("private_key", f"-----BEGIN {_LABEL}((-?-?-?-?[^-])*-----END {_LABEL}|{_BODY})", 1),
 ]
 
 

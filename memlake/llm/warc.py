@@ -36,10 +36,10 @@ NAMED = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
 # Numbers from 128 to 159 mean the characters of Windows-1252, where it has one.
 WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
 
-# Elements that are never shown, comments and control characters, then any other tag.
-UNSEEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>|[\x00-\x1F]+"
-)
+# Comments, scripts and styles (to the end of the page where they are not closed, as in a browser) and control characters.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|[\x00-\x1F]+"
+# Elements that are never shown, where they are closed.
+HIDDEN = ("head", "noscript")
 BLOCK_TAG = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|blockquote|pre)\b[^>]*>"
 ANY_TAG = r"<[a-zA-Z/!?][^>]*>"
 
@@ -86,14 +86,35 @@ def decoded(text: Column) -> Column:
     return F.when(text.rlike(RARE), whole).otherwise(F.replace(text, F.lit(AMP), F.lit("&")))
 
 
+def _without(text: Column, element: str) -> Column:
+    """``text`` without an element, from each opening tag to the next closing one. Every piece between
+    closing tags is looked through once, so the time grows with the length alone."""
+    pieces = F.split(text, rf"(?i)</{element}\s*>", -1)
+
+    def cut(piece: Column) -> Column:
+        opened = piece.rlike(rf"(?i)<{element}\b")
+        return F.when(opened, F.regexp_replace(piece, rf"(?is)<{element}\b.*", " ")).otherwise(F.concat(piece, F.lit(f"</{element}>")))
+
+    closed = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), cut)
+    return F.when(F.size(pieces) > 1, F.concat(F.array_join(closed, ""), F.element_at(pieces, -1))).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
-    """The visible text: one line per block, runs of blanks as one, no empty lines; null for null."""
+    """The visible text: one line per block, runs of blanks as one, no empty lines; null for null.
+
+    Linear in the length of the page: what a pattern begins to match it also ends, except
+    behind the last ``>``, where no tag is looked for.
+    """
     text = F.regexp_replace(html, UNSEEN, " ")
-    text = F.regexp_replace(text, BLOCK_TAG, "\n")
-    text = F.regexp_replace(text, ANY_TAG, "")
+    for element in HIDDEN:
+        text = _without(text, element)
+    tagged = F.regexp_extract(text, "(?s)^.*>", 0)
+    tail = F.substr(text, F.length(tagged) + 1)
+    text = F.concat(F.regexp_replace(F.regexp_replace(tagged, BLOCK_TAG, "\n"), ANY_TAG, ""), tail)
     text = decoded(text)
-    text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
-    return F.btrim(F.regexp_replace(text, "  +", " "), F.lit(" \n"))
+    # Runs of blanks first: looked for before every line break they would be gone through again and again.
+    text = F.regexp_replace(text, "  +", " ")
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def digest(content: Column) -> Column:

@@ -38,3 +38,16 @@ def test_conversion_record(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", "<P>a&mdash;b</P><SCRIPT>x()</SCRIPT>")], "page_id long, url string, html string")
     found = {r["warc_type"]: r for r in derivatives(responses(pages, "2024-01-01T00:00:00Z")).collect()}
     assert (found["conversion"]["block"], found["conversion"]["content_length"]) == ("a—b", 5)
+
+
+def test_time_grows_with_the_length_alone(spark):
+    """Pages of 2 MB that open something again and again and never close it."""
+    import time
+
+    openings = ["<!-- x ", "<script> x ", "<style x ", "<head> x ", "<noscript> x ", "<p x ", "</head x ", "<head><!-- --></head ", "&#", "<"]
+    pages = [opening * (2_000_000 // len(opening)) for opening in openings]
+    texts(spark, ["warm"])
+    start = time.perf_counter()
+    found = texts(spark, pages)
+    assert time.perf_counter() - start < 2 * len(pages)
+    assert found[:3] == ["", "", ""] and found[3].startswith("x x")

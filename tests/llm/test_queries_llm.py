@@ -37,6 +37,9 @@ TEXTS = [
     "one two three four five six seven eight nine ten eleven twelve",
     "one two three four five six seven eight nine ten eleven twelve thirteen",
     "eight nine ten eleven twelve one two three four five six seven",
+    f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{HEX}+/=\n{HEX[:30]}\n-----END RSA PRIVATE KEY----- after",
+    f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x 1\n\n{HEX}!",
+    " ".join(f"word{i}" for i in range(7)) + " redistribution and also use in source and in binary forms with or even without some modification are permitted",
 ]
 URLS = [
     None, "", "no address", "http://", "http://EXAMPLE.org/es/1", "https://a.example.org/en/1?x=1", "http://example.org",
@@ -48,6 +51,9 @@ PAGES = {
     14: '<LINK href="http://x.com/de/1" rel=canonical><p>Hi &amp; bye</p><script>var a="</p>"</script>',
     15: '<meta http-equiv="Refresh" content="0; url=http://x.com/de/1"><link rel="canonical" href="//x.com/fr/1">',
     16: "<head><title>t</title></head><p>a<br>b &lt;c&gt; &amp;amp;<!-- <p> --></p>",
+    17: "<HEAD><TITLE>t</TITLE></HEAD><STYLE>p{}</STYLE><P>x&#8217;y&#x2019;&mdash;&Eacute;&#0;&#150;&nope;&</P><noscript>n</NOSCRIPT>a</head>b",
+    18: "<head><p>kept <script>x</p> y",
+    19: "a <b>c <!-- d --> e <!-- f <p> g",
     20: "<link rel='canonical' href='/de/rel'><p>\x00\x01 caf&eacute; </p><style>p{}</style",
 }
 
