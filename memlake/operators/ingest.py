@@ -124,7 +124,7 @@ def upsert_sessions(stored: DataFrame, incoming: DataFrame, session_ids: DataFra
     the replaced sessions where some of them bring no rows (a session without turns).
     """
     replaced = (session_ids if session_ids is not None else incoming).select(*SESSION_KEY).distinct()
-    return stored.join(replaced, SESSION_KEY, "left_anti").unionByName(incoming)
+    return stored.join(replaced, SESSION_KEY, "left_anti").select(*stored.columns).unionByName(incoming)
 
 
 def keep_created_at(upserted: DataFrame, stored: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import fold, search_terms, tokenize_cjk
 from memlake.operators.ranking import skewed_join, top_k
-from memlake.session import durable, settled
+from memlake.session import durable, settled, together
 
 # BM25 parameters and the least weight of a term.
 K1 = 1.2
@@ -39,6 +39,12 @@ class KeywordIndex:
 
     The statistics are those of one ``profile``, or of all (None). ``sizes`` has the number
     of indexed turns of every profile, and of all under a null ``profile_id``.
+
+    A stored index consists of segments. The first one holds the turns it was built from; each later one the postings
+    of the turns that came with a save, the ids of those that went, and by how much the document
+    frequencies, sizes and lengths changed. Nothing written is touched again: what is in force is the sum of the segments'
+    figures, and the postings of a turn that no later segment deletes. ``term_parts`` has
+    the frequencies as they are stored, for joins that few terms take part in.
     """
 
     postings: DataFrame
@@ -47,49 +53,119 @@ class KeywordIndex:
     buckets: int
     sizes: DataFrame | None = None
     profile: str | None = None
+    term_parts: DataFrame | None = None
 
     def write(self, path: str) -> None:
-        """Store the index. Rows are in folders by term bucket, sorted by term. The
+        """Store the index as the first segment below ``path``. Rows are in folders by term bucket, sorted by term. The
         statistics are taken from the written postings, so texts are split into
         terms once. Where postings carry the profile, every profile has its own."""
-        spark = self.postings.sparkSession
         if self.sizes is None or self.profile is not None:
             raise ValueError("only an index of all profiles can be stored")
-        _write_bucketed(self.postings, f"{path}/postings")
-        postings = spark.read.parquet(f"{path}/postings")
-        _write_bucketed(term_statistics_by_profile(postings), f"{path}/term_stats")
-        totals = _by_profile(postings, F.coalesce(F.sum("tf"), F.lit(0)).alias("total"), F.sum("total").alias("total"))
-        own = self.sizes.join(totals, F.col("size_profile").eqNullSafe(F.col("profile_id")), "left")
-        corpus = own.select(
-            F.col("size_profile").alias("profile_id"),
-            "n",
-            (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"),
-            F.lit(self.buckets).alias("buckets"),
-        )
-        corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        _write_segment(path, 0, 0, self.postings, self.sizes, self.buckets)
 
     @staticmethod
     def read(spark: SparkSession, path: str, profile: str | None = None) -> KeywordIndex:
         """The index as one profile sees it: its own postings, N, df and average length."""
-        corpus = spark.read.parquet(f"{path}/corpus")
-        postings, term_stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats"))
+        heads = _segments(spark, path)
+        live = [head["segment"] for head in heads]
+        in_force = F.col("segment").isin(live)
+        postings, parts, corpus = (spark.read.parquet(f"{path}/{t}").where(in_force) for t in ("postings", "term_stats", "corpus"))
         own = F.col("profile_id").eqNullSafe(F.lit(profile).cast("string"))
-        buckets = corpus.where(F.col("profile_id").isNull()).first()["buckets"]
         if profile is not None:
             if "profile_id" not in postings.columns:
                 raise ValueError("the postings don't carry the profile")
             postings = postings.where(own)
-        sizes = corpus.select(F.col("profile_id").alias("size_profile"), "n")
+        deleting = [f"{path}/deleted/segment={head['segment']}" for head in heads if head["deletes"]]
+        if deleting:
+            deleted = spark.read.option("basePath", f"{path}/deleted").parquet(*deleting)
+            until = deleted.groupBy(F.col("turn_id").alias("_gone")).agg(F.max("segment").alias("_until"))
+            postings = postings.join(until, (F.col("turn_id") == F.col("_gone")) & (F.col("segment") < F.col("_until")), "left_anti")
+        parts = parts.where(own).select("bucket", "term", "df")
+        several = len(live) > 1
+        term_stats = parts.groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df > 0") if several else parts
+        figures = corpus.groupBy("profile_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        figures = figures.where((F.col("n") > 0) | F.col("profile_id").isNull())
         return KeywordIndex(
-            postings,
-            term_stats.where(own).drop("profile_id"),
-            corpus.where(own).select("n", "avgdl"),
-            buckets,
-            sizes if profile is None else None,
+            postings.drop("segment"),
+            term_stats,
+            figures.where(own).select("n", F.try_divide("total", "n").alias("avgdl")),
+            heads[0]["buckets"],
+            figures.select(F.col("profile_id").alias("size_profile"), "n") if profile is None else None,
             profile,
+            parts if several else None,
         )
 
 
+def _segments(spark: SparkSession, path: str) -> list:
+    """(segment, buckets, deletes) of the segments in force, oldest first; the figures of a segment are written last."""
+    heads = spark.read.parquet(f"{path}/corpus").where(F.col("profile_id").isNull()).select("segment", "base", "buckets", "deletes").collect()
+    base = max(head["base"] for head in heads)
+    return sorted((head for head in heads if head["segment"] >= base), key=lambda head: head["segment"])
+
+
+def next_segment(spark: SparkSession, path: str) -> int:
+    return _segments(spark, path)[-1]["segment"] + 1
+
+
+def _write_segment(
+    path: str, segment: int, base: int, postings: DataFrame, sizes: DataFrame, buckets: int, gone: DataFrame | None = None
+) -> None:
+    """One segment: postings, the ids of the turns of ``gone`` (postings that leave), and changes of all figures.
+    Segments before ``base`` are no longer in force. Writing it again replaces it."""
+    spark = postings.sparkSession
+    own = f"segment={segment}"
+    _write_bucketed(postings, f"{path}/postings/{own}")
+    postings = spark.read.schema(postings.schema).parquet(f"{path}/postings/{own}")
+    stats = term_statistics_by_profile(postings)
+    total = lambda rows: _by_profile(rows, F.coalesce(F.sum("tf"), F.lit(0)).alias("total"), F.sum("total").alias("total"))
+    totals, deleted = total(postings), None
+    if gone is not None:
+        deleted = gone.select("turn_id").distinct()
+        lost = term_statistics_by_profile(gone).withColumn("df", -F.col("df"))
+        stats = stats.unionByName(lost).groupBy("bucket", "term", "profile_id").agg(F.sum("df").alias("df")).where("df <> 0")
+        totals = totals.unionByName(total(gone).withColumn("total", -F.col("total"))).groupBy("profile_id").agg(F.sum("total").alias("total"))
+    corpus = sizes.join(totals, F.col("size_profile").eqNullSafe(F.col("profile_id")), "left").select(
+        F.col("size_profile").alias("profile_id"),
+        "n",
+        F.coalesce("total", F.lit(0)).alias("total"),
+        F.lit(buckets).alias("buckets"),
+        F.lit(base).alias("base"),
+        F.lit(gone is not None).alias("deletes"),
+    )
+    _, figures, _ = together(
+        lambda: _write_bucketed(stats, f"{path}/term_stats/{own}"),
+        lambda: durable(corpus, "corpus"),
+        lambda: deleted is not None and deleted.write.mode("overwrite").parquet(f"{path}/deleted/{own}"),
+    )
+    figures.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus/{own}")
+
+
+def append_segment(path: str, segment: int, old_turns: DataFrame, new_turns: DataFrame, text: str = "content") -> None:
+    """Store a change of an index as a new segment: ``old_turns`` leave, ``new_turns`` enter. An update is both.
+
+    Written bytes and work go with the change, not with the index. Search reads all segments: ``merge_segments`` joins them.
+    """
+    spark = new_turns.sparkSession
+    buckets = _segments(spark, path)[0]["buckets"]
+    carry = _carried(spark.read.parquet(f"{path}/postings"))
+    gone = durable(build_postings(old_turns, text, carry, buckets), "gone-postings")
+    sizes = [index_sizes(old_turns, text, carry).withColumn("n", -F.col("n")), index_sizes(new_turns, text, carry)]
+    change = sizes[0].unionByName(sizes[1]).groupBy("size_profile").agg(F.sum("n").alias("n"))
+    base = spark.read.parquet(f"{path}/corpus").agg(F.max("base").alias("base")).first()["base"]
+    _write_segment(path, segment, base, build_postings(new_turns, text, carry, buckets), change, buckets, gone)
+
+
+def merge_segments(spark: SparkSession, path: str) -> None:
+    """Write what is in force as one new segment. The segments before it stay on disk for those who read them."""
+    index, segment = KeywordIndex.read(spark, path), next_segment(spark, path)
+    _write_segment(path, segment, segment, index.postings, durable(index.sizes, "sizes"), index.buckets)
+
+
+def _carried(postings: DataFrame) -> tuple[str, ...]:
+    """The turn columns that postings carry."""
+    return tuple(c for c in postings.columns if c not in ("segment", "bucket", "term", "turn_id", "tf", "dl", "positions"))
+
+
 def _by_profile(rows: DataFrame, measure: Column, total: Column, *keys: str) -> DataFrame:
     """A measure per profile (if the rows have one) and, with a null profile, of all."""
     if "profile_id" not in rows.columns:
@@ -177,7 +253,7 @@ def refresh_index(index: KeywordIndex, old_turns: DataFrame, new_turns: DataFram
     if index.sizes is None:
         raise ValueError("only an index of all profiles can be refreshed")
     kept = index.postings.join(old_turns.select("turn_id").distinct(), "turn_id", "left_anti")
-    carry = tuple(c for c in index.postings.columns if c not in ("bucket", "term", "turn_id", "tf", "dl", "positions"))
+    carry = _carried(index.postings)
     postings = kept.unionByName(build_postings(new_turns, text, carry, index.buckets))
     changes = [
         index.sizes,
@@ -233,7 +309,11 @@ def _resolve(index: KeywordIndex, terms: DataFrame, postings: DataFrame, require
     before any posting is read.
     """
     bucketed = terms.withColumn("bucket", term_bucket(F.col("term"), index.buckets))
-    known = bucketed.join(index.term_stats, ["bucket", "term"])
+    if index.term_parts is None:
+        known = bucketed.join(index.term_stats, ["bucket", "term"])
+    else:
+        parts = bucketed.join(index.term_parts, ["bucket", "term"])
+        known = parts.groupBy(*bucketed.columns).agg(F.sum("df").alias("df")).where("df > 0")
     if require_all:
         of_query = Window.partitionBy("query_id")
         known = known.select(

@@ -274,14 +274,14 @@ def rebuild_two_profiles(spark, sf):
 
 def _saved_store(spark, sf):
     """A rebuilt store into which sessions with system turns are saved again without them."""
-    old, new = Store(fresh_path(spark, "store")), fresh_path(spark, "store")
-    rebuild_index(spark, _written_archive(spark, sf), old.path, fx.NOW_MS, buckets=4)
+    store = Store(fresh_path(spark, "store"))
+    rebuild_index(spark, _written_archive(spark, sf), store.path, fx.NOW_MS, buckets=4)
     turns = fx.archive_turns(spark, sf)
     system = turns.where(F.col("role") == "system").select("session_id").distinct()
     spoken = turns.where(F.col("role") != "system").join(system, "session_id", "left_semi")
     again = fresh_path(spark, "archive")
     write_archive(fx.headers(spark, sf).join(system, "session_id", "left_semi"), spoken, again, version=2)
-    return save_sessions(spark, old, read_archive(spark, again), new, fx.NOW_MS + 1)
+    return save_sessions(spark, store, read_archive(spark, again), fx.NOW_MS + 1)
 
 
 @query

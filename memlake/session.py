@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,13 +48,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds; one that is missing is no fault."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables made by this application; results not yet stored are lost with them."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = _made.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        remove(spark, path)
     return len(paths)
 
 
@@ -65,6 +76,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*tasks: Callable[[], object]) -> list:
+    """Run independent Spark actions at a time, so that short jobs don't wait for each other's last task; the first failure is raised."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [running.result() for running in [pool.submit(task) for task in tasks]]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,19 +13,29 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return table.select(*columns) if columns else table
 
 
-def write_by_profile(df: DataFrame, path: str, cluster_by: list[str], mode: str = "overwrite") -> None:
-    """One folder per profile. Rebalancing splits a large profile into tasks and
+def write_by_profile(
+    df: DataFrame, path: str, cluster_by: list[str], mode: str = "overwrite", by: tuple[str, ...] = ("profile_id",),
+    touched_only: bool = False, counted: Observation | None = None,
+) -> None:
+    """One folder per profile (or per value of ``by``). Rebalancing splits a large one into tasks and
     files of even size. Within a file rows are sorted, so that filters on
-    ``cluster_by`` skip row groups.
+    ``cluster_by`` skip row groups. With ``touched_only`` folders that ``df`` has no rows for stay as they are.
+    ``counted`` learns the number of rows (n) as they are written.
     """
-    placed = df.hint("rebalance", "profile_id").sortWithinPartitions("profile_id", *cluster_by)
-    placed.write.partitionBy("profile_id").mode(mode).parquet(path)
+    placed = df.hint("rebalance", *by).sortWithinPartitions(*by, *cluster_by)
+    if counted is not None:
+        # Last in the plan: an empty shuffle would take it away with what is below.
+        placed = placed.observe(counted, F.count(F.lit(1)).alias("n"))
+    writer = placed.write.partitionBy(*by).mode(mode)
+    if touched_only:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def read_by_profile(spark: SparkSession, path: str) -> DataFrame:
-    """All profiles. Their names are texts, also those that look like numbers or dates."""
+    """All profiles. Names of folders are texts, also those that look like numbers or dates."""
     found = spark.read.parquet(path).schema
-    fields = [T.StructField(f.name, T.StringType()) if f.name == "profile_id" else f for f in found.fields]
+    fields = [T.StructField(f.name, T.StringType()) if f.name in ("profile_id", "day") else f for f in found.fields]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
