@@ -237,16 +237,16 @@ def apply_memory_events(
     """
     if granularity not in ("substring", "entry"):
         raise ValueError(f"unknown granularity: {granularity}")
-    prepared = _prepared_events(events, memory_limit, user_limit, state)
+    prepared = prepared_events(events, memory_limit, user_limit, state)
     is_edit, is_write = F.col("op") != "write", F.col("op") == "write"
     counts = {"pos": F.lit(1), "segment": is_edit}
     placed = durable(running_counts(prepared, GROUP, ["phase", "ts", "event_id", "piece"], counts), "replay-events")
 
     most = _largest_quota(memory_limit, user_limit)
-    writes = placed.where(is_write & _event_fault().isNull() & (F.col("n_chars") <= F.col("capacity")))
+    writes = placed.where(is_write & event_fault().isNull() & (F.col("n_chars") <= F.col("capacity")))
     firsts = writes.groupBy(*GROUP, "segment", "new_text", "n_chars", "capacity").agg(F.min("pos").alias("pos"))
     short = top_by_quota(firsts, [*GROUP, "segment", "n_chars"], [F.col("pos").asc()], _quota(), most).select(*GROUP, "pos")
-    edits = placed.where(is_edit & _event_fault().isNull())
+    edits = placed.where(is_edit & event_fault().isNull())
     replayed = edits.unionByName(placed.where(is_write).join(short, [*GROUP, "pos"], "left_semi")).select(*_REPLAYED)
     ordered = replayed.repartition(*GROUP).sortWithinPartitions(*GROUP, "pos")
     outcomes = durable(ordered.mapInArrow(_replay(granularity), _OUTCOME), "replay-outcome")
@@ -259,7 +259,7 @@ def apply_memory_events(
     return snapshot, _event_verdicts(placed.where(F.col("op") != KEEP), outcomes)
 
 
-def _prepared_events(events: DataFrame, memory_limit: int, user_limit: int, state: DataFrame | None) -> DataFrame:
+def prepared_events(events: DataFrame, memory_limit: int, user_limit: int, state: DataFrame | None = None) -> DataFrame:
     """Scanned events; a write that holds the separator becomes several. Entries of a state come first."""
     new_text = F.coalesce("new_text", F.lit(""))
     parts = F.when(F.col("op") == "write", F.transform(F.split(new_text, ENTRY_SEPARATOR), trim_text))
@@ -298,7 +298,7 @@ def _prepared_events(events: DataFrame, memory_limit: int, user_limit: int, stat
     return split.select("*", capacity.alias("capacity"), F.char_length("new_text").cast("long").alias("n_chars"))
 
 
-def _event_fault() -> Column:
+def event_fault() -> Column:
     """Verdicts that need no other event. A text longer than the memory is in none of its entries."""
     old = F.coalesce("old_text", F.lit(""))
     nowhere = F.col("op").isin("update", "remove") & ((old == "") | (F.char_length(old) > F.col("capacity")))
@@ -331,7 +331,7 @@ def _replay(granularity: str):
                 if key != (profile, target):
                     out += alive() if key else []
                     key, entries = (profile, target), []
-                verdict, after = _replay_event(entries, op, old, new, pos, capacity, granularity)
+                verdict, after = replay_event(entries, op, old, new, pos, capacity, granularity)
                 out.append(("event", *key, event_id, piece, pos, verdict, None, None, None, None))
                 if op in ("update", "remove") and verdict == "accepted":
                     left = {(text, born) for text, born, _ in after}
@@ -345,7 +345,7 @@ def _replay(granularity: str):
     return run
 
 
-def _replay_event(entries: list, op: str, old: str, new: str, pos: int, capacity: int, granularity: str) -> tuple[str, list]:
+def replay_event(entries: list, op: str, old: str, new: str, pos: object, capacity: int, granularity: str) -> tuple[str, list]:
     """Entries are (text, place of the last change, place of the first write)."""
     if op == KEEP:
         return "accepted", [*entries, (new, pos, pos)]
@@ -386,8 +386,8 @@ def _event_verdicts(placed: DataFrame, outcomes: DataFrame) -> DataFrame:
     judged = placed.select(*_EVENT, *_LOGGED).join(played, _EVENT).select(*columns)
 
     skipped = placed.join(played, _EVENT, "left_anti")
-    own_fault = skipped.where(_event_fault().isNotNull()).withColumn("verdict", _event_fault()).select(*columns)
-    undecided = skipped.where(_event_fault().isNull())
+    own_fault = skipped.where(event_fault().isNotNull()).withColumn("verdict", event_fault()).select(*columns)
+    undecided = skipped.where(event_fault().isNull())
 
     fits = undecided.where(F.col("n_chars") <= F.col("capacity"))
     too_long = undecided.where(F.col("n_chars") > F.col("capacity")).withColumn("verdict", F.lit("capacity")).select(*columns)

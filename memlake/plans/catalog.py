@@ -956,9 +956,8 @@ def stream_admit(spark, sf):
     return spark.read.parquet(f"{out}/verdicts").select(*VERDICT_COLUMNS)
 
 
-@query
-def stream_replay(spark, sf):
-    """Events arrive in three parts; the memories are those of one replay of all."""
+def _streamed_replay(spark, sf):
+    """Events arrive in order, in three parts."""
     out, source = fresh_path(spark, "stream-replay"), fresh_path(spark, "events")
     events = durable(fx.memory_events(spark, sf), "events")
     last = events.agg(F.max("ts")).scalar()
@@ -967,10 +966,30 @@ def stream_replay(spark, sf):
     for arrival in range(3):
         files = spark.readStream.schema(schema).option("basePath", source).parquet(f"{source}/arrival=[0-{arrival}]")
         stream_memory.stream_replay(files.drop("arrival"), out, f"{out}/checkpoint").awaitTermination()
-    kept = stream_memory.current_memories(spark, out)
+    return out
+
+
+@query
+def stream_replay(spark, sf):
+    """The memories are those of one replay of all."""
+    kept = stream_memory.current_memories(spark, f"{_streamed_replay(spark, sf)}/checkpoint")
     return kept.select("profile_id", "target", F.col("piece").cast("long").alias("piece"), "content")
 
 
+@query
+def stream_replay_verdicts(spark, sf):
+    verdicts = spark.read.parquet(f"{_streamed_replay(spark, sf)}/verdicts")
+    return verdicts.select("profile_id", "target", "event_id", "op", "verdict")
+
+
+@query
+def stream_audit_edits(spark, sf):
+    """The log of streamed writes, updates and removals, with the whole detail."""
+    out, log = _streamed_replay(spark, sf), fresh_path(spark, "stream-audit")
+    stream_memory.stream_audit(spark, f"{out}/verdicts", log, fresh_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(log)
+
+
 @query
 def stream_audit(spark, sf):
     out = _streamed_admission(spark, sf)

@@ -326,6 +326,7 @@ STREAM_ORACLES = {
     "stream_admit": "admit_entries",
     "stream_audit": "audit_events",
     "stream_replay": "memory_snapshot",
+    "stream_audit_edits": "audit_edits",
 }
 
 AUDIT_ROWS = f"""WITH RECURSIVE {ADMITTED} SELECT ts AS timestamp_ms, 'write' AS action, target,
@@ -540,6 +541,8 @@ ORACLES: dict[str, str] = {
     "user_profile": f"WITH RECURSIVE {ADMITTED}, {BODIES} SELECT profile_id, body FROM bodies WHERE target = 'user'",
     "apply_memory_events": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, event_id, pos, op, verdict
         FROM placed JOIN (SELECT profile_id, target, pos, verdict FROM walk) USING (profile_id, target, pos)""",
+    "stream_replay_verdicts": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, event_id, op, verdict
+        FROM placed JOIN (SELECT profile_id, target, pos, verdict FROM walk) USING (profile_id, target, pos)""",
     "memory_snapshot": f"""WITH RECURSIVE {EVENTS} SELECT profile_id, target, piece, content FROM snapshot""",
     "memory_provenance": f"""WITH RECURSIVE {TURNS}, {SOURCES}, {EVENTS}
         SELECT s.profile_id, s.target, s.piece, s.content, b.ts, o.ts AS created_at, o.confidence, o.source_session,

@@ -9,7 +9,7 @@ from memlake.operators import memory as mem
 from memlake.operators.filters import by_session
 from memlake.operators.provenance import audit_events, provenance_report, trace_sources
 from memlake.operators.reports import check_consistency, export_sessions, list_sessions
-from memlake.streaming.memory import stream_admit, stream_audit
+from memlake.streaming.memory import current_memories, stream_admit, stream_audit, stream_replay
 
 CANDIDATES = "profile_id string, target string, ts long, entry_id long, content string"
 EVENTS = "profile_id string, target string, ts long, event_id long, op string, old_text string, new_text string"
@@ -257,3 +257,41 @@ def test_audit_cuts_code_points(spark):
     assert [r.detail for r in log.orderBy("timestamp_ms").collect()] == [
         '{"content_preview":"' + "é" * 100 + '"}', '{"old":"' + "o" * 50 + '","new":"n"}', '{"removed":"gone"}',
     ]
+
+
+def test_streamed_replay_equals_a_batch_in_order_of_arrival(spark):
+    """Three batches, late events among them; two targets, entries of several pieces, an emptied memory."""
+    draw = random.Random(4)
+    work = tempfile.mkdtemp(prefix="memlake-stream-")
+    words = ["tea", "milk", "rye", "x" * 30, "you are now", "", "a" + SEP + "b", "y" * 3000]
+    events = []
+    for i in range(240):
+        op = draw.choice(["write", "write", "write", "update", "remove"])
+        old = draw.choice(["tea", "milk", "r", "x", "zz", None, "x" * 5000]) if op != "write" else None
+        new = None if op == "remove" else f"{draw.choice(words)} {draw.randint(0, 9)}" if draw.random() < 0.7 else draw.choice([*words, None])
+        events.append((i // 80, draw.choice(["p", "q"]), draw.choice(["memory", "user"]), draw.randint(0, 300), i, op, old, new))
+    events += [(2, "z", "user", 1, 900, "write", None, "brief"), (2, "z", "user", 2, 901, "remove", "brief", None)]
+    for granularity in ("substring", "entry"):
+        out = f"{work}/{granularity}"
+        frame = spark.createDataFrame(events, "arrival int, " + EVENTS).withColumn("source_session", F.when(F.col("event_id") % 3 > 0, "s"))
+        frame.write.partitionBy("arrival").parquet(f"{out}/in")
+        schema = spark.read.parquet(f"{out}/in").schema
+        for arrival in range(3):
+            files = spark.readStream.schema(schema).option("basePath", f"{out}/in").parquet(f"{out}/in/arrival=[0-{arrival}]")
+            stream_replay(files.drop("arrival"), out, f"{out}/checkpoint", 90, 60, granularity).awaitTermination()
+        in_order = frame.withColumn("ts", F.col("arrival") * 10_000 + F.col("ts")).drop("arrival")
+        snapshot, verdicts = mem.apply_memory_events(in_order, 90, 60, granularity)
+        whole = ["profile_id", "target", "piece", "content", "event_id", "source_session", "confidence"]
+        kept = current_memories(spark, f"{out}/checkpoint")
+        assert rows(kept, *whole) == rows(snapshot, *whole) and kept.where("profile_id = 'z'").count() == 0
+        assert rows(kept.select(*whole[:3], F.col("ts") % 10_000, F.col("created_at") % 10_000)) == rows(
+            snapshot.select(*whole[:3], F.col("ts") % 10_000, F.col("created_at") % 10_000)
+        )
+        told = ["profile_id", "target", "event_id", "piece", "op", "verdict", "new_text"]
+        assert rows(spark.read.parquet(f"{out}/verdicts"), *told) == rows(verdicts, *told)
+        # The state holds what fits, however many events came.
+        assert kept.count() <= 4 * (90 + 3)
+        stream_audit(spark, f"{out}/verdicts", f"{out}/log", f"{out}/audit-checkpoint").awaitTermination()
+        log = spark.read.parquet(f"{out}/log")
+        assert rows(log.groupBy("action").count()) == rows(verdicts.where("verdict = 'accepted'").groupBy("op").count())
+        assert {"write", "update", "remove"} == {r["action"] for r in log.collect()}
