@@ -928,6 +928,23 @@ def stream_ingest_versions(spark, sf):
     return stream_ingest.current(spark, store, "sessions").select("session_id", "turn_count").join(counted, "session_id", "left")
 
 
+@query
+def stream_merged_sessions(spark, sf):
+    """Many small batches that merge while the stream runs, then newer versions of even conversations: what is current."""
+    path, turns, headers = fresh_path(spark, "archive"), fx.archive_turns(spark, sf), fx.headers(spark, sf)
+    number = F.substring("session_id", 6, 20).cast("long")
+    for part in range(2):
+        chosen = number % 2 == part
+        write_archive(headers.where(chosen), turns.where(chosen), path, version=part + 1)
+    store, checkpoint = fresh_path(spark, "stream-store"), fresh_path(spark, "checkpoint")
+    per_batch = -(-len(list_archive(spark, path).collect()) // 5)
+    stream_ingest.stream_ingest(spark, path, store, checkpoint, fx.NOW_MS, per_batch, merge_every=2).awaitTermination()
+    write_archive(headers.where(number % 2 == 0), turns.where((number % 2 == 0) & (F.col("role") == "user")), path, version=3)
+    stream_ingest.stream_ingest(spark, path, store, checkpoint, fx.NOW_MS, 10 * per_batch, merge_every=2).awaitTermination()
+    counted = stream_ingest.current(spark, store, "turns").groupBy("session_id").agg(F.count("*").alias("n_turns"), F.sum("seq").alias("seqs"))
+    return stream_ingest.current(spark, store, "sessions").select("session_id", "turn_count").join(counted, "session_id", "left")
+
+
 @query
 def stream_scan(spark, sf):
     out = fresh_path(spark, "stream-scan")

@@ -582,6 +582,7 @@ ORACLES["stream_ingest_versions"] = f"""WITH {SPOKEN_TURNS},
     SELECT 'conv-' || conv_id AS session_id, count(kept.turn_id) AS turn_count,
            CASE WHEN count(kept.turn_id) > 0 THEN count(kept.turn_id) END AS n_turns, CAST(sum(seq) AS BIGINT) AS seqs
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN kept USING (conv_id) GROUP BY conv_id"""
+ORACLES["stream_merged_sessions"] = ORACLES["stream_ingest_versions"].replace(SPOKEN_TURNS, TURNS)
 ORACLES["search_by_profile"] = ORACLES["search_hybrid"].replace("FROM documents)", "FROM documents WHERE doc_id % 3 = 1)").replace("role = 'en'", "true")
 ORACLES["sql_tokenize"] = ORACLES["tokenize_cjk"]
 ORACLES["read_table"] = f"WITH {TURNS} SELECT turn_id, '0' || (conv_id % 3) AS profile_id FROM turns"

@@ -53,6 +53,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; empty if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in system.listStatus(where)) if system.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds; one that is missing is no fault."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

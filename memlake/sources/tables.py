@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.session import exists, folders, remove
+
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A stored table, or some of its columns; a profile column is text."""
@@ -51,3 +53,51 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path)
+
+
+# --- logs that are merged while they grow ----------------------------------------------
+
+
+def log_folders(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(first, last) batch of the folders that a reader of a log opens: the largest merged ones, and the batches in none."""
+    found = []
+    for name in folders(spark, path):
+        kind, _, numbers = name.partition("=")
+        if kind in ("batch_id", "merged") and exists(spark, f"{path}/{name}/_SUCCESS"):
+            first, last = numbers.split("-") if kind == "merged" else (numbers, numbers)
+            found.append((int(first), int(last)))
+    # Intervals are nested or apart: the longer one comes first among those with one beginning.
+    chosen: list[tuple[int, int]] = []
+    for first, last in sorted(found, key=lambda x: (x[0], -x[1])):
+        if not chosen or last > chosen[-1][1]:
+            chosen.append((first, last))
+    return chosen
+
+
+def log_folder(path: str, first: int, last: int) -> str:
+    return f"{path}/batch_id={first}" if first == last else f"{path}/merged={first}-{last}"
+
+
+def read_merged_log(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a log, each batch once."""
+    return spark.read.parquet(*[log_folder(path, first, last) for first, last in log_folders(spark, path)])
+
+
+def due_merge(batch_id: int, every: int) -> int:
+    """How many batches up to this one are to be merged: the largest power of ``every`` that ends here, or 0."""
+    size = every
+    while (batch_id + 1) % (size * every) == 0:
+        size *= every
+    return size if (batch_id + 1) % size == 0 else 0
+
+
+def drop_merged(spark: SparkSession, path: str, before: int) -> None:
+    """Delete folders that end before a batch and whose rows a larger one holds."""
+    chosen = log_folders(spark, path)
+    for name in folders(spark, path):
+        kind, _, numbers = name.partition("=")
+        if kind in ("batch_id", "merged"):
+            first, last = map(int, numbers.split("-") if kind == "merged" else (numbers, numbers))
+            held = any(a <= first and last <= b and (a, b) != (first, last) for a, b in chosen)
+            if held and last < before:
+                remove(spark, f"{path}/{name}")

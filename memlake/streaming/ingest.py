@@ -9,17 +9,21 @@ from memlake.operators.ingest import SESSION_KEY, build_sessions, build_turns, l
 from memlake.plans.rebuild import VERSION, newest
 from memlake.session import durable
 from memlake.sources.archive import ARCHIVE_FILES, archive_of, parsed_lines, read_lines
-from memlake.sources.tables import append_batch, read_log
+from memlake.sources.tables import append_batch, drop_merged, due_merge, log_folder, log_folders, read_merged_log
 
 
 def stream_ingest(
-    spark: SparkSession, archive_path: str, store_path: str, checkpoint: str, now_ms: int, files_per_batch: int = 1000
+    spark: SparkSession, archive_path: str, store_path: str, checkpoint: str, now_ms: int, files_per_batch: int = 1000, merge_every: int = 10
 ) -> StreamingQuery:
     """New archive files to append-only logs of turns, sessions and errors.
 
-    Nothing stored is rewritten: a batch has its own folder, so a batch that runs
-    twice writes the same folder again, and the work grows with the new files only.
+    A batch has its own folder, so a batch that runs twice writes the same folder again. Every ``merge_every``-th batch
+    also merges the batches since the last merge, every ``merge_every``-th merge the merges before it, and
+    so on: a row is written again once per level, and a reader opens less than ``merge_every`` folders of each
+    level, however long the stream has run. What a merge replaced stays for one more round for its readers.
     """
+    if merge_every < 2:
+        raise ValueError("merge at least two batches")
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
@@ -42,35 +46,58 @@ def stream_ingest(
         versions = archive.headers.select(*SESSION_KEY, *VERSION).distinct()
         append_batch(sessions.join(versions, SESSION_KEY), f"{store_path}/sessions", batch_id)
         append_batch(archive.errors, f"{store_path}/errors", batch_id)
+        if merged := due_merge(batch_id, merge_every):
+            merge_batches(spark, store_path, batch_id + 1 - merged, batch_id, merge_every)
 
     writer = files.writeStream.foreachBatch(save)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_batches(spark: SparkSession, store_path: str, first: int, last: int, keep: int) -> None:
+    """One folder for the batches from ``first`` to ``last``, with the newest version of each session among them. It takes
+    their place once it is wholly written. Folders merged ``keep`` batches ago are deleted."""
+    logs, done = {}, set()
+    for table in ("sessions", "turns", "errors"):
+        inside = [(a, b) for a, b in log_folders(spark, f"{store_path}/{table}") if first <= a and b <= last]
+        if not inside:
+            return
+        if inside == [(first, last)]:
+            done.add(table)
+        logs[table] = spark.read.parquet(*[log_folder(f"{store_path}/{table}", a, b) for a, b in inside])
+    sessions = latest_version(logs["sessions"], SESSION_KEY, VERSION)
+    kept = durable(sessions.select(*SESSION_KEY, *VERSION).distinct(), "kept-versions")
+    merged = {"errors": logs["errors"], "turns": logs["turns"].join(kept, [*SESSION_KEY, *VERSION], "left_semi"), "sessions": sessions}
+    for table, rows in merged.items():
+        # A merge that was cut short goes on with the tables it had not written.
+        if table not in done:
+            rows.write.mode("overwrite").parquet(log_folder(f"{store_path}/{table}", first, last))
+        drop_merged(spark, f"{store_path}/{table}", last + 1 - keep)
+
+
 def current(spark: SparkSession, store_path: str, table: str) -> DataFrame:
     """The newest version of every session in a log.
 
     What is newest is read off the sessions: a version without turns replaces one with turns.
     """
-    sessions = latest_version(read_log(spark, f"{store_path}/sessions"), SESSION_KEY, VERSION)
+    sessions = latest_version(read_merged_log(spark, f"{store_path}/sessions"), SESSION_KEY, VERSION)
     if table == "sessions":
-        return sessions.drop(*VERSION, "batch_id")
-    log = read_log(spark, f"{store_path}/{table}")
+        return sessions.drop(*VERSION)
+    log = read_merged_log(spark, f"{store_path}/{table}")
     if not set(VERSION) <= set(log.columns):
-        return log.drop("batch_id")
+        return log
     kept = sessions.select(*SESSION_KEY, *VERSION).distinct()
-    return log.join(kept, [*SESSION_KEY, *VERSION], "left_semi").drop(*VERSION, "batch_id")
+    return log.join(kept, [*SESSION_KEY, *VERSION], "left_semi").drop(*VERSION)
 
 
 def compact(spark: SparkSession, store_path: str, new_path: str) -> None:
-    """Write what is current to a new log of one batch, so that reads stop growing with history.
+    """Write what is current to a new log of one batch, for a copy without history.
 
     Stop the stream, compact into a new folder, and go on there with the same checkpoint: its
     next batch number is larger than that of the compacted batch.
     """
-    sessions = latest_version(read_log(spark, f"{store_path}/sessions"), SESSION_KEY, VERSION)
+    sessions = latest_version(read_merged_log(spark, f"{store_path}/sessions"), SESSION_KEY, VERSION)
     kept = durable(sessions.select(*SESSION_KEY, *VERSION).distinct(), "kept-versions")
-    turns = read_log(spark, f"{store_path}/turns").join(kept, [*SESSION_KEY, *VERSION], "left_semi")
-    append_batch(turns.drop("batch_id"), f"{new_path}/turns", -1)
-    append_batch(sessions.drop("batch_id"), f"{new_path}/sessions", -1)
-    append_batch(read_log(spark, f"{store_path}/errors").drop("batch_id"), f"{new_path}/errors", -1)
+    turns = read_merged_log(spark, f"{store_path}/turns").join(kept, [*SESSION_KEY, *VERSION], "left_semi")
+    append_batch(turns, f"{new_path}/turns", -1)
+    append_batch(sessions, f"{new_path}/sessions", -1)
+    append_batch(read_merged_log(spark, f"{store_path}/errors"), f"{new_path}/errors", -1)

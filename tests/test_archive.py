@@ -10,7 +10,8 @@ from memlake.operators.reports import check_consistency
 from memlake.plans.rebuild import Store, newest, rebuild_index
 from memlake.sources import archive as ar
 from memlake.sources.archive import list_archive, read_archive, write_archive
-from memlake.streaming.ingest import current, stream_ingest
+from memlake.sources.tables import due_merge, log_folders
+from memlake.streaming.ingest import current, merge_batches, stream_ingest
 
 NOW = 1_800_000_000_000
 
@@ -240,3 +241,38 @@ def test_stream_equals_batch(spark):
     stream_ingest(spark, folder, work + "/store", work + "/checkpoint", NOW).awaitTermination()
     assert rows(current(spark, work + "/store", "turns").where("session_id = 'aaaaaaaa-1'"), "content") == [("resaved",)]
     assert rows(current(spark, work + "/store", "sessions"), "session_id", "turn_count") == [("aaaaaaaa-1", 1), ("aaaaaaaa-2", 1)]
+
+
+def test_a_running_stream_merges_its_batches(spark):
+    """Nine batches of one file, three versions of each session: what is current equals one batch, few folders are open."""
+    folder, work = tempfile.mkdtemp(prefix="memlake-archive-"), tempfile.mkdtemp(prefix="memlake-stream-")
+    for version in range(3):
+        for name in "abc":
+            put(folder, f"{version}{name}.jsonl", header(name, f"2026-04-1{version}T00:00:00Z"), *[turn(i, f"{name}{version}") for i in range(1, 4 - version)], "{bad")
+            os.utime(os.path.join(folder, f"{version}{name}.jsonl"), (1_000_000 + 100 * version + ord(name),) * 2)
+    stream_ingest(spark, folder, f"{work}/merged", f"{work}/c1", NOW, 1, merge_every=2).awaitTermination()
+    stream_ingest(spark, folder, f"{work}/whole", f"{work}/c2", NOW, 100).awaitTermination()
+    for table, columns in (("sessions", ["session_id", "start_ts", "turn_count"]), ("turns", ["session_id", "seq", "content"])):
+        assert rows(current(spark, f"{work}/merged", table), *columns) == rows(current(spark, f"{work}/whole", table), *columns)
+        assert log_folders(spark, f"{work}/merged/{table}") == [(0, 7), (8, 8)]
+    assert current(spark, f"{work}/merged", "errors").count() == 9
+    # What merges replaced goes after one more round; a merge that was cut short is not read, and done again.
+    left = {name for name in os.listdir(f"{work}/merged/turns") if "=" in name}
+    assert "batch_id=0" not in left and "merged=0-3" not in left and "merged=0-7" in left
+    os.remove(f"{work}/merged/turns/merged=0-7/_SUCCESS")
+    assert (0, 7) not in log_folders(spark, f"{work}/merged/turns")
+
+
+def test_merges_of_levels():
+    assert [due_merge(i, 2) for i in range(8)] == [0, 2, 0, 4, 0, 2, 0, 8] and [due_merge(i, 10) for i in (8, 9, 98, 99, 999)] == [0, 10, 0, 100, 1000]
+
+
+def test_merging_again_changes_nothing(spark):
+    folder, work = sample(), tempfile.mkdtemp(prefix="memlake-stream-")
+    stream_ingest(spark, folder, f"{work}/s", f"{work}/c", NOW, 1, merge_every=10).awaitTermination()
+    before = rows(current(spark, f"{work}/s", "turns"), "session_id", "content")
+    for _ in range(2):
+        merge_batches(spark, f"{work}/s", 0, 3, 2)
+        assert rows(current(spark, f"{work}/s", "turns"), "session_id", "content") == before
+    # Batches that ran again after their merge are in it already.
+    assert len(log_folders(spark, f"{work}/s/turns")) == 1
