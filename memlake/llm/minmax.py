@@ -38,7 +38,8 @@ FILTER_BITS = 1 << 23
 @dataclass(frozen=True)
 class MinMaxParams:
     """``percent``: linked from this Jaccard similarity on. A pair at 0.8 is missed by all bands with
-    probability (1 - 0.8**rows) ** bands, 2.9e-6 at the defaults; more similar pairs far less often.
+    probability (1 - 0.8**rows) ** bands, 2.9e-6 at the defaults; more similar pairs far less often. Minimum and
+    maximum of one permutation exclude each other on small sets: 4 of 5 shingles are missed with 4e-5, 8 of 10 with 9e-6.
     ``permutations`` hashes give twice as many values, of which bands * rows are used."""
 
     width: int = 2
@@ -98,8 +99,13 @@ class Signer:
         return mix64(values).astype(np.uint8).tobytes()
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row is told apart by, with an id or without: equal rows share it."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+
+
 def signatures(docs: DataFrame, params: MinMaxParams, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, digest, bands, sketch; the last three are null for an empty set."""
+    """doc_id, key (of the row), n_shingles, digest, bands, sketch; the last three are null for an empty set."""
 
     def run(batches):
         hashes, signer = WordHashes(), Signer(params)
@@ -116,12 +122,13 @@ def signatures(docs: DataFrame, params: MinMaxParams, text: str = "text", doc_id
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("key"),
                     pa.array(counts, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                names=["doc_id", "key", "n_shingles", "digest", "bands", "sketch"],
             )
 
         for batch in batches:
@@ -129,31 +136,32 @@ def signatures(docs: DataFrame, params: MinMaxParams, text: str = "text", doc_id
                 yield work(batch.slice(start, 256))
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
+    return source.withColumn("key", row_key()).mapInArrow(
+        run, "doc_id long, key long, n_shingles long, digest binary, bands array<long>, sketch binary"
     )
 
 
 def shingle_sets(texts: DataFrame, width: int, filled: np.ndarray | None = None) -> DataFrame:
-    """(digest, shingles) of all texts, or of those whose doc_id may be in the filter."""
+    """(digest, shingles) of all texts, or of those whose row's key may be in the filter."""
     sent = texts.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches):
         hashes, bits = WordHashes(), sent.value
         for batch in batches:
+            # Equal rows once.
+            keys, first = np.unique(batch.column("key").to_numpy(), return_index=True)
+            if bits is not None:
+                first = first[passes_filter(keys.view(np.uint64), bits)]
+            batch = batch.take(pa.array(np.sort(first)))
             for start in range(0, batch.num_rows, 64):
                 piece = batch.slice(start, 64)
-                if bits is not None:
-                    ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                    piece = piece.filter(pa.array(passes_filter(ids, bits)))
                 found = [shingle_set(t.as_py(), width, hashes) for t in piece.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
                     names=["digest", "shingles"],
                 )
 
-    known = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return known.mapInArrow(run, "digest binary, shingles array<long>")
+    return texts.select(row_key().alias("key"), "text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def likely(pairs: DataFrame, params: MinMaxParams) -> DataFrame:
@@ -204,7 +212,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: _Sets, params: MinMaxP
 
 
 class _Sets:
-    """(digest, shingles) of the classes asked for so far, each made once from the text of its first document."""
+    """(digest, shingles) of the classes asked for so far, each made once from the text of one of its rows."""
 
     def __init__(self, classes: DataFrame, docs: DataFrame, params: MinMaxParams) -> None:
         self.classes, self.docs, self.params = classes, docs, params
@@ -213,47 +221,55 @@ class _Sets:
     def of(self, asked: DataFrame) -> DataFrame:
         """Sets of at least the classes ``asked`` (digest, distinct)."""
         new = asked if self.made is None else asked.join(self.made.select("digest"), "digest", "left_anti")
-        wanted = self.classes.join(new, "digest", "left_semi").select("digest", F.col("rep").alias("doc_id"))
+        wanted = self.classes.join(new, "digest", "left_semi").select("digest", "key")
         wanted = durable(wanted, "wanted-sets")
         count = wanted.count()
         if self.made is None or count:
             if count <= FILTER_BITS // 8:
                 # The texts are told apart where they are read; none is shuffled.
-                found = shingle_sets(self.docs, self.params.width, bit_filter(wanted, "doc_id", FILTER_BITS))
+                found = shingle_sets(self.docs, self.params.width, bit_filter(wanted, "key", FILTER_BITS))
             else:
-                found = shingle_sets(self.docs.join(wanted.select("doc_id"), "doc_id", "left_semi"), self.params.width)
-            # Rows of the same id with another text fall away here.
+                found = shingle_sets(self.docs.withColumn("key", row_key()).join(wanted.select("key"), "key", "left_semi"), self.params.width)
+            # Other rows that the filter lets through fall away here.
             found = found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
             found = durable(found, "shingle-sets")
             self.made = found if self.made is None else self.made.unionByName(found)
         return self.made
 
 
-def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
-
-    Documents are linked when their sets of word shingles reach the similarity; a component
-    is what links connect, named by its smallest doc_id. Null and empty texts have an empty set,
-    no links, and are kept. Rows with equal sets are one class, so repeated rows share a
-    component. Rows without doc_id belong to the component of an equal set; if none of the equal
-    rows has an id, they are kept with a null component. Other columns are ignored.
-    """
+def near_groups(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
+    """doc_id, key, n_shingles, component (what links connect; null without words), component_id (its smallest doc_id)
+    for every row of ``docs``; ``key`` is the row's ``row_key``. Rows without id are linked like all others."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = durable(signatures(docs, params), "signatures")
     full = signed.where(F.col("n_shingles") > 0)
     first = F.min_by(F.struct(F.col("n_shingles").alias("n"), "bands", "sketch"), F.coalesce("doc_id", F.lit(2**63 - 1)))
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), first.alias("f"))
-    classes = durable(classes.select("digest", "rep", "f.n", "f.bands", "f.sketch"), "classes")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), first.alias("f"))
+    classes = durable(classes.select("digest", "rep", "key", "f.n", "f.bands", "f.sketch"), "classes")
 
     labels = _component_labels(docs, classes, params)
     named = classes.select("digest", "rep").join(labels, "digest", "left")
     named = named.withColumn("label", F.coalesce("label", "digest"))
     smallest = durable(named.groupBy("label").agg(F.min("rep").alias("component_id")), "component-names")
-    named = durable(named.join(smallest, "label").select("digest", "component_id"), "class-components")
+    named = named.join(smallest, "label").select("digest", F.col("label").alias("component"), "component_id")
+    named = durable(named, "class-components")
 
-    rows = full.select("doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
-    alone = signed.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    rows = full.select("doc_id", "key", "n_shingles", "digest").join(named, "digest").drop("digest")
+    none = F.lit(None).cast("binary").alias("component")
+    alone = signed.where(F.col("n_shingles") == 0).select("doc_id", "key", "n_shingles", none, F.col("doc_id").alias("component_id"))
+    return rows.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
+
+    Documents are linked when their sets of word shingles reach the similarity; a component
+    is what links connect, named by its smallest doc_id. Null and empty texts have an empty set,
+    no links, and are kept. Rows with equal sets are one class, so repeated rows share a
+    component. Rows without doc_id belong to the component they are linked to; where none of
+    its rows has an id, they are kept with a null component. Other columns are ignored.
+    """
+    out = near_groups(docs, params).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

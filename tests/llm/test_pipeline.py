@@ -69,3 +69,23 @@ def test_planted_cases(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", F.size("ids").alias("n")).collect()
     assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [*range(20), 100, 106]
     assert sum(r["doc_id"] is None for r in out) == 1
+
+
+def test_near_dedup_of_repeated_and_missing_ids(spark):
+    """Rows of one id with different texts are judged apart; rows without id are near copies like others."""
+    draw = random.Random(8)
+    words = lambda: ["".join(draw.choice("aeioulnrst") for _ in range(6)) for _ in range(60)]
+    a, b, c, d = (words() for _ in range(4))
+    near = lambda text, i: " ".join([*text[:i], "changed", *text[i + 1 :]])
+    whole = " ".join
+    rows = [(1, whole(a)), (1, whole(b)), (1, whole(a)), (2, near(b, 1)), (3, near(a, 0))]
+    rows += [(None, near(c, 0)), (None, whole(c)), (7, near(c, 59)), (8, near(c, 1))]
+    rows += [(None, near(d, 0)), (None, whole(d)), (None, whole(d)), (9, None), (None, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    found = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()), key=repr)
+    nameless = [t for i, t in found if i is None and t is not None]
+    assert len(nameless) == 1 and nameless[0] in (near(d, 0), whole(d))
+    assert [x for x in found if x[0] is not None] == sorted([(1, whole(a)), (1, whole(b)), (7, near(c, 59)), (9, None)], key=repr)
+    # Near copies of one id are one document.
+    twice = spark.createDataFrame([(4, whole(a), "en", "s", 1), (4, near(a, 0), "en", "s", 1)], SCHEMA)
+    assert corpus_pipeline.near_dedup(spark, twice, SF_DIR).count() == 1
