@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import free_name, remainder, table
-from memlake.llm.minmax import MinMaxParams, near_duplicates
+from memlake.llm.minmax import MinMaxParams, near_groups, row_key
 from memlake.llm.piece_fst import encode_texts
 from memlake.llm.rank_profiles import UNDECIDED, identify, language_profiles
 from memlake.llm.secrets import redact_secrets
@@ -36,15 +36,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies stays (five-word shingles, similarity 0.8).
 
-    Repeated rows of an id are one document. Rows without id stay unless they equal a document.
+    Rows are known by id and text: of one id with different texts each is judged on its own, and only rows
+    equal in both are one document. A row without id stays where its group has none with one.
     """
-    judged = near_duplicates(docs, MinMaxParams(width=5)).where("kept")
-    named = judged.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    key = free_name(docs, "_key")
-    nameless = docs.where(F.col("doc_id").isNull()).withColumn(key, text_key()).dropDuplicates([key])
-    others = docs.where(F.col("doc_id").isNotNull()).select(text_key().alias(key))
-    return kept.unionByName(nameless.join(others, key, "left_anti").select(*docs.columns))
+    groups = near_groups(docs, MinMaxParams(width=5))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = groups.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order)["key"].alias("key"))
+    alone = groups.where(F.col("component").isNull()).select("key")
+    key, same = free_name(docs, "_key"), free_name(docs, "_same")
+    stays = first.select("key").unionByName(alone).distinct().withColumnRenamed("key", key)
+    kept = docs.withColumn(key, row_key()).join(stays, key, "left_semi")
+    return kept.withColumn(same, text_key()).dropDuplicates(["doc_id", same]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
