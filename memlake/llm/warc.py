@@ -8,6 +8,7 @@ plain text of the page. Everything is a column expression over one row: nothing
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -86,32 +87,42 @@ def decoded(text: Column) -> Column:
     return F.when(text.rlike(RARE), whole).otherwise(F.replace(text, F.lit(AMP), F.lit("&")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times, computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _without(text: Column, element: str) -> Column:
     """``text`` without an element, from each opening tag to the next closing one. Every piece between
     closing tags is looked through once, so the time grows with the length alone."""
-    pieces = F.split(text, rf"(?i)</{element}\s*>", -1)
 
     def cut(piece: Column) -> Column:
         opened = piece.rlike(rf"(?i)<{element}\b")
         return F.when(opened, F.regexp_replace(piece, rf"(?is)<{element}\b.*", " ")).otherwise(F.concat(piece, F.lit(f"</{element}>")))
 
-    closed = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), cut)
-    return F.when(F.size(pieces) > 1, F.concat(F.array_join(closed, ""), F.element_at(pieces, -1))).otherwise(text)
+    def joined(pieces: Column) -> Column:
+        closed = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), cut)
+        return F.concat(F.array_join(closed, ""), F.element_at(pieces, -1))
+
+    return _once(F.split(text, rf"(?i)</{element}\s*>", -1), joined)
+
+
+def _without_tags(text: Column) -> Column:
+    """Tags end at a ``>``: behind the last one none is looked for."""
+    tagged = F.regexp_extract(text, "(?s)^.*>", 0)
+    tail = F.substr(text, F.length(tagged) + 1)
+    return F.concat(F.regexp_replace(F.regexp_replace(tagged, BLOCK_TAG, "\n"), ANY_TAG, ""), tail)
 
 
 def plain_text(html: Column) -> Column:
     """The visible text: one line per block, runs of blanks as one, no empty lines; null for null.
 
-    Linear in the length of the page: what a pattern begins to match it also ends, except
-    behind the last ``>``, where no tag is looked for.
+    Linear in the length of the page: what a pattern begins to match it also ends.
     """
     text = F.regexp_replace(html, UNSEEN, " ")
     for element in HIDDEN:
         text = _without(text, element)
-    tagged = F.regexp_extract(text, "(?s)^.*>", 0)
-    tail = F.substr(text, F.length(tagged) + 1)
-    text = F.concat(F.regexp_replace(F.regexp_replace(tagged, BLOCK_TAG, "\n"), ANY_TAG, ""), tail)
-    text = decoded(text)
+    text = _once(_once(text, _without_tags), decoded)
     # Runs of blanks first: looked for before every line break they would be gone through again and again.
     text = F.regexp_replace(text, "  +", " ")
     return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
