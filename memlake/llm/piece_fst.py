@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three transducers are compiled from a model file: the normaliser (white space escape and dummy
-prefix), the lexicon (characters to the pieces that end there, with the bytes of a character as its
-fallback) and an acceptor of piece sequences. A text is composed with them character by
-character, and the shortest path in the tropical semiring (least sum of weights) is the encoding.
+Three transducers are compiled from a model file: the normaliser (runs of blanks and of other
+characters to the escaped text, with dummy prefix and squeezed blanks), the lexicon (characters to
+the pieces that end there, with the bytes of a character as its fallback) and an acceptor of piece
+sequences. A text is composed with them character by character, and the shortest path in the
+tropical semiring (least sum of weights) is the encoding.
 
 Unigram models: a piece weighs minus its score and the acceptor takes every sequence.
 
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from memlake.llm.common import free_name
 
 BLANK = "▁"
+RUN = re.compile(" +|[^ ]+")
+# States of the normaliser: nothing written yet, after text, after blanks that are written with the next text.
+EMPTY, WRITTEN, OPEN = range(3)
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 # Numbers of model and piece kinds in the model file's format.
@@ -41,7 +45,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNKNOWN_PENALTY = 10.0
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-PATHS_KEPT, ARCS_KEPT, LONGEST_KEPT = 250_000, 300_000, 48
+PATHS_KEPT, ARCS_KEPT, STEPS_KEPT, LONGEST_KEPT = 250_000, 300_000, 200_000, 48
 PIECE_ROWS = 64
 
 
@@ -67,10 +71,12 @@ class PieceModel:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.lowest = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.pieces = [p.piece for p in proto.pieces]
+        self.sizes = [len(piece) for piece in self.pieces]
         letters = "".join(sorted({c for piece in self.ids for c in piece if c.isalpha()}))
         by_letters = re.compile(f"{BLANK}*[{letters}]+|{BLANK}*[^{letters}{BLANK}]+|{BLANK}+") if letters else WORD
         # The finest way to cut a text that cuts no piece.
         self.parts = next((p for p in (by_letters, WORD) if all(len(p.findall(x)) == 1 for x in self.ids)), None)
+        self._compile_normaliser()
         self._compile_lexicon()
         self.spelled = [b"" if p.type == CONTROL else p.piece.encode() for p in proto.pieces]
         self.spelled[self.unknown] = " ⁇ ".encode()
@@ -79,34 +85,88 @@ class PieceModel:
         # Paths of words met lately, in two generations.
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.arcs: dict[int, bool] = {}
+        self.arcs: dict[int, float] = {}
         self.histories: dict[int, tuple | None] = {}
 
     # Lexicon.
 
     def _compile_lexicon(self) -> None:
-        """A trie over characters; ``None`` leads from a state to the number of the piece that ends there.
+        """A state is the longest end of the text that begins a piece; it emits the pieces that end there.
 
-        ``prefixes`` has the next shorter piece that a piece begins with, -2 if there is none.
+        ``step[state]`` maps a character to the next state, ``short[state]`` is the state of the next
+        shorter end, ``emits[state]`` are (length, number, weight) of pieces, longest first.
         """
-        self.root: dict = {}
+        self.step: list[dict[str, int]] = [{}]
+        own: list[tuple | None] = [None]
         for piece, number in self.ids.items():
-            state = self.root
+            state = 0
             for char in piece:
-                state = state.setdefault(char, {})
-            state[None] = number
-        self.sizes = [len(piece) for piece in self.pieces]
-        self.prefixes = [-2] * len(self.pieces)
-        for piece, number in self.ids.items():
-            self.prefixes[number] = self.longest_piece(piece[:-1], 0)
+                after = self.step[state].get(char)
+                if after is None:
+                    after = self.step[state][char] = len(self.step)
+                    self.step.append({})
+                    own.append(None)
+                state = after
+            own[state] = len(piece), number, -self.scores[piece] if self.kind == UNIGRAM else 1.0
+        self.short = [0] * len(self.step)
+        self.emits: list[tuple] = [()] * len(self.step)
+        # Level by level: the shorter ends are known before the longer ones.
+        level = [0]
+        while level:
+            below = []
+            for state in level:
+                for char, after in self.step[state].items():
+                    if state:
+                        back = self.short[state]
+                        while back and char not in self.step[back]:
+                            back = self.short[back]
+                        self.short[after] = self.step[back].get(char, 0)
+                    longer = (own[after],) if own[after] else ()
+                    self.emits[after] = longer + self.emits[self.short[after]]
+                    below.append(after)
+            level = below
+        self.steps_kept = 0
+
+    def advance(self, state: int, char: str) -> int:
+        """The next state where ``step`` has none; a bounded number of them is kept for the next time."""
+        back = state
+        while back and char not in self.step[back]:
+            back = self.short[back]
+        after = self.step[back].get(char, 0)
+        if after and self.steps_kept < STEPS_KEPT:
+            self.step[state][char] = after
+            self.steps_kept += 1
+        return after
 
     # Normaliser.
 
-    def normalise(self, text: str) -> str:
+    def _compile_normaliser(self) -> None:
+        """Arcs of (state, whether the run is of blanks): what is written before the run, what each of its
+        characters becomes (None: itself), and the next state."""
+        prefix = BLANK if self.dummy_prefix else ""
+        self.normaliser = {(EMPTY, False): (prefix, None, WRITTEN), (WRITTEN, False): ("", None, WRITTEN)}
         if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        prefix = BLANK if self.dummy_prefix and text else ""
-        return prefix + text.replace(" ", BLANK)
+            self.normaliser[EMPTY, True] = "", "", EMPTY
+            self.normaliser[WRITTEN, True] = "", "", OPEN
+            self.normaliser[OPEN, False] = BLANK, None, WRITTEN
+        else:
+            self.normaliser[EMPTY, True] = prefix, BLANK, WRITTEN
+            self.normaliser[WRITTEN, True] = "", BLANK, WRITTEN
+
+        # States that both kinds of runs lead back to.
+        self.closed = {state for state in (EMPTY, WRITTEN) if all(self.normaliser[state, kind][::2] == ("", state) for kind in (False, True))}
+
+    def normalise(self, text: str) -> str:
+        out, state, place = [], EMPTY, 0
+        while place < len(text):
+            if state in self.closed:
+                out.append(text[place:].replace(" ", self.normaliser[state, True][1]))
+                break
+            run = RUN.match(text, place)[0]
+            before, becomes, state = self.normaliser[state, run[0] == " "]
+            out += before, run if becomes is None else becomes * len(run)
+            place += len(run)
+        return "".join(out)
 
     # Acceptor of piece sequences (BPE).
 
@@ -127,16 +187,13 @@ class PieceModel:
         made.append(float("-inf"))
         return made, firsts, lasts
 
-    def accepts(self, last: int, piece: int) -> bool:
-        """Whether ``piece`` may follow ``last`` (-1: the start, -2: an unknown character).
+    def weigh(self, arc: int) -> float:
+        """The weight of an arc, the last piece (-1: the start, -2: an unknown character) << 24 with the next one.
 
         Both merge by themselves, best score first, until a merge across the boundary is the best one
-        left (of equal scores the leftmost comes first).
+        left (of equal scores the leftmost comes first): then the arc is closed.
         """
-        arc = (last << 24) + piece
-        known = self.arcs.get(arc)
-        if known is not None:
-            return known
+        last, piece = arc >> 24, arc & 0xFFFFFF
         if len(self.arcs) > ARCS_KEPT:
             self.arcs.clear()
         histories = self.histories
@@ -161,15 +218,15 @@ class PieceModel:
                     i += 1
                 else:
                     j += 1
-        self.arcs[arc] = known
-        return known
+        weight = self.arcs[arc] = 1.0 if known else float("inf")
+        return weight
 
     # Composition and shortest path.
 
     def shortest_path(self, text: str) -> list[int]:
         """Piece numbers of a normalised text, characters without a piece as their bytes."""
         out: list[int] = []
-        for start, end, number in self._accepted_path(text) if self.kind == BPE else self._lightest_path(text):
+        for start, end, number in self._lightest_path(text):
             if number >= 0:
                 out.append(number)
             elif self.bytes:
@@ -178,68 +235,45 @@ class PieceModel:
                 out.append(self.unknown)
         return out
 
-    def _accepted_path(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, number) along the path that the acceptor of a BPE model leaves.
+    def _lightest_path(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, number) of the pieces along the path of the least sum of weights, -2 for no piece.
 
-        All arcs weigh 1 or infinity and one path is left, so it is enough to follow it: the longest
-        piece first, shorter ones where the acceptor or the rest of the text refuses. A place
-        that led nowhere is not entered again: what follows it depends on one last piece only.
+        Of every place are kept the weight of the lightest path to it and its last piece's number. The
+        acceptor of a BPE model lets one last piece through at a place, so its state needs no
+        room, and the first finite arc is the only one.
         """
-        arcs, longest = self.arcs, self.longest_piece
-        path: list[tuple[int, int, int]] = []
-        refused: set[int] = set()
-        place, last, size = 0, -1, len(text)
-        number = longest(text, 0)
-        while place < size:
-            end = place + 1 if number < 0 else place + self.sizes[number]
-            known = end not in refused
-            if known and number >= 0:
-                known = arcs.get((last << 24) + number)
-                if known is None:
-                    known = self.accepts(last, number)
-            if known:
-                path.append((place, end, number))
-                place, last = end, number
-                number = longest(text, place) if place < size else -2
-                continue
-            while number < 0 or self.prefixes[number] < 0:
-                refused.add(place)
-                place, _, number = path.pop()
-                last = path[-1][2] if path else -1
-            number = self.prefixes[number]
-        return path
-
-    def longest_piece(self, text: str, start: int) -> int:
-        """The longest piece at ``start``, or -2."""
-        state, found = self.root, -2
-        for place in range(start, len(text)):
-            state = state.get(text[place])
-            if state is None:
-                break
-            if None in state:
-                found = state[None]
-        return found
-
-    def _lightest_path(self, text: str) -> list[tuple[int, int, int]]:
-        """The same by least sums of weights."""
-        endless = float("inf")
-        best = [(0.0, 0, -2)] + [(endless, 0, -2)] * len(text)
-        for start in range(len(text)):
-            total = best[start][0]
-            state, single = self.root, False
-            for end in range(start + 1, len(text) + 1):
-                state = state.get(text[end - 1])
-                if state is None:
-                    break
-                if None in state:
-                    single = single or end == start + 1
-                    number = state[None]
-                    best[end] = min(best[end], (total - self.scores[self.pieces[number]], start, number))
-            if not single:
-                best[start + 1] = min(best[start + 1], (total - self.lowest, start, -2))
+        track, endless, sizes = self.kind == BPE, float("inf"), self.sizes
+        fallback = 1.0 if track else -self.lowest
+        step, emits, arcs = self.step, self.emits, self.arcs
+        # Numbers are kept as the left half of an arc.
+        weights, lasts = [0.0], [-1 << 24]
+        state = 0
+        for place, char in enumerate(text, 1):
+            try:
+                state = step[state][char]
+            except KeyError:
+                state = self.advance(state, char)
+            found = emits[state]
+            best, piece = endless, -2
+            for length, number, weight in found:
+                if track:
+                    arc = lasts[place - length] + number
+                    weight = arcs[arc] if arc in arcs else self.weigh(arc)
+                total = weights[place - length] + weight
+                if total < best:
+                    best, piece = total, number
+                    if track:
+                        break
+            if not found or found[-1][0] > 1:
+                total = weights[-1] + fallback
+                if total < best:
+                    best, piece = total, -2
+            weights.append(best)
+            lasts.append(piece << 24)
         path, end = [], len(text)
         while end > 0:
-            _, start, number = best[end]
+            number = lasts[end] >> 24
+            start = end - sizes[number] if number >= 0 else end - 1
             path.append((start, end, number))
             end = start
         return path[::-1]

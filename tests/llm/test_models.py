@@ -59,7 +59,9 @@ def test_pieces_edge_cases(spark):
     assert decode_ids(spark.createDataFrame([(None,)], "ids array<int>")).collect()[0]["text"] is None
 
 
-def test_unigram_model():
+@pytest.mark.parametrize("prefix", [True, False])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_unigram_model(prefix, squeeze):
     """A hand-made unigram model: the path with the best sum of scores, as the library finds it."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -68,8 +70,8 @@ def test_unigram_model():
         proto.pieces.add(piece=piece, score=score, type=kind)
     proto.trainer_spec.model_type = 1
     proto.normalizer_spec.name = "identity"
-    proto.normalizer_spec.add_dummy_prefix = True
-    proto.normalizer_spec.remove_extra_whitespaces = True
+    proto.normalizer_spec.add_dummy_prefix = prefix
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
     proto.normalizer_spec.escape_whitespaces = True
     raw = proto.SerializeToString()
     ours, theirs, draw = PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw), random.Random(2)
@@ -78,6 +80,24 @@ def test_unigram_model():
         assert list(ours.encode(text)) == theirs.encode(text), text
 
 
+def test_one_path_of_a_bpe_lattice_is_finite(model, library):
+    """Of all ways to spell a word in pieces the acceptor leaves one, and it is the library's."""
+    draw, index = random.Random(4), {p: i for p, i in model.ids.items()}
+
+    def spellings(word, last=-1):
+        if not word:
+            yield ()
+        for size in range(1, len(word) + 1):
+            number = index.get(word[:size])
+            if number is not None and model.weigh((last << 24) + number) < float("inf"):
+                for rest in spellings(word[size:], number):
+                    yield (number, *rest)
+
+    for _ in range(300):
+        text = "".join(draw.choice("aeinrst") for _ in range(draw.randint(1, 9)))
+        assert list(spellings(model.normalise(text))) == [tuple(library.encode(text))]
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", remainder("doc_id", 4) == 2)
     profiles = language_profiles(docs.where("NOT held"))
