@@ -61,6 +61,11 @@ def containing(df: DataFrame, text: str, column: str = "content") -> DataFrame:
     return df.where(F.col(column).contains(text))
 
 
+def lookup_turns(turns: DataFrame, turn_ids: list[int]) -> DataFrame:
+    """The turns of a few ids. A scan of a store's turns skips the row groups whose Bloom filter knows none of them."""
+    return turns.where(F.col("turn_id").isin(turn_ids))
+
+
 def hit_context(hits: DataFrame, turns: DataFrame, text: str = "preview") -> DataFrame:
     """Add session, time, role and preview to hits; hits without a turn are dropped."""
     context = turns.select("turn_id", F.col(text).alias("preview"), "session_id", "timestamp_ms", "role")

@@ -13,7 +13,7 @@ from memlake.functions.guard import scan_issues
 from memlake.functions.ids import random_id
 from memlake.functions.sql import register
 from memlake.functions.vectors import l2_normalize, quantize_int8
-from memlake.operators import filters, hybrid, ingest, keyword, memory, provenance, reports, vector
+from memlake.operators import content, filters, hybrid, ingest, keyword, memory, provenance, reports, vector
 from memlake.plans import fixtures as fx
 from memlake.plans.rebuild import Store, newest, rebuild_index, save_sessions
 from memlake.plans.search import SearchFilter, search, semantic_hits
@@ -325,6 +325,26 @@ def check_consistency(spark, sf):
     return reports.check_consistency(fx.headers(spark, sf), stored.unionByName(others))
 
 
+def _altered(spark, sf):
+    """Turns as archived (some come late), and as a store holds them: some changed, lost or in another profile."""
+    number, seq = F.substring("session_id", 6, 20).cast("long") % 10, F.col("seq")
+    turns = fx.turns(spark, sf).withColumn("day", times.day_of(F.col("timestamp_ms")))
+    stored = turns.where(~((number == 2) & (seq == 1)))
+    changed = F.when((number == 1) & (seq == 2), F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    profile = F.when(number == 3, "elsewhere").otherwise(F.col("profile_id"))
+    return turns.where(~((number == 4) & (seq == 3))), stored.withColumn("content", changed).withColumn("profile_id", profile)
+
+
+@query
+def unequal_groups(spark, sf):
+    return content.unequal_groups(*_altered(spark, sf), by=("profile_id",))
+
+
+@query
+def content_differences(spark, sf):
+    return content.content_differences(*_altered(spark, sf))
+
+
 @query
 def consistency_of_profiles(spark, sf):
     """The archive has every session in two profiles; the table lacks the odd ones of the second."""

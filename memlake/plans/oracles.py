@@ -38,6 +38,12 @@ TURNS = f"""turns AS (
          CASE WHEN role = 'assistant' AND turn % 4 <> 3 THEN turn + 1 END AS output_tokens
   FROM conversations)"""
 
+# Turns as archived, and as a store holds them: some changed, lost or in another profile.
+ALTERED = """archived AS (SELECT * FROM turns WHERE NOT (conv_id % 10 = 4 AND seq = 3)),
+  stored AS (SELECT * REPLACE (CASE WHEN conv_id % 10 = 1 AND seq = 2 THEN content || '!' ELSE content END AS content,
+                               CASE WHEN conv_id % 10 = 3 THEN 'elsewhere' ELSE profile_id END AS profile_id), profile_id AS old
+             FROM turns WHERE NOT (conv_id % 10 = 2 AND seq = 1))"""
+
 # One profile's documents alone.
 PROFILE_TURNS = f"""turns AS (
   SELECT doc_id AS turn_id, source AS session_id, {BASE} + doc_id * {MINUTE} AS timestamp_ms, lang AS role,
@@ -398,6 +404,20 @@ ORACLES: dict[str, str] = {
     "check_consistency": f"""WITH {TURNS}, a AS (SELECT DISTINCT profile_id, session_id FROM turns),
         b AS (SELECT DISTINCT profile_id, session_id FROM turns WHERE role = 'system' UNION SELECT 'p' || (doc_id % 3), source FROM documents)
         {IN_SYNC}""",
+    "unequal_groups": f"""WITH {TURNS}, {ALTERED}, a AS (
+          SELECT profile_id, count(*) AS n_archived, list_sort(list(session_id || '/' || seq || '/' || content)) AS held FROM archived GROUP BY 1),
+        b AS (SELECT profile_id, count(*) AS n_stored, list_sort(list(session_id || '/' || seq || '/' || content)) AS held FROM stored GROUP BY 1)
+        SELECT profile_id, coalesce(n_archived, 0) AS n_archived, coalesce(n_stored, 0) AS n_stored
+        FROM a FULL JOIN b USING (profile_id) WHERE a.held IS DISTINCT FROM b.held""",
+    "content_differences": f"""WITH {TURNS}, {ALTERED}
+        SELECT a.profile_id, session_id, seq,
+               CASE WHEN a.content <> b.content THEN 'changed' WHEN a.conv_id % 10 = 3 THEN 'moved' ELSE 'missing' END AS kind,
+               CASE WHEN a.conv_id % 10 = 3 THEN 'elsewhere' END AS other_profile
+        FROM archived a LEFT JOIN stored b USING (profile_id, session_id, seq) WHERE b.content IS DISTINCT FROM a.content
+        UNION ALL
+        SELECT b.profile_id, session_id, seq, CASE WHEN b.profile_id = 'elsewhere' THEN 'arrived' ELSE 'added' END,
+               CASE WHEN b.profile_id = 'elsewhere' THEN old END
+        FROM stored b ANTI JOIN archived a USING (profile_id, session_id, seq)""",
     "consistency_of_profiles": f"""WITH {TURNS}, pairs AS (
           SELECT DISTINCT conv_id, session_id, unnest([profile_id, 'other']) AS profile_id FROM turns),
         a AS (SELECT profile_id, session_id FROM pairs), b AS (SELECT profile_id, session_id FROM pairs WHERE profile_id <> 'other' OR conv_id % 2 = 0)

@@ -34,8 +34,9 @@ from memlake.sources.tables import read_by_profile, write_by_profile
 
 CARRIED = ("profile_id", "timestamp_ms", "role")
 VERSION = ["version", "version_file"]
-# The folders of a store's tables, and what their rows are sorted by.
+# The folders of a store's tables, what single rows are looked up by, and what rows are sorted by.
 FOLDER = ("profile_id", "day")
+LOOKUP = {"turns": "turn_id"}
 TABLES = {"turns": "timestamp_ms", "sessions": "start_ts", "vectors": "timestamp_ms"}
 # Up to this number of touched folders the scans are told which they are.
 LITERAL_FOLDERS = 1_000
@@ -102,7 +103,7 @@ def rebuild_index(
     counts = {name: Observation(name) for name in names}
 
     def put(table: str, name: str, rows: DataFrame) -> None:
-        write_by_profile(rows, f"{store_path}/{table}", [TABLES[table]], by=FOLDER, counted=counts[name])
+        write_by_profile(rows, f"{store_path}/{table}", [TABLES[table]], by=FOLDER, counted=counts[name], lookup=LOOKUP.get(table))
 
     errors = archive.errors.observe(counts["n_errors"], F.count(F.lit(1)).alias("n"))
     together(
@@ -184,7 +185,7 @@ def finish_save(spark: SparkSession, store: Store) -> None:
         errors = spark.read.parquet(f"{pending}/errors")
 
         def put(table: str) -> None:
-            write_by_profile(staged[table], f"{store.path}/{table}", [TABLES[table]], by=FOLDER, touched_only=True)
+            write_by_profile(staged[table], f"{store.path}/{table}", [TABLES[table]], by=FOLDER, touched_only=True, lookup=LOOKUP.get(table))
             # Folders that lost all their rows.
             emptied = staged["touched"].join(staged[table].select(*FOLDER).distinct(), [*FOLDER], "left_anti")
             for row in emptied.toLocalIterator():

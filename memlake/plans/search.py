@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.times import days_before
-from memlake.operators.filters import hit_context, time_condition
+from memlake.operators.filters import hit_context, lookup_turns, time_condition
 from memlake.operators.hybrid import rrf_fuse
 from memlake.operators.keyword import KeywordIndex, keyword_search
 from memlake.operators.vector import embed_texts, knn, quantized, semantic_score
@@ -25,6 +25,8 @@ MODE = "hybrid"
 LITERAL_QUERIES = 1_000
 # Hits are sent to all tasks only up to this many rows.
 BROADCAST_HITS = 100_000
+# Turns are looked up by their ids only up to this many hits.
+LOOKUP_HITS = 100
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,7 @@ def search(
     load_encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
     text: str = "preview",
     degrade: bool = False,
+    at_once: bool = False,
 ) -> DataFrame:
     """Search hits with their context: query_id, rank, turn_id, score, preview,
     session_id, timestamp_ms, role.
@@ -88,6 +91,7 @@ def search(
     (keyword search: time before, role after), and may return fewer hits.
     ``degrade`` computes the two sides of a hybrid search at once and goes on with one if the
     other fails (an encoder that can't be loaded, say); the failure is logged.
+    ``at_once`` computes the hits on call; the turns of up to 100 are then looked up by id, of all others nothing is read.
     """
     if filter_order not in ("pre", "post"):
         raise ValueError(f"unknown filter order: {filter_order}")
@@ -109,6 +113,10 @@ def search(
         ranked = rrf_fuse(_working(sides) if degrade else [side() for side in sides], k)
     else:
         raise ValueError(f"unknown mode: {mode}")
+    if at_once:
+        ranked, hits = settled(ranked, LOOKUP_HITS, "hits")
+        if hits is not None:
+            return with_context(ranked, lookup_turns(turns, sorted({hit["turn_id"] for hit in hits})), True, text)
     few = rows is not None and len(rows) * k <= BROADCAST_HITS
     return with_context(ranked, turns, few, text)
 

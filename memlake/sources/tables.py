@@ -17,18 +17,23 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 def write_by_profile(
     df: DataFrame, path: str, cluster_by: list[str], mode: str = "overwrite", by: tuple[str, ...] = ("profile_id",),
-    touched_only: bool = False, counted: Observation | None = None,
+    touched_only: bool = False, counted: Observation | None = None, lookup: str | None = None,
 ) -> None:
     """One folder per profile (or per value of ``by``). Rebalancing splits a large one into tasks and
     files of even size. Within a file rows are sorted, so that filters on
     ``cluster_by`` skip row groups. With ``touched_only`` folders that ``df`` has no rows for stay as they are.
-    ``counted`` learns the number of rows (n) as they are written.
+    ``counted`` learns the number of rows (n) as they are written. A ``lookup`` column gets Bloom filters, so that
+    scans for single values of it skip row groups.
     """
     placed = df.hint("rebalance", *by).sortWithinPartitions(*by, *cluster_by)
     if counted is not None:
         # Last in the plan: an empty shuffle would take it away with what is below.
         placed = placed.observe(counted, F.count(F.lit(1)).alias("n"))
     writer = placed.write.partitionBy(*by).mode(mode)
+    if lookup is not None:
+        # Parquet makes no Bloom filter of a column that it has a dictionary for; single values gain nothing from one.
+        options = {f"parquet.enable.dictionary#{lookup}": "false", f"parquet.bloom.filter.enabled#{lookup}": "true"}
+        writer = writer.options(**options, **{"parquet.bloom.filter.adaptive.enabled": "true"})
     if touched_only:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
