@@ -217,18 +217,46 @@ def build_postings(
     """One row per (term, turn).
 
     The texts are shuffled by turn_id, which is much less than the postings made
-    from them; the grouping by (turn_id, term) then needs no shuffle of its own.
+    from them. A turn's words are sorted within its row, so no task sorts or holds more than
+    texts; rows that share id, length and carried columns are one turn.
     """
     texts = turns.where(F.col(text).isNotNull()).select("turn_id", *carry, F.col(text).alias("text")).repartition("turn_id")
     tokens = texts.select("turn_id", *carry, search_terms(F.col("text")).alias("tokens"))
+    worded = tokens.select("turn_id", *carry, F.size("tokens").cast("long").alias("dl"), F.array_join("tokens", " ").alias("words"))
+    whole = worded.groupBy("turn_id", *carry, "dl").agg(F.collect_list("words").alias("texts"))
+    # Each list is a column of its own: an expression inside a lambda is computed once per element.
+    words = whole.select("turn_id", *carry, "dl", F.sort_array(F.flatten(F.transform("texts", _placed_words))).alias("words"))
+    firsts = words.select("*", F.filter(F.sequence(F.lit(0), F.size("words") - 1), _is_first).alias("firsts"))
+    runs = firsts.select("turn_id", *carry, "dl", F.transform("firsts", _run).alias("runs"))
     # The outer form: the plain one makes the optimizer split the texts a second
     # time, to drop those without tokens beforehand.
-    words = F.posexplode_outer("tokens").alias("position", "term")
-    exploded = tokens.select("turn_id", *carry, F.size("tokens").cast("long").alias("dl"), words)
-    grouped = exploded.where(F.col("term").isNotNull()).groupBy("turn_id", "term", "dl", *carry).agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
+    rows = runs.where(F.col("dl") > 0).select("turn_id", *carry, "dl", F.explode_outer("runs").alias("run"))
+    return rows.select(
+        term_bucket(F.col("run.term"), buckets).alias("bucket"),
+        "turn_id",
+        "run.term",
+        "dl",
+        *carry,
+        F.size("run.positions").cast("long").alias("tf"),
+        "run.positions",
     )
-    return grouped.select(term_bucket(F.col("term"), buckets).alias("bucket"), "*")
+
+
+def _placed_words(text: Column) -> Column:
+    return F.transform(F.split(text, " "), lambda term, position: F.struct(term.alias("term"), position.alias("position")))
+
+
+def _is_first(i: Column) -> Column:
+    """Whether the sorted ``words`` have a new term at ``i``."""
+    words = F.col("words")
+    return (i == 0) | (words[i]["term"] != words[F.greatest(i - 1, F.lit(0))]["term"])
+
+
+def _run(start: Column, i: Column) -> Column:
+    """The places of the term that begins at ``start`` in the sorted ``words``; the next one begins at ``firsts[i + 1]``."""
+    end = F.coalesce(F.get("firsts", i + 1), F.size("words"))
+    places = F.transform(F.slice("words", start + 1, end - start), lambda word: word["position"])
+    return F.struct(F.col("words")[start]["term"].alias("term"), places.alias("positions"))
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
