@@ -29,8 +29,11 @@ TERM_BUCKETS = 16
 LITERAL_TERMS = 5_000
 # Up to this number of distinct terms the scan itself is told which ones are wanted.
 FILTER_TERMS = 200
-# Candidates are sent to the postings only up to this number of (query, turn, term) rows.
+# Candidates are sent to the postings only up to this number of (query, turn, term) rows, their turns only up to
+# this number of (query, turn) pairs.
 BROADCAST_CANDIDATES = 500_000
+# Query terms are sent to the postings, which then stay where they are, only up to this number.
+BROADCAST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -322,12 +325,18 @@ def _with_corpus(df: DataFrame, index: KeywordIndex) -> DataFrame:
 
 @dataclass(frozen=True)
 class QueryTerms:
-    """Query terms with their statistics, computed once; the postings they need; and
-    how many candidate rows they give at most (None: not known)."""
+    """Query terms with their statistics, computed once; the postings they need; whether the terms are
+    few enough for every task; and how many candidate (query, turn) pairs and (query, turn, term) rows they give at most."""
 
     terms: DataFrame
     postings: DataFrame
-    candidates: int | None
+    few: bool
+    pairs: int
+    candidates: int
+
+    def sent(self, terms: DataFrame) -> DataFrame:
+        """Some of the terms, for a join with the postings."""
+        return F.broadcast(terms) if self.few else terms
 
 
 def _resolve(index: KeywordIndex, terms: DataFrame, postings: DataFrame, require_all: bool) -> QueryTerms:
@@ -352,14 +361,21 @@ def _resolve(index: KeywordIndex, terms: DataFrame, postings: DataFrame, require
         known = known.where(F.col("n_known") == F.col("n_terms")).drop("n_known")
     terms, rows = settled(_with_corpus(known, index), LITERAL_TERMS, "query-terms")
     if rows is None:
-        return QueryTerms(terms, postings, None)
+        drivers = F.col("rarest") & (F.col("n_terms") > 1) if require_all else F.lit(False)
+        figures = terms.agg(
+            F.count("*").alias("n"),
+            F.coalesce(F.sum(F.when(drivers, F.col("df"))), F.lit(0)).alias("pairs"),
+            F.coalesce(F.sum(F.when(drivers, F.col("df") * F.col("n_terms"))), F.lit(0)).alias("most"),
+        ).first()
+        return QueryTerms(terms, postings, figures["n"] <= BROADCAST_TERMS, figures["pairs"], figures["most"])
     wanted = sorted({row["term"] for row in rows})
     postings = postings.where(F.col("bucket").isin(sorted({row["bucket"] for row in rows})))
     if len(wanted) <= FILTER_TERMS:
         postings = postings.where(F.col("term").isin(wanted))
     # A turn is a candidate if it holds the rarest term, so df counts the candidates.
-    most = sum(row["df"] * row["n_terms"] for row in rows if row.get("rarest") and row["n_terms"] > 1)
-    return QueryTerms(terms, postings, most)
+    drivers = [row for row in rows if row.get("rarest") and row["n_terms"] > 1]
+    pairs, most = sum(row["df"] for row in drivers), sum(row["df"] * row["n_terms"] for row in drivers)
+    return QueryTerms(terms, postings, True, pairs, most)
 
 
 def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -374,22 +390,26 @@ def _matches_of_all(index: KeywordIndex, terms: DataFrame, postings: DataFrame)
     columns = [*postings.columns, *[c for c in terms.columns if c not in ("bucket", "term", "rarest")]]
 
     alone, longer = terms.where(F.col("n_terms") == 1), terms.where(F.col("n_terms") > 1)
-    single = skewed_join(postings, alone, ["bucket", "term"], "inner")
+    single = skewed_join(postings, resolved.sent(alone), ["bucket", "term"], "inner")
 
-    drivers = longer.where("rarest").select("query_id", "bucket", "term")
+    drivers = resolved.sent(longer.where("rarest").select("query_id", "bucket", "term"))
     candidates = skewed_join(postings, drivers, ["bucket", "term"], "inner").select("query_id", "turn_id")
-    wanted = candidates.join(longer, "query_id")
-    if resolved.candidates is not None and resolved.candidates <= BROADCAST_CANDIDATES:
+    wanted = candidates.join(resolved.sent(longer), "query_id")
+    if resolved.candidates <= BROADCAST_CANDIDATES:
         probed = postings.join(F.broadcast(wanted), ["turn_id", "bucket", "term"])
     else:
-        relevant = skewed_join(postings, longer.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        if resolved.pairs <= BROADCAST_CANDIDATES:
+            # Of the postings only those of candidate turns are shuffled.
+            postings = postings.join(F.broadcast(candidates.select("turn_id").distinct()), "turn_id", "left_semi")
+        of_queries = resolved.sent(longer.select("bucket", "term").distinct())
+        relevant = skewed_join(postings, of_queries, ["bucket", "term"], "left_semi")
         probed = relevant.join(wanted, ["turn_id", "bucket", "term"])
     return single.select(*columns), probed.select(*columns)
 
 
 def matches_of_any(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> DataFrame:
     resolved = _resolve(index, terms, postings, False)
-    return skewed_join(resolved.postings, resolved.terms, ["bucket", "term"], "inner")
+    return skewed_join(resolved.postings, resolved.sent(resolved.terms), ["bucket", "term"], "inner")
 
 
 def _term_score() -> Column:
@@ -437,7 +457,8 @@ def keyword_scores(
     if exclude is not None:
         # Resolved like the query's own terms, so that only their buckets and rows are read.
         banned = _resolve(index, query_terms(exclude), postings, False)
-        hit = skewed_join(banned.postings, banned.terms.select("query_id", "bucket", "term"), ["bucket", "term"], "inner")
+        named = banned.sent(banned.terms.select("query_id", "bucket", "term"))
+        hit = skewed_join(banned.postings, named, ["bucket", "term"], "inner")
         scores = scores.join(hit.select("query_id", "turn_id"), ["query_id", "turn_id"], "left_anti")
     return scores
 

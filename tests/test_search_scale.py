@@ -1,8 +1,10 @@
 """What keyword search moves between tasks: texts, not their words; of stored postings only those that are looked for."""
 
+import pytest
 from conftest import rows
 
 from memlake.operators import keyword as kw
+from memlake.session import fresh_path
 
 
 def plan_of(df):
@@ -33,3 +35,33 @@ def test_rows_of_one_id_are_one_turn_if_they_are_alike(spark):
     ]
     found = rows(kw.build_postings(turns, carry=("profile_id",)), "turn_id", "profile_id", "term", "dl", "tf", "positions")
     assert found == sorted(expected, key=repr)
+
+
+@pytest.fixture
+def stored(spark):
+    """A stored index, joins with which are not broadcast for their small size."""
+    texts = [(i, f"the word{i} of word{i % 7} then thus") for i in range(60)]
+    path = fresh_path(spark, "index")
+    kw.build_index(spark.createDataFrame(texts, "turn_id long, content string")).write(path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield kw.KeywordIndex.read(spark, path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def dealt_by_term(df):
+    """Joins for which the stored postings are dealt out by bucket and term."""
+    return [line for line in plan_of(df) if "SortMergeJoin" in line and "[bucket#" in line]
+
+
+def test_postings_of_many_query_terms_stay_where_they_are(spark, stored, monkeypatch):
+    queries = queries_of(spark, "the word3", "of word5 then", "word9")
+    expected = rows(kw.keyword_search(stored, queries, 5))
+    monkeypatch.setattr(kw, "LITERAL_TERMS", 0)
+    found = kw.keyword_search(stored, queries, 5)
+    assert not dealt_by_term(found) and rows(found) == expected
+    # More candidate rows than are sent along: only postings of candidate turns are dealt out.
+    monkeypatch.setattr(kw, "BROADCAST_CANDIDATES", 40)
+    found = kw.keyword_search(stored, queries, 5)
+    assert not dealt_by_term(found) and rows(found) == expected
+    assert any("BroadcastHashJoin [turn_id#" in line and "LeftSemi" in line for line in plan_of(found))
