@@ -544,27 +544,32 @@ def _prefix_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def _terms_with_prefix(index: KeywordIndex, asked: DataFrame) -> DataFrame:
-    """query_id, bucket, term: all words that begin with the query's prefix.
+def _begin_with(asked: DataFrame, rows: list[dict] | None, words: DataFrame) -> DataFrame:
+    """Rows of ``words`` (term, ...) whose term begins with the prefix of a query, with its query_id.
 
-    Words are compared at the lengths that occur among the prefixes only; few prefixes are also
-    told to the scan of the (sorted) term table.
+    Terms are compared at the lengths that occur among the prefixes only; few prefixes are also
+    told to the scan of the (sorted) rows.
     """
     asked = asked.select("query_id", "prefix", F.char_length("prefix").alias("size"))
-    asked, rows = settled(asked, LITERAL_TERMS, "prefixes")
-    sizes = asked.select("size").distinct().collect() if rows is None else rows
+    sizes = asked.select("size").distinct().collect() if rows is None else asked.collect()
     sizes = sorted({row["size"] for row in sizes})
-    table = index.term_stats
+    columns = ["query_id", *words.columns]
     if not sizes:
-        return asked.join(table, F.lit(False)).select("query_id", "bucket", "term")
+        return asked.join(words, F.lit(False)).select(*columns)
     if rows is not None and len(prefixes := sorted({row["prefix"] for row in rows})) <= FILTER_TERMS:
         wanted = F.lit(False)
         for prefix in prefixes:
             wanted = wanted | F.col("term").startswith(prefix)
-        table = table.where(wanted)
-    heads = table.select("bucket", "term", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size"))
+        words = words.where(wanted)
+    heads = words.select("*", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size"))
     heads = heads.where(F.char_length("term") >= F.col("size")).withColumn("prefix", F.expr("substring(term, 1, size)"))
-    return heads.join(asked, ["size", "prefix"]).select("query_id", "bucket", "term")
+    return heads.join(asked if rows is None else F.broadcast(asked), ["size", "prefix"]).select(*columns)
+
+
+def _terms_with_prefix(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """query_id, bucket, term: all words that begin with the query's prefix."""
+    asked, rows = settled(asked.select("query_id", "prefix"), LITERAL_TERMS, "prefixes")
+    return _begin_with(asked, rows, index.term_stats).select("query_id", "bucket", "term")
 
 
 def _posted(index: KeywordIndex, terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -585,18 +590,26 @@ def prefix_search(index: KeywordIndex, queries: DataFrame, k: int, condition: Co
     If it is several terms (Han characters, say), these stand next to each other, and the
     last of them may be longer. The words before it count as in ``keyword_search``.
     """
-    asked, _ = settled(_prefix_queries(queries), LITERAL_TERMS, "prefix-queries")
+    asked, rows = settled(_prefix_queries(queries), LITERAL_TERMS, "prefix-queries")
     postings = index.postings.withColumn("allowed", F.lit(True) if condition is None else condition)
-    found = _posted(index, _terms_with_prefix(index, asked), postings)
-    ends = found.groupBy("query_id", "turn_id", "dl", "allowed").agg(F.flatten(F.collect_list("positions")).alias("ends"))
+    if rows is not None and len({row["prefix"] for row in rows}) <= FILTER_TERMS:
+        # The scan knows the prefixes: how many words begin with them does not matter, and no posting is shuffled to meet them.
+        found = _begin_with(asked, rows, postings)
+    else:
+        found = _posted(index, _terms_with_prefix(index, asked), postings)
     leads = asked.where(F.size("lead") > 0).select("query_id", F.size("lead").alias("n_lead"), "lead")
-    alone = ends.join(leads.select("query_id"), "query_id", "left_anti")
-    units = _with_corpus(alone.select("query_id", "turn_id", "dl", F.size("ends").cast("long").alias("tf"), "allowed"), index)
-    if not leads.isEmpty():
+    led_queries = not leads.isEmpty()
+    alone = found.join(F.broadcast(leads.select("query_id")), "query_id", "left_anti") if led_queries else found
+    units = _with_corpus(alone.groupBy("query_id", "turn_id", "dl", "allowed").agg(F.sum("tf").alias("tf")), index)
+    units = units.select("query_id", "turn_id", "dl", "tf", "allowed", "n", "avgdl")
+    if led_queries:
+        # Places are gathered for the queries that need them only.
+        led = found.join(F.broadcast(leads.select("query_id").distinct()), "query_id", "left_semi")
+        ends = led.groupBy("query_id", "turn_id").agg(F.flatten(F.collect_list("positions")).alias("ends"))
         words = leads.select("query_id", F.posexplode("lead").alias("offset", "term"))
         sizes = leads.select("query_id", F.size(F.array_distinct("lead")).alias("n_terms"), F.col("n_lead").alias("n_offsets"))
         terms = words.groupBy("query_id", "term").agg(F.sort_array(F.collect_list("offset")).alias("offsets")).join(sizes, "query_id")
-        led = _positions_by_turn(index, terms, condition).join(ends.drop("dl", "allowed"), ["query_id", "turn_id"])
+        led = _positions_by_turn(index, terms, condition).join(ends, ["query_id", "turn_id"])
         led = led.join(leads.select("query_id", "n_lead"), "query_id")
         shifted = F.array(F.transform("ends", lambda p: p - F.col("n_lead")))
         starts = _common(F.concat("starts", shifted))

@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from memlake.operators import keyword as kw
 from memlake.session import fresh_path
@@ -65,3 +66,18 @@ def test_postings_of_many_query_terms_stay_where_they_are(spark, stored, monkeyp
     found = kw.keyword_search(stored, queries, 5)
     assert not dealt_by_term(found) and rows(found) == expected
     assert any("BroadcastHashJoin [turn_id#" in line and "LeftSemi" in line for line in plan_of(found))
+
+
+def test_a_prefix_needs_no_list_of_its_words(spark, stored, monkeypatch):
+    found = kw._begin_with(*kw.settled(kw._prefix_queries(queries_of(spark, "th", "of wor")), 9, "asked"), stored.postings)
+    assert not dealt_by_term(found) and not any("SortMergeJoin" in line for line in plan_of(found))
+    # More words than are told to a scan: neither the words nor their places are looked up for a plain prefix.
+    monkeypatch.setattr(kw, "_posted", None)
+    assert rows(kw.prefix_search(stored, queries_of(spark, "th", "of wor", "zz"), 2), "query_id", "rank") == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_prefixes_beyond_those_told_to_the_scan(spark, stored, monkeypatch):
+    queries = queries_of(spark, "th", "of wor", "word1 t", "zz")
+    expected = rows(kw.prefix_search(stored, queries, 5, F.col("turn_id") > 9))
+    monkeypatch.setattr(kw, "FILTER_TERMS", 0)
+    assert rows(kw.prefix_search(stored, queries, 5, F.col("turn_id") > 9)) == expected and len(expected) > 10
