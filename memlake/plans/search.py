@@ -15,7 +15,7 @@ from memlake.operators.filters import hit_context, lookup_turns, time_condition
 from memlake.operators.hybrid import rrf_fuse
 from memlake.operators.keyword import KeywordIndex, keyword_search
 from memlake.operators.vector import embed_texts, knn, quantized, semantic_score
-from memlake.session import durable, settled
+from memlake.session import durable, settled, shuffle_width
 
 # The default number of hits and the default mode.
 TOP_K = 5
@@ -169,16 +169,23 @@ def semantic_hits(
         queries = quantized(embed_texts(queries.select("query_id", "text"), load_encoder, "text"))
     condition = filters.condition()
     if condition is not None and filter_order == "pre":
-        vectors = _matching(vectors, turns, filters, condition)
+        vectors = _dealt(_matching(vectors, turns, filters, condition), vectors, filters)
     elif filters.profile is not None:
         # Another profile's turns never take a place.
-        vectors = _matching(vectors, turns, filters, F.col("profile_id") == filters.profile)
+        vectors = _dealt(_matching(vectors, turns, filters, F.col("profile_id") == filters.profile), vectors, filters)
     near = knn(vectors, queries, k, metric)
     if condition is not None and filter_order == "post":
         near = _ranked_again(_matching(near, turns, filters, condition))
     return near.select("query_id", "turn_id", semantic_score().alias("score"), "rank")
 
 
+def _dealt(kept: DataFrame, vectors: DataFrame, filters: SearchFilter) -> DataFrame:
+    """Vectors that were joined with their turns, dealt out to as many tasks as the session shuffles to. Their bytes are
+    few for the work that they make: put together by size, they would be compared by one task."""
+    joined = not set(filters.columns()) <= set(vectors.columns)
+    return kept.repartition(shuffle_width(kept.sparkSession)) if joined else kept
+
+
 def _matching(rows: DataFrame, turns: DataFrame, filters: SearchFilter, condition: Column) -> DataFrame:
     """Rows whose turn meets the condition; no join where the rows carry the columns."""
     if set(filters.columns()) <= set(rows.columns):

@@ -5,6 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from memlake.operators import keyword as kw
+from memlake.operators import vector as vec
+from memlake.plans.search import SearchFilter, semantic_hits
 from memlake.session import fresh_path
 
 
@@ -81,3 +83,19 @@ def test_prefixes_beyond_those_told_to_the_scan(spark, stored, monkeypatch):
     expected = rows(kw.prefix_search(stored, queries, 5, F.col("turn_id") > 9))
     monkeypatch.setattr(kw, "FILTER_TERMS", 0)
     assert rows(kw.prefix_search(stored, queries, 5, F.col("turn_id") > 9)) == expected and len(expected) > 10
+
+
+def test_filtered_vectors_are_compared_by_many_tasks(spark):
+    """Joined with their turns they are few bytes, which Spark would put into one task."""
+    turns = spark.createDataFrame([(i, "en" if i % 3 else "de", 0) for i in range(200)], "turn_id long, role string, timestamp_ms long")
+    vectors = spark.createDataFrame([(i, [float(i % 17), 1.0]) for i in range(200)], "turn_id long, embedding array<float>")
+    stored, queries = vec.quantized(vectors).select("turn_id", "q8"), spark.createDataFrame([(1, [0, 1])], "query_id long, q8 array<tinyint>")
+    tasks = []
+    with pytest.MonkeyPatch.context() as patch:
+        found = vec.knn
+        patch.setattr("memlake.plans.search.knn", lambda kept, *a: tasks.append(kept.select(F.spark_partition_id()).distinct().count()) or found(kept, *a))
+        for filters in (SearchFilter(role="en"), SearchFilter(profile="p")):
+            with_profile = turns.withColumn("profile_id", F.when(F.col("role") == "en", "p"))
+            hits = semantic_hits(with_profile, stored, queries, 50, filters, "pre")
+            assert hits.count() == 50 and hits.where(F.col("turn_id") % 3 == 0).count() == 0
+    assert tasks == [4, 4]
