@@ -297,10 +297,11 @@ def save_then_search(spark, sf):
 def save_then_stats(spark, sf):
     """Document frequencies, and the counters of all tables, after a save."""
     store = _saved_store(spark, sf)
-    counted = reports.index_stats(store.sessions(spark), store.turns(spark), store.vectors(spark))
+    sessions = store.sessions(spark)
+    counted = reports.index_stats(sessions, store.turns(spark), store.vectors(spark))
     kinds = [F.struct(F.lit(f"({c})").alias("term"), F.col(c).alias("df")) for c in counted.columns]
     counters = counted.select(F.explode(F.array(*kinds)).alias("x")).select("x.term", "x.df")
-    first_seen = store.sessions(spark).agg(F.min("created_at").alias("a"), F.max("created_at").alias("df"))
+    first_seen = sessions.agg(F.min("created_at").alias("a"), F.max("created_at").alias("df"))
     first_seen = first_seen.where("a = df").select(F.lit("(created_at)").alias("term"), "df")
     return store.index(spark).term_stats.select("term", "df").unionByName(counters).unionByName(first_seen)
 

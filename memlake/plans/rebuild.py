@@ -103,7 +103,7 @@ def rebuild_index(
     counts = {name: Observation(name) for name in names}
 
     def put(table: str, name: str, rows: DataFrame) -> None:
-        write_by_profile(rows, f"{store_path}/{table}", [TABLES[table]], by=FOLDER, counted=counts[name], lookup=LOOKUP.get(table))
+        write_by_profile(rows, f"{store_path}/{table}", [TABLES[table]], by=FOLDER, counted=counts[name], lookup=LOOKUP.get(table), many=True)
 
     errors = archive.errors.observe(counts["n_errors"], F.count(F.lit(1)).alias("n"))
     together(
@@ -116,7 +116,7 @@ def rebuild_index(
     together(
         lambda: check_turn_ids(turns),
         lambda: build_index(turns, text, CARRIED, buckets).write(store_path),
-        lambda: put("vectors", "vectors_indexed", build_vectors(indexed, load_encoder, text)),
+        lambda: put("vectors", "vectors_indexed", durable(build_vectors(indexed, load_encoder, text), "vectors")),
     )
     return spark.createDataFrame([tuple(counts[name].get["n"] for name in names)], ", ".join(f"{name} long" for name in names))
 
@@ -150,14 +150,14 @@ def save_sessions(
     added, sessions = together(
         lambda: stage("added", dated_turns(incoming)), lambda: durable(dated_sessions(headers, incoming, now_ms), "added-sessions")
     )
-    held = store.sessions(spark).join(replaced, SESSION_KEY, "left_semi").select(*FOLDER)
+    all_turns, all_sessions = together(lambda: store.turns(spark), lambda: store.sessions(spark))
+    held = all_sessions.join(replaced, SESSION_KEY, "left_semi").select(*FOLDER)
     touched, rows = settled(held.unionByName(sessions.select(*FOLDER)).distinct(), LITERAL_FOLDERS, "touched-folders")
 
     def stored(table: DataFrame) -> DataFrame:
         return table.join(touched, [*FOLDER], "left_semi") if rows is None else table.where(_in_folders(rows))
 
-    all_turns = store.turns(spark)
-    old_turns, old_sessions = stored(all_turns), stored(store.sessions(spark))
+    old_turns, old_sessions = stored(all_turns), stored(all_sessions)
     gone, _ = together(
         lambda: stage("gone", old_turns.join(replaced, SESSION_KEY, "left_semi").select(*old_turns.columns)), lambda: _check_new_ids(all_turns, added)
     )
@@ -185,7 +185,7 @@ def finish_save(spark: SparkSession, store: Store) -> None:
         errors = spark.read.parquet(f"{pending}/errors")
 
         def put(table: str) -> None:
-            write_by_profile(staged[table], f"{store.path}/{table}", [TABLES[table]], by=FOLDER, touched_only=True, lookup=LOOKUP.get(table))
+            write_by_profile(staged[table], f"{store.path}/{table}", [TABLES[table]], by=FOLDER, touched_only=True, lookup=LOOKUP.get(table), many=True)
             # Folders that lost all their rows.
             emptied = staged["touched"].join(staged[table].select(*FOLDER).distinct(), [*FOLDER], "left_anti")
             for row in emptied.toLocalIterator():

@@ -112,7 +112,9 @@ def _lines_of_whole_files(files: DataFrame) -> DataFrame:
         )
     )
     bad = F.exists("own", lambda x: _bad_line(x["line"], x["n"] == F.col("block")).isNotNull())
-    exploded = per_block.select(*FILE_COLUMNS, "block", "header_line", (~bad).alias("block_ok"), F.explode_outer("own").alias("x"))
+    # Judged before the block is taken apart: beside the generator it would be judged once per line.
+    judged = per_block.withColumn("block_ok", ~bad)
+    exploded = judged.select(*FILE_COLUMNS, "block", "header_line", "block_ok", F.explode_outer("own").alias("x"))
     return exploded.select(
         *FILE_COLUMNS,
         "block",

@@ -276,3 +276,11 @@ def test_merging_again_changes_nothing(spark):
         assert rows(current(spark, f"{work}/s", "turns"), "session_id", "content") == before
     # Batches that ran again after their merge are in it already.
     assert len(log_folders(spark, f"{work}/s/turns")) == 1
+
+
+def test_a_block_is_judged_once(spark):
+    """Not once per line: a long session would take the square of its length."""
+    plan = ar.read_lines(spark, sample())._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    last = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    judged = [i for i, line in enumerate(plan) if "block_ok" in line and "exists(" in line]
+    assert judged and min(judged) > last

@@ -10,6 +10,7 @@ from test_archive import NOW, header, put, turn
 from memlake.operators import keyword as kw
 from memlake.plans import rebuild
 from memlake.plans.rebuild import Store, finish_save, rebuild_index, save_sessions
+from memlake.sources import tables
 from memlake.sources.archive import read_archive
 
 WORDS = "red green blue cyan pink gold grey teal"
@@ -173,3 +174,33 @@ def test_many_touched_folders(spark, monkeypatch):
     monkeypatch.undo()
     assert content(spark, store) == content(spark, built(spark, latest(FIRST, SAVES[0])))
 
+
+
+def stage_tasks(spark, group, run):
+    """Tasks of every stage of the jobs that ``run`` starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    return [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+
+
+def test_many_folders_are_listed_by_few_tasks_and_written_by_many(spark):
+    days = spark.range(400).selectExpr("'p' AS profile_id", "cast(date_add(date'2026-01-01', cast(id % 100 AS int)) AS string) AS day", "id AS timestamp_ms")
+    path = tempfile.mkdtemp(prefix="memlake-days-") + "/t"
+    tables.write_by_profile(days, path, ["timestamp_ms"], by=rebuild.FOLDER, many=True)
+    before = spark.conf.get(tables.LISTING_TASKS)
+    read = []
+    tasks = stage_tasks(spark, "listing", lambda: read.append(tables.read_by_profile(spark, path)))
+    assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism and spark.conf.get(tables.LISTING_TASKS) == before
+    assert rows(read[0], "profile_id", "day", "timestamp_ms") == rows(days)
+    # Each of the four tasks has its own folders, but for those at the borders.
+    names = [name.split("part-")[1][:5] for name in files(path)]
+    assert len(set(names)) == 4 and len(names) <= 103 and max(map(names.count, names)) < 40
+
+
+def test_rows_of_one_folder_and_time_are_dealt_to_all_tasks(spark):
+    alike = spark.range(4000).selectExpr("'p' AS profile_id", "'2026-01-01' AS day", "7L AS timestamp_ms", "id")
+    path = tempfile.mkdtemp(prefix="memlake-day-") + "/t"
+    tables.write_by_profile(alike, path, ["timestamp_ms"], by=rebuild.FOLDER, many=True)
+    assert len(files(path)) == 4 and tables.read_by_profile(spark, path).count() == 4000
