@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from memlake.operators.ingest import SESSION_KEY, build_sessions, build_turns, latest_version
 from memlake.plans.rebuild import VERSION, newest
-from memlake.session import durable
+from memlake.session import durable, together
 from memlake.sources.archive import ARCHIVE_FILES, archive_of, parsed_lines, read_lines
 from memlake.sources.tables import append_batch, drop_merged, due_merge, log_folder, log_folders, read_merged_log
 
@@ -41,11 +41,11 @@ def stream_ingest(
             return
         # Of several versions in one batch the newest alone is stored.
         archive = newest(archive_of(durable(parsed_lines(read_lines(spark, paths)), "stream-lines")))
-        append_batch(build_turns(archive.turns, carry=tuple(VERSION)), f"{store_path}/turns", batch_id)
-        sessions = build_sessions(archive.headers, archive.turns, now_ms)
+        turns = build_turns(archive.turns, carry=tuple(VERSION))
         versions = archive.headers.select(*SESSION_KEY, *VERSION).distinct()
-        append_batch(sessions.join(versions, SESSION_KEY), f"{store_path}/sessions", batch_id)
-        append_batch(archive.errors, f"{store_path}/errors", batch_id)
+        sessions = build_sessions(archive.headers, archive.turns, now_ms).join(versions, SESSION_KEY)
+        tables = {"turns": turns, "sessions": sessions, "errors": archive.errors}
+        together(*[lambda name=name, rows=rows: append_batch(rows, f"{store_path}/{name}", batch_id) for name, rows in tables.items()])
         if merged := due_merge(batch_id, merge_every):
             merge_batches(spark, store_path, batch_id + 1 - merged, batch_id, merge_every)
 
@@ -67,12 +67,15 @@ def merge_batches(spark: SparkSession, store_path: str, first: int, last: int, k
     sessions = latest_version(logs["sessions"], SESSION_KEY, VERSION)
     kept = durable(sessions.select(*SESSION_KEY, *VERSION).distinct(), "kept-versions")
     merged = {"errors": logs["errors"], "turns": logs["turns"].join(kept, [*SESSION_KEY, *VERSION], "left_semi"), "sessions": sessions}
-    for table, rows in merged.items():
+
+    def put(table: str) -> None:
         # A merge that was cut short goes on with the tables it had not written.
         if table not in done:
-            rows.write.mode("overwrite").parquet(log_folder(f"{store_path}/{table}", first, last))
+            merged[table].write.mode("overwrite").parquet(log_folder(f"{store_path}/{table}", first, last))
         drop_merged(spark, f"{store_path}/{table}", last + 1 - keep)
 
+    together(*[lambda table=table: put(table) for table in merged])
+
 
 def current(spark: SparkSession, store_path: str, table: str) -> DataFrame:
     """The newest version of every session in a log.
