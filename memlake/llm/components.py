@@ -22,31 +22,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     input gives no rows.
     """
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    pairs = durable(known.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).distinct(), "edges")
-    seen = None
+    pairs = durable(known.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")), "edges")
     while True:
-        pairs = _large_star(pairs)
-        pairs = _small_star(pairs)
-        state = _state(pairs)
-        if state == seen:
-            break
-        seen = state
-    roots = pairs.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
-    return pairs.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(roots)
+        both = _both_ways(pairs)
+        smallest = durable(both.groupBy("u").agg(F.min("w").alias("least"), F.max("w").alias("most")), "large-star")
+        # All is done when every node with a smaller neighbour has no other one: stars around the smallest nodes are left.
+        if smallest.where((F.col("least") < F.col("u")) & (F.col("least") != F.col("most"))).isEmpty():
+            return smallest.select(F.col("u").alias("node"), F.least("u", "least").alias("component"))
+        pairs = _small_star(_large_star(both, smallest))
 
 
-def _state(pairs: DataFrame) -> tuple:
-    """Count and order-free hash of the edges."""
-    found = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("h")).first()
-    return found["n"], found["h"]
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    both = pairs.select(F.col("v").alias("u"), F.col("m").alias("w"))
+    return both.unionByName(pairs.select(F.col("m").alias("u"), F.col("v").alias("w")))
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
-    both = pairs.select(F.col("v").alias("u"), F.col("m").alias("w"))
-    both = both.unionByName(pairs.select(F.col("m").alias("u"), F.col("v").alias("w")))
-    smallest = durable(both.groupBy("u").agg(F.least(F.col("u"), F.min("w")).alias("least")), "large-star")
-    larger = both.where(F.col("w") > F.col("u")).join(smallest, "u")
-    return durable(larger.select(F.col("w").alias("v"), F.col("least").alias("m")).distinct(), "edges")
+def _large_star(both: DataFrame, smallest: DataFrame) -> DataFrame:
+    """One edge for each of the input; repeated ones fall away in the small star."""
+    larger = both.where(F.col("w") > F.col("u")).join(smallest.select("u", F.least("u", "least").alias("least")), "u")
+    return durable(larger.select(F.col("w").alias("v"), F.col("least").alias("m")), "edges")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ from memlake.session import durable
 BLOCK_SHINGLES = 1_000_000
 # Members outside a bucket's largest component up to which its pairs are listed.
 FEW_OUTSIDE = 8
+# Classes asked for up to which their sets are picked where they lie (some 20 MB are sent).
+FEW_ASKED = 200_000
 # Size of the filter that names documents to a scan, for up to an eighth as many (a power of two).
 FILTER_BITS = 1 << 23
 
@@ -219,7 +221,8 @@ class _Sets:
         self.made: DataFrame | None = None
 
     def of(self, asked: DataFrame) -> DataFrame:
-        """Sets of at least the classes ``asked`` (digest, distinct)."""
+        """Sets of at least the classes ``asked`` (digest, distinct); of no others if these are few of those made."""
+        few = self.made is not None and (asked := durable(asked, "asked-sets")).count() <= FEW_ASKED
         new = asked if self.made is None else asked.join(self.made.select("digest"), "digest", "left_anti")
         wanted = self.classes.join(new, "digest", "left_semi").select("digest", "key")
         wanted = durable(wanted, "wanted-sets")
@@ -234,7 +237,8 @@ class _Sets:
             found = found.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
             found = durable(found, "shingle-sets")
             self.made = found if self.made is None else self.made.unionByName(found)
-        return self.made
+        # Sets are large: those made for other pairs are not shuffled again.
+        return self.made.join(F.broadcast(asked), "digest", "left_semi") if few else self.made
 
 
 def near_groups(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
@@ -282,7 +286,7 @@ def _component_labels(docs: DataFrame, classes: DataFrame, params: MinMaxParams)
     links = tested = labels = None
     sets = _Sets(classes, docs, params)
     for turn in range(params.star_rounds + 1):
-        members = banded if labels is None else durable(_open_members(banded, labels), "open-members")
+        members = banded if labels is None else durable(_open_members(banded, labels, turn), "open-members")
         if labels is not None and members.isEmpty():
             break
         if turn < params.star_rounds:
@@ -300,23 +304,26 @@ def _component_labels(docs: DataFrame, classes: DataFrame, params: MinMaxParams)
     return labels
 
 
-def _open_members(banded: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with their component."""
+def _open_members(banded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold more than one component, with their component and the bucket's centre of this round."""
     known = durable(banded.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled")
-    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = durable(mixed.where(F.col("low") != F.col("high")).select("band"), "mixed-bands")
-    return known.join(mixed, "band")
+    first = F.min(F.struct(_place(turn).alias("p"), "digest", "label")).alias("c")
+    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first)
+    mixed = mixed.where(F.col("low") != F.col("high")).select("band", F.col("c.digest").alias("centre"), F.col("c.label").alias("centre_label"))
+    return known.join(durable(mixed, "mixed-bands"), "band")
+
+
+def _place(turn: int) -> Column:
+    return F.xxhash64("digest", F.lit(turn))
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
     """Every member of a bucket with the bucket's centre of this round, as (a, b = centre)."""
-    place = F.xxhash64("digest", F.lit(turn))
-    centres = members.groupBy("band").agg(F.min_by("digest", place).alias("centre"))
     if "label" in members.columns:
-        centres = members.groupBy("band").agg(F.min(F.struct(place.alias("p"), "digest", "label")).alias("c"))
-        centres = centres.select("band", F.col("c.digest").alias("centre"), F.col("c.label").alias("centre_label"))
-    met = members.join(durable(centres, "centres"), "band")
-    apart = F.col("label") != F.col("centre_label") if "label" in members.columns else F.col("digest") != F.col("centre")
+        met, apart = members, F.col("label") != F.col("centre_label")
+    else:
+        centres = members.groupBy("band").agg(F.min_by("digest", _place(turn)).alias("centre"))
+        met, apart = members.join(durable(centres, "centres"), "band"), F.col("digest") != F.col("centre")
     return met.where(apart).select(F.col("digest").alias("a"), F.col("centre").alias("b"))
 
 
