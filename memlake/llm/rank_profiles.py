@@ -161,7 +161,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
     if no language was learned. Rows stand for themselves.
     """
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score") and (keep or c != text)]
-    model, own = docs.sparkSession.sparkContext.broadcast(profiles), free_name(docs, "_text")
+    # A text that is kept goes to the workers once.
+    sent = text in kept and docs.schema[text].dataType.simpleString() == "string"
+    model, own = docs.sparkSession.sparkContext.broadcast(profiles), text if sent else free_name(docs, "_text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         best = [model.value.best(x.as_py()) for x in batch.column(own)]
@@ -171,5 +173,6 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept]
     kept = [f.name for f in docs.schema.fields if f.name in kept]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(own))
+    columns = [F.col(f"`{c}`") for c in kept]
+    source = docs.select(*columns) if sent else docs.select(*columns, F.col(text).cast("string").alias(own))
     return map_pieces(source, work, ", ".join([*fields, "lang_pred string", "score double"]))

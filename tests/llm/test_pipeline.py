@@ -7,6 +7,7 @@ from test_near_duplicates import brute
 from test_scanners import ITEM, plain_tiles
 
 import corpus_pipeline
+from memlake.llm import rank_profiles
 from memlake.llm.secrets import find_secrets, redacted, scanner
 from memlake.llm.tiling import words_of
 
@@ -89,3 +90,27 @@ def test_near_dedup_of_repeated_and_missing_ids(spark):
     # Near copies of one id are one document.
     twice = spark.createDataFrame([(4, whole(a), "en", "s", 1), (4, near(a, 0), "en", "s", 1)], SCHEMA)
     assert corpus_pipeline.near_dedup(spark, twice, SF_DIR).count() == 1
+
+
+def test_texts_go_to_the_workers_once(spark, monkeypatch):
+    sent = []
+    plain = rank_profiles.map_pieces
+    monkeypatch.setattr(rank_profiles, "map_pieces", lambda df, *rest: sent.append(df.columns) or plain(df, *rest))
+    docs = spark.createDataFrame([(1, "some plain words", "en", "s", 16), (2, None, "en", "s", 0)], SCHEMA)
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF_DIR).collect()] == [1]
+    assert sent == [docs.columns]
+    judged = rank_profiles.identify(docs.withColumn("text", F.encode("text", "utf-8")), rank_profiles.language_profiles(docs), keep=["text", "lang"])
+    assert judged.columns == ["text", "lang", "lang_pred", "score"] and [r["lang_pred"] for r in judged.collect()] == ["en", "und"]
+
+
+def test_stages_take_small_batches(spark):
+    rows = corpus_pipeline.BATCH_SETTING
+    before = spark.conf.get(rows)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for given, wanted in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+                spark.conf.set(rows, given)
+                stage(spark, spark.createDataFrame([], SCHEMA), SF_DIR)
+                assert spark.conf.get(rows) == wanted, name
+    finally:
+        spark.conf.set(rows, before)
