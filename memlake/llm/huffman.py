@@ -52,7 +52,9 @@ class HuffmanParams:
 
 # Characters of texts encoded at a time; words given to the library at a time, kept for later, and too long (in bytes) to keep.
 CHARS_AT_ONCE = 6_000_000
-WORDS_AT_ONCE, WORDS_KEPT, LONG_WORD = 1_000, 300_000, 100
+WORDS_AT_ONCE, WORDS_KEPT, LONG_WORD = 500, 300_000, 100
+# Stands between words that the library gets as one text: no text of words is longer than this (in characters).
+MARK, MARKED_CHARS = "\x01", 100_000
 
 # The tokenizer of a worker.
 _encoders: dict[str, WordIds] = {}
@@ -218,36 +220,57 @@ class WordIds:
 
     The library splits a text into words at white space before all else that looks at neighbours, so the ids of a text
     are those of its words (between ASCII blanks), one after the other.
+
+    A text costs the library about as much as a word: unknown words are joined to one text, a mark between them. They are encoded
+    one by one if the mark is in one of them, or is not found between all of them afterwards.
     """
 
     def __init__(self, model: Tokenizer) -> None:
         self.model, self.known, self.older = model, {}, {}
+        self.mark = model.encode(MARK, add_special_tokens=False).ids
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         out = []
         for start in range(0, len(words), WORDS_AT_ONCE):
-            encoded = self.model.encode_batch_fast(words[start : start + WORDS_AT_ONCE], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in encoded]
+            chosen = words[start : start + WORDS_AT_ONCE]
+            out += self._encoded_together(chosen) or self._encoded_alone(chosen)
         return out
 
+    def _encoded_alone(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encoded_together(self, words: list[str]) -> list[bytes] | None:
+        text, marks = f" {MARK} ".join(words), len(words) - 1
+        if len(self.mark) != 1 or len(text) > MARKED_CHARS or text.count(MARK) != marks:
+            return None
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.mark[0])
+        if len(ends) != marks:
+            return None
+        raw = ids.tobytes()
+        return [raw[start:stop] for start, stop in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)])]
+
     def _of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
         found = list(map(self.known.get, words))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for i in missing:
-            found[i] = self.older.get(words[i])
-        unknown = [i for i in missing if found[i] is None]
-        for i, ids in zip(unknown, self._encoded([words[i] for i in unknown])):
-            found[i] = ids
-        self.known.update((words[i], found[i]) for i in missing if len(words[i]) <= LONG_WORD)
+        missing = [word for word, ids in zip(words, found) if ids is None]
+        remembered = list(map(self.older.get, missing))
+        encoded = iter(self._encoded([word for word, ids in zip(missing, remembered) if ids is None]))
+        met = [next(encoded) if ids is None else ids for ids in remembered]
+        if max(map(len, missing), default=0) <= LONG_WORD:
+            self.known.update(zip(missing, met))
+        else:
+            self.known.update((word, ids) for word, ids in zip(missing, met) if len(word) <= LONG_WORD)
         if len(self.known) > WORDS_KEPT:
             self.known, self.older = {}, self.known
-        return found
+        rest = iter(met)
+        return [next(rest) if ids is None else ids for ids in found]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text; every distinct word is looked up once."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        found = self._of(words.dictionary.to_pylist())
+        found = self._of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         place = words.indices.to_numpy()
         own = sizes[place]

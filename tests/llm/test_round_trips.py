@@ -310,3 +310,25 @@ def test_one_document_over_many_slices_of_copies(spark):
     assert max(sizes) < 0.4 * sum(sizes)
     assert sorted((tuple(r) for r in huffman.read_documents(spark, path).collect()), key=lambda r: r[1]) == plain_ids(rows)
 
+
+
+def test_unknown_words_are_encoded_together():
+    """A text goes to the library per ``WORDS_AT_ONCE`` unknown words, not per word; words that hold the mark go alone."""
+    model = Tokenizer.from_file(TOKENIZER)
+    plain = [f"wörd{i}'s" for i in range(2 * huffman.WORDS_AT_ONCE)]
+    given = []
+
+    class Counted:
+        def encode(self, *args, **kinds):
+            return model.encode(*args, **kinds)
+
+        def encode_batch_fast(self, texts, **kinds):
+            given.extend(texts)
+            return model.encode_batch_fast(texts, **kinds)
+
+    # An empty text is one more word.
+    for words, texts in ((plain[1:], 2), ([*plain[:5], "a\x01b", "\x01", "x" * 300], 9), (["y" * huffman.MARKED_CHARS, "z"], 3), ([], 1)):
+        given.clear()
+        found = huffman.WordIds(Counted())(pa.array([" ".join(words), ""], pa.string()))
+        assert [x.tolist() for x in found] == [model.encode(" ".join(words), add_special_tokens=False).ids, []]
+        assert len(given) == texts
