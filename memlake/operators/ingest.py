@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,17 @@ def build_turns(turns: DataFrame, preview_chars: int = PREVIEW_CHARS, carry: tup
     A time that cannot be read becomes the session start; sessions without a
     readable start are left out. ``char_count`` counts bytes, ``n_chars`` code points.
     """
-    key = F.col("turn_id") if "turn_id" in turns.columns else turn_id()
-    start = to_millis(F.col("start_time"))
     kept = [c for c in carry if c in turns.columns]
-    return turns.where(start.isNotNull()).select(
+    has_start, columns = _turn_columns("turn_id" in turns.columns, preview_chars)
+    return turns.where(has_start).select(*columns, *kept)
+
+
+@functools.cache
+def _turn_columns(has_id: bool, preview_chars: int) -> tuple[Column, tuple[Column | str, ...]]:
+    """Made once: a stream builds the turns of thousands of small batches."""
+    key = F.col("turn_id") if has_id else turn_id()
+    start = to_millis(F.col("start_time"))
+    return start.isNotNull(), (
         key.alias("turn_id"),
         "session_id",
         "profile_id",
@@ -52,7 +61,6 @@ def build_turns(turns: DataFrame, preview_chars: int = PREVIEW_CHARS, carry: tup
         preview(F.col("content"), preview_chars).alias("preview"),
         F.octet_length("content").cast("long").alias("char_count"),
         F.char_length("content").cast("long").alias("n_chars"),
-        *kept,
     )
 
 
@@ -69,26 +77,38 @@ def turn_tokens(metadata: Column, mode: str = "lenient") -> Column:
 
 
 def build_sessions(
-    headers: DataFrame, turns: DataFrame, now_ms: int, token_mode: str = "lenient", end_fallback: bool = False
+    headers: DataFrame, turns: DataFrame, now_ms: int, token_mode: str = "lenient", end_fallback: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per session with its start, end, turn count and token sum.
+    """One row per session with its start, end, turn count and token sum; ``carry`` names further columns of the headers to keep.
 
     The end is the time of the last turn in order, not the latest time. Where that
     time cannot be read the end is NULL, or the start with ``end_fallback``.
     """
-    rollup = turns.groupBy(*SESSION_KEY).agg(
+    rollup = turns.groupBy(*SESSION_KEY).agg(*_rollup_columns(token_mode))
+    first_parts = headers.where(F.col("part") == 0) if "part" in headers.columns else headers
+    joined = first_parts.join(rollup, SESSION_KEY, "left")
+    has_start, columns = _session_columns("file_path" in headers.columns, end_fallback)
+    times = [F.lit(now_ms).cast("long").alias(name) for name in ("created_at", "updated_at")]
+    return joined.where(has_start).select(*columns, *times, *carry)
+
+
+@functools.cache
+def _rollup_columns(token_mode: str) -> tuple[Column, ...]:
+    return (
         F.count("*").alias("turn_count"),
         F.sum(turn_tokens(F.col("metadata"), token_mode)).alias("total_tokens"),
         F.max_by(F.coalesce(to_millis(F.col("ts")), F.lit(-1)), "pos").alias("last_ts"),
     )
+
+
+@functools.cache
+def _session_columns(has_file: bool, end_fallback: bool) -> tuple[Column, tuple[Column | str, ...]]:
     start = to_millis(F.col("start_time"))
     end = F.when(F.col("last_ts") >= 0, F.col("last_ts"))
     if end_fallback:
         end = F.when(F.col("turn_count").isNotNull(), F.coalesce(end, start))
-    file_path = F.col("file_path") if "file_path" in headers.columns else F.lit(None).cast("string")
-    first_parts = headers.where(F.col("part") == 0) if "part" in headers.columns else headers
-    joined = first_parts.join(rollup, SESSION_KEY, "left")
-    return joined.where(start.isNotNull()).select(
+    file_path = F.col("file_path") if has_file else F.lit(None).cast("string")
+    return start.isNotNull(), (
         "session_id",
         start.alias("start_ts"),
         end.alias("end_ts"),
@@ -101,8 +121,6 @@ def build_sessions(
         F.coalesce("turn_count", F.lit(0)).alias("turn_count"),
         F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"),
         F.when(F.size("tags") > 0, F.to_json("tags")).alias("tags"),
-        F.lit(now_ms).cast("long").alias("created_at"),
-        F.lit(now_ms).cast("long").alias("updated_at"),
     )
 
 

@@ -7,6 +7,7 @@ are read line by line and split over tasks, so no file has to fit in memory.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from dataclasses import dataclass
 
@@ -63,12 +64,15 @@ def read_archive(spark: SparkSession, paths: str | list[str], whole_file_bytes:
     return parse_lines(read_lines(spark, paths, whole_file_bytes))
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES, all_small: bool = False) -> DataFrame:
     """Every non-blank line with its file, block and position in the block.
 
     Columns: file_path, modified_at, block (position of the header line in the
     file), pos (0 for the header), line, header_line, block_ok (NULL: not known).
+    ``all_small``: the caller has seen the sizes; every file is read whole, also one that grew since.
     """
+    if all_small:
+        return _lines_of_whole_files(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", ARCHIVE_FILES).text(paths, wholetext=True))
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", ARCHIVE_FILES)
     small = reader.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= whole_file_bytes)
     lines = _lines_of_whole_files(small)
@@ -86,8 +90,10 @@ def _file_columns() -> list[Column]:
     ]
 
 
-def _lines_of_whole_files(files: DataFrame) -> DataFrame:
-    """``files`` holds one whole file per row in ``value``; nothing is shuffled."""
+@functools.cache
+def _whole_file_columns() -> tuple[Column, ...]:
+    """numbered lines, block starts, blocks, a block's own lines, whether they are good; made once, as a stream reads
+    thousands of small batches."""
     lines = F.filter(F.transform(F.split("value", r"\n"), _line), lambda line: trim_text(line) != "")
     numbered = F.transform(lines, lambda line, i: F.struct(i.cast("long").alias("n"), line.alias("line")))
     starts = F.filter("lines", lambda x: _starts_block(x["line"], x["n"] == 0))
@@ -99,21 +105,23 @@ def _lines_of_whole_files(files: DataFrame) -> DataFrame:
             F.coalesce(F.get("starts", i + 1)["n"], F.size("lines").cast("long")).alias("stop"),
         ),
     )
+    own = F.slice("lines", F.col("b.block").cast("int") + 1, (F.col("b.stop") - F.col("b.block")).cast("int"))
+    bad = F.exists("own", lambda x: _bad_line(x["line"], x["n"] == F.col("block")).isNotNull())
+    return numbered.alias("lines"), starts, F.explode_outer(blocks).alias("b"), own.alias("own"), ~bad
+
+
+def _lines_of_whole_files(files: DataFrame) -> DataFrame:
+    """``files`` holds one whole file per row in ``value``; nothing is shuffled."""
+    numbered, starts, blocks, own, good = _whole_file_columns()
     per_block = (
-        files.select(*_file_columns(), numbered.alias("lines"))
+        files.select(*_file_columns(), numbered)
         .withColumn("starts", starts)
-        .select(*FILE_COLUMNS, "lines", F.explode_outer(blocks).alias("b"))
+        .select(*FILE_COLUMNS, "lines", blocks)
         .where(F.col("b").isNotNull())
-        .select(
-            *FILE_COLUMNS,
-            "b.block",
-            "b.header_line",
-            F.slice("lines", F.col("b.block").cast("int") + 1, (F.col("b.stop") - F.col("b.block")).cast("int")).alias("own"),
-        )
+        .select(*FILE_COLUMNS, "b.block", "b.header_line", own)
     )
-    bad = F.exists("own", lambda x: _bad_line(x["line"], x["n"] == F.col("block")).isNotNull())
     # Judged before the block is taken apart: beside the generator it would be judged once per line.
-    judged = per_block.withColumn("block_ok", ~bad)
+    judged = per_block.withColumn("block_ok", good)
     exploded = judged.select(*FILE_COLUMNS, "block", "header_line", "block_ok", F.explode_outer("own").alias("x"))
     return exploded.select(
         *FILE_COLUMNS,
@@ -193,9 +201,14 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     This is the form to store: the text of a line is kept only where it is bad, and of its
     header only the fields.
     """
+    return lines.select(*_parsed_columns())
+
+
+@functools.cache
+def _parsed_columns() -> tuple[Column | str, ...]:
     reason = F.when(~F.coalesce("block_ok", F.lit(False)), _bad_line(F.col("line"), F.col("pos") == 0))
     is_turn = F.col("pos") > 0
-    return lines.select(
+    return (
         *FILE_COLUMNS,
         "block",
         "pos",
@@ -208,21 +221,30 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def archive_of(parsed: DataFrame) -> Archive:
+def archive_of(parsed: DataFrame, judged: bool = False) -> Archive:
+    """``judged``: every line says whether its block is good, as lines of files read whole do."""
     errors = parsed.where(F.col("reason").isNotNull()).select("file_path", "block", "pos", "reason", "line")
-    bad_blocks = errors.select("file_path", "block").distinct()
-    unknown = parsed.where(F.col("block_ok").isNull()).join(bad_blocks, ["file_path", "block"], "left_anti")
-    good = parsed.where(F.col("block_ok")).unionByName(unknown)
-    good = good.select(
-        "*",
+    good = parsed.where(F.col("block_ok"))
+    if not judged:
+        bad_blocks = errors.select("file_path", "block").distinct()
+        unknown = parsed.where(F.col("block_ok").isNull()).join(bad_blocks, ["file_path", "block"], "left_anti")
+        good = good.unionByName(unknown)
+    place, header, turn = _archive_columns()
+    good = good.select("*", *place)
+    return Archive(good.where(F.col("pos") == 0).select(*header), good.where(F.col("pos") > 0).select(*turn), errors)
+
+
+@functools.cache
+def _archive_columns() -> tuple[tuple[Column | str, ...], ...]:
+    """What tells a line's place and version, the columns of headers, the columns of turns."""
+    place = (
         # Archives written before ``first`` was kept have the number of the block.
         F.coalesce("h.first", F.col("h.part") * BLOCK_TURNS, F.lit(0)).alias("part"),
         F.coalesce("h.version", "modified_at").alias("version"),
         # Two writes of one version number are told apart by their own mark.
         F.when(F.col("h.version").isNull(), F.col("file_path")).otherwise(F.coalesce("h.write_id", F.lit(""))).alias("version_file"),
     )
-
-    headers = good.where(F.col("pos") == 0).select(
+    header = (
         "h.session_id",
         "h.start_time",
         "h.profile_id",
@@ -235,7 +257,7 @@ def archive_of(parsed: DataFrame) -> Archive:
         "version_file",
         "file_path",
     )
-    turns = good.where(F.col("pos") > 0).select(
+    turn = (
         "h.session_id",
         "h.profile_id",
         "h.start_time",
@@ -248,7 +270,7 @@ def archive_of(parsed: DataFrame) -> Archive:
         "version",
         "version_file",
     )
-    return Archive(headers, turns, errors)
+    return place, header, turn
 
 
 def extra_fields(line: Column) -> Column:

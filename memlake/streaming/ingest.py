@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from memlake.operators.ingest import SESSION_KEY, build_sessions, build_turns, latest_version
-from memlake.plans.rebuild import VERSION, newest
-from memlake.session import durable, together
-from memlake.sources.archive import ARCHIVE_FILES, archive_of, parsed_lines, read_lines
+from memlake.plans.rebuild import VERSION
+from memlake.session import durable, settled, together
+from memlake.sources.archive import ARCHIVE_FILES, WHOLE_FILE_BYTES, archive_of, parsed_lines, read_lines
 from memlake.sources.tables import append_batch, drop_merged, due_merge, log_folder, log_folders, read_merged_log
 
+# Up to this number of sessions of several versions is sent to the tasks; their rows need no shuffle then.
+SENT_SESSIONS = 10_000
+# Bytes of archive files from which one task builds the tables of a batch.
+TASK_BYTES = 8 * 1024 * 1024
+
 
 def stream_ingest(
     spark: SparkSession, archive_path: str, store_path: str, checkpoint: str, now_ms: int, files_per_batch: int = 1000, merge_every: int = 10
@@ -31,21 +39,28 @@ def stream_ingest(
         .option("pathGlobFilter", ARCHIVE_FILES)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(archive_path)
-        .select("path")
+        .select("path", "length")
     )
 
-    def save(names: DataFrame, batch_id: int) -> None:
-        # Names only, at most files_per_batch; the content is read by the tasks.
-        paths = [row.path for row in names.collect()]
-        if not paths:
+    def save(found: DataFrame, batch_id: int) -> None:
+        # Names and sizes only, at most files_per_batch; the content is read by the tasks.
+        files = found.collect()
+        if not files:
             return
+        small = all(file.length <= WHOLE_FILE_BYTES for file in files)
+        lines = durable(parsed_lines(read_lines(spark, [file.path for file in files], all_small=small)), "stream-lines")
+        # A batch of few bytes is one task's: it needs no shuffle, and leaves one file in each table.
+        lines = lines.coalesce(1 + sum(file.length for file in files) // TASK_BYTES)
+        archive = archive_of(lines, judged=small)
         # Of several versions in one batch the newest alone is stored.
-        archive = newest(archive_of(durable(parsed_lines(read_lines(spark, paths)), "stream-lines")))
-        turns = build_turns(archive.turns, carry=tuple(VERSION))
-        versions = archive.headers.select(*SESSION_KEY, *VERSION).distinct()
-        sessions = build_sessions(archive.headers, archive.turns, now_ms).join(versions, SESSION_KEY)
-        tables = {"turns": turns, "sessions": sessions, "errors": archive.errors}
-        together(*[lambda name=name, rows=rows: append_batch(rows, f"{store_path}/{name}", batch_id) for name, rows in tables.items()])
+        keep, _ = together(lambda: only_newest(archive.headers), lambda: append_batch(archive.errors, f"{store_path}/errors", batch_id))
+        headers, turns = keep(archive.headers), keep(archive.turns)
+        sessions = build_sessions(headers, turns, now_ms, carry=tuple(VERSION))
+        sessions = sessions.select(*SESSION_KEY, *[c for c in sessions.columns if c not in SESSION_KEY])
+        together(
+            lambda: append_batch(sessions, f"{store_path}/sessions", batch_id),
+            lambda: append_batch(build_turns(turns, carry=tuple(VERSION)), f"{store_path}/turns", batch_id),
+        )
         if merged := due_merge(batch_id, merge_every):
             merge_batches(spark, store_path, batch_id + 1 - merged, batch_id, merge_every)
 
@@ -53,6 +68,24 @@ def stream_ingest(
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def only_newest(versions: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to leave out the rows of versions that a newer one replaces, for tables that carry session and version.
+
+    Few sessions have several versions: only these are looked up, and where there are none a table stays as it is.
+    """
+    version = F.struct(*VERSION)
+    spans = versions.groupBy(*SESSION_KEY).agg(F.min(version).alias("_oldest"), F.max(version).alias("_newest"))
+    several, rows = settled(spans.where("_oldest < _newest").select(*SESSION_KEY, "_newest"), SENT_SESSIONS, "several-versions")
+    if rows == []:
+        return lambda table: table
+
+    def keep(table: DataFrame) -> DataFrame:
+        joined = table.join(several if rows is None else F.broadcast(several), SESSION_KEY, "left")
+        return joined.where(F.col("_newest").isNull() | (F.struct(*VERSION) == F.col("_newest"))).select(*table.columns)
+
+    return keep
+
+
 def merge_batches(spark: SparkSession, store_path: str, first: int, last: int, keep: int) -> None:
     """One folder for the batches from ``first`` to ``last``, with the newest version of each session among them. It takes
     their place once it is wholly written. Folders merged ``keep`` batches ago are deleted."""
@@ -64,9 +97,8 @@ def merge_batches(spark: SparkSession, store_path: str, first: int, last: int, k
         if inside == [(first, last)]:
             done.add(table)
         logs[table] = spark.read.parquet(*[log_folder(f"{store_path}/{table}", a, b) for a, b in inside])
-    sessions = latest_version(logs["sessions"], SESSION_KEY, VERSION)
-    kept = durable(sessions.select(*SESSION_KEY, *VERSION).distinct(), "kept-versions")
-    merged = {"errors": logs["errors"], "turns": logs["turns"].join(kept, [*SESSION_KEY, *VERSION], "left_semi"), "sessions": sessions}
+    current_rows = only_newest(logs["sessions"])
+    merged = {"errors": logs["errors"], "turns": current_rows(logs["turns"]), "sessions": current_rows(logs["sessions"])}
 
     def put(table: str) -> None:
         # A merge that was cut short goes on with the tables it had not written.

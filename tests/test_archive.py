@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from conftest import rows
 
 from memlake.operators.ingest import build_sessions, build_turns, latest_version, upsert_sessions
@@ -10,7 +11,8 @@ from memlake.operators.reports import check_consistency
 from memlake.plans.rebuild import Store, newest, rebuild_index
 from memlake.sources import archive as ar
 from memlake.sources.archive import list_archive, read_archive, write_archive
-from memlake.sources.tables import due_merge, log_folders
+from memlake.sources.tables import append_batch, due_merge, log_folders
+from memlake.streaming import ingest as streamed
 from memlake.streaming.ingest import current, merge_batches, stream_ingest
 
 NOW = 1_800_000_000_000
@@ -284,3 +286,42 @@ def test_a_block_is_judged_once(spark):
     last = next(i for i, line in enumerate(plan) if "Generate explode" in line)
     judged = [i for i, line in enumerate(plan) if "block_ok" in line and "exists(" in line]
     assert judged and min(judged) > last
+
+
+def test_a_batch_of_single_versions_is_not_shuffled(spark, monkeypatch):
+    """A stream of many small batches: what a batch costs besides its rows counts as often as there are batches."""
+    plans = {}
+
+    def noted(df, path, batch_id):
+        plans.setdefault(os.path.basename(path), []).append(df._jdf.queryExecution().executedPlan().toString())
+        append_batch(df, path, batch_id)
+
+    monkeypatch.setattr(streamed, "append_batch", noted)
+    folder, work = tempfile.mkdtemp(prefix="memlake-archive-"), tempfile.mkdtemp(prefix="memlake-stream-")
+    for name in "abc":
+        put(folder, f"{name}.jsonl", header(name), *[turn(i, f"{name}{i}") for i in range(1, 4)])
+    stream_ingest(spark, folder, f"{work}/s", f"{work}/c", NOW).awaitTermination()
+    assert rows(current(spark, f"{work}/s", "turns"), "content") == [(f"{name}{i}",) for name in "abc" for i in range(1, 4)]
+    assert rows(current(spark, f"{work}/s", "sessions"), "session_id", "turn_count") == [("a", 3), ("b", 3), ("c", 3)]
+    assert set(plans) == {"sessions", "turns", "errors"}
+    assert not any("hashpartitioning" in plan for table in plans.values() for plan in table)
+    for table in plans:
+        assert len([name for name in os.listdir(f"{work}/s/{table}/batch_id=0") if name.endswith(".parquet")]) <= 1
+    # A batch that may hold large files gives the same rows.
+    monkeypatch.setattr(streamed, "WHOLE_FILE_BYTES", 0)
+    stream_ingest(spark, folder, f"{work}/large", f"{work}/c2", NOW).awaitTermination()
+    for table in ("sessions", "turns"):
+        assert rows(current(spark, f"{work}/large", table)) == rows(current(spark, f"{work}/s", table))
+
+
+@pytest.mark.parametrize("sent", [streamed.SENT_SESSIONS, 0])
+def test_rows_of_replaced_versions_go(spark, monkeypatch, sent):
+    monkeypatch.setattr(streamed, "SENT_SESSIONS", sent)
+    data = [("p", "a", 1, "x", 1), ("p", "a", 2, "x", 2), ("p", "a", 2, "y", 3), ("p", "a", 2, "y", 3), ("q", "a", 1, "x", 4), ("p", "b", 5, "x", 5), ("p", "b", 5, "x", 6)]
+    table = spark.createDataFrame(data, "profile_id string, session_id string, version long, version_file string, n int")
+    kept = streamed.only_newest(table)(table)
+    assert kept.columns == table.columns
+    assert rows(kept) == rows(latest_version(table, ["profile_id", "session_id"], ["version", "version_file"]))
+    assert rows(kept, "n") == [(3,), (3,), (4,), (5,), (6,)]
+    single = table.where("n > 3")
+    assert streamed.only_newest(single)(single) is single
