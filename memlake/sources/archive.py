@@ -229,17 +229,17 @@ def archive_of(parsed: DataFrame, judged: bool = False) -> Archive:
         bad_blocks = errors.select("file_path", "block").distinct()
         unknown = parsed.where(F.col("block_ok").isNull()).join(bad_blocks, ["file_path", "block"], "left_anti")
         good = good.unionByName(unknown)
-    place, header, turn = _archive_columns()
+    place, header, turn = _archive_columns(BLOCK_TURNS)
     good = good.select("*", *place)
     return Archive(good.where(F.col("pos") == 0).select(*header), good.where(F.col("pos") > 0).select(*turn), errors)
 
 
 @functools.cache
-def _archive_columns() -> tuple[tuple[Column | str, ...], ...]:
+def _archive_columns(block_turns: int) -> tuple[tuple[Column | str, ...], ...]:
     """What tells a line's place and version, the columns of headers, the columns of turns."""
     place = (
         # Archives written before ``first`` was kept have the number of the block.
-        F.coalesce("h.first", F.col("h.part") * BLOCK_TURNS, F.lit(0)).alias("part"),
+        F.coalesce("h.first", F.col("h.part") * block_turns, F.lit(0)).alias("part"),
         F.coalesce("h.version", "modified_at").alias("version"),
         # Two writes of one version number are told apart by their own mark.
         F.when(F.col("h.version").isNull(), F.col("file_path")).otherwise(F.coalesce("h.write_id", F.lit(""))).alias("version_file"),
