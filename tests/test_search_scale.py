@@ -1,5 +1,6 @@
 """What keyword search moves between tasks: texts, not their words; of stored postings only those that are looked for."""
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -99,3 +100,38 @@ def test_filtered_vectors_are_compared_by_many_tasks(spark):
             hits = semantic_hits(with_profile, stored, queries, 50, filters, "pre")
             assert hits.count() == 50 and hits.where(F.col("turn_id") % 3 == 0).count() == 0
     assert tasks == [4, 4]
+
+
+def vectors_and_queries(spark, stored, asked):
+    vectors = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(stored)], "turn_id long, q8 array<tinyint>")
+    return vectors, spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(asked)], "query_id long, q8 array<tinyint>")
+
+
+def test_a_query_gets_few_rows_of_each_task(spark):
+    """Not k rows of every group of vectors: their number grew with the groups, most of them far away."""
+    rng = np.random.default_rng(3)
+    vectors, queries = vectors_and_queries(spark, rng.integers(-127, 128, (600, 24)), rng.integers(-127, 128, (50, 24)))
+    assert vec._knn_blocks(vectors, queries, 4, "l2", vec.BLOCK_VECTORS, vec.BLOCK_QUERIES).count() == 4 * 50
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("width, tasks", [(16, 100_000), (16, 2), (300, 100_000)])
+def test_blocks_of_neighbours_equal_carried_queries(spark, monkeypatch, metric, width, tasks):
+    """Bounds that are drawn in while a task reads, several tasks in a partition, products beyond float32; copies, zero vectors, few values."""
+    monkeypatch.setattr(vec, "MOST_TASKS", tasks)
+    monkeypatch.setattr(vec, "SAMPLE_VECTORS", 20)
+    monkeypatch.setattr(vec, "CENTRES", 5)
+    monkeypatch.setattr(vec, "FRESH_ROWS", 10)
+    monkeypatch.setattr(vec, "NEAR_TILE", 16)
+    rng = np.random.default_rng(width)
+    stored = rng.integers(-1, 2, (500, width)) * rng.choice([1, 60, 127], (500, 1))
+    asked = np.concatenate([stored[:40], rng.integers(-127, 128, (30, width)), np.full((1, width), -128)])
+    stored[300:400], stored[7], stored[9], asked[3] = stored[300], 0, 127, 0
+    vectors, queries = vectors_and_queries(spark, stored, asked)
+    queries = queries.unionByName(queries.where("query_id < 3"))  # ids may repeat
+    vectors = vectors.unionByName(vectors.where("turn_id < 5"))
+    columns = ["query_id", "rank", "distance"]
+    carried, blocks = (rows(vec.knn(vectors, queries, 6, metric, n, 130, 20), *columns, "turn_id") for n in (1000, 0))
+    assert blocks == carried and len(blocks) == 71 * 6
+    assert not rows(vec.knn(vectors.limit(0), queries, 6, metric, 0))
+    assert rows(vec.knn(vectors, queries, 30, metric, 0), *columns) == rows(vec.knn(vectors, queries, 30, metric, 1000), *columns)
